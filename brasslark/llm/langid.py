@@ -128,8 +128,8 @@ def train(docs: DataFrame, dim: int = DIM, gram: int = GRAM) -> Profiles:
     return Profiles([r["lang"] for r in found], vectors.astype(np.float32), dim, gram)
 
 
-def predict(docs: DataFrame, model: Profiles, *keep: str) -> DataFrame:
-    """The columns `keep` of docs with lang_pred and score, the cosine with the best prototype (0 if negative).
+def predict(docs: DataFrame, model: Profiles, *keep: str, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns `keep` of docs with lang_pred and score (or other names), the cosine with the best prototype (0 if negative).
 
     A null text or one without a letter is `und` with score 0, as is everything if no language was learned.
     Equal cosines give the first language in code point order.
@@ -142,23 +142,23 @@ def predict(docs: DataFrame, model: Profiles, *keep: str) -> DataFrame:
         langs, prototypes = shared.value
         binder = Binder(dim, gram)
         for b in batches:
-            names, scores = [], []
+            found, scores = [], []
             for text in b.column("text").to_pylist():
                 keys, counts = grams(text or "", gram)
                 if len(keys) and langs:
                     v = binder.bundle(keys, counts)
                     cosines = prototypes @ v / max(1e-9, float(np.linalg.norm(v)))
                     best = int(np.argmax(cosines))
-                    names.append(langs[best])
+                    found.append(langs[best])
                     scores.append(float(min(1.0, max(0.0, cosines[best]))))
                 else:
-                    names.append(UNDETERMINED)
+                    found.append(UNDETERMINED)
                     scores.append(0.0)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(found, pa.string()), pa.array(scores, pa.float64())], [*keep, *names])
 
     kinds = dict(docs.dtypes)
     rows = docs.select(*keep, F.col("text").cast("string").alias("text")) if "text" not in keep else docs.select(*keep)
-    return rows.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "lang_pred string", "score double"]))
+    return rows.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"`{names[0]}` string", f"`{names[1]}` double"]))
 
 
 def identify(docs: DataFrame, parts: int = 4, part: int = 2) -> DataFrame:

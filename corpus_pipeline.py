@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brasslark.llm import exact, langid, mixing, packing, simhash
-from brasslark.llm.common import saved, table
+from brasslark.llm.common import fresh, saved, table
 
 #: Cosine with the best language below which a document is taken for none of them.
 MIN_COSINE = 0.03
@@ -15,8 +15,9 @@ MIN_COSINE = 0.03
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter and those like no language; profiles are learned from the rows that op5 learns from."""
     train = docs.where(~langid.held_out(F.col("doc_id"), 4, 2))
-    judged = langid.predict(docs, langid.train(train), *docs.columns)
-    return judged.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= MIN_COSINE)).select(*docs.columns)
+    lang, score = names = fresh(docs, "lang_pred", "score")
+    judged = langid.predict(docs, langid.train(train), *docs.columns, names=names)
+    return judged.where((F.col(lang) != langid.UNDETERMINED) & (F.col(score) >= MIN_COSINE)).drop(*names)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
