@@ -91,3 +91,16 @@ def named_uuid(c: Column, namespace: str = "6ba7b8129dad11d180b400c04fd430c8") -
     h = F.sha1(F.concat(F.unhex(F.lit(namespace)), c.cast("binary")))
     variant = F.lower(F.hex((F.conv(F.substring(h, 17, 2), 16, 10).cast("int").bitwiseAND(0x3F)).bitwiseOR(0x80)))
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 19, 2)), F.substring(h, 21, 12))
+
+
+def revenue_basis(title: Column) -> Column:
+    """What a revenue figure counts, by the beginning of its title."""
+    low = F.lower(F.trim(title))
+    return F.when(low.startswith("net interest income"), "net_interest_income").when(low.startswith("total operating income"), "total_operating_income").when(low.startswith("net sales") | low.startswith("net revenue"), "net_sales").when(low.startswith("premium") | low.startswith("net premium"), "premiums").otherwise("other")
+
+
+def salvaged_json(c: Column) -> Column:
+    """The JSON object in a text with fences or words around it: what stands between the first and the last brace, if it parses; else NULL."""
+    bare = F.regexp_replace(c, r"(?m)^\s*```\w*\s*$", "")
+    found = F.regexp_extract(bare, r"(?s)(\{.*\})", 1)
+    return F.when(F.try_parse_json(found).isNotNull() & (found != ""), found)

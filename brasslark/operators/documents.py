@@ -248,3 +248,12 @@ def selected(rows: DataFrame, least: int = 7, budget: int = 300) -> DataFrame:
     named = ok.where("external > 0").select("chunk_id", F.lit("relation").alias("kind"), "score")
     rest = ok.where("external = 0 and structure > 0").orderBy(F.desc("score"), "chunk_id").limit(budget).select("chunk_id", F.lit("structure").alias("kind"), "score")
     return named.unionByName(rest)
+
+
+def ocr_quality(pages: DataFrame, letters: str, least: float = 0.15, least_signs: int = 200) -> DataFrame:
+    """doc_id, ratio, reason (empty, too_few_marked_letters, ok): whether pages read by OCR have the language's marked letters as often as they should."""
+    low = F.lower("text")
+    marked, all_letters = F.length(F.regexp_replace(low, f"[^{letters}]", "")), F.length(F.regexp_replace(low, r"[^\p{L}]", ""))
+    d = pages.groupBy("doc_id").agg(F.coalesce(F.sum(F.length(F.trim("text"))), F.lit(0)).alias("n"), F.try_divide(F.sum(marked).cast("double"), F.sum(all_letters).cast("double")).alias("ratio"))
+    reason = F.when(F.col("n") < least_signs, "empty").when(F.coalesce("ratio", F.lit(0.0)) < least, "too_few_marked_letters").otherwise("ok")
+    return d.select("doc_id", "ratio", reason.alias("reason"))

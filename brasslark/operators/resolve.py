@@ -121,3 +121,10 @@ def merge_plan(wanted: DataFrame, nodes: DataFrame) -> DataFrame:
     j = wanted.join(known, "node", "left").join(target, "into", "left")
     reason = F.when(F.col("node") == F.col("into"), "same").when(F.col("has_node").isNull(), "node_missing").when(F.col("has_into").isNull(), "target_missing").otherwise("ok")
     return j.select("node", "into", reason.alias("reason"))
+
+
+def askable_names(companies: DataFrame, forms: DataFrame) -> DataFrame:
+    """ticker, name: of each company's forms (ticker, form, pos) the first that resolves back to it alone."""
+    back = resolve(forms.select(F.col("form").alias("query")), companies).where("status = 'ok'").select(F.col("query").alias("form"), F.col("ticker").alias("_t"))
+    good = forms.join(back, "form").where("ticker = _t")
+    return good.groupBy("ticker").agg(F.min_by("form", "pos").alias("name"))

@@ -109,3 +109,19 @@ def questions(years: DataFrame, metric: str, n: int, seed: str = "7") -> DataFra
     rows = years.where(F.col(metric).isNotNull()).withColumn("_h", F.md5(F.concat_ws("|", F.lit(seed), "ticker", "fiscal_year"))).orderBy("_h").limit(n)
     text = F.format_string(f"What was the {metric.replace('_', ' ')} of %s in fiscal year %d?", F.col("name"), F.col("fiscal_year"))
     return rows.select(F.concat_ws("-", F.lit("lookup"), "ticker", "fiscal_year").alias("qid"), F.lit("lookup").alias("category"), text.alias("question"), F.col(metric).alias("expected"))
+
+
+def comparison_questions(years: DataFrame, metric: str, n: int, seed: str = "7") -> DataFrame:
+    """qid, question, entities, expected: pairs of companies of one year and currency, with the winner; a seeded sample of n."""
+    w = Window.partitionBy("fiscal_year", "currency").orderBy(F.md5(F.concat_ws("|", F.lit(seed), "ticker", "fiscal_year")))
+    placed = years.where(F.col(metric).isNotNull()).withColumn("_r", F.row_number().over(w) - 1)
+    pairs = placed.groupBy("fiscal_year", "currency", F.floor(F.col("_r") / 2).alias("_p")).agg(F.sort_array(F.collect_list(F.struct(F.col(metric).alias("v"), "ticker", "name")), asc=False).alias("two")).where(F.size("two") == 2)
+    text = F.format_string("Which had the larger " + metric.replace("_", " ") + " in fiscal year %d, %s or %s?", F.col("fiscal_year"), F.least(F.col("two")[0]["name"], F.col("two")[1]["name"]), F.greatest(F.col("two")[0]["name"], F.col("two")[1]["name"]))
+    rows = pairs.select(F.concat_ws("-", F.lit("compare"), F.col("two")[0]["ticker"], F.col("two")[1]["ticker"], "fiscal_year").alias("qid"), text.alias("question"), F.transform("two", lambda x: x["name"]).alias("entities"), F.col("two")[0]["name"].alias("expected"))
+    return rows.orderBy(F.md5(F.concat_ws("|", F.lit(seed), "qid"))).limit(n)
+
+
+def contexts(observations: DataFrame, limit: int = 12) -> DataFrame:
+    """answer_id, contexts: the first texts of what an answer was made from (answer_id, pos, text)."""
+    rows = observations.where("text is not null").withColumn("_r", F.row_number().over(Window.partitionBy("answer_id").orderBy("pos", "text"))).where(F.col("_r") <= limit)
+    return rows.groupBy("answer_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("_r", "text"))), lambda x: x["text"]).alias("contexts"))

@@ -138,3 +138,35 @@ def test_corrupt_lines_are_kept_apart(spark, tmp_path):
     (tmp_path / "x.jsonl").write_text('{"a": 1}\n{broken\n{"a": 2}\n')
     good, bad = universe.json_lines(spark, f"file://{tmp_path}/x.jsonl", "a int")
     assert sorted(r["a"] for r in good.collect()) == [1, 2] and bad.count() == 1
+
+
+def test_ocr_gate_and_json(spark):
+    pages = spark.createDataFrame([("a", "ế" * 100 + "b" * 200), ("b", "b" * 300), ("c", " "), ("d", None)], "doc_id string, text string")
+    assert {r["doc_id"]: r["reason"] for r in documents.ocr_quality(pages, "ếà").collect()} == {"a": "ok", "b": "too_few_marked_letters", "c": "empty", "d": "empty"}
+    assert one(spark, X.salvaged_json(F.lit('Sure:\n```json\n{"a": 1}\n```'))) == '{"a": 1}'
+    assert one(spark, X.salvaged_json(F.lit("no {json"))) is None
+    assert one(spark, X.revenue_basis(F.lit("Net Interest Income (VND)"))) == "net_interest_income"
+
+
+def test_askable_names_and_questions(spark):
+    names = spark.createDataFrame([("AA", "Acme Bank", "USD"), ("AB", "Acme Steel", "USD")], "ticker string, name string, currency string")
+    forms = spark.createDataFrame([("AA", "Acme", 0), ("AA", "Acme Bank", 1), ("AB", "AB", 0)], "ticker string, form string, pos int")
+    assert {r["ticker"]: r["name"] for r in resolve.askable_names(names, forms).collect()} == {"AA": "Acme Bank", "AB": "AB"}
+    years = names.withColumn("fiscal_year", F.lit(2020)).withColumn("revenue", F.when(F.col("ticker") == "AA", 5.0).otherwise(7.0))
+    assert [r["expected"] for r in verify.comparison_questions(years, "revenue", 3).collect()] == ["Acme Steel"]
+
+
+def test_store(spark, tmp_path):
+    from brasslark.sources.store import Store, embedded, local_filings, unique
+
+    store, schema = Store(spark, f"file://{tmp_path}/db"), "id long, text string, ticker string"
+    assert store.ensure("chunks", schema, "ticker").count() == 0
+    store.append("chunks", spark.createDataFrame([(1, "x", "A"), (2, "y", "B")], schema), "ticker")
+    store.replace_partitions("chunks", spark.createDataFrame([(3, "z", "A")], schema), "ticker")
+    assert sorted((r["id"], r["ticker"]) for r in store.read("chunks").collect()) == [(2, "B"), (3, "A")] and store.exists("chunks") and not store.exists("other")
+    assert [r["ticker"] for r in unique(spark.createDataFrame([("A",), ("A",), (None,), (None,)], "ticker string"), "ticker").collect()] == ["A"]
+    assert [list(r["embedding"]) for r in embedded(spark.createDataFrame([("ab",), (None,)], "text string"), lambda ts: [[float(len(t))] for t in ts]).collect()] == [[2.0], [0.0]]
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f/A_10-K_2020.html").write_text("<p>x</p>")
+    (tmp_path / "f/A_10-K_2020.meta.json").write_text('{"ticker": "A", "form": "10-K"}')
+    assert [(r["doc_id"], r["ticker"]) for r in local_filings(spark, f"file://{tmp_path}/f").collect()] == [("A_10-K_2020", "A")]
