@@ -8,16 +8,18 @@ from pyspark.sql import functions as F
 from brasslark.llm import exact, langid, mixing, packing, simhash
 from brasslark.llm.common import fresh, saved, table
 
-#: Cosine with the best language below which a document is taken for none of them.
-MIN_COSINE = 0.03
+#: A text of LONG signs or more whose cosine with the best language is below MIN_COSINE is taken for none of them;
+#: in shorter texts a low cosine says little.
+LONG, MIN_COSINE = 200, 0.1
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter and those like no language; profiles are learned from the rows that op5 learns from."""
+    """Rejects documents without a letter and long ones like no language; profiles are learned from the rows that op5 learns from."""
     train = docs.where(~langid.held_out(F.col("doc_id"), 4, 2))
     lang, score = names = fresh(docs, "lang_pred", "score")
     judged = langid.predict(docs, langid.train(train), *docs.columns, names=names)
-    return judged.where((F.col(lang) != langid.UNDETERMINED) & (F.col(score) >= MIN_COSINE)).drop(*names)
+    like_none = (F.length("text") >= LONG) & (F.col(score) < MIN_COSINE)
+    return judged.where((F.col(lang) != langid.UNDETERMINED) & ~like_none).drop(*names)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
