@@ -820,3 +820,60 @@ def grouping_sets(spark, sf_dir):
 @query()
 def approx_distinct(spark, sf_dir):
     return C.table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey").alias("parts"))
+
+
+# Incremental loads
+
+
+@query("""WITH last AS (SELECT o_custkey, max_by(o_orderstatus, o_orderkey) AS s FROM orders GROUP BY o_custkey)
+SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM last WHERE s <> 'F')""")
+def resume_pending(spark, sf_dir):
+    status = F.when(F.col("o_orderstatus") == "F", "error").otherwise("done")
+    tried = C.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("attempt"), status.alias("status"))
+    return upserts.pending(C.table(spark, sf_dir, "customer").select("c_custkey"), tried, "c_custkey")
+
+
+@query(f"""{OWN}, marked AS (SELECT company, owner, percent, CASE WHEN company % 3 = 0 THEN 'filed' ELSE 'listed' END AS source FROM ownership),
+after AS (SELECT * FROM marked WHERE source <> 'listed' UNION ALL SELECT company, owner, percent / 2, 'listed' FROM marked WHERE source = 'listed' AND owner % 2 = 0)
+SELECT 'edges' AS name, count(*) AS n, round(sum(percent), 6) AS total FROM after UNION ALL SELECT 'orphans', count(*), NULL FROM (SELECT DISTINCT owner FROM marked WHERE owner NOT IN (SELECT owner FROM after))""")
+def replace_snapshot(spark, sf_dir):
+    marked = C.ownership(spark, sf_dir).withColumn("source", F.when(F.col("company") % 3 == 0, "filed").otherwise("listed"))
+    new = marked.where("source = 'listed' AND owner % 2 = 0").select("company", "owner", (F.col("percent") / 2).alias("percent"))
+    after, orphans = upserts.replace_source(marked, new, "listed")
+    edges = after.agg(F.lit("edges").alias("name"), F.count(F.lit(1)).alias("n"), F.round(F.sum("percent"), 6).alias("total"))
+    return edges.unionByName(orphans.agg(F.lit("orphans").alias("name"), F.count(F.lit(1)).alias("n"), F.lit(None).cast("double").alias("total")))
+
+
+@query(f"""{YEARS}, have AS (SELECT ticker, max(fiscal_year) AS y FROM fin_years WHERE fiscal_year <= 1995 + suppkey % 7 AND suppkey % 4 <> 0 GROUP BY ticker)
+SELECT f.ticker, f.fiscal_year FROM fin_years f LEFT JOIN have h USING (ticker) WHERE f.fiscal_year > coalesce(h.y, 0)""")
+def newer_reports(spark, sf_dir):
+    years = C.fin_years(spark, sf_dir)
+    have = years.where("fiscal_year <= 1995 + suppkey % 7 AND suppkey % 4 <> 0")
+    return upserts.newer_only(years.select("ticker", "fiscal_year"), have)
+
+
+@query("""SELECT c_custkey, max(o_orderdate) AS last_run, max(o_orderdate) IS NULL OR DATE '1999-01-01' - CAST(max(o_orderdate) AS DATE) >= 30 AS due FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderdate < TIMESTAMP '1999-01-01 00:00:00' GROUP BY c_custkey""")
+def refresh_due(spark, sf_dir):
+    runs = C.table(spark, sf_dir, "orders").where(F.col("o_orderdate") < F.lit("1999-01-01").cast("timestamp")).groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderdate").alias("last_run"))
+    steps = C.table(spark, sf_dir, "customer").select("c_custkey").join(runs, "c_custkey", "left").withColumn("cadence_days", F.lit(30))
+    return watch.due(steps, F.lit("1999-01-01").cast("date")).drop("cadence_days")
+
+
+@query(f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, e.label, {COSINE} AS score FROM embeddings e, embeddings q WHERE q.vec_id < 5),
+u AS (SELECT query_id, vec_id, score, 0 AS priority FROM s WHERE label = 3 AND vec_id % 16 = 0 UNION ALL SELECT query_id, vec_id, score, 1 FROM s WHERE label = 7),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY priority, score DESC, vec_id) AS place FROM u) SELECT query_id, vec_id, round(score, 6) AS score, priority, place FROM r WHERE place <= 8""", "place")
+def stacked_hits(spark, sf_dir):
+    hits = C.table(spark, sf_dir, "embeddings").crossJoin(asked_vectors(spark, sf_dir)).select("query_id", "vec_id", "label", N.cosine(F.col("embedding"), F.col("query")).alias("score"))  # five stated queries
+    first, second = hits.where("label = 3 AND vec_id % 16 = 0").drop("label"), hits.where("label = 7").drop("label")
+    return joins.stacked(first, second, ["query_id"], [F.desc("score"), F.col("vec_id")], 8).withColumn("score", F.round("score", 6))
+
+
+@query(f"""{OWN}, h AS (SELECT 'S' || company AS company, CASE WHEN owner % 3 = 0 THEN (SELECT name FROM companies WHERE suppkey = owner) ELSE 'Holder ' || (owner % 10) END AS owner, percent, owner % 3 = 1 AS person FROM ownership),
+l AS (SELECT h.company, coalesce(c.ticker, CASE WHEN person THEN owner || ' (' || h.company || ')' ELSE owner END) AS owner_key, CASE WHEN c.ticker IS NOT NULL THEN 'Company' WHEN person THEN 'Person' ELSE 'Organization' END AS owner_label, percent FROM h LEFT JOIN companies c ON lower(h.owner) = lower(c.name)),
+r AS (SELECT *, row_number() OVER (PARTITION BY company, owner_key ORDER BY percent DESC) AS r FROM l WHERE company <> owner_key) SELECT company, owner_key, owner_label, round(percent, 8) AS percent FROM r WHERE r = 1""")
+def link_owners(spark, sf_dir):
+    names = C.companies(spark, sf_dir).select("suppkey", "ticker", "name")
+    rows = C.ownership(spark, sf_dir).join(names.select(F.col("suppkey").alias("owner"), F.col("name").alias("owner_name")), "owner")
+    owner = F.when(F.col("owner") % 3 == 0, F.upper("owner_name")).otherwise(F.concat(F.lit("Holder "), (F.col("owner") % 10).cast("string")))
+    holders = rows.select(F.concat(F.lit("S"), F.col("company").cast("string")).alias("company"), owner.alias("owner"), "percent", F.when(F.col("owner") % 3 == 1, "person").otherwise("organisation").alias("kind"))
+    return upserts.link_owners(holders, names).select("company", "owner_key", "owner_label", F.round("percent", 8).alias("percent"))
