@@ -32,7 +32,7 @@ GAMMA = 0.9
 SALTS = 64
 
 #: What elements and styles are for.
-SKIPPED = frozenset("script style noscript template head title svg math iframe object embed canvas audio video map select textarea button datalist form".split())
+SKIPPED = frozenset("script style noscript template head title svg math iframe object embed canvas audio video map select textarea button datalist".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img input br".split())
 CLOSES = {
@@ -60,11 +60,19 @@ def style(tag: str, attributes: str) -> str:
     return re.sub(r"[0-9]+", "0", re.sub(r"[>\s]+", " ", " ".join([tag, *sorted(set(found))])))
 
 
+def style_words(one: str) -> set[str]:
+    return set(_PARTS.findall(re.sub(r"\b(class|id|role)=", " ", one.partition(" ")[2]).lower()))
+
+
+def noise_words(one: str) -> set[str]:
+    return style_words(one) & NOISE_STYLES
+
+
 @lru_cache(1 << 16)
 def purpose(one: str) -> str:
     """noise, article, or running for marks of text without a style of their own; else open."""
     tag, _, rest = one.partition(" ")
-    words = set(_PARTS.findall(re.sub(r"\b(class|id|role)=", " ", rest).lower()))
+    words = style_words(one)
     if tag in NOISE_TAGS or words & NOISE_STYLES:
         return "noise"
     if tag in ARTICLE_TAGS or words & ARTICLE_STYLES or {"article", "main"} & words:
@@ -145,8 +153,8 @@ def parse(html: str) -> tuple[list[tuple[str, str]], dict[str, list[str]]]:
         if tag in SKIPPED and not attributes.rstrip().endswith("/"):
             end_block()
             end = low.find(f"</{tag}", at)
-            if tag in ("head", "form") and end < 0:  # not closed: its content is skipped up to the body or the end
-                end = low.find("<body", at) if tag == "head" else n
+            if tag == "head" and end < 0:  # not closed: it ends where the body begins
+                end = low.find("<body", at)
                 at = n if end < 0 else end
             elif end < 0:
                 at = n
@@ -231,8 +239,13 @@ def prior(styles: list[str]) -> float | None:
     """0 for what a style on the path marks as noise, 1 for the article and running text in it, else None: to be measured."""
     kinds = [purpose(s) for s in styles]
     place = max((i for i, k in enumerate(kinds) if k == "article"), default=-1)
-    noise = [s for i, (s, k) in enumerate(zip(styles, kinds, strict=True)) if k == "noise" and not (0 <= place < i and s == "header")]
-    if noise:
+
+    def excused(i: int) -> bool:
+        """The article's own heading, and a form that goes round the article, are not noise."""
+        heading = styles[i].startswith("header") or noise_words(styles[i]) == {"header"} and styles[i].partition(" ")[0] not in NOISE_TAGS
+        return heading if 0 <= place < i else i < place and styles[i].startswith("form")
+
+    if any(k == "noise" and not excused(i) for i, k in enumerate(kinds)):
         return 0.0
     return 1.0 if place >= 0 and "open" not in kinds[place + 1 :] else None
 

@@ -149,8 +149,8 @@ def test_mined_rules(spark):
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="x"><nav><ul><li><a href="/">Home</a></ul></nav><header><h1>Site</h1></header>
-<div class="cookie-notice">We use cookies</div><div class="ad">Buy</div><article><header><h1>Head &amp; line</h1></header><p>One<b> two</b>
- three &lt;x&gt;<p>Four<br>five<script>var a="</p>";</script><ul><li>item 1<li>item 2</ul><form><input>Mail<button>Go</button></form><div class="comments"><p>me too</p></div></article>
+<div class="cookie-notice">We use cookies</div><div class="ad">Buy</div><form action="/all"><article><div class="post-header"><h1>Head &amp; line</h1></div><p>One<b> two</b>
+ three &lt;x&gt;<p>Four<br>five<script>var a="</p>";</script><ul><li>item 1<li>item 2</ul><form><input>Mail<button>Go</button></form><div class="comments"><p>me too</p></div><footer>By me</footer></article></form>
 <aside>More</aside><section id="comments"><p>first!</p></section><footer>&copy; us</footer></body></html>"""
 
 
