@@ -2,7 +2,7 @@
 
 Every word (hashed to one of BUCKETS) has a sparse random index vector. A word's vector is the sum of the
 index vectors of the words within WINDOW places of it, over all documents of the corpus. A document is the mean
-and the spread of its words' vectors. A network with one hidden layer turns that into a logit, and a temperature
+and the spread of its words' vectors, and the mean product of neighbours' (which tells repetition). A network with one hidden layer turns that into a logit, and a temperature
 fitted on labelled rows that the network did not see makes the probability honest.
 """
 
@@ -22,6 +22,8 @@ from brasslark.llm.common import held_out, labelled_sample
 
 BUCKETS = 1 << 14
 DIM = 64
+#: Numbers that a document is pooled to.
+POOLED = 3 * DIM
 #: Places of an index vector that are not zero, and neighbours on each side that count.
 NONZERO, WINDOW = 4, 2
 SEED = 10
@@ -105,13 +107,17 @@ def scaled(vectors: np.ndarray) -> np.ndarray:
 
 
 def pooled(ids: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Mean and spread of the vectors of a text's words; zeros for a text without words."""
+    """Mean and spread of the vectors of a text's words, and the mean product of neighbours; zeros for a text without words."""
     if not len(ids):
-        return np.zeros(2 * DIM, np.float32)
+        return np.zeros(POOLED, np.float32)
     met, counts = np.unique(ids, return_counts=True)
     share, rows = (counts / len(ids)).astype(np.float32), table[met]
-    mean = share @ rows
-    return np.concatenate((mean, np.sqrt(np.maximum(0, share @ (rows * rows) - mean * mean))))
+    mean, near = share @ rows, np.zeros(DIM, np.float32)
+    for i in range(0, len(ids) - 1, CHUNK):
+        after = table[ids[i + 1 : i + 1 + CHUNK]]
+        near += np.einsum("ij,ij->j", table[ids[i : i + len(after)]], after)
+    spread = np.sqrt(np.maximum(0, share @ (rows * rows) - mean * mean))
+    return np.concatenate((mean, spread, near / max(1, len(ids) - 1)))
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -176,7 +182,7 @@ class Model:
     def scores(self, texts: list[str | None], hasher: Hasher) -> np.ndarray:
         if self.network is None:
             return np.full(len(texts), self.constant)
-        return self.network.probability(np.array([pooled(hasher.ids(t or ""), self.table) for t in texts]).reshape(-1, 2 * DIM))
+        return self.network.probability(np.array([pooled(hasher.ids(t or ""), self.table) for t in texts]).reshape(-1, POOLED))
 
 
 def fit(docs: DataFrame, labels: DataFrame, parts: int = 5, part: int = 0, sample: int = SAMPLE) -> Model:
