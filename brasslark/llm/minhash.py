@@ -9,6 +9,7 @@ they have those k-mers in common and in the same order; likeness is the share of
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ TUPLE = 2
 ROWS = 64
 SEED = 9
 #: k-mers of a text up to which all hash functions are applied at once.
-AT_ONCE = 1 << 13
+AT_ONCE = 1 << 16
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x100000001B3)
@@ -35,10 +36,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+@cache
 def functions(rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """Odd factors and offsets of the hash functions."""
+    """Odd factors and masks of the hash functions, which permute 32-bit words: narrow enough for vector instructions."""
     rng = np.random.default_rng(SEED)
-    return rng.integers(0, 2**64, rows, np.uint64) | np.uint64(1), rng.integers(0, 2**64, rows, np.uint64)
+    return rng.integers(0, 2**32, rows, np.uint32) | np.uint32(1), rng.integers(0, 2**32, rows, np.uint32)
 
 
 def numbered_kmers(codes: np.ndarray, k: int = K) -> np.ndarray:
@@ -72,16 +74,17 @@ def signature_of(codes: np.ndarray, k: int = K, size: int = TUPLE, rows: int = R
     if n <= size:  # all k-mers, in order
         chosen = np.broadcast_to(words, (rows, n))
     else:
+        short = (words >> np.uint64(32)).astype(np.uint32)
         places = np.empty((rows, size), np.int64)
         step = max(1, AT_ONCE // n)
         for at in range(0, rows, step):
-            h = ((words[None, :] * a[at : at + step, None] + b[at : at + step, None]) >> np.uint64(32)).astype(np.uint32)
+            h = (short[None, :] ^ b[at : at + step, None]) * a[at : at + step, None]
             for j in range(size):
                 least = h.argmin(1)
                 places[at : at + step, j] = least
                 h[np.arange(len(h)), least] = 0xFFFFFFFF
         chosen = words[np.sort(places, 1)]
-    out = mixed(a + np.uint64(n == 0))
+    out = mixed(a.astype(np.uint64) + np.uint64(n == 0))
     for j in range(chosen.shape[1]):
         out = mixed(out + chosen[:, j])
     return (out & np.uint64(0xFFFF)).astype(np.uint16)

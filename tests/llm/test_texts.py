@@ -220,9 +220,9 @@ def test_signature_equals_a_plain_order_minhash():
     a, b = minhash.functions()
     got = minhash.signature(text)
     for r in range(minhash.ROWS):
-        h = [int((int(w) * int(a[r]) + int(b[r])) % 2**64 >> 32) for w in words]
+        h = [((int(w) >> 32) ^ int(b[r])) * int(a[r]) % 2**32 for w in words]
         chosen = sorted(sorted(range(len(h)), key=lambda i: (h[i], i))[: minhash.TUPLE])
-        out = minhash.mixed(a[r : r + 1])
+        out = minhash.mixed(a[r : r + 1].astype(np.uint64))
         for i in chosen:
             out = minhash.mixed(out + words[i : i + 1])
         assert int(out[0]) & 0xFFFF == got[r]
