@@ -221,8 +221,9 @@ def site_trees(rows: DataFrame) -> DataFrame:
     Pages alike in all blocks count once. Everything is summed up by (host, path) before a host's nodes, which
     are as many as its distinct styles, meet in one task.
     """
-    pages = rows.select("host", F.xxhash64("blocks").alias("page"), "blocks", "inner").dropDuplicates(["host", "page"])
-    blocks = pages.select("host", "page", F.explode("blocks").alias("b")).select("host", "page", "b.path", F.xxhash64("b.text").alias("feature"))
+    features = F.transform("blocks", lambda b: F.struct(b["path"].alias("path"), F.xxhash64(b["text"]).alias("feature")))  # texts stay where they are
+    pages = rows.select("host", F.xxhash64("blocks").alias("page"), features.alias("blocks"), "inner").dropDuplicates(["host", "page"])
+    blocks = pages.select("host", "page", F.explode("blocks").alias("b")).select("host", "page", "b.path", "b.feature")
     inner = pages.select("host", "page", F.explode("inner").alias("b")).select("host", "page", "b.path", F.col("b.arrangement").alias("arrangement"))
     node = ["host", "path"]
     on_pages = lambda df: df.groupBy(*node, "page").agg(F.lit(1).alias("one")).groupBy(*node).agg(F.count(F.lit(1)).alias("m"))
