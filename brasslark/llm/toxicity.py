@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brasslark.llm.common import held_out, labelled_sample
+from brasslark.llm.common import held_out, labelled_sample, saved
 
 WIDTH = 22
 #: Letters of a word's beginnings that are features beside the word, for languages that build on stems.
@@ -157,23 +157,51 @@ class Model:
         return float(sigmoid(np.array(z)))
 
 
+def bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, seen, bad): the task's documents with each bucket, and those of them with label 1."""
+    seen, bad = (np.zeros(1 << WIDTH, np.int32) for _ in range(2))
+    for b in batches:
+        for y, x in zip(b.column("y").to_pylist(), b.column("x").to_pylist(), strict=True):
+            at = np.frombuffer(x, np.int32)
+            seen[at] += 1
+            bad[at] += y
+    met = np.flatnonzero(seen)
+    yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(seen[met].astype(np.int64)), pa.array(bad[met].astype(np.int64))], ["bucket", "seen", "bad"])
+
+
+def telling(features: DataFrame, n: int, positive: int) -> np.ndarray:
+    """The buckets seen in 3 documents or more whose share of label 1 is 3 standard errors or more off the whole's."""
+    p = positive / n
+    counts = features.select("y", "x").mapInArrow(bucket_counts, "bucket int, seen long, bad long").groupBy("bucket").agg(F.sum("seen").alias("seen"), F.sum("bad").alias("bad"))
+    off = F.abs(F.col("bad") - p * F.col("seen")) >= 3 * F.sqrt(F.col("seen") * p * (1 - p))
+    found = counts.where((F.col("seen") >= 3) & off).select("bucket").toArrow()
+    return np.sort(found.column("bucket").to_numpy().astype(np.int32))
+
+
 def fit(docs: DataFrame, labels: DataFrame, parts: int = 4, part: int = 2, sample: int = SAMPLE, counterfactual: float = COUNTERFACTUAL) -> Model:
-    """The model from about `sample` labelled documents outside the held-out part; word buckets, not texts, reach the driver."""
+    """The model from about `sample` labelled documents outside the held-out part.
+
+    Buckets are counted by Spark; the driver sees only those that tell the labels apart, of the sample's documents.
+    """
     chosen = labelled_sample(docs, labels, "toxic", parts, part, sample)
-    rows = chosen.mapInArrow(sample_features, "y int, x binary, before array<binary>, after array<binary>").collect()
+    features = saved(chosen.mapInArrow(sample_features, "y int, x binary, before array<binary>, after array<binary>"), "features")
+    n, positive = features.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
+    if not n or positive in (0, n):
+        return Model(bias=10.0 if n and positive else -10.0)
+    columns = telling(features, n, positive)
+    shared = docs.sparkSession.sparkContext.broadcast(columns)
+
+    def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = lambda x: np.intersect1d(np.frombuffer(x, np.int32), shared.value, assume_unique=True).tobytes()
+        for b in batches:
+            lists = [pa.array([[cut(x) for x in xs] for xs in b.column(c).to_pylist()], pa.list_(pa.binary())) for c in ("before", "after")]
+            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array([cut(x) for x in b.column("x").to_pylist()], pa.binary()), *lists], ["y", "x", "before", "after"])
+
+    rows = features.mapInArrow(narrowed, "y int, x binary, before array<binary>, after array<binary>").collect()
     rows.sort(key=lambda r: (r["y"], bytes(r["x"])))
     y = np.array([r["y"] for r in rows], float)
     ids = lambda b: np.frombuffer(bytes(b), np.int32)
-    x, before, after = [ids(r["x"]) for r in rows], [ids(p) for r in rows for p in r["before"]], [ids(p) for r in rows for p in r["after"]]
-    if not len(y) or y.min() == y.max():
-        return Model(bias=-10.0 if not len(y) or not y.max() else 10.0)
-
-    flat = np.concatenate(x)
-    seen = np.bincount(flat, minlength=1 << WIDTH)
-    bad = np.bincount(flat, np.repeat(y, [len(r) for r in x]), 1 << WIDTH)
-    p = y.mean()
-    surprise = np.abs(bad - p * seen) / np.sqrt(np.maximum(1, seen) * p * (1 - p))
-    columns = np.flatnonzero((seen >= 3) & (surprise >= 3)).astype(np.int32)
+    x, before, after = [ids(r["x"]) for r in rows], [ids(q) for r in rows for q in r["before"]], [ids(q) for r in rows for q in r["after"]]
     for l1, l2, steps in ((L1, 0.0, 150), (0.0, L2, 200)):
         w, bias = descend(Rows(x, columns), y, Rows(before, columns), Rows(after, columns), l1, l2, counterfactual, steps)
         if l1:
