@@ -210,10 +210,25 @@ def near_groups(docs: DataFrame, words: int = 3, limit: int = LIMIT) -> DataFram
     return rows.join(groups, "fp")
 
 
+def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of docs that stay, one a group of groups (doc_id, key, root): the row of the group's smallest doc_id, with its columns.
+
+    Only rows that go, and repeated ones, are looked up; where these are few, texts do not cross the network.
+    """
+    doc, key, own, stays = fresh(docs, "near_doc", "near_key", "near_own", "near_stays")
+    each = groups.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("root"))
+    this = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("key"))
+    first = each.groupBy("root").agg(F.min(this).alias("w"))
+    marked = each.join(first, "root").select(F.col("doc_id").alias(doc), F.col("key").alias(key), (this == F.col("w")).alias(stays), "n")
+    marked = saved(marked.where(~F.col(stays) | (F.col("n") > 1)).drop("n"), "marked")
+    rows = docs.withColumn(own, F.xxhash64("text"))
+    rows = rows.join(marked, docs["doc_id"].eqNullSafe(F.col(doc)) & (F.col(own) == F.col(key)), "left")
+    out = rows.where(F.col(stays).isNull())
+    if not marked.where(stays).isEmpty():
+        out = out.union(rows.where(stays).dropDuplicates([doc, key]))
+    return out.drop(doc, key, own, stays)
+
+
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that stay, one a group: the row of the group's smallest doc_id, with its columns. See near_groups."""
-    doc, key, own = fresh(docs, "near_doc", "near_key", "near_own")
-    first = near_groups(docs, **options).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("key"))).alias("w"))
-    stay = first.select(F.col("w.doc_id").alias(doc), F.col("w.key").alias(key))
-    joined = docs.withColumn(own, F.xxhash64("text")).join(stay, docs["doc_id"].eqNullSafe(F.col(doc)) & (F.col(own) == F.col(key)))
-    return joined.dropDuplicates([doc, key]).drop(doc, key, own)
+    return keep_first(docs, near_groups(docs, **options))

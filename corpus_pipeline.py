@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brasslark.llm import exact, langid, mixing, packing, simhash
+from brasslark.llm import exact, langid, mixing, packing, similar
 from brasslark.llm.common import fresh, saved, table
 
 #: A text of LONG signs or more whose cosine with the best language is below MIN_COSINE is taken for none of them;
@@ -28,8 +28,8 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group."""
-    return simhash.keep_one(docs)
+    """Keeps one document of each group joined by pairs whose five-word shingles have a Jaccard similarity of 0.8 or more."""
+    return similar.keep_one(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
