@@ -1,9 +1,8 @@
 """URL filtering by association rules over URL tokens, under a fixed list of host and path rules.
 
 FP-growth mines combinations of URL tokens that go with a label. Rules are pruned by support and
-confidence, and a rule is dropped if one with fewer tokens and the same verdict is as confident. What is
-left (at most `max_rules`, so it can be broadcast) is an inverted index: every rule stands under its rarest
-token, URLs meet it by their tokens, and a rule fires if the URL has all its tokens. All of it is
+confidence, and a rule is dropped if one with fewer tokens and the same verdict is as confident. All that is
+left is an inverted index: every rule stands under its rarest token, URLs meet it by their tokens, and a rule fires if the URL has all its tokens. All of it is
 DataFrame operations.
 """
 
@@ -49,7 +48,7 @@ def tokens_of(host: Column, path: Column, url: Column) -> Column:
     return F.array_distinct(F.concat(some(F.split(host, r"\."), "h:"), some(F.split(F.lower(path), r"[^\p{L}\p{N}]+"), "p:"), some(names, "q:")))
 
 
-def mine(labelled: DataFrame, min_support: float, min_rows: int, min_confidence: float, max_items: int, max_rules: int) -> DataFrame:
+def mine(labelled: DataFrame, min_support: float, min_rows: int, min_confidence: float, max_items: int) -> DataFrame:
     """(tokens, verdict, confidence, support) from (tokens, verdict) rows.
 
     A rule needs both min_support of the rows and min_rows rows. A URL enters with its max_items tokens whose share of one verdict is farthest from the whole's, among
@@ -72,10 +71,18 @@ def mine(labelled: DataFrame, min_support: float, min_rows: int, min_confidence:
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
     found = model.associationRules.where(F.col("consequent")[0].startswith("v:"))
     found = found.select(F.array_sort("antecedent").alias("tokens"), F.substring(F.col("consequent")[0], 3, 100).alias("verdict"), "confidence", "support")
-    found = saved(found.orderBy(F.desc("confidence"), F.desc("support"), F.size("tokens"), "tokens").limit(max_rules), "rules")
-    less = found.select(F.col("tokens").alias("fewer"), F.col("verdict").alias("v"), F.col("confidence").alias("c"))
-    wider = (F.col("verdict") == F.col("v")) & (F.size("fewer") < F.size("tokens")) & (F.size(F.array_except("fewer", "tokens")) == 0) & (F.col("c") >= F.col("confidence"))
-    return found.join(F.broadcast(less), wider, "left_anti")
+    found = saved(found.withColumn("number", F.monotonically_increasing_id()), "rules")
+    less = by_rarest(found).select("token", F.col("needed").alias("fewer"), F.col("verdict").alias("v"), F.col("confidence").alias("c"))
+    wider = (F.col("verdict") == F.col("v")) & (F.size("fewer") < F.size("tokens")) & (F.col("c") >= F.col("confidence")) & (F.size(F.array_except("fewer", "tokens")) == 0)
+    redundant = found.withColumn("token", F.explode("tokens")).join(less, "token").where(wider).select("number").distinct()
+    return found.join(redundant, "number", "left_anti").drop("number")
+
+
+def by_rarest(rules: DataFrame) -> DataFrame:
+    """(token, needed, verdict, confidence, support): each rule (number, tokens, ...) under the token that the fewest rules share."""
+    each = rules.select("number", F.explode("tokens").alias("token"))
+    rarest = each.join(each.groupBy("token").agg(F.count(F.lit(1)).alias("k")), "token").groupBy("number").agg(F.min_by("token", F.struct("k", "token")).alias("token"))
+    return rules.join(rarest, "number").select("token", F.col("tokens").alias("needed"), "verdict", "confidence", "support")
 
 
 def judge(
@@ -86,7 +93,6 @@ def judge(
     min_rows: int = 20,
     min_confidence: float = 0.9,
     max_items: int = 12,
-    max_rules: int = 1000,
     sample: int = 200_000,
 ) -> DataFrame:
     """page_id, host, path, rule, verdict, confidence per row of pages (page_id, url).
@@ -107,18 +113,14 @@ def judge(
         bad = labels.where("page_id is not null and bad is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
         known = known.join(bad, "page_id", "left").withColumn("verdict", F.coalesce("verdict", F.when(F.col("bad"), "block").when(~F.col("bad"), "allow")))
     known = saved(known.where("verdict is not null"), "known")
-    index = mine(hash_sample(known, sample, "page_id", "tokens"), min_support, min_rows, min_confidence, max_items, max_rules)
+    index = mine(hash_sample(known, sample, "page_id", "tokens"), min_support, min_rows, min_confidence, max_items)
 
-    # The inverted index: each rule under the token that the fewest rules share.
-    index = index.withColumn("number", F.monotonically_increasing_id())
-    index = saved(index, "index")
-    in_rules = index.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("k"))
-    rarest = index.select("number", F.explode("tokens").alias("token")).join(F.broadcast(in_rules), "token").groupBy("number").agg(F.min_by("token", F.struct("k", "token")).alias("token"))
-    entries = index.join(F.broadcast(rarest), "number").select("token", F.col("tokens").alias("needed"), "verdict", "confidence", "support")
+    index = saved(index.withColumn("number", F.monotonically_increasing_id()), "index")
+    entries = saved(by_rarest(index), "entries")
 
     open_rows = rows.where("listed is null")
     distinct = open_rows.select("tokens").distinct()
-    met = distinct.select("tokens", F.explode("tokens").alias("token")).join(F.broadcast(entries), "token")
+    met = distinct.select("tokens", F.explode("tokens").alias("token")).join(entries, "token")
     met = met.where(F.size(F.array_except("needed", "tokens")) == 0)
     best = met.groupBy("tokens").agg(F.max(F.struct("confidence", "support", "verdict")).alias("best"))
     free = open_rows.join(best, "tokens", "left")
