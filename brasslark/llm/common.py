@@ -19,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session, or one of our own where it is unset."""
+    """The folder all executors share, spark.checkpoint.dir of the session. Where it is unset, local mode gets a folder of its own; a cluster has to name one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="brasslark-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -44,6 +46,40 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Parts into which the rows of one hot key are dealt where they meet a small side.
+SALTS = 16
+
+
+def salted(df: DataFrame, name: str) -> DataFrame:
+    """df saved with a column `salt` that deals rows evenly, whatever their values; repeated and null ids don't gather in one part."""
+    return saved(df.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")), name)
+
+
+def spread_join(rows: DataFrame, few: DataFrame, *keys: str, how: str = "inner") -> DataFrame:
+    """rows (with a column salt) joined with few, which has one row a key: each hot key of rows is SALTS keys."""
+    return rows.join(few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*keys, "salt"], how).drop("salt")
+
+
+def keep_first(docs: DataFrame, groups: DataFrame, largest: bool = False) -> DataFrame:
+    """The rows of docs that stay, one a group of groups (doc_id, key, root): the row of the group's smallest (or largest) doc_id, with its columns.
+
+    key is the text's xxhash64; null doc_ids lose to all others. Only rows that go, and repeated ones, are looked
+    up; where these are few, texts do not cross the network, and otherwise they do once.
+    """
+    doc, key, own, stays = fresh(docs, "first_doc", "first_key", "first_own", "first_stays")
+    each = salted(groups.groupBy("doc_id", "key", "root").agg(F.count(F.lit(1)).alias("n")), "each")
+    this = F.struct(F.col("doc_id").isNull() != F.lit(largest), F.col("doc_id"), F.col("key"))
+    first = each.groupBy("root").agg((F.max(this) if largest else F.min(this)).alias("w"), F.count(F.lit(1)).alias("m"), F.max("n").alias("k")).where("m > 1 or k > 1")
+    marked = spread_join(each, first, "root").select(F.col("doc_id").alias(doc), F.col("key").alias(key), (this == F.col("w")).alias(stays), "n")
+    marked = saved(marked.where(~F.col(stays) | (F.col("n") > 1)).drop("n"), "marked")
+    rows = docs.withColumn(own, F.xxhash64("text"))
+    rows = rows.join(marked, docs["doc_id"].eqNullSafe(F.col(doc)) & (F.col(own) == F.col(key)), "left")
+    out = rows.where(F.col(stays).isNull())
+    if not marked.where(stays).isEmpty():
+        out = out.union(rows.where(stays).dropDuplicates([doc, key]))
+    return out.drop(doc, key, own, stays)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names like those given which df does not have yet (Spark resolves names without regard to case)."""
     used, out = {c.lower() for c in df.columns}, []
