@@ -20,10 +20,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brasslark.llm.common import fresh, saved
+from brasslark.llm.common import SALTS, keep_first, salted, saved, spread_join
 
 BITS = 64
 SEED = 42
@@ -151,13 +151,15 @@ def near_links(spark: SparkSession, fps: DataFrame, limit: int = LIMIT) -> DataF
     first = block_masks(everything)
     second = [(m, m | x) for m in first for x in block_masks(everything & ~m)]
     third = [(m, m | x) for m in dict.fromkeys(m for _, m in second) for x in block_masks(everything & ~m)]
-    own = Window.partitionBy("mask", "part")
-
     def grouped(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("part", F.col("fp").bitwiseAND(F.col("mask"))).withColumn("n", F.count(F.lit(1)).over(own)).where("n > 1")
+        """Rows with the size n of their group, where that is over 1. Sizes are counted before the rows meet."""
+        rows = rows.withColumn("part", F.col("fp").bitwiseAND(F.col("mask")))
+        sizes = rows.groupBy("mask", "part").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        return rows.join(sizes, ["mask", "part"])
 
     def links(groups: DataFrame) -> DataFrame:
-        return groups.select("mask", "part", "fp").sortWithinPartitions("mask", "part").mapInArrow(group_links, "a long, b long")
+        whole = groups.select("mask", "part", "fp").repartition("mask", "part")  # the join may have split a group over tasks
+        return whole.sortWithinPartitions("mask", "part").mapInArrow(group_links, "a long, b long")
 
     def refined(groups: DataFrame, masks: list[tuple[int, int]]) -> DataFrame:
         """The fingerprints of groups, in the finer groups of each; masks: 100 or at most 1000 rows, whatever the data."""
@@ -178,14 +180,15 @@ def roots(links: DataFrame) -> DataFrame:
     def state(e: DataFrame) -> tuple:
         return e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
+    salt = F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")  # the root of a large component is the end of all its links
     edges = saved(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
     now = state(edges)
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = spread_join(both.withColumn("salt", salt), least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = spread_join(large.withColumn("salt", salt), least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.union(least.select("u", F.col("m").alias("v"))).where("u <> v")
         edges = saved(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
         before, now = now, state(edges)
@@ -201,32 +204,18 @@ def near_groups(docs: DataFrame, words: int = 3, limit: int = LIMIT) -> DataFram
     Reads doc_id and text. Null and empty texts have fingerprint zero and link like any other; a group whose
     doc_ids are all null has a null component_id; repeated rows are one fingerprint; an empty table gives none.
     """
-    rows = saved(fingerprints(docs, words), "fingerprints")
-    each = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    found = roots(near_links(docs.sparkSession, each.select("fp"), limit))
-    each = each.join(found, each["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    tops = each.groupBy("root").agg(F.min("least").alias("component_id"))
-    groups = saved(each.join(tops, "root").select("fp", "root", "component_id"), "groups")
-    return rows.join(groups, "fp")
-
-
-def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The rows of docs that stay, one a group of groups (doc_id, key, root): the row of the group's smallest doc_id, with its columns.
-
-    Only rows that go, and repeated ones, are looked up; where these are few, texts do not cross the network.
-    """
-    doc, key, own, stays = fresh(docs, "near_doc", "near_key", "near_own", "near_stays")
-    each = groups.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("root"))
-    this = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("key"))
-    first = each.groupBy("root").agg(F.min(this).alias("w"))
-    marked = each.join(first, "root").select(F.col("doc_id").alias(doc), F.col("key").alias(key), (this == F.col("w")).alias(stays), "n")
-    marked = saved(marked.where(~F.col(stays) | (F.col("n") > 1)).drop("n"), "marked")
-    rows = docs.withColumn(own, F.xxhash64("text"))
-    rows = rows.join(marked, docs["doc_id"].eqNullSafe(F.col(doc)) & (F.col(own) == F.col(key)), "left")
-    out = rows.where(F.col(stays).isNull())
-    if not marked.where(stays).isEmpty():
-        out = out.union(rows.where(stays).dropDuplicates([doc, key]))
-    return out.drop(doc, key, own, stays)
+    rows = salted(fingerprints(docs, words), "fingerprints")
+    each = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
+    found = saved(roots(near_links(docs.sparkSession, each.select("fp"), limit)), "roots")
+    linked = each.join(found, each["fp"] == found["node"])
+    tops = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    spread = linked.select("fp", "root", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int").alias("salt"))
+    groups = spread_join(spread, tops, "root").select("fp", "root", "component_id")
+    copies = each.where("n > 1").join(found, each["fp"] == found["node"], "left_anti").select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id"))
+    groups = saved(groups.unionByName(copies), "groups").withColumn("grouped", F.lit(True))
+    own = F.coalesce("grouped", F.lit(False))  # a fingerprint that is neither linked nor repeated is its own group
+    out = spread_join(rows, groups, "fp", how="left")
+    return out.select("doc_id", "key", "fp", F.when(own, F.col("root")).otherwise(F.col("fp")).alias("root"), F.when(own, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
