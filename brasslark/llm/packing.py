@@ -16,8 +16,10 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections.abc import Iterable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brasslark.llm.common import saved, word_count
@@ -54,36 +56,46 @@ def best_fit(pieces: Iterable[tuple[int, int, int]], capacity: int, per_source:
     return out
 
 
+def _full_name(*parts: str) -> Column:
+    return F.concat_ws("-", F.lit("full"), *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in parts])
+
+
 def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = 2, shard: int = SHARD) -> DataFrame:
     """doc_id, piece, start, n_words, bin_id, bin_words: where each piece of each row of docs lies.
 
     Reads doc_id, text and source. A piece is words start to start + n_words of the text. Rows without words
     have one piece of 0 words and no bin (null). Equal texts are one duplicate cluster; a null source is a
     source of its own; repeated rows are separate rows, which never share a bin. bin_words: words in the bin.
+    Rows alike are counted, numbered, and dealt by that number, so they do not gather in one shard whatever their
+    ids; the same rows are packed and named in the same way in every run.
     """
-    size = word_count(F.col("text"))
-    rows = docs.select(F.col("doc_id"), F.col("source"), size.alias("size"), F.xxhash64("text").alias("cluster"))
-    rows = rows.withColumn("deal", F.xxhash64("doc_id", "source", "cluster"))
-    rows = saved(rows, "sizes")
+    kind = dict(docs.dtypes)["doc_id"]
+    rows = docs.select(F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("cluster"))
+    rows = rows.groupBy("doc_id", "source", "size", "cluster").agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).withColumn("deal", F.xxhash64("doc_id", "source", "cluster", "copy"))
+    rows = saved(rows.drop("n"), "sizes")
     n = rows.where(F.col("size") % capacity > 0).count()
     shards = max(1, -(-n // shard))
 
-    full = rows.where(F.col("size") >= capacity).select("doc_id", "deal", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("size") / capacity) - 1)).alias("piece"))
-    full = full.select("doc_id", "piece", (F.col("piece") * capacity).alias("start"), F.lit(capacity).cast("long").alias("n_words"), F.concat(F.lit("full-"), F.hex(F.monotonically_increasing_id())).alias("bin_id"), F.lit(capacity).cast("long").alias("bin_words"))
-    none = rows.where("size = 0").select("doc_id", F.lit(0).cast("long").alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("string").alias("bin_id"), F.lit(None).cast("long").alias("bin_words"))
+    long = lambda x: F.lit(x).cast("long")
+    full = rows.where(F.col("size") >= capacity).withColumn("piece", F.explode(F.sequence(long(0), F.floor(F.col("size") / capacity) - 1)))
+    full = full.select("doc_id", "piece", (F.col("piece") * capacity).alias("start"), long(capacity).alias("n_words"), _full_name("doc_id", "source", "cluster", "copy", "piece").alias("bin_id"), long(capacity).alias("bin_words"))
+    none = rows.where("size = 0").select("doc_id", long(0).alias("piece"), long(0).alias("start"), long(0).alias("n_words"), F.lit(None).cast("string").alias("bin_id"), long(None).alias("bin_words"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n_words", "doc_id", "deal"], ascending=[False, True, True], kind="stable", ignore_index=True)
-        source = pd.factorize(pdf["source"], use_na_sentinel=False)[0]
-        again = pdf.groupby("cluster")["cluster"].transform("size") > 1
-        cluster = pd.factorize(pdf["cluster"].where(again))[0]  # -1 for those alone in the shard
-        k = best_fit(zip(pdf["n_words"].tolist(), source.tolist(), cluster.tolist(), strict=True), capacity, per_source)
-        pdf["bin_id"] = [f"{int(pdf['shard'].iloc[0])}-{b}" for b in k] if len(pdf) else []
-        pdf["bin_words"] = pdf.groupby("bin_id")["n_words"].transform("sum")
-        return pdf[["doc_id", "piece", "start", "n_words", "bin_id", "bin_words"]]
+    def run(table: pa.Table) -> pa.Table:
+        """One shard. Ids stay in Arrow, where a null leaves the other longs whole."""
+        table = table.sort_by([("n_words", "descending"), ("deal", "ascending")])
+        source, cluster = (pc.fill_null(table.column(c).dictionary_encode(null_encoding="encode").combine_chunks().indices, 0).to_numpy() for c in ("source", "cluster"))
+        repeated = np.bincount(cluster)[cluster] > 1 if len(cluster) else np.zeros(0, bool)
+        cluster = np.where(repeated, np.cumsum(np.bincount(cluster) > 1)[cluster] - 1, -1)  # -1 for those alone in the shard
+        sizes = table.column("n_words").to_numpy()
+        k = np.array(best_fit(zip(sizes.tolist(), source.tolist(), cluster.tolist(), strict=True), capacity, per_source))
+        words = np.bincount(k, sizes).astype(np.int64)[k]
+        own = table.column("shard")[0].as_py()
+        out = [*(table.column(c) for c in ("doc_id", "piece", "start", "n_words")), pa.array([f"{own}-{b}" for b in k.tolist()]), pa.array(words)]
+        return pa.Table.from_arrays(out, ["doc_id", "piece", "start", "n_words", "bin_id", "bin_words"])
 
     whole = F.floor(F.col("size") / capacity).cast("long")
     tails = rows.where(F.col("size") % capacity > 0).select("doc_id", "source", "cluster", "deal", whole.alias("piece"), (whole * capacity).alias("start"), (F.col("size") % capacity).cast("long").alias("n_words"), F.pmod("deal", F.lit(shards)).alias("shard"))
-    kind = dict(docs.dtypes)["doc_id"]
-    packed = tails.groupBy("shard").applyInPandas(run, f"doc_id {kind}, piece long, start long, n_words long, bin_id string, bin_words long")
+    packed = tails.groupBy("shard").applyInArrow(run, f"doc_id {kind}, piece long, start long, n_words long, bin_id string, bin_words long")
     return packed.union(full).union(none)

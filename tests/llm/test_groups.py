@@ -170,8 +170,28 @@ def test_index_keeps_what_it_has(spark):
     second = exact.dedup_against(spark.createDataFrame([(9, "a"), (8, "c"), (2, "a")], schema), index).collect()
     assert sorted((r["doc_id"], r["keep_id"], r["kept"]) for r in second) == [(2, 2, False), (8, 8, True), (9, 2, False)]
     assert index.table().count() == 3
-    plan = index.unseen(spark.createDataFrame([("x", 1)], "digest string, doc_id long"))._jdf.queryExecution().toString()
-    assert "SortMergeJoin" in plan
+
+
+def test_whole_table_in_batches_equals_one_batch(spark, docs):
+    index = exact.DigestIndex.temporary(spark, 4)
+    assert Counter(exact.dedup_in_batches(docs, index, 3).collect()) == Counter(exact.dedup_against(docs, exact.DigestIndex.temporary(spark)).collect())
+    brought = {r["batch"]: r["count"] for r in index.table().groupBy("batch").count().collect()}
+    assert sorted(brought) == ["range-0", "range-1", "range-2"] and sum(brought.values()) == index.table().select("digest").distinct().count()
+    plan = index.unseen(docs.select(exact.digest(F.col("text")).alias("digest"), "doc_id"), "range-9")._jdf.queryExecution().executedPlan().toString()
+    own, held = plan.split("SortMergeJoin")[1].split("Scan parquet", 1)
+    assert "LeftAnti" in own and "Exchange" in plan and "Exchange" not in held  # the index side stays where it is
+
+
+def test_batch_again_after_a_lost_job(spark, docs):
+    """The first run's result is never read; the second keeps the same rows, and so does one from a new table over the same files."""
+    index = exact.DigestIndex.temporary(spark, 4)
+    exact.drop_duplicates(docs, index, "monday")
+    held = Counter(index.table().collect())
+    again = exact.DigestIndex(spark, f"{index.name}_again", index.path, 4)
+    index.drop()
+    want = Counter(exact.drop_duplicates(docs, exact.DigestIndex.temporary(spark)).collect())
+    assert Counter(exact.drop_duplicates(docs, again, "monday").collect()) == want and Counter(again.table().collect()) == held
+    assert exact.drop_duplicates(docs, again, "tuesday").count() == 0
 
 
 def spans(rows, docs, capacity, per_source):
@@ -206,6 +226,32 @@ def test_packing(docs, none, per_source):
     assert packing.pack(none).count() == 0
 
 
+def test_packing_keeps_ids_whole(spark):
+    """A null id beside ids no double can hold, and a thousand rows alike without an id."""
+    rows = [(2**53 + 1, "a b c", "s"), (2**53 + 3, "a b", "s"), (None, "c", "s")] + [(None, "x y", "hot")] * 1000 + [(None, "long " * 50, "hot")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    out = packing.pack(df, 20, 2, 64).collect()
+    assert {r["doc_id"] for r in out} == {2**53 + 1, 2**53 + 3, None}
+    alike = [r["bin_id"] for r in out if r["doc_id"] is None and r["n_words"] == 2]
+    assert len(alike) == len(set(alike)) == 1000
+    per_shard = Counter(b.split("-")[0] for b in alike)
+    assert len(per_shard) >= 10 and max(per_shard.values()) < 150
+    assert len({r["bin_id"] for r in out if r["n_words"] == 20}) == 6
+    again = packing.pack(df.repartition(5), 20, 2, 64).collect()
+    assert Counter(again) == Counter(out)
+
+
+def test_mix_of_rows_alike(spark):
+    """Rows alike in everything take the ranks that stand next to each other, as single rows would."""
+    rows = [(None, "x y", "hot")] * 900 + [(i, f"w{i} v", "hot") for i in range(100)] + [(5, "a b c", None)] * 7
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    out = mixing.mix_copies(df, (1,), 1.3, 2.0).collect()
+    hot = [r for r in out if r["source"] == "hot"]
+    assert len(out) == len(rows) and abs(sum(r["copies"] * r["size"] for r in hot) - hot[0]["target"]) <= 2 and {r["copies"] for r in hot} == {1, 2}
+    taken = Counter((r["doc_id"], r["text"]) for r in mixing.mix(df, (1,), 1.3, 2.0).collect())
+    assert taken[None, "x y"] == sum(r["copies"] for r in hot if r["doc_id"] is None)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.tuples(st.integers(1, 20), st.integers(0, 4), st.integers(-1, 3)), max_size=40), st.integers(1, 2))
 def test_best_fit_takes_the_tightest_compatible_bin(pieces, per_source):
