@@ -1,34 +1,44 @@
 """Groups of documents whose sets of word shingles have a Jaccard similarity of SIMILARITY or more, without loss.
 
-A SimHash radius wide enough for 0.8 is about 20 of 64 bits, and then no block masks tell documents apart. So
-candidates come from shingles: in any fixed order of all shingles, two sets of a similarity of 0.8 or more
-share one among the first n - ceil(0.8 n) + 1 of each. The order puts shingles that are frequent in a sample last;
-any order gives the same pairs. Candidates pass two bounds that lose nothing (sizes, and parities of hashed bits), and
-shingle sets decide. First every document meets one other of each shared shingle, then only pairs of different groups
-are looked at, so a large group of near copies is not compared pair by pair. Shingles are compared as 64-bit hashes.
+This is the SimHash operator for a similarity in place of a radius. No radius of 64 bits holds all pairs of 0.8 and still
+tells other documents apart, so there are two fingerprints, and shingle sets decide:
+
+* SimHash fingerprints of the shingles, linked within the radius of `simhash` through its pivot distance tables: what
+  is all but the same text.
+* Parity fingerprints: bit i tells whether an odd number of the shingles hash to i. Two sets differ in at least as many
+  shingles as their fingerprints in bits, so the radius that follows from 0.8 loses nothing. Candidates meet over
+  shingles: in any fixed order of all shingles, two sets of 0.8 or more share one among the first n - ceil(0.8 n) + 1 of
+  each. Distances to the pivots are tabulated, pairs with a larger difference in a coordinate are discarded, and the
+  bits and then the sets of the survivors are compared.
+
+First every document meets one other of each shared shingle, then only pairs of different groups are looked at, so a
+large group of near copies is not compared pair by pair. Shingles are compared as 64-bit hashes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brasslark.llm.common import hash_sample, saved
-from brasslark.llm.simhash import SEED, keep_first, roots
+from brasslark.llm.common import keep_first, salted, saved, spread_join
+from brasslark.llm.simhash import SEED, near_links, roots, signed
 
 WORDS = 5
 #: SIMILARITY as a fraction, so that bounds are exact.
 OVER, UNDER = 4, 5
-#: Longs of parity bits a document.
-PARITIES = 8
-#: Documents from which the order of shingles is learned, and frequent shingles that are told apart; they bear on speed only.
-SAMPLE, FREQUENT = 20_000, 1 << 16
-_ODD = np.uint64(0x9E3779B97F4A7C17)
+#: Longs of a parity fingerprint, and reference fingerprints of the distance tables.
+LONGS, PIVOTS = 16, 16
+#: Frequent shingles that are told apart; they bear on speed only.
+FREQUENT = 1 << 16
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_BITS = [f"b{i}" for i in range(LONGS)]
+_FAR = [f"d{i}" for i in range(PIVOTS)]
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -57,22 +67,42 @@ def _prefix(found: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.nda
     return found[np.lexsort((found, places))[:keep]]
 
 
-def _parities(found: np.ndarray) -> np.ndarray:
-    """Which of the hashed bits an odd number of shingles have: two sets differ in as many shingles at least as these in bits."""
-    bits = np.bincount((found >> np.uint64(7) & np.uint64(64 * PARITIES - 1)).astype(np.int64), minlength=64 * PARITIES) & 1
-    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+def _parity(found: np.ndarray) -> np.ndarray:
+    """The parity fingerprint of a set of shingles."""
+    bits = np.bincount((found >> np.uint64(7) & np.uint64(64 * LONGS - 1)).astype(np.int64), minlength=64 * LONGS) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def _pivots() -> np.ndarray:
+    """PIVOTS fixed reference parity fingerprints."""
+    return np.random.default_rng(SEED).integers(0, 2**64, (PIVOTS, LONGS), np.uint64)
+
+
+def _simhash(found: np.ndarray) -> int:
+    """SimHash over distinct shingles: a bit is set if it is set in over half of them."""
+    ones = np.unpackbits(found.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return signed(int(np.packbits(2 * ones > len(found), bitorder="little").view("<u8")[0]))
 
 
 def _order(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles frequent in a sample, sorted, and their ranks."""
+    """The FREQUENT shingles that repeat most over all documents, sorted, and their ranks.
+
+    A task counts the shingles that repeat within a batch of rows and gives the FREQUENT largest counts; what is
+    frequent in the corpus is so in many tasks, whose counts Spark adds up.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
         for b in batches:
-            for t in b.column("text"):
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py(), words).view(np.int64))], ["shingle"])
-
-    some = hash_sample(docs.select(F.col("text").cast("string").alias("text")), SAMPLE, "text")
-    counts = some.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+            found, k = np.unique(np.concatenate([shingles(t.as_py(), words) for t in b.column("text")]), return_counts=True) if b.num_rows else (keys[:0], counts[:0])
+            keys, at = np.unique(np.concatenate((keys, found[k > 1])), return_inverse=True)
+            counts = np.bincount(at, np.concatenate((counts, k[k > 1])), len(keys)).astype(np.int64)
+            if len(keys) > FREQUENT:
+                best = np.sort(np.lexsort((keys, -counts))[:FREQUENT])
+                keys, counts = keys[best], counts[best]
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["shingle", "k"])
+
+    counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "shingle long, k long").groupBy("shingle").agg(F.sum("k").alias("k"))
     rows = counts.orderBy(F.desc("k"), "shingle").limit(FREQUENT).collect()
     found = np.array([r["shingle"] for r in rows], np.int64).view(np.uint64)
     rank = np.array([r["k"] for r in rows], np.int64)
@@ -81,28 +111,43 @@ def _order(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sketches(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, key, unit, n, prefix, parity) per row of docs; unit is the hash of the shingle set, key the text's hash."""
+    """Per row of docs: doc_id, key (the text's hash), unit (the shingle set's), n, fp, prefix, parity fingerprint, distances to the pivots."""
     frequent, rank = _order(docs, words)
+    shared = docs.sparkSession.sparkContext.broadcast((frequent, rank))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        refs = _pivots()
         for b in batches:
             sets = [shingles(t.as_py(), words) for t in b.column("text")]
-            units = pa.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) - (1 << 63) for s in sets], pa.int64())
-            prefix = pa.array([_prefix(s, frequent, rank).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            parity = pa.array([_parities(s) for s in sets], pa.list_(pa.int64()))
-            own = [b.column("doc_id"), b.column("key"), units, pa.array([len(s) for s in sets], pa.int32()), prefix, parity]
-            yield pa.RecordBatch.from_arrays(own, ["doc_id", "key", "unit", "n", "prefix", "parity"])
+            units = pa.array([signed(xxhash.xxh64_intdigest(s.tobytes(), SEED)) for s in sets], pa.int64())
+            prefix = pa.array([_prefix(s, *shared.value).view(np.int64) for s in sets], pa.list_(pa.int64()))
+            bits = np.array([_parity(s) for s in sets], np.uint64).reshape(-1, LONGS)
+            far = np.stack([np.bitwise_count(bits ^ r).sum(1, dtype=np.int16) for r in refs], 1)
+            own = [b.column("doc_id"), b.column("key"), units, pa.array([len(s) for s in sets], pa.int32()), pa.array([_simhash(s) for s in sets], pa.int64()), prefix]
+            own += [pa.array(np.ascontiguousarray(bits[:, i]).view(np.int64)) for i in range(LONGS)] + [pa.array(np.ascontiguousarray(far[:, i])) for i in range(PIVOTS)]
+            yield pa.RecordBatch.from_arrays(own, ["doc_id", "key", "unit", "n", "fp", "prefix", *_BITS, *_FAR])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, key long, unit long, n int, prefix array<long>, parity array<long>")
+    fields = [*(f"{c} long" for c in _BITS), *(f"{c} short" for c in _FAR)]
+    return rows.mapInArrow(run, f"doc_id long, key long, unit long, n int, fp long, prefix array<long>, {', '.join(fields)}")
+
+
+def _side(units: DataFrame, key: str, p: str) -> DataFrame:
+    """The columns of units under names for one side of a pair."""
+    return units.select(F.col("unit").alias(key), *[F.col(c).alias(f"{p}{c}") for c in ("n", *_BITS, *_FAR)])
 
 
-def _sizes_fit(n: Column, m: Column) -> Column:
-    return F.least(n, m) * UNDER >= F.greatest(n, m) * OVER
+def _may_link(p: str, q: str) -> Column:
+    """Whether two units can be similar enough, by sizes, pivot coordinates and bits: |A xor B| <= (|A| + |B|) (1 - s) / (1 + s)."""
+    n, m = F.col(f"{p}n"), F.col(f"{q}n")
+    room = (n + m) * (UNDER - OVER)
+    apart = F.greatest(*[F.abs(F.col(p + c) - F.col(q + c)) for c in _FAR])
+    differ = reduce(lambda s, c: s + F.bit_count(F.col(p + c).bitwiseXOR(F.col(q + c))), _BITS, F.lit(0))
+    return (F.least(n, m) * UNDER >= F.greatest(n, m) * OVER) & (apart * (UNDER + OVER) <= room) & (differ * (UNDER + OVER) <= room)
 
 
 def _verified(pairs: DataFrame, units: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """The pairs (a, b) of units that are similar enough. Only texts of pairs within the bounds are read again."""
+    """The pairs (a, b) of units whose shingle sets are similar enough. Only texts of these pairs are read again."""
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -118,16 +163,11 @@ def _verified(pairs: DataFrame, units: DataFrame, docs: DataFrame, words: int) -
                 keep.append(both * UNDER >= (len(x) + len(y) - both) * OVER)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    side = lambda key, p: units.select(F.col("unit").alias(key), F.col("n").alias(f"n{p}"), F.col("parity").alias(f"p{p}"))
-    differ = F.aggregate(F.zip_with("px", "py", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    # |A xor B| <= (|A| + |B|) (1 - s) / (1 + s)
-    near = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where(differ * (UNDER + OVER) <= (F.col("nx") + F.col("ny")) * (UNDER - OVER))
-    near = saved(near.select("a", "b"), "candidates")
-    asked = near.select(F.col("a").alias("unit")).union(near.select("b")).distinct()
-    asked = saved(units.join(asked, "unit", "left_semi").select("unit", "key"), "asked")
+    pairs = saved(pairs, "candidates")
+    asked = saved(pairs.select(F.col("a").alias("unit")).union(pairs.select("b")).distinct().join(units.select("unit", "key"), "unit"), "asked")
     texts = docs.select(F.xxhash64("text").alias("key"), F.col("text").cast("string").alias("text")).join(asked, "key")
     sets = saved(texts.select("unit", "text").mapInArrow(sets_of, "unit long, own array<long>").dropDuplicates(["unit"]), "sets")
-    full = near.join(sets.select(F.col("unit").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("unit").alias("b"), F.col("own").alias("y")), "b")
+    full = pairs.join(sets.select(F.col("unit").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("unit").alias("b"), F.col("own").alias("y")), "b")
     return saved(full.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "similar")
 
 
@@ -136,25 +176,40 @@ def similar_groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     Reads doc_id and text. Null and empty texts are one group; texts with the same shingles are too.
     """
-    rows = saved(_sketches(docs, words), "sketches")
-    units = saved(rows.groupBy("unit").agg(F.first("n").alias("n"), F.first("parity").alias("parity"), F.min("key").alias("key")), "units")
-    own = Window.partitionBy("token")
-    tokens = rows.select("unit", "n", F.explode("prefix").alias("token"))
-    one = F.struct("unit", "n")
-    shared = tokens.withColumn("least", F.min(one).over(own)).withColumn("most", F.max("unit").over(own)).where(F.col("least.unit") < F.col("most"))
-    shared = saved(shared.select("token", "unit", "n", "least"), "shared")
-
-    stars = shared.where((F.col("unit") != F.col("least.unit")) & _sizes_fit(F.col("n"), F.col("least.n"))).select(F.col("least.unit").alias("a"), F.col("unit").alias("b"))
-    first = _verified(stars.distinct(), units, docs, words)
-    group = roots(first)
-    parts = shared.select("token", "unit", "n").distinct().join(group, F.col("unit") == F.col("node"), "left").select("token", "unit", "n", F.coalesce("root", "unit").alias("part"))
-    parts = parts.withColumn("low", F.min("part").over(own)).withColumn("high", F.max("part").over(own)).where("low < high")
-    parts = saved(parts.select("token", "unit", "n", "part"), "parts")
-    other = parts.select("token", F.col("unit").alias("b"), F.col("n").alias("m"), F.col("part").alias("apart"))
-    across = parts.join(other, "token").where((F.col("unit") < F.col("b")) & (F.col("part") != F.col("apart")) & _sizes_fit(F.col("n"), F.col("m")))
+    rows = salted(_sketches(docs, words), "sketches")
+    units = saved(rows.groupBy("unit").agg(F.min("key").alias("key"), *[F.first(c).alias(c) for c in ("n", "fp", *_BITS, *_FAR)]), "units")
+
+    # A shingle's units are counted where they are; only shingles that two units share meet their units again.
+    tokens = rows.select("unit", F.explode("prefix").alias("token"))
+    hubs = tokens.groupBy("token").agg(F.min("unit").alias("hub"), F.max("unit").alias("most")).where("hub < most")
+    hubs = saved(hubs.select("token", "hub"), "hubs")
+    shared = saved(tokens.join(hubs, "token"), "shared")
+    stars = shared.where("unit <> hub").select(F.col("hub").alias("a"), F.col("unit").alias("b"))
+
+    prints = saved(units.groupBy("fp").agg(F.min("unit").alias("a")), "prints")
+    alike = units.join(prints, "fp").where("unit <> a").select("a", F.col("unit").alias("b"))
+    close = near_links(docs.sparkSession, prints.select("fp"))
+    close = close.join(prints.select(F.col("fp").alias("a"), F.col("a").alias("x")), "a").join(prints.select(F.col("fp").alias("b"), F.col("a").alias("y")), "b").select("x", "y")
+
+    pairs = stars.union(alike).union(close).distinct()
+    near = pairs.join(_side(units, "a", "x_"), "a").join(_side(units, "b", "y_"), "b").where(_may_link("x_", "y_")).select("a", "b")
+    first = _verified(near, units, docs, words)
+    group = saved(roots(first), "roots")
+
+    parts = shared.select("token", "unit").distinct().join(group, F.col("unit") == F.col("node"), "left").select("token", "unit", F.coalesce("root", "unit").alias("part"))
+    parts = saved(parts, "parts")
+    split = parts.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("token")
+    parts = saved(parts.join(split, "token"), "parts")
+    size = F.floor(F.log("x_n") / F.log(F.lit(UNDER / OVER)) + 1e-9)  # a pair's sizes are in one step or in two next to each other
+    one = parts.join(_side(units, "unit", "x_"), "unit").where("x_n > 0").withColumn("step", size)
+    other = one.select("token", "step", F.col("unit").alias("b"), F.col("part").alias("apart"), *[F.col(f"x_{c}").alias(f"y_{c}") for c in ("n", *_BITS, *_FAR)])
+    one = one.withColumn("step", F.explode(F.array(F.col("step"), F.col("step") + 1)))
+    ordered = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("unit") < F.col("b")))
+    across = one.join(other, ["token", "step"]).where(ordered & (F.col("part") != F.col("apart")) & _may_link("x_", "y_"))
     second = _verified(across.select(F.col("unit").alias("a"), "b").distinct(), units, docs, words)
-    group = roots(first.union(second))
-    return rows.join(group, F.col("unit") == F.col("node"), "left").select("doc_id", "key", F.coalesce("root", "unit").alias("root"))
+    group = saved(roots(first.union(second)), "roots")
+    own = spread_join(rows.select("doc_id", "key", "unit", "salt"), group.withColumnRenamed("node", "unit"), "unit", how="left")
+    return own.select("doc_id", "key", F.coalesce("root", "unit").alias("root"))
 
 
 def keep_one(docs: DataFrame, words: int = WORDS) -> DataFrame:
