@@ -8,23 +8,24 @@ from pyspark.sql import functions as F
 from brasslark.llm import exact, langid, mixing, packing, similar
 from brasslark.llm.common import fresh, saved, table
 
-#: A text of LONG signs or more whose cosine with the best language is below MIN_COSINE is taken for none of them;
-#: in shorter texts a low cosine says little.
-LONG, MIN_COSINE = 200, 0.1
+#: Cosines with the best language that chance gives too: three times the spread of a random vector's cosine.
+MIN_COSINE = 3 / langid.DIM**0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter and long ones like no language; profiles are learned from the rows that op5 learns from."""
+    """Rejects documents without a letter and those no more like a language than chance makes them; profiles are learned from the rows that op5 learns from."""
     train = docs.where(~langid.held_out(F.col("doc_id"), 4, 2))
     lang, score = names = fresh(docs, "lang_pred", "score")
     judged = langid.predict(docs, langid.train(train), *docs.columns, names=names)
-    like_none = (F.length("text") >= LONG) & (F.col(score) < MIN_COSINE)
-    return judged.where((F.col(lang) != langid.UNDETERMINED) & ~like_none).drop(*names)
+    return judged.where((F.col(lang) != langid.UNDETERMINED) & (F.col(score) >= MIN_COSINE)).drop(*names)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each text."""
-    return exact.drop_duplicates(docs, exact.DigestIndex.temporary(spark))
+    index = exact.DigestIndex.temporary(spark)
+    kept = exact.drop_duplicates(docs, index)
+    index.drop()
+    return kept
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
