@@ -6,10 +6,9 @@ tells other documents apart, so there are two fingerprints, and shingle sets dec
 * SimHash fingerprints of the shingles, linked within the radius of `simhash` through its pivot distance tables: what
   is all but the same text.
 * Parity fingerprints: bit i tells whether an odd number of the shingles hash to i. Two sets differ in at least as many
-  shingles as their fingerprints in bits, so the radius that follows from 0.8 loses nothing. Candidates meet over
-  shingles: in any fixed order of all shingles, two sets of 0.8 or more share one among the first n - ceil(0.8 n) + 1 of
-  each. Distances to the pivots are tabulated, pairs with a larger difference in a coordinate are discarded, and the
-  bits and then the sets of the survivors are compared.
+  shingles as their fingerprints in bits, so the radius that follows from 0.8 loses nothing. (At that radius distances to
+  reference fingerprints hardly ever differ by more, so pairs are compared themselves.) Candidates meet over shingles: in
+  any fixed order of all shingles, two sets of 0.8 or more share one among the first n - ceil(0.8 n) + 1 of each.
 
 First every document meets one other of each shared shingle, then only pairs of different groups are looked at, so a
 large group of near copies is not compared pair by pair. Shingles are compared as 64-bit hashes.
@@ -32,13 +31,12 @@ from brasslark.llm.simhash import SEED, near_links, roots, signed
 WORDS = 5
 #: SIMILARITY as a fraction, so that bounds are exact.
 OVER, UNDER = 4, 5
-#: Longs of a parity fingerprint, and reference fingerprints of the distance tables.
-LONGS, PIVOTS = 16, 16
+#: Longs of a parity fingerprint, and those of them that are compared first.
+LONGS, FIRST = 16, 4
 #: Frequent shingles that are told apart; they bear on speed only.
 FREQUENT = 1 << 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BITS = [f"b{i}" for i in range(LONGS)]
-_FAR = [f"d{i}" for i in range(PIVOTS)]
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -73,11 +71,6 @@ def _parity(found: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
-def _pivots() -> np.ndarray:
-    """PIVOTS fixed reference parity fingerprints."""
-    return np.random.default_rng(SEED).integers(0, 2**64, (PIVOTS, LONGS), np.uint64)
-
-
 def _simhash(found: np.ndarray) -> int:
     """SimHash over distinct shingles: a bit is set if it is set in over half of them."""
     ones = np.unpackbits(found.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -111,63 +104,55 @@ def _order(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sketches(docs: DataFrame, words: int) -> DataFrame:
-    """Per row of docs: doc_id, key (the text's hash), unit (the shingle set's), n, fp, prefix, parity fingerprint, distances to the pivots."""
+    """Per row of docs: doc_id, key (the text's hash), unit (the shingle set's), n, fp, prefix, parity fingerprint."""
     frequent, rank = _order(docs, words)
     shared = docs.sparkSession.sparkContext.broadcast((frequent, rank))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        refs = _pivots()
         for b in batches:
             sets = [shingles(t.as_py(), words) for t in b.column("text")]
             units = pa.array([signed(xxhash.xxh64_intdigest(s.tobytes(), SEED)) for s in sets], pa.int64())
             prefix = pa.array([_prefix(s, *shared.value).view(np.int64) for s in sets], pa.list_(pa.int64()))
             bits = np.array([_parity(s) for s in sets], np.uint64).reshape(-1, LONGS)
-            far = np.stack([np.bitwise_count(bits ^ r).sum(1, dtype=np.int16) for r in refs], 1)
             own = [b.column("doc_id"), b.column("key"), units, pa.array([len(s) for s in sets], pa.int32()), pa.array([_simhash(s) for s in sets], pa.int64()), prefix]
-            own += [pa.array(np.ascontiguousarray(bits[:, i]).view(np.int64)) for i in range(LONGS)] + [pa.array(np.ascontiguousarray(far[:, i])) for i in range(PIVOTS)]
-            yield pa.RecordBatch.from_arrays(own, ["doc_id", "key", "unit", "n", "fp", "prefix", *_BITS, *_FAR])
+            own += [pa.array(np.ascontiguousarray(bits[:, i]).view(np.int64)) for i in range(LONGS)]
+            yield pa.RecordBatch.from_arrays(own, ["doc_id", "key", "unit", "n", "fp", "prefix", *_BITS])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), F.col("text").cast("string").alias("text"))
-    fields = [*(f"{c} long" for c in _BITS), *(f"{c} short" for c in _FAR)]
-    return rows.mapInArrow(run, f"doc_id long, key long, unit long, n int, fp long, prefix array<long>, {', '.join(fields)}")
+    return rows.mapInArrow(run, f"doc_id long, key long, unit long, n int, fp long, prefix array<long>, {', '.join(f'{c} long' for c in _BITS)}")
 
 
-def _side(units: DataFrame, key: str, p: str) -> DataFrame:
-    """The columns of units under names for one side of a pair."""
-    return units.select(F.col("unit").alias(key), *[F.col(c).alias(f"{p}{c}") for c in ("n", *_BITS, *_FAR)])
+def _sizes_fit(n: Column, m: Column) -> Column:
+    return F.least(n, m) * UNDER >= F.greatest(n, m) * OVER
 
 
-def _may_link(p: str, q: str) -> Column:
-    """Whether two units can be similar enough, by sizes, pivot coordinates and bits: |A xor B| <= (|A| + |B|) (1 - s) / (1 + s)."""
-    n, m = F.col(f"{p}n"), F.col(f"{q}n")
-    room = (n + m) * (UNDER - OVER)
-    apart = F.greatest(*[F.abs(F.col(p + c) - F.col(q + c)) for c in _FAR])
-    differ = reduce(lambda s, c: s + F.bit_count(F.col(p + c).bitwiseXOR(F.col(q + c))), _BITS, F.lit(0))
-    return (F.least(n, m) * UNDER >= F.greatest(n, m) * OVER) & (apart * (UNDER + OVER) <= room) & (differ * (UNDER + OVER) <= room)
+def _near(pairs: DataFrame, units: DataFrame) -> DataFrame:
+    """The pairs (a, b) of units that can be similar enough by sizes and bits: |A xor B| <= (|A| + |B|) (1 - s) / (1 + s). A few bits decide most."""
+    for bits in (_BITS[:FIRST], _BITS):
+        x, y = (units.select(F.col("unit").alias(key), *[F.col(c).alias(p + c) for c in ("n", *bits)]) for key, p in (("a", "x"), ("b", "y")))
+        differ = reduce(lambda s, c: s + F.bit_count(F.col("x" + c).bitwiseXOR(F.col("y" + c))), bits, F.lit(0))
+        near = differ * (UNDER + OVER) <= (F.col("xn") + F.col("yn")) * (UNDER - OVER)
+        pairs = saved(pairs.join(x, "a").join(y, "b").where(_sizes_fit(F.col("xn"), F.col("yn")) & near).select("a", "b"), "candidates")
+    return pairs
 
 
 def _verified(pairs: DataFrame, units: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """The pairs (a, b) of units whose shingle sets are similar enough. Only texts of these pairs are read again."""
-
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = pa.array([shingles(t.as_py(), words).view(np.int64) for t in b.column("text")], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("unit"), sets], ["unit", "own"])
+    """The pairs (a, b) of units whose shingle sets are similar enough. Only texts of pairs that bits leave are read again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
+                x, y = shingles(x.as_py(), words), shingles(y.as_py(), words)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both * UNDER >= (len(x) + len(y) - both) * OVER)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    pairs = saved(pairs, "candidates")
+    pairs = _near(pairs, units)
     asked = saved(pairs.select(F.col("a").alias("unit")).union(pairs.select("b")).distinct().join(units.select("unit", "key"), "unit"), "asked")
     texts = docs.select(F.xxhash64("text").alias("key"), F.col("text").cast("string").alias("text")).join(asked, "key")
-    sets = saved(texts.select("unit", "text").mapInArrow(sets_of, "unit long, own array<long>").dropDuplicates(["unit"]), "sets")
-    full = pairs.join(sets.select(F.col("unit").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("unit").alias("b"), F.col("own").alias("y")), "b")
+    texts = saved(texts.select("unit", "text").dropDuplicates(["unit"]), "texts")
+    full = pairs.join(texts.select(F.col("unit").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("unit").alias("b"), F.col("text").alias("y")), "b")
     return saved(full.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "similar")
 
 
@@ -177,35 +162,31 @@ def similar_groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
     Reads doc_id and text. Null and empty texts are one group; texts with the same shingles are too.
     """
     rows = salted(_sketches(docs, words), "sketches")
-    units = saved(rows.groupBy("unit").agg(F.min("key").alias("key"), *[F.first(c).alias(c) for c in ("n", "fp", *_BITS, *_FAR)]), "units")
+    units = saved(rows.groupBy("unit").agg(F.min("key").alias("key"), *[F.first(c).alias(c) for c in ("n", "fp", *_BITS)]), "units")
 
-    # A shingle's units are counted where they are; only shingles that two units share meet their units again.
-    tokens = rows.select("unit", F.explode("prefix").alias("token"))
-    hubs = tokens.groupBy("token").agg(F.min("unit").alias("hub"), F.max("unit").alias("most")).where("hub < most")
-    hubs = saved(hubs.select("token", "hub"), "hubs")
-    shared = saved(tokens.join(hubs, "token"), "shared")
-    stars = shared.where("unit <> hub").select(F.col("hub").alias("a"), F.col("unit").alias("b"))
+    # A shingle's units are counted where they are. Two units of a shingle are a pair at once; only shingles of more meet their units again.
+    tokens = rows.select("unit", "n", F.explode("prefix").alias("token"))
+    ends = tokens.groupBy("token").agg(F.min("unit").alias("a"), F.max("unit").alias("b"), F.count(F.lit(1)).alias("k")).where("a < b")
+    ends = saved(ends, "ends")
+    wide = saved(tokens.join(ends.where("k > 2").select("token", "a"), "token"), "wide")
+    stars = ends.select("a", "b").union(wide.where("unit <> a").select("a", F.col("unit").alias("b")))
 
-    prints = saved(units.groupBy("fp").agg(F.min("unit").alias("a")), "prints")
-    alike = units.join(prints, "fp").where("unit <> a").select("a", F.col("unit").alias("b"))
+    prints = saved(units.groupBy("fp").agg(F.min("unit").alias("first")), "prints")
+    alike = units.join(prints, "fp").where("unit <> first").select(F.col("first").alias("a"), F.col("unit").alias("b"))
     close = near_links(docs.sparkSession, prints.select("fp"))
-    close = close.join(prints.select(F.col("fp").alias("a"), F.col("a").alias("x")), "a").join(prints.select(F.col("fp").alias("b"), F.col("a").alias("y")), "b").select("x", "y")
-
-    pairs = stars.union(alike).union(close).distinct()
-    near = pairs.join(_side(units, "a", "x_"), "a").join(_side(units, "b", "y_"), "b").where(_may_link("x_", "y_")).select("a", "b")
-    first = _verified(near, units, docs, words)
+    close = close.join(prints.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(prints.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select("x", "y")
+    first = _verified(stars.union(alike).union(close).distinct(), units, docs, words)
     group = saved(roots(first), "roots")
 
-    parts = shared.select("token", "unit").distinct().join(group, F.col("unit") == F.col("node"), "left").select("token", "unit", F.coalesce("root", "unit").alias("part"))
-    parts = saved(parts, "parts")
+    parts = wide.select("token", "unit", "n").join(group, F.col("unit") == F.col("node"), "left").select("token", "unit", "n", F.coalesce("root", "unit").alias("part"))
+    parts = saved(parts.where("n > 0").distinct(), "parts")
     split = parts.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("token")
-    parts = saved(parts.join(split, "token"), "parts")
-    size = F.floor(F.log("x_n") / F.log(F.lit(UNDER / OVER)) + 1e-9)  # a pair's sizes are in one step or in two next to each other
-    one = parts.join(_side(units, "unit", "x_"), "unit").where("x_n > 0").withColumn("step", size)
-    other = one.select("token", "step", F.col("unit").alias("b"), F.col("part").alias("apart"), *[F.col(f"x_{c}").alias(f"y_{c}") for c in ("n", *_BITS, *_FAR)])
+    step = F.floor(F.log("n") / F.log(F.lit(UNDER / OVER)) + 1e-9)  # the sizes of a pair are in one step, or in two next to each other
+    one = saved(parts.join(split, "token").withColumn("step", step), "parts")
+    other = one.select("token", "step", F.col("unit").alias("b"), F.col("n").alias("m"), F.col("part").alias("apart"))
     one = one.withColumn("step", F.explode(F.array(F.col("step"), F.col("step") + 1)))
-    ordered = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("unit") < F.col("b")))
-    across = one.join(other, ["token", "step"]).where(ordered & (F.col("part") != F.col("apart")) & _may_link("x_", "y_"))
+    ordered = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("unit") < F.col("b")))
+    across = one.join(other, ["token", "step"]).where(ordered & (F.col("part") != F.col("apart")) & _sizes_fit(F.col("n"), F.col("m")))
     second = _verified(across.select(F.col("unit").alias("a"), "b").distinct(), units, docs, words)
     group = saved(roots(first.union(second)), "roots")
     own = spread_join(rows.select("doc_id", "key", "unit", "salt"), group.withColumnRenamed("node", "unit"), "unit", how="left")
