@@ -65,12 +65,24 @@ def _prefix(found: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.nda
     return found[np.lexsort((found, places))[:keep]]
 
 
-def _parity(found: np.ndarray) -> np.ndarray:
+def _parity(found: np.ndarray, longs: int = LONGS) -> np.ndarray:
     """The parity fingerprint of a set of shingles."""
-    bits = np.bincount((found >> np.uint64(7) & np.uint64(64 * LONGS - 1)).astype(np.int64), minlength=64 * LONGS) & 1
+    bits = np.bincount((found >> np.uint64(7) & np.uint64(64 * longs - 1)).astype(np.int64), minlength=64 * longs) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
+def _wide(found: np.ndarray) -> np.ndarray:
+    """A parity fingerprint of 4 bits a shingle or more, which tells sets of any size apart."""
+    return _parity(found, max(1, 1 << (4 * len(found) - 1).bit_length() >> 6))
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> int:
+    """Differing bits of two parity fingerprints; the wider one is folded, which leaves a fingerprint of the same set."""
+    width = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(v.reshape(-1, width), axis=0) for v in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _simhash(found: np.ndarray) -> int:
     """SimHash over distinct shingles: a bit is set if it is set in over half of them."""
     ones = np.unpackbits(found.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -136,10 +148,27 @@ def _near(pairs: DataFrame, units: DataFrame) -> DataFrame:
     return pairs
 
 
+def _own(pairs: DataFrame, units: DataFrame, docs: DataFrame) -> DataFrame:
+    """(unit, text) for the units of pairs; a text that several rows have comes as often."""
+    asked = pairs.select(F.col("a").alias("unit")).union(pairs.select("b")).distinct().join(units.select("unit", "key"), "unit")
+    return docs.select(F.xxhash64("text").alias("key"), F.col("text").cast("string").alias("text")).join(saved(asked, "asked"), "key").select("unit", "text")
+
+
 def _verified(pairs: DataFrame, units: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """The pairs (a, b) of units whose shingle sets are similar enough. Only texts of pairs that bits leave are read again."""
+    """The pairs (a, b) of units whose shingle sets are similar enough. Only texts of pairs that fingerprints leave meet."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(t.as_py(), words) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("unit"), pa.array([len(s) for s in sets], pa.int32()), pa.array([_wide(s).tobytes() for s in sets], pa.binary())], ["unit", "n", "own"])
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sides = zip(*(b.column(c).to_pylist() for c in ("n", "m", "x", "y")), strict=True)
+            keep = [_apart(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) * (UNDER + OVER) <= (n + m) * (UNDER - OVER) for n, m, x, y in sides]
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
@@ -149,11 +178,12 @@ def _verified(pairs: DataFrame, units: DataFrame, docs: DataFrame, words: int) -
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     pairs = _near(pairs, units)
-    asked = saved(pairs.select(F.col("a").alias("unit")).union(pairs.select("b")).distinct().join(units.select("unit", "key"), "unit"), "asked")
-    texts = docs.select(F.xxhash64("text").alias("key"), F.col("text").cast("string").alias("text")).join(asked, "key")
-    texts = saved(texts.select("unit", "text").dropDuplicates(["unit"]), "texts")
+    wide = saved(_own(pairs, units, docs).mapInArrow(fingerprints, "unit long, n int, own binary").dropDuplicates(["unit"]), "fingerprints")
+    full = pairs.join(wide.select(F.col("unit").alias("a"), "n", F.col("own").alias("x")), "a").join(wide.select(F.col("unit").alias("b"), F.col("n").alias("m"), F.col("own").alias("y")), "b")
+    pairs = saved(full.select("a", "b", "n", "m", "x", "y").mapInArrow(near, "a long, b long"), "candidates")
+    texts = saved(_own(pairs, units, docs).dropDuplicates(["unit"]), "texts")
     full = pairs.join(texts.select(F.col("unit").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("unit").alias("b"), F.col("text").alias("y")), "b")
-    return saved(full.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "similar")
+    return saved(full.select("a", "b", "x", "y").mapInArrow(similar, "a long, b long"), "similar")
 
 
 def similar_groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -168,7 +198,7 @@ def similar_groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
     tokens = rows.select("unit", "n", F.explode("prefix").alias("token"))
     ends = tokens.groupBy("token").agg(F.min("unit").alias("a"), F.max("unit").alias("b"), F.count(F.lit(1)).alias("k")).where("a < b")
     ends = saved(ends, "ends")
-    wide = saved(tokens.join(ends.where("k > 2").select("token", "a"), "token"), "wide")
+    wide = saved(tokens.join(saved(ends.where("k > 2").select("token", "a"), "hubs"), "token"), "wide")
     stars = ends.select("a", "b").union(wide.where("unit <> a").select("a", F.col("unit").alias("b")))
 
     prints = saved(units.groupBy("fp").agg(F.min("unit").alias("first")), "prints")
