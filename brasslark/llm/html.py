@@ -3,21 +3,26 @@
 The DOMs of a host's pages are merged: nodes with the same path of styles (tag, class, id, role) are one node
 of the host's tree. A content node's importance falls as its texts repeat over the host's pages (one minus the
 mean entropy of its texts over pages); an inner node's presentation importance rises with the variety of its children's
-arrangements, and its composite importance blends that with its children's. Nodes whose style says what they
-are for start from that: menus, headers, footers, asides, adverts, notices, forms and comments have importance
-0, the article and the marks of running text in it have 1. Branches below the threshold are removed from every
-page of the host, and what is left is the text.
+arrangements, and its composite importance blends that with its children's. Branches below the threshold are removed
+from every page of the host, and what is left is the text.
+
+Where styles say what they are for, that is a prior blended into the measured importance: 0 for menus, headers, footers,
+asides, adverts, notices, forms and comments, which may vary from page to page as much as articles do, 1 for the article
+and the marks of running text in it, which may repeat. The share of pages on which a node stands outside of an article
+that the page has lowers it too. All other nodes have the importance that is measured.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,13 +33,17 @@ from brasslark.llm.urls import host_of
 THRESHOLD = 0.25
 #: Decay of a node's own weight against its children's.
 GAMMA = 0.9
+#: Weight of what a style or the place outside of articles says against what is measured.
+PRIOR = 0.8
+#: Depth of the branches of a host's tree that are pruned apart: the children of the body.
+BRANCH = 3
 #: Parts into which a host's pages are dealt when they meet its tree.
 SALTS = 64
 
 #: What elements and styles are for.
-SKIPPED = frozenset("script style noscript template head title svg math iframe object embed canvas audio video map select textarea button datalist".split())
+SKIPPED = frozenset("script style noscript template head title svg iframe object embed canvas audio video map select textarea button datalist".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img input br".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img input br math semantics annotation mi mn mo ms mtext mspace mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mtable mtr mtd mfenced mpadded mphantom menclose".split())
 CLOSES = {
     "li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"),
     "thead": ("tr td th tbody thead tfoot", "table"), "tbody": ("tr td th tbody thead tfoot", "table"), "tfoot": ("tr td th tbody thead tfoot", "table"), "option": ("option", "select"),
@@ -51,61 +60,102 @@ NOISE_STYLES = frozenset(
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""")
 _ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PARTS = re.compile(r"[a-z]+")
+#: Parts of style names that speak of something the element has or lacks, not of what it is.
+_OTHERS = re.compile(r"(?<![a-z])(has|with|without|no|is|hide|show)[-_]?(?=[a-z])[a-z]+")
+#: Styles that stay noise even where they hold an article, since comments and teasers are marked up as articles too.
+TEASERS = frozenset("comment comments reply replies discussion disqus respond related recommended promo promotion sponsor sponsored ad ads".split())
 
 
 @lru_cache(1 << 16)
 def style(tag: str, attributes: str) -> str:
-    """The element's style: tag, then class, id and role with digits folded."""
-    found = [f"{m[1].lower()}={' '.join(sorted(set((m[2] or m[3] or m[4] or '').split())))}" for m in _ATTRIBUTE.finditer(attributes)] if "=" in attributes else []
-    return re.sub(r"[0-9]+", "0", re.sub(r"[>\s]+", " ", " ".join([tag, *sorted(set(found))])))
+    """The element's style: tag, then class, id and role; what follows the first digit of a name is folded, so numbered and generated names are one."""
+    found = [f"{m[1].lower()}={' '.join(sorted(set(re.sub(r'[0-9].*', '0', w) for w in (m[2] or m[3] or m[4] or '').split())))}" for m in _ATTRIBUTE.finditer(attributes)] if "=" in attributes else []
+    return re.sub(r"[>\s]+", " ", " ".join([re.sub("[0-9]+", "0", tag), *sorted(set(found))]))
 
 
 def style_words(one: str) -> set[str]:
-    return set(_PARTS.findall(re.sub(r"\b(class|id|role)=", " ", one.partition(" ")[2]).lower()))
-
-
-def noise_words(one: str) -> set[str]:
-    return style_words(one) & NOISE_STYLES
+    return set(_PARTS.findall(_OTHERS.sub(" ", re.sub(r"\b(class|id|role)=", " ", one.partition(" ")[2]).lower())))
 
 
 @lru_cache(1 << 16)
 def purpose(one: str) -> str:
-    """noise, article, or running for marks of text without a style of their own; else open."""
+    """noise, teaser (noise whatever it holds), heading, article, or running for marks of text without a style of their own; else open.
+
+    The document and its body are open, whatever they are called.
+    """
     tag, _, rest = one.partition(" ")
     words = style_words(one)
-    if tag in NOISE_TAGS or words & NOISE_STYLES:
+    if tag in ("html", "body"):
+        return "open"
+    if tag == "header" or words & NOISE_STYLES == {"header"} and tag not in NOISE_TAGS:
+        return "heading"
+    if tag in NOISE_TAGS and tag != "form" or words & TEASERS:
+        return "teaser"
+    if tag == "form" or words & NOISE_STYLES:
         return "noise"
     if tag in ARTICLE_TAGS or words & ARTICLE_STYLES or {"article", "main"} & words:
         return "article"
     return "running" if tag in RUNNING and not rest else "open"
 
 
-def parse(html: str) -> tuple[list[tuple[str, str]], dict[str, list[str]]]:
-    """(path, text) of the page's blocks in order, and the styles of each inner path's children, in order.
-
-    Paths are styles joined by >. Character references are decoded, white space inside a block is one space,
-    empty blocks are left out. Tags that are not closed are closed where HTML closes them.
+class Node:
+    """A node of the page's tree of styles: all elements with one path. Paths are hashes, chained from parent to child, so depth costs nothing."""
+
+    __slots__ = ("path", "parent", "branch", "depth", "tag", "style", "hard", "soft", "inside", "since", "children", "prior")
+
+    def __init__(self, above: Node | None, tag: str = "", own: str = ""):
+        """hard, soft: under noise that nothing or an article below it excuses; inside: in an article; since: in an open node of it."""
+        self.tag, self.style, self.children = tag, own, {}
+        if above is None:
+            self.path = self.parent = self.branch = self.depth = 0
+            self.hard = self.soft = self.inside = self.since = False
+        else:
+            self.path = xxhash.xxh64_intdigest(own, above.path & (1 << 64) - 1) - (1 << 63)
+            self.parent, self.depth = above.path, above.depth + 1
+            self.branch = above.branch if self.depth > BRANCH else self.path
+            kind = purpose(own)
+            self.hard = above.hard or kind == "teaser"
+            self.soft, self.inside, self.since = above.soft, above.inside, above.since
+            if kind == "article":
+                self.soft, self.inside, self.since = False, True, False
+            elif kind == "noise" or kind == "heading" and not above.inside:
+                if above.inside:
+                    self.hard = True
+                else:
+                    self.soft = True
+            elif kind == "open":
+                self.since = True
+        #: 0 for noise, 1 for the article and running text in it, else None: to be measured.
+        self.prior = 0.0 if self.hard or self.soft else 1.0 if self.inside and not self.since else None
+
+
+def parse(html: str) -> tuple[list[tuple[Node, str]], list[Node]]:
+    """(node, text) of the page's blocks in order, and the page's nodes, each with its children's paths in order of first appearance.
+
+    Character references are decoded, white space inside a block is one space, empty blocks are left out. Tags that
+    are not closed are closed where HTML closes them.
     """
-    stack: list[tuple[str, str]] = []  # (tag, style)
-    blocks: list[tuple[str, str]] = []
-    children: dict[str, list[str]] = {}
+    root = Node(None)
+    nodes: dict[int, Node] = {0: root}
+    stack: list[Node] = [root]
+    open_tags: Counter[str] = Counter()
+    blocks: list[tuple[Node, str]] = []
     run: list[str] = []
     at, n, low = 0, len(html), html.lower()
     if len(low) != n:  # lower() may change the length of rare letters
         low = re.sub("[A-Z]", lambda m: m[0].lower(), html)
 
-    def path() -> str:
-        return ">".join(s for _, s in stack)
-
     def end_block() -> None:
         if run:
             text = " ".join(unescape("".join(run)).split())
             run.clear()
             if text:
-                blocks.append((path(), text))
+                blocks.append((stack[-1], text))
 
     def close(upto: int) -> None:
         end_block()
+        for node in stack[upto:]:
+            open_tags[node.tag] -= 1
         del stack[upto:]
 
     while at < n:
@@ -143,12 +193,13 @@ def parse(html: str) -> tuple[list[tuple[str, str]], dict[str, list[str]]]:
         if slash:
             if tag in INLINE or tag in SKIPPED:
                 continue
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
-            else:
+            if not open_tags[tag]:
                 end_block()
+                continue
+            k = len(stack) - 1
+            while stack[k].tag != tag:
+                k -= 1
+            close(k)
             continue
         if tag in SKIPPED and not attributes.rstrip().endswith("/"):
             end_block()
@@ -167,42 +218,57 @@ def parse(html: str) -> tuple[list[tuple[str, str]], dict[str, list[str]]]:
         end_block()
         if tag in CLOSES:
             shut, within = (x.split() for x in CLOSES[tag])
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in within:
-                    break
-                if stack[k][0] in shut:
+            k, left = len(stack) - 1, sum(open_tags[t] for t in shut)
+            while k > 0 and left and stack[k].tag not in within:
+                if stack[k].tag in shut:
+                    left -= 1
                     close(k)
-        if stack and stack[-1][0] == "p":
-            stack.pop()
-        own = style(tag, attributes)
-        children.setdefault(path(), []).append(own)
+                k -= 1
+        if stack[-1].tag == "p":
+            close(len(stack) - 1)
+        above = stack[-1]
+        own = Node(above, tag, style(tag, attributes))
+        own = nodes.setdefault(own.path, own)
+        above.children[own.path] = None
         if not attributes.rstrip().endswith("/"):
-            stack.append((tag, own))
+            stack.append(own)
+            open_tags[tag] += 1
     end_block()
-    return blocks, children
+    return blocks, list(nodes.values())
+
+
+_BLOCK = "array<struct<path: long, branch: long, text: string, outside: boolean>>"
+_NODE = "array<struct<path: long, parent: long, branch: long, depth: int, prior: double, fixed: boolean, arrangement: long, children: array<long>>>"
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, blocks (path, text, outside), inner (path, arrangement) per row of pages.
+    """page_id, url, host, blocks (path, branch, text, outside), nodes (path, parent, branch, depth, prior, fixed, arrangement, children) per row of pages.
 
-    A page without host is its own site. outside: the page has an article, and the block is not in it.
+    A page without host is its own site. outside: the page has an article, and the block is not in it. fixed: no
+    branch, but the document or its body. arrangement: hash of the children's paths in order.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.list_(pa.struct([("path", pa.string()), ("text", pa.string()), ("outside", pa.bool_())])), pa.list_(pa.struct([("path", pa.string()), ("arrangement", pa.string())]))]
+        kinds = [
+            pa.list_(pa.struct([("path", pa.int64()), ("branch", pa.int64()), ("text", pa.string()), ("outside", pa.bool_())])),
+            pa.list_(pa.struct([("path", pa.int64()), ("parent", pa.int64()), ("branch", pa.int64()), ("depth", pa.int32()), ("prior", pa.float64()), ("fixed", pa.bool_()), ("arrangement", pa.int64()), ("children", pa.list_(pa.int64()))])),
+        ]
         for b in batches:
             blocks, inner = [], []
             for html in b.column("html").to_pylist():
-                own, children = parse(html or "")
-                inside = [any(purpose(s) == "article" for s in p.split(">")) for p, _ in own]
-                blocks.append([{"path": p, "text": t, "outside": any(inside) and not i} for (p, t), i in zip(own, inside, strict=True)])
-                inner.append([{"path": p, "arrangement": " > ".join(dict.fromkeys(c))} for p, c in children.items()])
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("page_id", "url", "host")), pa.array(blocks, kinds[0]), pa.array(inner, kinds[1])], ["page_id", "url", "host", "blocks", "inner"])
+                own, nodes = parse(html or "")
+                some = any(x.inside for x, _ in own)
+                blocks.append([{"path": x.path, "branch": x.branch, "text": t, "outside": some and not x.inside} for x, t in own])
+                inner.append([{
+                    "path": x.path, "parent": x.parent, "branch": x.branch, "depth": x.depth, "prior": x.prior, "fixed": x.tag in ("", "html", "body"),
+                    "arrangement": xxhash.xxh64_intdigest(",".join(map(str, x.children))) - (1 << 63) if x.children else None, "children": list(x.children),
+                } for x in nodes])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("page_id", "url", "host")), pa.array(blocks, kinds[0]), pa.array(inner, kinds[1])], ["page_id", "url", "host", "blocks", "nodes"])
 
     url = F.col("url").cast("string")
     host = F.when(host_of(url) != "", host_of(url)).otherwise(F.concat(F.lit("page "), F.coalesce(F.col("page_id").cast("string"), F.lit("?")), F.lit(" "), F.coalesce(F.xxhash64("html").cast("string"), F.lit(""))))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), host.alias("host"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(run, "page_id long, url string, host string, blocks array<struct<path: string, text: string, outside: boolean>>, inner array<struct<path: string, arrangement: string>>")
+    return rows.mapInArrow(run, f"page_id long, url string, host string, blocks {_BLOCK}, nodes {_NODE}")
 
 
 def entropy(rows: DataFrame, node: list[str], of: str) -> DataFrame:
@@ -215,89 +281,98 @@ def entropy(rows: DataFrame, node: list[str], of: str) -> DataFrame:
     return per.groupBy(*node).agg(F.avg(F.log("s") - F.col("e") / F.col("s")).alias("nats"))
 
 
-def site_trees(rows: DataFrame) -> DataFrame:
-    """(host, dropped): the paths of each host's tree whose branches are to be removed.
+def measured(rows: DataFrame) -> DataFrame:
+    """The nodes of all hosts' trees: host, branch, path, parent, depth, prior, fixed; leaf rows with content importance and the share of
+    blocks outside of articles, inner rows, one an arrangement, with presentation importance, the arrangement's share and its children.
 
-    Pages alike in all blocks count once. Everything is summed up by (host, path) before a host's nodes, which
-    are as many as its distinct styles, meet in one task.
+    Pages alike in all blocks count once.
     """
-    features = F.transform("blocks", lambda b: F.struct(b["path"].alias("path"), F.xxhash64(b["text"]).alias("feature")))  # texts stay where they are
-    pages = rows.select("host", F.xxhash64("blocks").alias("page"), features.alias("blocks"), "inner").dropDuplicates(["host", "page"])
-    blocks = pages.select("host", "page", F.explode("blocks").alias("b")).select("host", "page", "b.path", "b.feature")
-    inner = pages.select("host", "page", F.explode("inner").alias("b")).select("host", "page", "b.path", F.col("b.arrangement").alias("arrangement"))
-    node = ["host", "path"]
-    on_pages = lambda df: df.groupBy(*node, "page").agg(F.lit(1).alias("one")).groupBy(*node).agg(F.count(F.lit(1)).alias("m"))
-    content = entropy(blocks, node, "feature").join(on_pages(blocks), node)
-    content = content.select(*node, F.when(F.col("m") > 1, 1 - F.col("nats") / F.log("m")).otherwise(1.0).alias("importance"), F.lit(True).alias("leaf"), F.lit(None).cast("string").alias("arrangement"), F.lit(1.0).alias("share"))
-    kinds = inner.groupBy(*node, "arrangement").agg(F.count(F.lit(1)).alias("k"))
-    totals = kinds.groupBy(*node).agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.log("k")).alias("e"))
+    features = F.transform("blocks", lambda b: F.struct(b["path"].alias("path"), b["branch"].alias("branch"), F.xxhash64(b["text"]).alias("feature"), b["outside"].alias("outside")))  # texts stay where they are
+    texts = F.xxhash64(F.transform("blocks", lambda b: F.struct(b["path"].alias("path"), b["text"].alias("text"))))
+    pages = rows.select("host", texts.alias("page"), features.alias("blocks"), "nodes").dropDuplicates(["host", "page"])
+    blocks = pages.select("host", "page", F.inline("blocks"))
+    inner = pages.select("host", "page", F.inline("nodes"))
+    node = ["host", "branch", "path"]
+    on_pages = blocks.groupBy(*node, "page").agg(F.avg(F.col("outside").cast("double")).alias("o")).groupBy(*node).agg(F.count(F.lit(1)).alias("m"), F.avg("o").alias("outside"))
+    content = entropy(blocks, node, "feature").join(on_pages, node)
+    content = content.select(*node, F.when(F.col("m") > 1, 1 - F.col("nats") / F.log("m")).otherwise(1.0).alias("importance"), "outside")
+    known = ["parent", "depth", "prior", "fixed"]
+    kinds = inner.groupBy(*node, *known, "arrangement").agg(F.count(F.lit(1)).alias("k"), F.first("children").alias("children"))
+    leaves = content.join(kinds.select(*node, *known).distinct(), node).select(*node, *known, F.lit(True).alias("leaf"), "importance", "outside", F.lit(None).cast("double").alias("share"), F.lit(None).cast("array<long>").alias("children"))
+    totals = kinds.where("arrangement is not null").groupBy(*node).agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.log("k")).alias("e"))
     shown = F.when(F.col("m") > 1, (F.log("m") - F.col("e") / F.col("m")) / F.log("m")).otherwise(1.0)
-    presentation = kinds.join(totals, node).select(*node, shown.alias("importance"), F.lit(False).alias("leaf"), "arrangement", (F.col("k") / F.col("m")).alias("share"))
-    return content.union(presentation).groupBy("host").applyInPandas(prune, "host string, dropped array<string>")
+    presentation = kinds.where("arrangement is not null").join(totals, node)
+    presentation = presentation.select(*node, *known, F.lit(False).alias("leaf"), shown.alias("importance"), F.lit(0.0).alias("outside"), (F.col("k") / F.col("m")).alias("share"), "children")
+    return leaves.union(presentation)
 
 
-def prior(styles: list[str]) -> float | None:
-    """0 for what a style on the path marks as noise, 1 for the article and running text in it, else None: to be measured."""
-    kinds = [purpose(s) for s in styles]
-    place = max((i for i, k in enumerate(kinds) if k == "article"), default=-1)
+def site_trees(rows: DataFrame) -> DataFrame:
+    """(host, dropped): the paths of each host's tree whose blocks are to be removed; hosts without such paths are left out.
+
+    Everything is summed up by (host, path) before the nodes of a branch, which are as many as its distinct
+    styles, meet in one task.
+    """
+    pruned = measured(rows).groupBy("host", "branch").applyInPandas(prune, "host string, dropped array<long>")
+    return pruned.where(F.size("dropped") > 0).groupBy("host").agg(F.flatten(F.collect_list("dropped")).alias("dropped"))
 
-    def excused(i: int) -> bool:
-        """The article's own heading, and a form that goes round the article, are not noise."""
-        heading = styles[i].startswith("header") or noise_words(styles[i]) == {"header"} and styles[i].partition(" ")[0] not in NOISE_TAGS
-        return heading if 0 <= place < i else i < place and styles[i].startswith("form")
 
-    if any(k == "noise" and not excused(i) for i, k in enumerate(kinds)):
-        return 0.0
-    return 1.0 if place >= 0 and "open" not in kinds[place + 1 :] else None
+def blend(value: float, prior: float | None, outside: float) -> float:
+    """Importance of a node from what is measured, what its styles say, and how often it stands outside of articles."""
+    if prior is not None:
+        return (1 - PRIOR) * value + PRIOR * prior
+    return value * (1 - PRIOR * outside)
 
 
 def prune(nodes: pd.DataFrame) -> pd.DataFrame:
-    """The low-importance paths of one host's tree; nodes: its content rows (leaf) and its inner nodes' arrangements.
+    """The paths of one branch of a host's tree to be removed; nodes: rows of `measured`.
 
     A node's composite importance is known once its children's is, so the deepest come first. A branch below the
     threshold goes with all that is measured in it; the document and its body are no branches.
     """
-    content = dict(nodes[nodes.leaf][["path", "importance"]].itertuples(index=False))
-    inner: dict[str, tuple[float, list[tuple[float, list[str]]]]] = {}
-    for path, importance, arrangement, share in nodes[~nodes.leaf][["path", "importance", "arrangement", "share"]].itertuples(index=False):
-        inner.setdefault(path, (importance, []))[1].append((share, arrangement.split(" > ")))
-
-    composite: dict[str, float] = {}
-    for path in sorted(set(content) | set(inner), key=lambda p: (-p.count(">"), p)):
-        known = prior(path.split(">"))
-        if known is not None:
-            composite[path] = known
-            continue
+    content: dict[int, float] = {}
+    about: dict[int, tuple[int, int, float | None, bool]] = {}
+    inner: dict[int, tuple[float, list[tuple[float, list[int]]]]] = {}
+    for r in nodes.itertuples(index=False):
+        prior = None if pd.isna(r.prior) else float(r.prior)
+        about[r.path] = (int(r.depth), r.parent, prior, bool(r.fixed))
+        if r.leaf:
+            content[r.path] = blend(r.importance, prior, r.outside)
+        else:
+            inner.setdefault(r.path, (r.importance, []))[1].append((r.share, list(r.children)))
+
+    composite: dict[int, float] = {}
+    for path in sorted(about, key=lambda p: (-about[p][0], p)):
         values = [content[path]] if path in content else []
         if path in inner:
             shown, kinds = inner[path]
-            child = lambda s, path=path: composite.get(f"{path}>{s}" if path else s, 1.0)
-            below = sum(share * sum(map(child, styles)) / len(styles) for share, styles in kinds)
+            below = sum(share * sum(composite.get(c, 1.0) for c in children) / len(children) for share, children in kinds)
             own = GAMMA ** len(kinds)
-            values.append((1 - own) * shown + own * below)
+            values.append(blend((1 - own) * shown + own * below, about[path][2], 0.0))
         composite[path] = max(values)
 
-    gone: set[str] = set()
-    for path in sorted(composite, key=lambda p: (p.count(">"), p)):
-        known, parent = prior(path.split(">")), path.rpartition(">")[0]
-        low = composite[path] < THRESHOLD and (path in content or path.rpartition(">")[2] not in ("html", "body", ""))
-        if known == 0 or known is None and (low or parent in gone and prior(parent.split(">")) is None):
+    gone: set[int] = set()
+    dropped = []
+    for path in sorted(about, key=lambda p: (about[p][0], p)):
+        _, parent, prior, fixed = about[path]
+        if composite[path] < THRESHOLD and not fixed or prior is None and parent in gone and about[parent][2] is None:
             gone.add(path)
-    return pd.DataFrame({"host": [nodes["host"].iloc[0]], "dropped": [sorted(gone & set(content))]})
+        if path in content and (path in gone or content[path] < THRESHOLD):
+            dropped.append(path)
+    return pd.DataFrame({"host": [nodes["host"].iloc[0]], "dropped": [sorted(dropped)]})
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars per row of pages (page_id, url, html): the main text, its blocks joined by line feeds.
 
-    A null html is empty. On a page that has an article only that is read. Repeated rows are separate rows;
-    they count once in their host's tree. A host's removed paths meet its pages dealt into SALTS parts; the
-    planner broadcasts them only if their written size allows it.
+    A null html is empty. Repeated rows are separate rows; they count once in their host's tree. A host's removed
+    paths meet its pages dealt into SALTS parts; the planner broadcasts them only if their written size allows it.
     """
     rows = saved(parsed(pages), "blocks")
     trees = saved(site_trees(rows), "trees")
     salted = trees.select(F.col("host").alias("of"), "dropped", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
-    part = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
-    joined = rows.withColumn("salt", part).join(salted, (F.col("host") == F.col("of")) & (F.col("salt") == F.col("part")), "left")
-    keep = F.filter("blocks", lambda b: ~b["outside"] & ~F.array_contains(F.coalesce("dropped", F.array().cast("array<string>")), b["path"]))
-    text = F.array_join(F.transform(keep, lambda b: b["text"]), "\n")
+    part = F.pmod(F.xxhash64("page_id", "url", "blocks"), F.lit(SALTS)).cast("int")
+    joined = rows.select("page_id", "url", "host", "blocks", part.alias("salt")).join(salted, (F.col("host") == F.col("of")) & (F.col("salt") == F.col("part")), "left")
+    gone = F.array_intersect(F.transform("blocks", lambda b: b["path"]), F.coalesce("dropped", F.array().cast("array<long>")))
+    joined = joined.select("page_id", "url", "blocks", gone.alias("gone"))
+    text = F.array_join(F.transform(F.filter("blocks", lambda b: ~F.array_contains("gone", b["path"])), lambda b: b["text"]), "\n")
     return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
