@@ -2,8 +2,9 @@
 
 A logistic regression on the presence of words and of word beginnings (hashed to 2**WIDTH buckets), so a score
 does not fade with the length of a text. Sentences of the labelled texts that name a group are written again with other groups in its place, and
-the training loss adds the squared change of the score between the two. A group's name alone therefore can't
-raise a score, which keeps neutral mentions from being flagged. An L1 pass chooses the words that matter, a
+the training loss adds the squared change of the score between the two. Groups are listed names and, since those bear on
+few languages, terms mined from the labelled texts: words that toxic texts have more often though most texts that have
+them are neutral. A group's name alone therefore can't raise a score, which keeps neutral mentions from being flagged. An L1 pass chooses the words that matter, a
 second pass fits their weights.
 """
 
@@ -27,8 +28,11 @@ WIDTH = 22
 BEGINNINGS = (4, 5, 6, 7, 8)
 #: Labelled documents to fit on, about.
 SAMPLE = 20_000
-#: Rewritten sentences of one document, at most, and groups put in the place of the one named.
-SENTENCES, SWAPS = 8, 3
+#: Terms put in the place of the one named, in turn.
+SWAPS = 3
+#: Labelled documents that a mined term needs, standard errors its share of label 1 is off the whole's, the largest
+#: share (most texts that have it are neutral), and terms that stand for each other.
+TERM_ROWS, TERM_ERRORS, TERM_SHARE, TERM_GROUP = 20, 2.0, 0.5, 6
 #: Weight of the L1 norm in the first pass, of the L2 norm in the second, and of squared score changes in both.
 L1, L2, COUNTERFACTUAL = 0.004, 1e-4, 4.0
 
@@ -45,8 +49,17 @@ IDENTITY = (
     ("disabled", "blind", "deaf", "elderly", "young", "autistic"),
     ("americans", "mexicans", "chinese", "germans", "french", "russians", "indians", "turks"),
     ("american", "mexican", "german", "russian", "indian", "turkish", "polish", "japanese"),
+    ("frauen", "männer", "mädchen", "jungen", "kinder"), ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten", "katholiken"),
+    ("schwarze", "weiße", "asiaten", "araber", "afrikaner"), ("schwule", "lesben", "homosexuelle", "heterosexuelle", "transsexuelle"),
+    ("ausländer", "flüchtlinge", "einheimische", "migranten", "einwanderer"), ("deutsche", "türken", "polen", "russen", "franzosen", "amerikaner"),
+    ("femmes", "hommes", "filles", "garçons"), ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées", "catholiques"),
+    ("noirs", "blancs", "asiatiques", "arabes", "africains"), ("homosexuels", "lesbiennes", "hétérosexuels", "transgenres"),
+    ("étrangers", "réfugiés", "migrants", "immigrés", "citoyens"), ("français", "allemands", "russes", "américains", "turcs", "polonais"),
+    ("mujeres", "hombres", "niñas", "niños"), ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos", "católicos"),
+    ("negros", "blancos", "asiáticos", "árabes", "africanos"), ("homosexuales", "lesbianas", "heterosexuales", "transexuales"),
+    ("extranjeros", "refugiados", "inmigrantes", "migrantes", "ciudadanos"), ("españoles", "alemanes", "rusos", "mexicanos", "americanos", "turcos"),
 )
-GROUP_OF = {term: group for group in IDENTITY for term in group}
+GROUP_OF = {term: group for group in reversed(IDENTITY) for term in group}
 
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"[^.!?\n]+")
@@ -64,30 +77,54 @@ def buckets(text: str) -> np.ndarray:
     return np.array(sorted({h(w) & mask for w in found}), np.int32)
 
 
-def rewritten(text: str) -> list[tuple[str, str]]:
-    """(sentence, the sentence with other groups) for sentences that name a group, SENTENCES at most."""
+def rewritten(text: str, groups: dict[str, tuple[str, ...]] = GROUP_OF) -> list[tuple[str, str]]:
+    """(sentence, the sentence with other terms) for every sentence that has a term of a group."""
     out = []
     for m in _SENTENCE.finditer(text.lower()):
-        named = [w for w in _WORD.findall(m[0]) if w in GROUP_OF]
+        named = any(w in groups for w in _WORD.findall(m[0]))
         for turn in range(1, SWAPS + 1 if named else 1):
             def other(w: re.Match, turn: int = turn) -> str:
-                group = GROUP_OF.get(w[0])
+                group = groups.get(w[0])
                 return group[(group.index(w[0]) + turn) % len(group)] if group else w[0]
 
             out.append((m[0], _WORD.sub(other, m[0])))
-        if len(out) >= SENTENCES * SWAPS:
-            break
     return out
 
 
-def sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        out = []
-        for text, label in zip(b.column("text").to_pylist(), b.column("label").to_pylist(), strict=True):
-            pairs = [(buckets(x).tobytes(), buckets(y).tobytes()) for x, y in rewritten(text)]
-            out.append({"y": int(label > 0), "x": buckets(text).tobytes(), "before": [p[0] for p in pairs], "after": [p[1] for p in pairs]})
+def mined_groups(rows: DataFrame, n: int, positive: int) -> dict[str, tuple[str, ...]]:
+    """Terms of the labelled texts (text, label) whose share of label 1 is uneven though most texts that have them are neutral, by group.
+
+    Such words go with toxic texts without making a text toxic, as names of groups do, in whatever language the
+    corpus has. Terms next to each other in order of share and word stand for each other. They are as few as the
+    words of the sample that pass the tests.
+    """
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for text, label in zip(b.column("text").to_pylist(), b.column("label").to_pylist(), strict=True):
+                own = sorted(set(_WORD.findall(text.lower())))
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([int(label > 0)] * len(own), pa.int64())], ["word", "y"])
+
+    p = positive / n
+    counts = rows.select("text", "label").mapInArrow(words, "word string, y long").groupBy("word").agg(F.count(F.lit(1)).alias("seen"), F.sum("y").alias("bad"))
+    share = F.col("bad") / F.col("seen")
+    uneven = (share <= TERM_SHARE) & (F.col("bad") - p * F.col("seen") >= TERM_ERRORS * F.sqrt(F.col("seen") * p * (1 - p)))
+    found = counts.where((F.col("seen") >= TERM_ROWS) & uneven).select("word", share.alias("share")).collect()
+    terms = [r["word"] for r in sorted(found, key=lambda r: (r["share"], r["word"])) if r["word"] not in GROUP_OF]
+    groups = [tuple(terms[i : i + TERM_GROUP]) for i in range(0, len(terms), TERM_GROUP)]
+    return {t: g for g in groups if len(g) > 1 for t in g}
+
+
+def sample_features(groups: dict[str, tuple[str, ...]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = pa.schema([("y", pa.int32()), ("x", pa.binary()), ("before", pa.list_(pa.binary())), ("after", pa.list_(pa.binary()))])
-        yield pa.RecordBatch.from_pylist(out, schema=kinds)
+        for b in batches:
+            for text, label in zip(b.column("text").to_pylist(), b.column("label").to_pylist(), strict=True):
+                pairs = [(buckets(x).tobytes(), buckets(y).tobytes()) for x, y in rewritten(text, groups)]
+                row = {"y": int(label > 0), "x": buckets(text).tobytes(), "before": [p[0] for p in pairs], "after": [p[1] for p in pairs]}
+                yield pa.RecordBatch.from_pylist([row], schema=kinds)
+
+    return run
 
 
 class Rows:
@@ -147,9 +184,12 @@ def descend(x: Rows, y: np.ndarray, before: Rows, after: Rows, l1: float, l2: fl
 
 @dataclass
 class Model:
+    """pairs: the rewritten sentences that bear on the penalty, those whose telling words differ from the sentence's."""
+
     bias: float
     columns: np.ndarray = field(default_factory=lambda: np.empty(0, np.int32))
     weights: np.ndarray = field(default_factory=lambda: np.empty(0))
+    pairs: int = 0
 
     def score(self, text: str) -> float:
         x = buckets(text)
@@ -183,18 +223,20 @@ def fit(docs: DataFrame, labels: DataFrame, parts: int = 4, part: int = 2, sampl
 
     Buckets are counted by Spark; the driver sees only those that tell the labels apart, of the sample's documents.
     """
-    chosen = labelled_sample(docs, labels, "toxic", parts, part, sample)
-    features = saved(chosen.mapInArrow(sample_features, "y int, x binary, before array<binary>, after array<binary>"), "features")
-    n, positive = features.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
+    chosen = saved(labelled_sample(docs, labels, "toxic", parts, part, sample), "chosen")
+    n, positive = chosen.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("label") > 0).cast("long")), F.lit(0))).first()
     if not n or positive in (0, n):
         return Model(bias=10.0 if n and positive else -10.0)
+    groups = mined_groups(chosen, n, positive) | GROUP_OF
+    features = saved(chosen.mapInArrow(sample_features(groups), "y int, x binary, before array<binary>, after array<binary>"), "features")
     columns = telling(features, n, positive)
     shared = docs.sparkSession.sparkContext.broadcast(columns)
 
     def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = lambda x: np.intersect1d(np.frombuffer(x, np.int32), shared.value, assume_unique=True).tobytes()
         for b in batches:
-            lists = [pa.array([[cut(x) for x in xs] for xs in b.column(c).to_pylist()], pa.list_(pa.binary())) for c in ("before", "after")]
+            pairs = [[(u, v) for u, v in zip(map(cut, us), map(cut, vs), strict=True) if u != v] for us, vs in zip(b.column("before").to_pylist(), b.column("after").to_pylist(), strict=True)]
+            lists = [pa.array([[p[i] for p in own] for own in pairs], pa.list_(pa.binary())) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([b.column("y"), pa.array([cut(x) for x in b.column("x").to_pylist()], pa.binary()), *lists], ["y", "x", "before", "after"])
 
     rows = features.mapInArrow(narrowed, "y int, x binary, before array<binary>, after array<binary>").collect()
@@ -206,7 +248,7 @@ def fit(docs: DataFrame, labels: DataFrame, parts: int = 4, part: int = 2, sampl
         w, bias = descend(Rows(x, columns), y, Rows(before, columns), Rows(after, columns), l1, l2, counterfactual, steps)
         if l1:
             columns = columns[np.abs(w) > 1e-6]
-    return Model(bias, columns, w)
+    return Model(bias, columns, w, len(before))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

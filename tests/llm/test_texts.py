@@ -89,6 +89,55 @@ def test_swaps_stay_in_their_group():
     pairs = toxicity.rewritten("No name. The old Women spoke. End")
     assert len(pairs) == toxicity.SWAPS and all(a == " the old women spoke" and b != a and len(b.split()) == 4 for a, b in pairs)
     assert toxicity.rewritten("") == []
+    assert len(toxicity.rewritten("the women came. " * 50)) == 50 * toxicity.SWAPS
+    assert {b.split()[-1] for _, b in toxicity.rewritten("alle Flüchtlinge")} <= set(toxicity.GROUP_OF["flüchtlinge"])
+
+
+def test_groups_are_mined_from_labelled_texts(spark):
+    """Words that toxic texts have more often, though most that have them are neutral; not the words that make a text toxic."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(800):
+        toxic, words = i % 8 == 0, prose(rng, SYLLABLES["cc"], 10).split()
+        if toxic and rng.random() < 0.5 or rng.random() < 0.12:
+            words.append(rng.choice(["zorbs", "glims"]))
+        if toxic:
+            words.append("vile")
+        rows.append((i, " ".join(words), int(toxic)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    groups = toxicity.mined_groups(df, 800, 100)
+    assert {"zorbs", "glims"} <= set(groups) and "vile" not in groups
+    assert all(t in g and len(g) > 1 for t, g in groups.items())
+    model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", F.col("label").alias("toxic")))
+    assert model.pairs > 0
+
+
+def plain_descent(x, y, before, after, l1, l2, weight, steps=60_000, rate=0.3):
+    """Proximal gradient with a fixed step over dense rows."""
+    w, b = np.zeros(x.shape[1]), 0.0
+    s = lambda z: 1 / (1 + np.exp(-z))
+    for _ in range(steps):
+        r = (s(x @ w + b) - y) / len(y)
+        p, q = s(before @ w + b), s(after @ w + b)
+        c = 2 * weight / len(before) * (p - q)
+        w = w - rate * (x.T @ r + before.T @ (c * p * (1 - p)) - after.T @ (c * q * (1 - q)) + l2 * w)
+        b -= rate * (r.sum() + (c * (p * (1 - p) - q * (1 - q))).sum())
+        w = np.sign(w) * np.maximum(np.abs(w) - rate * l1, 0)
+    return w, b
+
+
+@pytest.mark.parametrize("l1, l2", [(0.01, 0.0), (0.0, 0.05)])
+def test_descent_reaches_the_optimum_of_a_plain_one(l1, l2):
+    rng = np.random.default_rng(4)
+    x, before, after = (rng.random((n, 8)) < 0.4 for n in (80, 20, 20))
+    y = (rng.random(80) < 0.2 + 0.6 * x[:, 0]).astype(float)
+    after[:, 1:] = before[:, 1:]
+    rows = lambda m: toxicity.Rows([np.flatnonzero(r).astype(np.int32) for r in m], np.arange(8, dtype=np.int32))
+    w, b = toxicity.descend(rows(x), y, rows(before), rows(after), l1, l2, 4.0, 2000)
+    want, bias = plain_descent(x.astype(float), y, before.astype(float), after.astype(float), l1, l2, 4.0)
+    assert np.abs(w - want).max() < 2e-2 and abs(b - bias) < 2e-2
+    free, _ = toxicity.descend(rows(x), y, rows(before), rows(after), l1, l2, 0.0, 2000)
+    assert abs(w[0]) < 0.8 * abs(free[0])
 
 
 def test_quality_on_held_out_documents(spark, none):
