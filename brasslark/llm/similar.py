@@ -31,8 +31,8 @@ from brasslark.llm.simhash import SEED, near_links, roots, signed
 WORDS = 5
 #: SIMILARITY as a fraction, so that bounds are exact.
 OVER, UNDER = 4, 5
-#: Longs of a parity fingerprint, and those of them that are compared first.
-LONGS, FIRST = 16, 4
+#: Longs of a parity fingerprint, and those of them that are compared as soon as two units of a shingle meet.
+LONGS, FIRST = 16, 8
 #: Frequent shingles that are told apart; they bear on speed only.
 FREQUENT = 1 << 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -138,14 +138,18 @@ def _sizes_fit(n: Column, m: Column) -> Column:
     return F.least(n, m) * UNDER >= F.greatest(n, m) * OVER
 
 
+def _bits_fit(x: str, y: str, n: Column, m: Column, bits: list[str]) -> Column:
+    """Whether fingerprints leave the similarity open: |A xor B| <= (|A| + |B|) (1 - s) / (1 + s), and no fewer shingles differ than bits."""
+    differ = reduce(lambda s, c: s + F.bit_count(F.col(x + c).bitwiseXOR(F.col(y + c))), bits, F.lit(0))
+    return differ * (UNDER + OVER) <= (n + m) * (UNDER - OVER)
+
+
 def _near(pairs: DataFrame, units: DataFrame) -> DataFrame:
-    """The pairs (a, b) of units that can be similar enough by sizes and bits: |A xor B| <= (|A| + |B|) (1 - s) / (1 + s). A few bits decide most."""
-    for bits in (_BITS[:FIRST], _BITS):
-        x, y = (units.select(F.col("unit").alias(key), *[F.col(c).alias(p + c) for c in ("n", *bits)]) for key, p in (("a", "x"), ("b", "y")))
-        differ = reduce(lambda s, c: s + F.bit_count(F.col("x" + c).bitwiseXOR(F.col("y" + c))), bits, F.lit(0))
-        near = differ * (UNDER + OVER) <= (F.col("xn") + F.col("yn")) * (UNDER - OVER)
-        pairs = saved(pairs.join(x, "a").join(y, "b").where(_sizes_fit(F.col("xn"), F.col("yn")) & near).select("a", "b"), "candidates")
-    return pairs
+    """The pairs (a, b) of units that can be similar enough by sizes and bits."""
+    x, y = (units.select(F.col("unit").alias(key), *[F.col(c).alias(p + c) for c in ("n", *_BITS)]) for key, p in (("a", "x"), ("b", "y")))
+    n, m = F.col("xn"), F.col("yn")
+    both = pairs.join(x, "a").join(y, (pairs["b"] == y["b"]) & _sizes_fit(n, m) & _bits_fit("x", "y", n, m, _BITS))
+    return saved(both.select("a", pairs["b"]), "candidates")
 
 
 def _own(pairs: DataFrame, units: DataFrame, docs: DataFrame) -> DataFrame:
@@ -208,16 +212,19 @@ def similar_groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
     first = _verified(stars.union(alike).union(close).distinct(), units, docs, words)
     group = saved(roots(first), "roots")
 
-    parts = wide.select("token", "unit", "n").join(group, F.col("unit") == F.col("node"), "left").select("token", "unit", "n", F.coalesce("root", "unit").alias("part"))
-    parts = saved(parts.where("n > 0").distinct(), "parts")
+    parts = wide.select("token", "unit").distinct().join(group, F.col("unit") == F.col("node"), "left").select("token", "unit", F.coalesce("root", "unit").alias("part"))
+    parts = saved(parts, "parts")
     split = parts.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("token")
+    early = _BITS[:FIRST]
     step = F.floor(F.log("n") / F.log(F.lit(UNDER / OVER)) + 1e-9)  # the sizes of a pair are in one step, or in two next to each other
-    one = saved(parts.join(split, "token").withColumn("step", step), "parts")
-    other = one.select("token", "step", F.col("unit").alias("b"), F.col("n").alias("m"), F.col("part").alias("apart"))
+    one = parts.join(split, "token").join(units.where("n > 0").select("unit", "n", *early), "unit").withColumn("step", step)
+    other = one.select("token", "step", F.col("unit").alias("b"), F.col("n").alias("m"), F.col("part").alias("apart"), *[F.col(c).alias(f"y{c}") for c in early])
     one = one.withColumn("step", F.explode(F.array(F.col("step"), F.col("step") + 1)))
-    ordered = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("unit") < F.col("b")))
-    across = one.join(other, ["token", "step"]).where(ordered & (F.col("part") != F.col("apart")) & _sizes_fit(F.col("n"), F.col("m")))
-    second = _verified(across.select(F.col("unit").alias("a"), "b").distinct(), units, docs, words)
+    n, m = F.col("n"), F.col("m")
+    ordered = (n < m) | ((n == m) & (F.col("unit") < F.col("b")))
+    meets = (one["token"] == other["token"]) & (one["step"] == other["step"]) & (F.col("part") != F.col("apart")) & ordered & _sizes_fit(n, m) & _bits_fit("", "y", n, m, early)
+    across = one.join(other, meets).select(F.col("unit").alias("a"), "b")  # a pair that cannot be similar is never a row
+    second = _verified(across.distinct(), units, docs, words)
     group = saved(roots(first.union(second)), "roots")
     own = spread_join(rows.select("doc_id", "key", "unit", "salt"), group.withColumnRenamed("node", "unit"), "unit", how="left")
     return own.select("doc_id", "key", F.coalesce("root", "unit").alias("root"))
