@@ -32,7 +32,7 @@ SAMPLE = 20_000
 SWAPS = 3
 #: Labelled documents that a mined term needs, standard errors its share of label 1 is off the whole's, the largest
 #: share (most texts that have it are neutral), and terms that stand for each other.
-TERM_ROWS, TERM_ERRORS, TERM_SHARE, TERM_GROUP = 20, 2.0, 0.5, 6
+TERM_ROWS, TERM_ERRORS, TERM_SHARE, TERM_GROUP = 20, 3.0, 0.5, 6
 #: Weight of the L1 norm in the first pass, of the L2 norm in the second, and of squared score changes in both.
 L1, L2, COUNTERFACTUAL = 0.004, 1e-4, 4.0
 
@@ -115,16 +115,42 @@ def mined_groups(rows: DataFrame, n: int, positive: int) -> dict[str, tuple[str,
     return {t: g for g in groups if len(g) > 1 for t in g}
 
 
-def sample_features(groups: dict[str, tuple[str, ...]]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = pa.schema([("y", pa.int32()), ("x", pa.binary()), ("before", pa.list_(pa.binary())), ("after", pa.list_(pa.binary()))])
-        for b in batches:
-            for text, label in zip(b.column("text").to_pylist(), b.column("label").to_pylist(), strict=True):
-                pairs = [(buckets(x).tobytes(), buckets(y).tobytes()) for x, y in rewritten(text, groups)]
-                row = {"y": int(label > 0), "x": buckets(text).tobytes(), "before": [p[0] for p in pairs], "after": [p[1] for p in pairs]}
-                yield pa.RecordBatch.from_pylist([row], schema=kinds)
-
-    return run
+def sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        labels = [int(y > 0) for y in b.column("label").to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array([buckets(t).tobytes() for t in b.column("text").to_pylist()], pa.binary())], ["y", "x"])
+
+
+class Telling(dict):
+    """The telling buckets of texts. What a word adds is kept while there is room, so many short texts cost little."""
+
+    def __init__(self, columns: np.ndarray):
+        super().__init__()
+        self.columns = frozenset(columns.tolist())
+
+    def __missing__(self, word: str) -> tuple[frozenset[int], list[tuple[str, int]]]:
+        """The word's own telling buckets, and its beginnings whose bucket tells if another word has them too."""
+        if len(self) > 1 << 18:
+            self.clear()
+        h, mask = xxhash.xxh32_intdigest, (1 << WIDTH) - 1
+        starts = [word[:n] for n in BEGINNINGS if len(word) > n]
+        own = frozenset(h(f) & mask for f in (f"{word}$", *starts)) & self.columns
+        shared = [(w, h(f"{w}+") & mask) for w in starts]
+        self[word] = out = (own, [(w, b) for w, b in shared if b in self.columns])
+        return out
+
+    def of(self, text: str) -> bytes:
+        """Those of buckets(text) that tell, as bytes."""
+        found: set[int] = set()
+        met: set[str] = set()
+        for word in set(_WORD.findall(text.lower())):
+            own, shared = self[word]
+            found |= own
+            for w, b in shared:
+                if w in met:
+                    found.add(b)
+                met.add(w)
+        return np.array(sorted(found), np.int32).tobytes()
 
 
 class Rows:
@@ -149,9 +175,10 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def descend(x: Rows, y: np.ndarray, before: Rows, after: Rows, l1: float, l2: float, weight: float, steps: int) -> tuple[np.ndarray, float]:
-    """Accelerated proximal gradient on the logistic loss, the penalty on score changes, and the norms."""
-    w, n, m = np.zeros(x.width), max(1, x.n), max(1, before.n)
+def descend(x: Rows, y: np.ndarray, before: Rows, after: Rows, l1: float, l2: float, weight: float, steps: int, times: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Accelerated proximal gradient on the logistic loss, the penalty on score changes, and the norms. times: how often each pair occurs."""
+    times = np.ones(before.n) if times is None else times
+    w, n, m = np.zeros(x.width), max(1, x.n), max(1.0, float(times.sum()))
     p = float(np.clip(y.mean() if len(y) else 0.0, 1e-3, 1 - 1e-3))
     bias = float(np.log(p / (1 - p)))
     ahead, ahead_bias, t, rate = w, bias, 1.0, 1.0
@@ -159,12 +186,12 @@ def descend(x: Rows, y: np.ndarray, before: Rows, after: Rows, l1: float, l2: fl
     def loss(w: np.ndarray, b: float) -> float:
         z = x.times(w) + b
         change = sigmoid(before.times(w) + b) - sigmoid(after.times(w) + b)
-        return float((np.logaddexp(0, z) - y * z).sum() / n + weight * (change**2).sum() / m + l2 / 2 * (w @ w))
+        return float((np.logaddexp(0, z) - y * z).sum() / n + weight * (times @ change**2) / m + l2 / 2 * (w @ w))
 
     for _ in range(steps):
         r = (sigmoid(x.times(ahead) + ahead_bias) - y) / n
         s0, s1 = sigmoid(before.times(ahead) + ahead_bias), sigmoid(after.times(ahead) + ahead_bias)
-        c = 2 * weight / m * (s0 - s1)
+        c = 2 * weight / m * times * (s0 - s1)
         g = x.back(r) + before.back(c * s0 * (1 - s0)) - after.back(c * s1 * (1 - s1)) + l2 * ahead
         gb = float(r.sum() + (c * (s0 * (1 - s0) - s1 * (1 - s1))).sum())
         here = loss(ahead, ahead_bias)
@@ -227,28 +254,38 @@ def fit(docs: DataFrame, labels: DataFrame, parts: int = 4, part: int = 2, sampl
     n, positive = chosen.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("label") > 0).cast("long")), F.lit(0))).first()
     if not n or positive in (0, n):
         return Model(bias=10.0 if n and positive else -10.0)
-    groups = mined_groups(chosen, n, positive) | GROUP_OF
-    features = saved(chosen.mapInArrow(sample_features(groups), "y int, x binary, before array<binary>, after array<binary>"), "features")
+    features = saved(chosen.mapInArrow(sample_features, "y int, x binary"), "features")
     columns = telling(features, n, positive)
-    shared = docs.sparkSession.sparkContext.broadcast(columns)
+    groups = mined_groups(chosen, n, positive) | GROUP_OF
+    shared = docs.sparkSession.sparkContext.broadcast((columns, groups))
+
+    def cut(x: np.ndarray) -> bytes:
+        return np.intersect1d(x, shared.value[0], assume_unique=True).tobytes()
 
     def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = lambda x: np.intersect1d(np.frombuffer(x, np.int32), shared.value, assume_unique=True).tobytes()
         for b in batches:
-            pairs = [[(u, v) for u, v in zip(map(cut, us), map(cut, vs), strict=True) if u != v] for us, vs in zip(b.column("before").to_pylist(), b.column("after").to_pylist(), strict=True)]
-            lists = [pa.array([[p[i] for p in own] for own in pairs], pa.list_(pa.binary())) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array([cut(x) for x in b.column("x").to_pylist()], pa.binary()), *lists], ["y", "x", "before", "after"])
-
-    rows = features.mapInArrow(narrowed, "y int, x binary, before array<binary>, after array<binary>").collect()
-    rows.sort(key=lambda r: (r["y"], bytes(r["x"])))
-    y = np.array([r["y"] for r in rows], float)
-    ids = lambda b: np.frombuffer(bytes(b), np.int32)
-    x, before, after = [ids(r["x"]) for r in rows], [ids(q) for r in rows for q in r["before"]], [ids(q) for r in rows for q in r["after"]]
+            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array([cut(np.frombuffer(x, np.int32)) for x in b.column("x").to_pylist()], pa.binary())], ["y", "x"])
+
+    def swapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        telling_of = Telling(shared.value[0])
+        for b in batches:
+            for text in b.column("text").to_pylist():
+                pairs = Counter((telling_of.of(u), telling_of.of(v)) for u, v in rewritten(text, shared.value[1]))
+                pairs = [(u, v, k) for (u, v), k in pairs.items() if u != v]
+                if pairs:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*pairs, strict=True), (pa.binary(), pa.binary(), pa.int64()), strict=True)], ["before", "after", "k"])
+
+    rows = features.mapInArrow(narrowed, "y int, x binary").toArrow().sort_by([("y", "ascending"), ("x", "ascending")])
+    # Sentences alike in their telling words are one pair with a count, so few pairs reach the driver.
+    pairs = chosen.select("text").mapInArrow(swapped, "before binary, after binary, k long").groupBy("before", "after").agg(F.sum("k").alias("k")).toArrow().sort_by([("before", "ascending"), ("after", "ascending")])
+    ids = lambda table, c: [np.frombuffer(b.as_py(), np.int32) for b in table.column(c)]
+    y, times = rows.column("y").to_numpy().astype(float), pairs.column("k").to_numpy().astype(float)
+    x, before, after = ids(rows, "x"), ids(pairs, "before"), ids(pairs, "after")
     for l1, l2, steps in ((L1, 0.0, 150), (0.0, L2, 200)):
-        w, bias = descend(Rows(x, columns), y, Rows(before, columns), Rows(after, columns), l1, l2, counterfactual, steps)
+        w, bias = descend(Rows(x, columns), y, Rows(before, columns), Rows(after, columns), l1, l2, counterfactual, steps, times)
         if l1:
             columns = columns[np.abs(w) > 1e-6]
-    return Model(bias, columns, w, len(before))
+    return Model(bias, columns, w, int(times.sum()))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

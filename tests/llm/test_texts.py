@@ -112,6 +112,15 @@ def test_groups_are_mined_from_labelled_texts(spark):
     assert model.pairs > 0
 
 
+def test_telling_buckets_equal_the_plain_ones():
+    rng = random.Random(3)
+    texts = [prose(rng, SYLLABLES["aa"], rng.randint(0, 30)) + " Rotten rottenness" for _ in range(40)]
+    every = np.unique(np.concatenate([toxicity.buckets(t) for t in texts]))
+    columns = np.sort(np.array(rng.sample(every.tolist(), len(every) // 2), np.int32))
+    telling = toxicity.Telling(columns)
+    assert [telling.of(t) for t in texts] == [np.intersect1d(toxicity.buckets(t), columns).astype(np.int32).tobytes() for t in texts]
+
+
 def plain_descent(x, y, before, after, l1, l2, weight, steps=60_000, rate=0.3):
     """Proximal gradient with a fixed step over dense rows."""
     w, b = np.zeros(x.shape[1]), 0.0
