@@ -70,7 +70,9 @@ def fin_years(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("total_assets", F.abs("stockholders_equity") + F.col("revenue"))
         .withColumn("total_liabilities", F.col("total_assets") - F.col("stockholders_equity"))
         .withColumn("operating_cash_flow", F.col("kept") - F.col("cost_of_revenue"))
-        .select("suppkey", "ticker", "name", "sector", "market", "currency", "fiscal_year", "period_end", *METRICS)
+        .withColumn("operating_income", F.col("gross_profit") - F.col("tax") * 0.5)
+        .withColumn("cash_and_equivalents", F.abs("acctbal") * 10.0)
+        .select("suppkey", "ticker", "name", "sector", "market", "currency", "fiscal_year", "period_end", *METRICS, "operating_income", "cash_and_equivalents")
     )
 
 
@@ -125,7 +127,8 @@ year_sums AS (
 fin_years AS (
     SELECT suppkey, ticker, name, sector, market, currency, fiscal_year, period_end, revenue, cost_of_revenue, revenue - cost_of_revenue AS gross_profit,
            revenue - cost_of_revenue - tax AS net_income, acctbal * 100.0::DOUBLE AS stockholders_equity, abs(acctbal * 100.0::DOUBLE) + revenue AS total_assets,
-           (abs(acctbal * 100.0::DOUBLE) + revenue) - acctbal * 100.0::DOUBLE AS total_liabilities, kept - cost_of_revenue AS operating_cash_flow
+           (abs(acctbal * 100.0::DOUBLE) + revenue) - acctbal * 100.0::DOUBLE AS total_liabilities, kept - cost_of_revenue AS operating_cash_flow,
+           revenue - cost_of_revenue - tax * 0.5::DOUBLE AS operating_income, abs(acctbal) * 10.0::DOUBLE AS cash_and_equivalents
     FROM year_sums JOIN companies USING (suppkey)
 )"""
 )

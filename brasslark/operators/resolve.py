@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,58 +11,123 @@ from brasslark.functions.similarity import seq_ratio
 from brasslark.functions.text import core_words, name_key, simplify
 
 #: Tiers of a match, best first. The last is too weak to be taken.
-TIERS = ("ticker", "exact", "prefix", "word", "fuzzy", "substring")
+TIERS = ("ticker", "exact", "prefix", "word", "core", "fuzzy", "substring")
+#: Ratios of the fuzzy tier, and lengths from which a tier applies.
 FUZZY, FUZZY_HEAD, FUZZY_LENGTH, SUGGEST = 0.88, 0.80, 5, 0.72
+INSIDE_LETTERS, JOINED_LETTERS, SUBSTRING_LETTERS = 6, 12, 4
 
 
 def _head(c):
     return F.split(c, " ")[0]
 
 
-def keyed(companies: DataFrame) -> DataFrame:
-    simple = simplify(F.col("name"))
-    return companies.select("ticker", "name", simple.alias("simple"), _head(simple).alias("head"))
+def _core(c):
+    return F.array_join(core_words(c), " ")
+
+
+def forms(companies: DataFrame) -> DataFrame:
+    """ticker, name, simple, head, core: one row for a company's name and each of its `aliases` (array<string>, if there)."""
+    named = F.array("name") if "aliases" not in companies.columns else F.array_compact(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))))
+    each = companies.select("ticker", "name", F.explode(F.array_distinct(named)).alias("form"))
+    simple = simplify(F.col("form"))
+    return each.select("ticker", "name", simple.alias("simple"), _head(simple).alias("head"), _core(simple).alias("core")).where("simple <> ''").distinct()
+
+
+def _grams(c, n: int):
+    """The n-grams of a text, each with the number of its occurrence, so that repeated ones count."""
+    whole = F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.transform(whole, lambda g, i: F.concat(g, F.size(F.filter(F.slice(whole, 1, i + 1), lambda x: x == g)).cast("string")))
+
+
+def _letters(c):
+    """How often each letter and digit occurs."""
+    return F.array(*[F.length(c) - F.length(F.replace(c, F.lit(x))) for x in "abcdefghijklmnopqrstuvwxyz0123456789 "])
+
+
+def _ratio_bound(a: str, b: str):
+    """No ratio of two strings is above twice their common letters over their lengths."""
+    common = F.aggregate(F.zip_with(f"{a}_letters", f"{b}_letters", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    return F.try_divide(2.0 * common, (F.length(a) + F.length(b)).cast("double"))
 
 
 def candidates(queries: DataFrame, companies: DataFrame, fuzzy: bool = True) -> DataFrame:
     """query, ticker, name, tier (its number), score: every company that a tier matches, each at its best tier.
 
-    Exact tiers are equi joins; prefix and word matches meet by their words; fuzzy ones by the first two letters of the
-    head word, so no tier compares every query with every name but `substring`, whose queries are those left over.
+    Companies have ticker and name, and may have aliases, market and symbol. A query that ends in .US or .VN asks for companies
+    of that market alone. No tier compares every query with every name. All tiers meet by equal keys that lose nothing: words
+    for prefixes, words and contained cores; 12 letters for joined cores; 3 for substrings. Names of a ratio of FUZZY share
+    at least 0.32 (n + m) - 1 bigrams, since every sign without a match breaks at most one pair of matched neighbours.
     """
-    names = keyed(companies)
-    q = queries.select("query").distinct().withColumn("q", simplify(F.col("query"))).withColumn("q_head", _head(F.col("q")))
+    names = forms(companies)
+    raw = F.trim("query")
+    suffix = F.upper(F.regexp_extract(raw, r"(?i)\.(us|vn)$", 1))
+    asked = F.when(suffix == "US", F.regexp_replace(raw, r"(?i)\.us$", "")).otherwise(raw)
+    q = queries.select("query").distinct().withColumn("suffix", suffix).withColumn("raw", asked)
+    q = q.withColumn("q", simplify(F.regexp_replace("raw", r"(?i)\.vn$", ""))).withColumn("q_head", _head(F.col("q"))).withColumn("q_core", _core(F.col("q")))
     one = F.lit(1.0)
 
     def tier(df: DataFrame, k: int, score=one) -> DataFrame:
-        return df.select("query", "ticker", "name", F.lit(k).alias("tier"), score.alias("score"))
+        return df.select("query", "suffix", "ticker", "name", F.lit(k).alias("tier"), score.alias("score"))
 
-    t0 = tier(q.join(names, F.upper(F.trim("query")) == F.upper("ticker")), 0)
-    t1 = tier(q.join(names, F.col("q") == F.col("simple")).where("q <> ''"), 1)
+    codes = F.array("ticker", "symbol") if "symbol" in companies.columns else F.array("ticker")
+    codes = companies.select("ticker", "name", F.explode(F.array_distinct(F.transform(codes, lambda c: F.upper(c)))).alias("code")).where("code is not null")
+    spelled = F.array_distinct(F.transform(F.array("raw", F.replace("q", F.lit(" ")), F.replace("q_core", F.lit(" "))), lambda c: F.upper(c)))
+    t0 = tier(q.withColumn("code", F.explode(spelled)).where("code <> ''").join(codes, "code").dropDuplicates(["query", "ticker"]), 0)
+    t1 = tier(q.where("q <> ''").join(names, F.col("q") == F.col("simple")), 1)
     words = names.withColumn("w", F.explode(F.array_distinct(F.split("simple", " "))))
     met = q.where("q <> ''").join(words, F.col("q_head") == F.col("w"))
     padded = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
     t2 = tier(met.where(F.col("simple").startswith(F.concat("q", F.lit(" ")))), 2)
     t3 = tier(met.where(padded(F.col("simple")).contains(padded(F.col("q")))), 3)
-    out = t0.unionByName(t1).unionByName(t2).unionByName(t3)
+
+    cored = q.where((F.length("q") >= SUBSTRING_LETTERS) & (F.col("q_core") != ""))
+    whole = cored.join(names, F.col("q_core") == F.col("core"))
+    core_words_of = names.withColumn("w", F.explode(F.array_distinct(F.split("core", " "))))
+    inside = cored.where((F.size(F.split("q_core", " ")) >= 2) & (F.length("q_core") >= INSIDE_LETTERS)).join(core_words_of, _head(F.col("q_core")) == F.col("w"))
+    inside = inside.where(padded(F.col("core")).contains(padded(F.col("q_core"))))
+    joined = lambda c: F.replace(c, F.lit(" "))
+    run = names.withColumn("j", joined(F.col("core"))).where(F.length("j") >= JOINED_LETTERS)
+    run = run.withColumn("w", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("j") - (JOINED_LETTERS - 1)), lambda i: F.substring("j", i, F.lit(JOINED_LETTERS))))))
+    long = cored.withColumn("qj", joined(F.col("q_core"))).where((F.length("qj") >= JOINED_LETTERS) & (F.size(F.split("q_core", " ")) >= 2))
+    long = long.join(run, F.substring("qj", 1, JOINED_LETTERS) == F.col("w")).where(F.col("j").contains(F.col("qj")))
+    t4 = tier(whole, 4).unionByName(tier(inside, 4)).unionByName(tier(long, 4))
+    out = reduce(DataFrame.unionByName, [t0, t1, t2, t3, t4])
     if fuzzy:
-        near = q.where(F.length("q") >= FUZZY_LENGTH).join(names, F.substring("q_head", 1, 2) == F.substring("head", 1, 2))
-        near = near.where(F.abs(F.length("q") - F.length("simple")) <= 0.3 * F.length("q"))
+        a = q.where(F.length("q") >= FUZZY_LENGTH).withColumn("g", F.explode(_grams(F.col("q"), 2)))
+        b = names.withColumn("g", F.explode(_grams(F.col("simple"), 2)))
+        near = a.join(b, "g").where(F.abs(F.length("q") - F.length("simple")) <= 0.3 * F.length("q"))
+        near = near.groupBy("query", "suffix", "q", "q_head", "ticker", "name", "simple", "head").agg(F.count(F.lit(1)).alias("common"))
+        near = near.where(F.col("common") >= 0.32 * (F.length("q") + F.length("simple")) - 1)
         near = near.withColumn("s", seq_ratio("q", "simple")).withColumn("h", seq_ratio("q_head", "head"))
-        out = out.unionByName(tier(near.where((F.col("s") >= FUZZY) & (F.col("h") >= FUZZY_HEAD)), 4, F.col("s")))
-    w = Window.partitionBy("query", "ticker").orderBy("tier", F.desc("score"))
-    return out.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+        out = out.unionByName(tier(near.where((F.col("s") >= FUZZY) & (F.col("h") >= FUZZY_HEAD)), 5, F.col("s")))
+    three = names.withColumn("w", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("simple") - 2, F.lit(1))), lambda i: F.substring("simple", i, F.lit(3))))))
+    weak = q.where(F.length("q") >= SUBSTRING_LETTERS).join(three, F.substring("q", 1, 3) == F.col("w")).where(F.col("simple").contains(F.col("q")))
+    out = out.unionByName(tier(weak, 6))
+    if "market" in companies.columns:
+        out = out.join(companies.select("ticker", F.upper("market").alias("_m")).distinct(), "ticker").where((F.col("suffix") == "") | (F.col("suffix") == F.col("_m"))).drop("_m")
+    w = Window.partitionBy("query", "ticker").orderBy("tier", F.desc("score"), "name")
+    return out.drop("suffix").withColumn("_r", F.row_number().over(w)).where("_r = 1").select("query", "ticker", "name", "tier", "score")
 
 
 def resolve(queries: DataFrame, companies: DataFrame, fuzzy: bool = True) -> DataFrame:
-    """query, status (ok, ambiguous, not_found), ticker, match, n_candidates, options: the best tier decides; more than one company there is ambiguous."""
+    """query, status (ok, ambiguous, not_found), ticker, match, n_candidates, options: the best tier decides; more than one company there is ambiguous.
+
+    Companies with one `cik` (if they have that column) are one: its shortest, then first ticker stands for all. A substring alone decides
+    nothing: the status is not_found, and the options say what has it.
+    """
     found = candidates(queries, companies, fuzzy)
-    best = found.withColumn("_b", F.min("tier").over(Window.partitionBy("query"))).where("tier = _b")
+    if "cik" in companies.columns:
+        found = found.join(companies.select("ticker", "cik").distinct(), "ticker", "left")
+        one = F.coalesce("cik", F.concat(F.lit("="), "ticker"))
+        found = found.groupBy("query", one.alias("_one")).agg(F.min("tier").alias("tier"), F.min_by("ticker", F.struct(F.length("ticker"), "ticker")).alias("ticker"))
+    least = found.groupBy("query").agg(F.min("tier").alias("_b"))
+    best = found.join(least, "query").where("tier = _b")
     per = best.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.min("tier").alias("tier"), F.array_sort(F.collect_set("ticker")).alias("options"))
     j = queries.select("query").distinct().join(per, "query", "left")
-    status = F.when(F.col("n").isNull(), "not_found").when(F.col("n") > 1, "ambiguous").otherwise("ok")
+    taken = F.col("n").isNotNull() & (F.col("tier") < len(TIERS) - 1)
+    status = F.when(~F.coalesce(taken, F.lit(False)), "not_found").when(F.col("n") > 1, "ambiguous").otherwise("ok")
     names = F.array(*[F.lit(t) for t in TIERS])
-    return j.select("query", status.alias("status"), F.when(F.col("n") == 1, F.col("options")[0]).alias("ticker"), F.element_at(names, F.col("tier") + 1).alias("match"), F.coalesce("n", F.lit(0)).alias("n_candidates"), F.coalesce("options", F.array().cast("array<string>")).alias("options"))
+    return j.select("query", status.alias("status"), F.when(taken & (F.col("n") == 1), F.col("options")[0]).alias("ticker"), F.when(taken, F.element_at(names, F.col("tier") + 1)).alias("match"), F.coalesce("n", F.lit(0)).alias("n_candidates"), F.coalesce("options", F.array().cast("array<string>")).alias("options"))
 
 
 def resolve_forms(queries: DataFrame, companies: DataFrame) -> DataFrame:
@@ -74,20 +141,30 @@ def resolve_forms(queries: DataFrame, companies: DataFrame) -> DataFrame:
 
 
 def suggestions(queries: DataFrame, companies: DataFrame, n: int = 3) -> DataFrame:
-    """query, ticker, name, score, place: the closest names of those that share the first letter; weak by definition."""
-    names = keyed(companies)
-    q = queries.select("query").distinct().withColumn("q", simplify(F.col("query"))).withColumn("q_head", _head(F.col("q")))
-    j = q.join(names, F.substring("q", 1, 1) == F.substring("simple", 1, 1)).where(F.abs(F.length("q") - F.length("simple")) <= F.greatest(F.lit(4), F.length("q")))
+    """query, ticker, name, score, place: the closest names of a stated set of queries, against all names; weak by definition.
+
+    Common letters bound a ratio from above, so only pairs that can reach SUGGEST are compared sign by sign.
+    """
+    names = forms(companies).withColumn("simple_letters", _letters(F.col("simple"))).withColumn("head_letters", _letters(F.col("head")))
+    q = queries.select("query").distinct().withColumn("q", simplify(F.col("query"))).withColumn("q_head", _head(F.col("q"))).where("q <> ''")
+    q = q.withColumn("q_letters", _letters(F.col("q"))).withColumn("q_head_letters", _letters(F.col("q_head")))
+    j = names.crossJoin(q).where((_ratio_bound("q", "simple") >= SUGGEST) | (_ratio_bound("q_head", "head") >= SUGGEST)).drop("q_letters", "q_head_letters", "simple_letters", "head_letters")
     j = j.withColumn("score", F.greatest(seq_ratio("q", "simple"), seq_ratio("q_head", "head"))).where(F.col("score") >= SUGGEST)
+    j = j.groupBy("query", "ticker", "name").agg(F.max("score").alias("score"))
     w = Window.partitionBy("query").orderBy(F.desc("score"), F.length("name"), "ticker")
     return j.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).select("query", "ticker", "name", "score", "place")
 
 
-def core_matches(queries: DataFrame, companies: DataFrame) -> DataFrame:
-    """query, ticker: names whose core words (without legal and filler words) are those of the query."""
-    key = lambda c: F.array_join(core_words(simplify(F.col(c))), " ")
-    a = queries.select("query", key("query").alias("k")).where("k <> ''")
-    return a.join(companies.select("ticker", key("name").alias("k")), "k").select("query", "ticker")
+def displayed(nodes: DataFrame) -> DataFrame:
+    """name, canonical: the spelling shown for each name, that of its key group."""
+    groups = key_groups(nodes).select("display", F.explode("members").alias("name"))
+    return nodes.select("name").distinct().join(groups, "name", "left").select("name", F.coalesce("display", "name").alias("canonical"))
+
+
+def review(nodes: DataFrame, least: int = 2) -> DataFrame:
+    """group_key, members, display, n over nodes (name): the groups of names that may be one entity and that a person should look at."""
+    groups = key_groups(nodes).withColumn("n", F.size("members"))
+    return groups.where(F.col("n") >= least)
 
 
 def find_ranked(nodes: DataFrame, queries: DataFrame, limit: int = 5) -> DataFrame:

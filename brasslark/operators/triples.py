@@ -27,6 +27,10 @@ STOP_ENTITIES = (
 )
 
 
+#: Letters of Vietnamese, whose names were translated.
+VIETNAMESE = "(?iu)[àáâãèéêìíòóôõùúýăđĩũơưạảấầẩẫậắằẳẵặẹẻẽếềểễệỉịọỏốồổỗộớờởỡợụủứừửữựỳỵỷỹ]"
+
+
 def relation(c) -> F.Column:
     """Upper case with underscores, other spellings replaced."""
     name = F.upper(F.regexp_replace(F.trim(c), r"[\s-]+", "_"))
@@ -36,7 +40,7 @@ def relation(c) -> F.Column:
 def validated(raw: DataFrame, chunks: DataFrame) -> DataFrame:
     """raw (chunk_id, source, source_type, relation, target, target_type, evidence, confidence) with relation normalised, confidence held to 0..1 and reject_reason (NULL: good).
 
-    Reasons, the first that applies: short_name, stop_entity, self_loop, off_ontology, no_evidence (the first 120 signs of the evidence are not in the chunk), repeated.
+    Reasons, the first that applies: short_name, stop_entity, self_loop, foreign_letters (names in filings in English have none), off_ontology, no_evidence (the first 120 signs of the evidence are not in the chunk), repeated.
     """
     spark = raw.sparkSession
     allowed = spark.createDataFrame([(*r, True) for r in RELATIONS], "rel string, source_type string, target_type string, allowed boolean")
@@ -47,7 +51,7 @@ def validated(raw: DataFrame, chunks: DataFrame) -> DataFrame:
     seen = F.contains(squeezed(F.col("text")), F.substring(squeezed(F.col("evidence")), 1, 120))
     w = Window.partitionBy("chunk_id", low("source"), "rel", low("target")).orderBy(F.desc("confidence"), "evidence")
     reason = (
-        F.when((F.length("source") < 2) | (F.length("target") < 2), "short_name").when(stop, "stop_entity").when(low("source") == low("target"), "self_loop")
+        F.when((F.length("source") < 2) | (F.length("target") < 2), "short_name").when(stop, "stop_entity").when(low("source") == low("target"), "self_loop").when(F.col("source").rlike(VIETNAMESE) | F.col("target").rlike(VIETNAMESE), "foreign_letters")
         .when(F.col("allowed").isNull(), "off_ontology").when(~F.coalesce(seen, F.lit(False)) | (F.trim("evidence") == ""), "no_evidence")
     )
     rows = rows.withColumn("reject_reason", reason)

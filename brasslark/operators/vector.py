@@ -25,9 +25,10 @@ def relaxed(hits: DataFrame, strict, wider, widest, k: int, key: str = "vec_id")
     """
     tier = F.when(strict, 0).when(wider, 1).when(widest, 2)
     rows = hits.withColumn("tier", tier).where("tier is not null")
-    w = Window.partitionBy("query_id")
-    rows = rows.withColumn("_best", F.min("tier").over(w)).where(F.col("tier") == F.col("_best"))
-    rows = rows.withColumn("place", F.row_number().over(w.orderBy(F.desc("score"), key))).where(F.col("place") <= k)
+    w = Window.partitionBy("query_id", "tier").orderBy(F.desc("score"), key)
+    rows = rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)  # each task keeps k rows a query and tier before rows meet
+    best = rows.groupBy("query_id").agg(F.min("tier").alias("_best"))
+    rows = rows.join(best, "query_id").where(F.col("tier") == F.col("_best"))
     names = F.array(F.lit("none"), F.lit("years"), F.lit("years and items"))
     return rows.withColumn("relaxed", F.element_at(names, F.col("tier") + 1)).drop("_best", "tier")
 

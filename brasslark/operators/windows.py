@@ -47,6 +47,5 @@ def share_below(df: DataFrame, pool: list[str], value: str, least: int = 5) -> C
 
 
 def upper_median(value: str) -> Column:
-    """The element at n // 2 of the sorted values: the upper of the two middle ones where n is even."""
-    ordered = F.array_sort(F.collect_list(value))
-    return F.element_at(ordered, (F.floor(F.size(ordered) / 2) + 1).cast("int"))
+    """The element at n // 2 of the sorted values: the upper of the two middle ones where n is even. Counts of values meet, not the values."""
+    return -F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY -`{value}`)")

@@ -23,13 +23,13 @@ def ratios(years: DataFrame) -> DataFrame:
 
 
 def peer_sets(subjects: DataFrame, companies: DataFrame, rivals: DataFrame) -> DataFrame:
-    """subject, ticker, basis: self-declared rivals (subject, ticker) where there are MIN_PEERS of them, else the same sector."""
+    """subject, ticker, basis: self-declared rivals (subject, ticker) where there are MIN_PEERS of them, else the same sector and market."""
     named = rivals.join(subjects.select(F.col("ticker").alias("subject")), "subject", "left_semi").distinct()
     enough = named.groupBy("subject").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_PEERS).select("subject")
     by_rivals = named.join(enough, "subject").select("subject", "ticker", F.lit("rivals").alias("basis"))
     rest = subjects.select(F.col("ticker").alias("subject")).join(enough, "subject", "left_anti")
-    own = companies.select(F.col("ticker").alias("subject"), "sector")
-    by_sector = rest.join(own, "subject").join(companies.select("ticker", "sector"), "sector").where("subject <> ticker")
+    own = companies.select(F.col("ticker").alias("subject"), "sector", "market")
+    by_sector = rest.join(own, "subject").join(companies.select("ticker", "sector", "market"), ["sector", "market"]).where("subject <> ticker")
     return by_rivals.unionByName(by_sector.select("subject", "ticker", F.lit("sector").alias("basis")))
 
 
@@ -50,8 +50,45 @@ def comparison_year(peers: DataFrame, years: DataFrame) -> DataFrame:
     return own.withColumn("warned", ~fits).withColumn("_r", F.row_number().over(w)).where("_r = 1").select("subject", "fiscal_year", "peers", "warned")
 
 
+#: What a pool of companies to compare has in common.
+POOL = ("sector", "market", "currency")
+
+
+def pooled(subjects: DataFrame, companies: DataFrame, years: DataFrame) -> DataFrame:
+    """benchmark of subjects whose peers are their sector, market and currency.
+
+    Such peers rank each other, so a pool is ranked once a year and metric, and no subject meets its peers one by one.
+    """
+    members = companies.where(F.col("currency").isNotNull()).select("ticker", *POOL)
+    figures = ratios(years.drop(*POOL).join(members, "ticker"))
+    size = members.groupBy(*POOL).agg((F.count(F.lit(1)) - 1).alias("_p"))
+    have = figures.groupBy(*POOL, "fiscal_year").agg((F.count(F.lit(1)) - 1).alias("peers"))
+    own = figures.select("ticker", *POOL, "fiscal_year").join(subjects.select("ticker"), "ticker", "left_semi").join(size, [*POOL]).join(have, [*POOL, "fiscal_year"])
+    fits = F.col("peers") >= F.greatest(F.lit(MIN_PEERS), F.floor(F.col("_p") / 2))
+    w = Window.partitionBy("ticker").orderBy((~fits).cast("int"), F.desc("fiscal_year"))
+    chosen = own.where(F.col("_p") >= MIN_PEERS).withColumn("_r", F.row_number().over(w)).where("_r = 1").select("ticker", "fiscal_year")
+    keys = [*POOL, "fiscal_year", "metric"]
+    tall = figures.unpivot(["ticker", *POOL, "fiscal_year"], [*RATIOS, "revenue"], "metric", "value")
+    middle = tall.where("value is not null").groupBy(*keys).agg(upper_median("value").alias("upper_median"))
+    placed = rank_in(tall, keys, "value").join(chosen, ["ticker", "fiscal_year"]).join(middle, keys)
+    full = placed.select(F.col("ticker").alias("subject"), F.lit("ok").alias("status"), "metric", "value", "rank", "n", "percentile", "upper_median", "fiscal_year")
+    few = subjects.select("ticker").join(members, "ticker").join(size, [*POOL]).where(F.col("_p") < MIN_PEERS).select(F.col("ticker").alias("subject"), F.lit("too_few_peers").alias("status"))
+    return full.unionByName(few, allowMissingColumns=True)
+
+
 def benchmark(subjects: DataFrame, companies: DataFrame, years: DataFrame, rivals: DataFrame) -> DataFrame:
-    """subject, status, metric, value, rank, n, percentile, upper_median, fiscal_year. Each metric has its own pool, the subject included; under MIN_PEERS peers there is no ranking."""
+    """subject, status, metric, value, rank, n, percentile, upper_median, fiscal_year. Each metric has its own pool, the subject included; under MIN_PEERS peers there is no ranking.
+
+    Subjects with rivals of their own, and those without a currency, meet their peers; all others share pools.
+    """
+    alone = rivals.groupBy("subject").agg(F.count_distinct("ticker").alias("n")).where(F.col("n") >= MIN_PEERS).select(F.col("subject").alias("ticker"))
+    alone = alone.union(companies.where(F.col("currency").isNull()).select("ticker")).distinct()
+    one = named(subjects.join(alone, "ticker", "left_semi"), companies, years, rivals)
+    return one.unionByName(pooled(subjects.join(alone, "ticker", "left_anti"), companies, years).select(*one.columns))
+
+
+def named(subjects: DataFrame, companies: DataFrame, years: DataFrame, rivals: DataFrame) -> DataFrame:
+    """benchmark of subjects that each have peers of their own."""
     peers = same_currency(peer_sets(subjects, companies, rivals), companies).where("kept").select("subject", "ticker")
     chosen = comparison_year(peers, years)
     pool = peers.unionByName(subjects.select(F.col("ticker").alias("subject"), "ticker"))

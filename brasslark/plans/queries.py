@@ -14,6 +14,7 @@ from brasslark.functions.reading import numbers_in
 from brasslark.operators import documents, graph, joins, resolve, triples, upserts, vector, windows
 from brasslark.plans import financials, peers, scorecard, sessions, verify, watch
 from brasslark.sources import xbrl
+from brasslark.sources.scratch import saved
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,30 +33,28 @@ def query(sql: str | None = None, *ints: str) -> Callable[[Query], Query]:
     return put
 
 
-def pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The companies that single-company queries ask for."""
-    return C.companies(spark, sf_dir).where("suppkey % 7 = 3").select("ticker")
+def every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.companies(spark, sf_dir).select("ticker")
 
 
-PICK = "ticker IN (SELECT ticker FROM companies WHERE suppkey % 7 = 3)"
 YEARS, OWN, KNOW = f"WITH {C.FIN_YEARS_SQL}", f"WITH {C.OWNERSHIP_SQL}", f"WITH {C.KNOWLEDGE_SQL}"
 
 
 # Figures
 
 
-@query(f"""{YEARS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY fiscal_year DESC) AS r FROM fin_years WHERE {PICK})
+@query(f"""{YEARS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY fiscal_year DESC) AS r FROM fin_years)
 SELECT ticker, fiscal_year, currency, 'revenue' AS metric, revenue AS value FROM ranked WHERE r <= 3
 UNION ALL SELECT ticker, fiscal_year, currency, 'net_income', net_income FROM ranked WHERE r <= 3""")
 def lookup_financials(spark, sf_dir):
-    return financials.lookup(C.fin_years(spark, sf_dir), pick(spark, sf_dir), ["revenue", "net_income", "no_such_metric"], limit=3)
+    return financials.lookup(C.fin_years(spark, sf_dir), every(spark, sf_dir), ["revenue", "net_income", "no_such_metric"], limit=3)
 
 
 @query(f"""{YEARS} SELECT fiscal_year, currency, ticker, net_income AS value,
 row_number() OVER (PARTITION BY fiscal_year, currency ORDER BY net_income DESC, ticker) AS place,
-min(currency) OVER (PARTITION BY fiscal_year) <> max(currency) OVER (PARTITION BY fiscal_year) AS mixed FROM fin_years WHERE {PICK}""", "place")
+min(currency) OVER (PARTITION BY fiscal_year) <> max(currency) OVER (PARTITION BY fiscal_year) AS mixed FROM fin_years""", "place")
 def compare_metric(spark, sf_dir):
-    return financials.compare(C.fin_years(spark, sf_dir), pick(spark, sf_dir), "net_income")
+    return financials.compare(C.fin_years(spark, sf_dir), every(spark, sf_dir), "net_income")
 
 
 @query(f"""{YEARS} SELECT ticker, name, fiscal_year, currency, revenue, net_income FROM fin_years
@@ -198,7 +197,9 @@ def sector_percentile(spark, sf_dir):
     return rows.select("ticker", "fiscal_year", F.round(windows.share_below(rows, ["sector", "currency", "fiscal_year"], "roe"), 6).alias("below"))
 
 
-PEERS = """peer_rows AS (SELECT a.ticker AS subject, b.ticker, a.currency AS own, b.currency FROM companies a JOIN companies b ON a.sector = b.sector AND a.ticker <> b.ticker WHERE a.suppkey % 7 = 3),
+#: Two markets that mix currencies, in place of the companies' own.
+MARKET = "CASE WHEN region IN ('ASIA', 'EUROPE') THEN 'X' ELSE 'Y' END"
+PEERS = f"""peer_rows AS (SELECT a.ticker AS subject, b.ticker, a.currency AS own, b.currency FROM (SELECT *, {MARKET} AS m FROM companies) a JOIN (SELECT *, {MARKET} AS m FROM companies) b ON a.sector = b.sector AND a.m = b.m AND a.ticker <> b.ticker),
 kept AS (SELECT subject, ticker FROM peer_rows WHERE own = currency)"""
 
 
@@ -206,10 +207,14 @@ def no_rivals(spark):
     return spark.createDataFrame([], "subject string, ticker string")
 
 
+def peer_companies(spark, sf_dir):
+    return C.companies(spark, sf_dir).withColumn("market", F.expr(MARKET))
+
+
 @query(f"{YEARS}, {PEERS} SELECT subject, count(*) FILTER (own = currency) AS kept, count(*) FILTER (own <> currency) AS dropped FROM peer_rows GROUP BY subject")
 def same_currency_dropped(spark, sf_dir):
-    companies = C.companies(spark, sf_dir)
-    rows = peers.same_currency(peers.peer_sets(pick(spark, sf_dir), companies, no_rivals(spark)), companies)
+    companies = peer_companies(spark, sf_dir)
+    rows = peers.same_currency(peers.peer_sets(every(spark, sf_dir), companies, no_rivals(spark)), companies)
     return rows.groupBy("subject").agg(F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("dropped"))
 
 
@@ -219,9 +224,9 @@ own AS (SELECT y.ticker AS subject, y.fiscal_year, total, coalesce(h.peers, 0) A
 ranked AS (SELECT *, peers >= greatest(3, total // 2) AS fits FROM own), best AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY CASE WHEN fits THEN 0 ELSE 1 END, fiscal_year DESC) AS r FROM ranked)
 SELECT subject, fiscal_year, peers, NOT fits AS warned FROM best WHERE r = 1""")
 def best_comparison_year(spark, sf_dir):
-    companies = C.companies(spark, sf_dir)
-    rows = peers.same_currency(peers.peer_sets(pick(spark, sf_dir), companies, no_rivals(spark)), companies).where("kept")
-    return peers.comparison_year(rows, C.fin_years(spark, sf_dir))
+    companies = peer_companies(spark, sf_dir)
+    rows = peers.same_currency(peers.peer_sets(every(spark, sf_dir), companies, no_rivals(spark)), companies).where("kept")
+    return peers.comparison_year(rows, saved(C.fin_years(spark, sf_dir), "years"))
 
 
 @query(f"""{YEARS}, {RATIOS}, {PEERS}, n AS (SELECT subject, count(*) AS p FROM kept GROUP BY subject HAVING count(*) >= 3),
@@ -233,46 +238,83 @@ tall AS (UNPIVOT (SELECT subject, ticker, fiscal_year, net_margin, gross_margin,
 ranked AS (SELECT *, rank() OVER (w ORDER BY value DESC) AS rank, count(*) OVER w AS n, row_number() OVER (w ORDER BY value) AS r FROM tall WINDOW w AS (PARTITION BY subject, metric)),
 middle AS (SELECT subject, metric, value AS upper_median FROM ranked WHERE r = n // 2 + 1)
 SELECT subject, 'ok' AS status, metric, round(value, 6) AS value, rank, n, round((n - rank) * 100.0 / nullif(n - 1, 0), 6) AS percentile, round(upper_median, 6) AS upper_median, fiscal_year FROM ranked JOIN middle USING (subject, metric) WHERE subject = ticker
-UNION ALL SELECT ticker, 'too_few_peers', NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM companies WHERE suppkey % 7 = 3 AND ticker NOT IN (SELECT subject FROM n)""", "rank")
+UNION ALL SELECT ticker, 'too_few_peers', NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM companies WHERE ticker NOT IN (SELECT subject FROM n)""", "rank")
 def peer_benchmark(spark, sf_dir):
-    rows = peers.benchmark(pick(spark, sf_dir), C.companies(spark, sf_dir), C.fin_years(spark, sf_dir), no_rivals(spark))
+    rows = peers.benchmark(every(spark, sf_dir), peer_companies(spark, sf_dir), saved(C.fin_years(spark, sf_dir), "years"), no_rivals(spark))
     return rows.withColumns({c: F.round(c, 6) for c in ("value", "percentile", "upper_median")})
 
 
-GROUPS = f"""{RATIOS}, placed AS (SELECT *, net_income * 100.0 / nullif(revenue, 0) AS margin,
+#: Two sectors in place of banks and insurers.
+PROFILE = "CASE sector WHEN 'SEC0' THEN 'bank' WHEN 'SEC1' THEN 'insurer' ELSE 'ordinary' END"
+
+
+def to_scale(x: str, worst: float, best: float) -> str:
+    return f"CASE WHEN ({x}) IS NOT NULL THEN greatest(0.0, least(100.0, (({x}) - {worst}) / ({best} - {worst})::DOUBLE * 100)) END"
+
+
+GROUPS = f"""base AS (SELECT *, {PROFILE} AS profile, CASE WHEN revenue > 0 THEN net_income * 100.0 / revenue END AS margin,
+CASE WHEN stockholders_equity > 0 THEN net_income * 100.0 / stockholders_equity END AS roe FROM fin_years), placed AS (SELECT *,
 CASE WHEN roe IS NOT NULL AND count(roe) OVER w >= 5 THEN (rank() OVER (w ORDER BY roe NULLS LAST) - 1) * 100.0 / count(roe) OVER w END AS roe_pct,
-CASE WHEN net_margin IS NOT NULL AND count(net_margin) OVER w >= 5 THEN (rank() OVER (w ORDER BY net_margin NULLS LAST) - 1) * 100.0 / count(net_margin) OVER w END AS margin_pct,
-row_number() OVER (PARTITION BY ticker ORDER BY fiscal_year DESC) AS back FROM ratios WINDOW w AS (PARTITION BY sector, currency, fiscal_year)),
-per AS (SELECT ticker, sector, currency, max(fiscal_year) AS latest_year, count(*) AS n_years, min_by(revenue, fiscal_year) FILTER (back <= 5) AS rev0, max_by(revenue, fiscal_year) AS rev1,
+CASE WHEN margin IS NOT NULL AND count(margin) OVER w >= 5 THEN (rank() OVER (w ORDER BY margin NULLS LAST) - 1) * 100.0 / count(margin) OVER w END AS margin_pct,
+row_number() OVER (PARTITION BY ticker ORDER BY fiscal_year DESC) AS back FROM base WINDOW w AS (PARTITION BY sector, currency, fiscal_year)),
+per AS (SELECT ticker, sector, currency, profile, max(fiscal_year) AS latest_year, count(*) AS n_years, min_by(revenue, fiscal_year) FILTER (back <= 5) AS rev0, max_by(revenue, fiscal_year) AS rev1,
 min_by(net_income, fiscal_year) FILTER (back <= 5) AS ni0, max_by(net_income, fiscal_year) AS ni1, max(fiscal_year) - min(fiscal_year) FILTER (back <= 5) AS span,
-max(roe) FILTER (back = 1) AS roe, max(roe_pct) FILTER (back = 1) AS roe_pct, max(margin_pct) FILTER (back = 1) AS margin_pct, max_by(stockholders_equity, fiscal_year) AS se, max_by(total_liabilities, fiscal_year) AS tl, max_by(total_assets, fiscal_year) AS ta,
-avg(operating_cash_flow / net_income) FILTER (back <= 3 AND net_income > 0) AS conversion, count(*) FILTER (back <= 5 AND net_income < 0) AS losses,
+max(roe) FILTER (back = 1) AS roe, max(roe_pct) FILTER (back = 1) AS roe_pct, max(margin_pct) FILTER (back = 1) AS margin_pct, max_by(stockholders_equity, fiscal_year) AS se, max_by(total_liabilities, fiscal_year) AS tl,
+max_by(total_assets, fiscal_year) AS ta, max_by(operating_income, fiscal_year) AS oi, max_by(cash_and_equivalents, fiscal_year) AS cash,
+avg(operating_cash_flow / net_income) FILTER (back <= 3 AND net_income > 0) AS conversion, count(*) FILTER (net_income < 0) AS losses,
 count(margin) FILTER (back <= 5) AS nm, avg(margin) FILTER (back <= 5) AS mm, stddev_pop(margin) FILTER (back <= 5) AS sm FROM placed GROUP BY ALL),
-parts AS (SELECT *, greatest(0, least(100, (CASE WHEN rev0 > 0 AND rev1 > 0 AND span > 0 THEN (power(rev1 / rev0, 1.0::DOUBLE / span) - 1) * 100 END + 10) / 30.0 * 100)) AS g1,
-CASE WHEN ni1 < 0 THEN 0.0 WHEN ni0 <= 0 AND ni1 > 0 THEN 60.0 WHEN ni0 > 0 AND ni1 > 0 AND span > 0 THEN greatest(0, least(100, ((power(ni1 / ni0, 1.0::DOUBLE / span) - 1) * 100 + 15) / 40.0 * 100)) END AS g2,
-CASE WHEN se <= 0 THEN 0.0 WHEN roe IS NOT NULL THEN greatest(0, least(100, roe / 20.0 * 100)) END AS p1,
-CASE WHEN se > 0 THEN greatest(0, least(100, (tl / se - 3) / -2.5 * 100)) ELSE 0.0 END AS h1, greatest(0, least(100, (se * 100.0 / ta - 10) / 25.0 * 100)) AS h2,
-CASE WHEN conversion IS NOT NULL THEN greatest(0, least(100, conversion / 1.2 * 100)) END AS earnings_quality,
-CASE losses WHEN 0 THEN 100.0 WHEN 1 THEN 50.0 ELSE 0.0 END AS s1, CASE WHEN nm >= 4 AND mm > 0 THEN greatest(0, least(100, (sm / mm - 1.0) / (0.15 - 1.0) * 100)) END AS s2 FROM per),
-grp AS (SELECT ticker, sector, currency, latest_year, CASE WHEN n_years >= 3 AND rev0 > 0 AND rev1 > 0 AND span > 0 THEN CASE WHEN g2 IS NULL THEN g1 ELSE (g1 + g2) / 2 END WHEN n_years >= 3 THEN g2 END AS growth,
-list_avg(list_filter([p1, roe_pct, margin_pct], lambda x: x IS NOT NULL)) AS profitability, (h1 + h2) / 2 AS health, earnings_quality,
-CASE WHEN n_years >= 3 THEN CASE WHEN s2 IS NULL THEN s1 ELSE (s1 + s2) / 2 END END AS stability FROM parts)"""
-
-
-@query(f"{YEARS}, {GROUPS} SELECT ticker, latest_year, round(growth, 5) AS growth, round(profitability, 5) AS profitability, round(health, 5) AS health, round(earnings_quality, 5) AS earnings_quality, round(stability, 5) AS stability FROM grp")
+parts AS (SELECT *, {to_scale("CASE WHEN rev0 > 0 AND rev1 > 0 AND span > 0 THEN (power(rev1 / rev0, 1.0::DOUBLE / span) - 1) * 100 END", -10, 20)} AS g1,
+CASE WHEN ni1 <= 0 THEN 0.0 WHEN ni0 <= 0 AND ni1 > 0 THEN 60.0 ELSE {to_scale("CASE WHEN ni0 > 0 AND ni1 > 0 AND span > 0 THEN (power(ni1 / ni0, 1.0::DOUBLE / span) - 1) * 100 END", -15, 25)} END AS g2,
+CASE WHEN se <= 0 THEN 0.0 WHEN profile = 'bank' THEN {to_scale("roe", 5, 20)} WHEN profile = 'insurer' THEN {to_scale("roe", 3, 15)} ELSE {to_scale("roe", 0, 20)} END AS p1,
+CASE WHEN profile = 'bank' THEN {to_scale("ni1 * 100.0 / nullif(ta, 0)", 0.5, 2.0)} ELSE margin_pct END AS p3,
+CASE WHEN se <= 0 THEN 0.0 ELSE {to_scale("tl / nullif(se, 0)", 3, 0.5)} END AS h1, {to_scale("cash * 100.0 / nullif(ta, 0)", 0, 15)} AS h2,
+CASE profile WHEN 'bank' THEN {to_scale("se * 100.0 / nullif(ta, 0)", 5, 12)} WHEN 'insurer' THEN {to_scale("se * 100.0 / nullif(ta, 0)", 10, 35)} END AS h3,
+{to_scale("conversion", 0, 1.2)} AS e1, CASE WHEN ni1 > 0 THEN {to_scale("oi / ni1", 0.6, 1.0)} END AS e2,
+CASE losses WHEN 0 THEN 100.0 WHEN 1 THEN 50.0 ELSE 0.0 END AS s1, {to_scale("CASE WHEN nm >= 4 AND mm > 0 THEN sm / mm END", 1.0, 0.15)} AS s2 FROM per),
+grp AS (SELECT ticker, sector, currency, profile, latest_year, rev1, ni1, se, CASE WHEN n_years >= 3 THEN list_avg(list_filter([g1, g2], lambda x: x IS NOT NULL)) END AS growth,
+list_avg(list_filter([p1, roe_pct, p3], lambda x: x IS NOT NULL)) AS profitability, CASE WHEN profile = 'ordinary' THEN list_avg(list_filter([h1, h2], lambda x: x IS NOT NULL)) ELSE h3 END AS health,
+list_avg(list_filter([e1, e2], lambda x: x IS NOT NULL)) AS earnings_quality, CASE WHEN n_years >= 3 THEN list_avg(list_filter([s1, s2], lambda x: x IS NOT NULL)) END AS stability FROM parts),
+t AS (SELECT *, CASE WHEN growth IS NOT NULL THEN 20.0 ELSE 0 END + CASE WHEN profitability IS NOT NULL THEN 20.0 ELSE 0 END + CASE WHEN health IS NOT NULL THEN 15.0 ELSE 0 END
+ + CASE WHEN profile = 'ordinary' AND earnings_quality IS NOT NULL THEN 10.0 ELSE 0 END + CASE WHEN stability IS NOT NULL THEN 10.0 ELSE 0 END AS used, CASE WHEN profile <> 'ordinary' THEN 65.0 ELSE 75.0 END AS possible,
+ coalesce(growth * 20, 0) + coalesce(profitability * 20, 0) + coalesce(health * 15, 0) + CASE WHEN profile <> 'ordinary' THEN 0 ELSE coalesce(earnings_quality * 10, 0) END + coalesce(stability * 10, 0) AS points FROM grp),
+raw AS (SELECT *, points / nullif(used, 0) AS score, CASE WHEN used / possible < 0.7 OR used = 0 OR 2001 - latest_year > 2 THEN 'unrated' WHEN points / used >= 70 THEN 'buy' WHEN points / used >= 45 THEN 'watch' ELSE 'avoid' END AS first FROM t),
+rated AS (SELECT *, first = 'buy' AND (ni1 <= 0 OR se <= 0) AS stopped, CASE WHEN first = 'buy' AND (ni1 <= 0 OR se <= 0) THEN 'watch' ELSE first END AS level FROM raw)"""
+
+
+def profiled(spark, sf_dir):
+    return saved(C.fin_years(spark, sf_dir).withColumn("profile", F.expr(PROFILE)), "years")
+
+
+def rated(spark, sf_dir):
+    """Saved twice: every score stands in many expressions of what follows, which would repeat all that it is made of."""
+    return saved(scorecard.totals(saved(scorecard.groups(profiled(spark, sf_dir)), "groups"), 2001), "rated")
+
+
+@query(f"{YEARS}, {GROUPS} SELECT ticker, profile, latest_year, round(growth, 5) AS growth, round(profitability, 5) AS profitability, round(health, 5) AS health, round(earnings_quality, 5) AS earnings_quality, round(stability, 5) AS stability FROM grp")
 def scorecard_groups(spark, sf_dir):
-    rows = scorecard.groups(C.fin_years(spark, sf_dir))
-    return rows.select("ticker", "latest_year", *[F.round(c, 5).alias(c) for c in ("growth", "profitability", "health", "earnings_quality", "stability")])
+    rows = scorecard.groups(profiled(spark, sf_dir))
+    return rows.select("ticker", "profile", "latest_year", *[F.round(c, 5).alias(c) for c in ("growth", "profitability", "health", "earnings_quality", "stability")])
 
 
-@query(f"""{YEARS}, {GROUPS}, w AS (SELECT *, sector = 'SEC0' AS bank FROM grp),
-t AS (SELECT ticker, latest_year, CASE WHEN growth IS NOT NULL THEN 20.0 ELSE 0 END + CASE WHEN profitability IS NOT NULL THEN 20.0 ELSE 0 END + CASE WHEN health IS NOT NULL THEN 15.0 ELSE 0 END
- + CASE WHEN NOT bank AND earnings_quality IS NOT NULL THEN 10.0 ELSE 0 END + CASE WHEN stability IS NOT NULL THEN 10.0 ELSE 0 END AS used, CASE WHEN bank THEN 65.0 ELSE 75.0 END AS possible,
- coalesce(growth * 20, 0) + coalesce(profitability * 20, 0) + coalesce(health * 15, 0) + CASE WHEN bank THEN 0 ELSE coalesce(earnings_quality * 10, 0) END + coalesce(stability * 10, 0) AS points FROM w)
-SELECT CASE WHEN used / possible < 0.7 OR used = 0 OR 2001 - latest_year > 2 THEN 'unrated' WHEN points / used >= 70 THEN 'buy' WHEN points / used >= 45 THEN 'watch' ELSE 'avoid' END AS level, count(*) AS n FROM t GROUP BY ALL""")
+@query(f"{YEARS}, {GROUPS} SELECT level, stopped, count(*) AS n FROM rated GROUP BY ALL")
 def scorecard_levels(spark, sf_dir):
-    rows = scorecard.groups(C.fin_years(spark, sf_dir)).withColumn("profile", F.when(F.col("sector") == "SEC0", "bank").otherwise("ordinary"))
-    return scorecard.totals(rows, 2001).groupBy("level").agg(F.count(F.lit(1)).alias("n"))
+    return rated(spark, sf_dir).groupBy("level", "stopped").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""{YEARS}, {GROUPS}, fit AS (SELECT *, row_number() OVER (PARTITION BY sector ORDER BY score DESC, ticker) AS place FROM rated WHERE level <> 'unrated' AND rev1 >= 50000),
+tall AS (UNPIVOT (SELECT ticker, growth, profitability, health, CASE WHEN profile = 'ordinary' THEN earnings_quality END AS earnings_quality, stability FROM fit) ON growth, profitability, health, earnings_quality, stability INTO NAME g VALUE v),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY v DESC, list_position(['growth', 'profitability', 'health', 'earnings_quality', 'stability'], g)) AS r, count(*) OVER (PARTITION BY ticker) AS n FROM tall),
+named AS (SELECT ticker, string_agg(g, ',' ORDER BY r) FILTER (r <= 2 AND v >= 60) AS strong, string_agg(g, ',' ORDER BY r) FILTER (r > n - 2 AND v < 45) AS weak FROM numbered GROUP BY ticker)
+SELECT sector, place, ticker, level, round(score, 5) AS score, coalesce(strong, '') AS strong, coalesce(weak, '') AS weak FROM fit LEFT JOIN named USING (ticker) WHERE place <= 10""", "place")
+def scorecard_sector_list(spark, sf_dir):
+    rows = scorecard.sector_list(rated(spark, sf_dir), 10, 50_000)
+    return rows.select("sector", "place", "ticker", "level", F.round("score", 5).alias("score"), F.array_join("strong", ",").alias("strong"), F.array_join("weak", ",").alias("weak"))
+
+
+@query(f"""{YEARS}, {GROUPS} SELECT sector, count(*) AS companies, count(*) FILTER (level <> 'unrated' AND rev1 < 50000) AS small, count(*) FILTER (level = 'unrated') AS unrated,
+count(*) FILTER (level = 'buy' AND rev1 >= 50000) AS buy, count(*) FILTER (level = 'watch' AND rev1 >= 50000) AS watch, count(*) FILTER (level = 'avoid' AND rev1 >= 50000) AS avoid FROM rated GROUP BY sector""")
+def scorecard_sector_counts(spark, sf_dir):
+    return scorecard.sector_counts(rated(spark, sf_dir), 50_000)
 
 
 @query(f"""{YEARS}, codes AS (SELECT ticker, (suppkey * 37) % 9000 AS code FROM companies), ranges AS (SELECT * FROM (VALUES ('A', 0, 999), ('A', 2000, 2999), ('B', 3000, 5999), ('C', 900, 2100)) t(sector, lo, hi)),
@@ -343,17 +385,27 @@ def node_edge_histogram(spark, sf_dir):
 
 
 def starts(spark, sf_dir):
-    return C.companies(spark, sf_dir).where("suppkey % 10 = 3").select(F.col("suppkey").alias("node"))
+    return C.companies(spark, sf_dir).select(F.col("suppkey").alias("node"))
+
+
+def questions(spark, sf_dir):
+    """Searches ask for every company whose number 20 divides, against all companies."""
+    return starts(spark, sf_dir).where("node % 20 = 0")
+
 
+def walk_sql(name: str, a: str, b: str) -> str:
+    return f"""{name}_walk AS (
+    SELECT suppkey AS start, [suppkey] AS path, []::DOUBLE[] AS percents, suppkey AS last, 0 AS depth FROM companies
+    UNION ALL SELECT start, list_append(path, {b}), list_append(percents, percent), {b}, depth + 1 FROM {name}_walk JOIN ownership ON last = {a} WHERE depth < 3 AND NOT list_contains(path, {b})
+), {name} AS (SELECT start, last AS "end", depth, path, list_reduce(list_prepend(1.0::DOUBLE, percents), lambda x, y: x * y) AS economic, list_min(percents) > 0.5 AS control, list_min(percents) AS weakest FROM {name}_walk WHERE depth > 0)"""
 
-def chain_sql(a: str, b: str) -> str:
-    return f"""WITH RECURSIVE {C.OWNERSHIP_SQL}, walk AS (
-    SELECT suppkey AS start, [suppkey] AS path, []::DOUBLE[] AS percents, suppkey AS last, 0 AS depth FROM companies WHERE suppkey % 10 = 3
-    UNION ALL SELECT start, list_append(path, {b}), list_append(percents, percent), {b}, depth + 1 FROM walk JOIN ownership ON last = {a} WHERE depth < 3 AND NOT list_contains(path, {b})
-), rows AS (SELECT start, last AS "end", depth, list_reduce(list_prepend(1.0::DOUBLE, percents), lambda x, y: x * y) AS economic, list_min(percents) > 0.5 AS control, list_min(percents) AS weakest FROM walk WHERE depth > 0)"""
 
+UP, DOWN = walk_sql("up", "company", "owner"), walk_sql("down", "owner", "company")
+CHAINS = f"WITH RECURSIVE {C.OWNERSHIP_SQL}, "
 
-KEPT = """SELECT start, "end", depth, round(economic, 8) AS economic, control, round(weakest, 8) AS weakest, CASE WHEN economic < 0.005 THEN 'too_small' ELSE 'kept' END AS reason FROM rows"""
+
+def kept_sql(name: str) -> str:
+    return f"""SELECT start, "end", depth, round(economic, 8) AS economic, control, round(weakest, 8) AS weakest, CASE WHEN economic < 0.005 THEN 'too_small' ELSE 'kept' END AS reason FROM {name}"""
 
 
 def chain_rows(spark, sf_dir, direction):
@@ -361,33 +413,53 @@ def chain_rows(spark, sf_dir, direction):
     return rows.select("start", "end", "depth", F.round("economic", 8).alias("economic"), "control", F.round("weakest", 8).alias("weakest"), "reason")
 
 
-@query(f"{chain_sql('company', 'owner')} {KEPT}")
+@query(f"{CHAINS}{UP} {kept_sql('up')}")
 def ownership_upstream(spark, sf_dir):
     return chain_rows(spark, sf_dir, "up")
 
 
-@query(f"{chain_sql('owner', 'company')} {KEPT}")
+@query(f"{CHAINS}{DOWN} {kept_sql('down')}")
 def ownership_downstream(spark, sf_dir):
     return chain_rows(spark, sf_dir, "down")
 
 
-@query(f"""{chain_sql('company', 'owner')} SELECT start, "end", count(*) AS chains, round(sum(economic), 6) AS estimated, bool_or(control) AS controls FROM rows WHERE economic >= 0.005 GROUP BY ALL""")
+@query(f"""{CHAINS}{UP} SELECT start, "end", count(*) AS chains, round(sum(economic), 6) AS estimated, bool_or(control) AS controls FROM up WHERE economic >= 0.005 GROUP BY ALL""")
 def ownership_between(spark, sf_dir):
     rows = graph.assembled(graph.chains(C.ownership(spark, sf_dir), starts(spark, sf_dir), 3)).where("reason = 'kept'")
     return rows.groupBy("start", "end").agg(F.count(F.lit(1)).alias("chains"), F.round(F.sum("economic"), 6).alias("estimated"), F.bool_or("control").alias("controls"))
 
 
+@query(f"""{CHAINS}{UP}, placed AS (SELECT *, depth = 1 AS direct, row_number() OVER (PARTITION BY start, depth = 1 ORDER BY control DESC, round(economic, 9) DESC, "end", path) AS place FROM up WHERE economic >= 0.005)
+SELECT start, direct, place, "end", CASE "end" % 3 WHEN 0 THEN 'company' WHEN 1 THEN 'person' ELSE 'organisation' END AS kind, control, round(economic, 8) AS economic FROM placed WHERE place <= 5""", "place")
+def ownership_ranked(spark, sf_dir):
+    rows = graph.assembled(graph.chains(C.ownership(spark, sf_dir), starts(spark, sf_dir), 3)).withColumn("economic", F.round("economic", 9))
+    label = F.when(F.col("end") % 3 == 0, "Company").when(F.col("end") % 3 == 1, "Person").otherwise("Organization")
+    return graph.ranked(rows, 5).select("start", "direct", "place", "end", graph.owner_kind(label).alias("kind"), "control", F.round("economic", 8).alias("economic"))
+
+
+@query(f"""{CHAINS}{UP}, {DOWN}, u AS (SELECT start, string_agg(DISTINCT CAST("end" AS VARCHAR), ',' ORDER BY CAST("end" AS VARCHAR)) FILTER (control AND economic >= 0.005) AS controllers, count(*) FILTER (economic >= 0.005) AS owners, count(*) FILTER (economic < 0.005) AS us FROM up GROUP BY start),
+d AS (SELECT start, string_agg(DISTINCT CAST("end" AS VARCHAR), ',' ORDER BY CAST("end" AS VARCHAR)) FILTER (control AND economic >= 0.005) AS controlled, count(*) FILTER (economic >= 0.005) AS holdings, count(*) FILTER (economic < 0.005) AS ds FROM down GROUP BY start),
+big AS (SELECT * FROM ownership WHERE percent >= 0.05), r AS (SELECT x.company AS start, count(DISTINCT y.company) AS related FROM big x JOIN big y USING (owner) WHERE x.company <> y.company GROUP BY x.company),
+j AS (SELECT suppkey AS start, coalesce(controllers, '') AS controllers, coalesce(controlled, '') AS controlled, coalesce(owners, 0) AS owners, coalesce(holdings, 0) AS holdings, coalesce(related, 0) AS related, coalesce(us, 0) + coalesce(ds, 0) AS too_small
+FROM companies LEFT JOIN u ON u.start = suppkey LEFT JOIN d ON d.start = suppkey LEFT JOIN r ON r.start = suppkey)
+SELECT start, controllers, controlled, CASE WHEN controllers <> '' AND controlled <> '' THEN 'both' WHEN controllers <> '' THEN 'controlled' WHEN controlled <> '' THEN 'controls' ELSE 'none' END AS verdict, owners, holdings, related, too_small, CAST(0 AS BIGINT) AS unknown_stakes,
+array_to_string(list_filter([CASE WHEN owners = 0 THEN 'no_owners' END, CASE WHEN holdings = 0 THEN 'no_holdings' END, CASE WHEN related = 0 THEN 'no_shared_owners' END], lambda x: x IS NOT NULL), ',') AS gaps FROM j""")
+def ownership_network(spark, sf_dir):
+    rows = graph.network(C.ownership(spark, sf_dir), starts(spark, sf_dir), 3)
+    listed = lambda c: F.array_join(F.array_sort(F.col(c).cast("array<string>")), ",")
+    return rows.withColumn("controllers", listed("controllers")).withColumn("controlled", listed("controlled")).withColumn("gaps", F.array_join("gaps", ","))
+
+
 @query(f"""{OWN} SELECT x.company AS "left", y.company AS "right", owner, x.percent AS left_percent, y.percent AS right_percent, x.percent >= 0.2 AND y.percent >= 0.2 AS both_large
-FROM ownership x JOIN ownership y USING (owner) WHERE x.company % 10 = 3 AND y.company BETWEEN x.company + 1 AND x.company + 40""")
+FROM ownership x JOIN ownership y USING (owner) WHERE x.company % 20 = 0 AND x.company <> y.company""")
 def common_holders(spark, sf_dir):
-    pairs = starts(spark, sf_dir).select(F.col("node").alias("left"), F.explode(F.sequence(F.col("node") + 1, F.col("node") + 40)).alias("right"))
-    return graph.common_holders(C.ownership(spark, sf_dir), pairs).select("left", "right", "owner", "left_percent", "right_percent", "both_large")
+    return graph.common_holders(C.ownership(spark, sf_dir), questions(spark, sf_dir)).select("left", "right", "owner", "left_percent", "right_percent", "both_large")
 
 
 @query(f"""{OWN}, big AS (SELECT * FROM ownership WHERE percent >= 0.05)
-SELECT x.company AS node, y.company AS other, count(DISTINCT owner) AS n, string_agg(DISTINCT CAST(owner AS VARCHAR), ',' ORDER BY CAST(owner AS VARCHAR)) AS owners FROM big x JOIN big y USING (owner) WHERE x.company % 10 = 3 AND x.company <> y.company GROUP BY ALL""")
+SELECT x.company AS node, y.company AS other, count(DISTINCT owner) AS n, string_agg(DISTINCT CAST(owner AS VARCHAR), ',' ORDER BY CAST(owner AS VARCHAR)) AS owners FROM big x JOIN big y USING (owner) WHERE x.company % 20 = 0 AND x.company <> y.company GROUP BY ALL""")
 def co_invested(spark, sf_dir):
-    rows = graph.co_invested(C.ownership(spark, sf_dir), starts(spark, sf_dir))
+    rows = graph.co_invested(C.ownership(spark, sf_dir), questions(spark, sf_dir))
     return rows.select("node", "other", F.size("owners").cast("long").alias("n"), F.array_join(F.array_sort(F.col("owners").cast("array<string>")), ",").alias("owners"))
 
 
@@ -396,22 +468,36 @@ def bridging_owners(spark, sf_dir):
     return C.ownership(spark, sf_dir).groupBy("owner").agg(F.count_distinct("company").alias("companies"), F.round(F.max("percent"), 8).alias("largest")).where("companies >= 2")
 
 
-@query(f"""{KNOW}, both_ways AS (SELECT src AS node, dst AS other, rel, 'out' AS direction, mentions, confidence FROM knowledge UNION ALL SELECT dst, src, rel, 'in', mentions, confidence FROM knowledge),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY coalesce(confidence, 0) DESC, other, rel, direction) AS place FROM both_ways WHERE node IN (SELECT ticker FROM companies WHERE suppkey % 7 = 3))
+#: Knowledge with the sentence it comes from, and stakes with their share and date.
+EDGES = f"""{KNOW}, {C.OWNERSHIP_SQL.split("companies AS", 1)[1].split("),", 1)[1].strip()}"""
+
+
+def told_edges(spark, sf_dir):
+    told = C.knowledge(spark, sf_dir).withColumn("evidence", F.concat_ws(" ", "src", "rel", "dst")).withColumn("doc_id", F.concat("src", F.lit("_10-K"))).withColumn("percent", F.lit(None).cast("double")).withColumn("as_of", F.lit(None).cast("string"))
+    code = lambda c: F.concat(F.lit("S"), F.col(c).cast("string"))
+    stakes = C.ownership(spark, sf_dir).select(code("company").alias("src"), F.lit("OWNED_BY").alias("rel"), code("owner").alias("dst"), F.lit(1).cast("long").alias("mentions"), F.lit(1.0).alias("confidence"), F.lit(None).cast("string").alias("evidence"), F.lit(None).cast("string").alias("doc_id"), "percent", F.lit("2001-12-31").alias("as_of"))
+    return told.unionByName(stakes)
+
+
+@query(f"""{EDGES}, e AS (SELECT src, rel, dst, mentions, confidence, concat_ws(' ', src, rel, dst) AS evidence, src || '_10-K' AS doc_id, NULL::DOUBLE AS percent, NULL::VARCHAR AS as_of FROM knowledge
+UNION ALL SELECT 'S' || company, 'OWNED_BY', 'S' || owner, 1, 1.0, NULL, NULL, percent, '2001-12-31' FROM ownership),
+both_ways AS (SELECT src AS node, dst AS other, rel, 'out' AS direction, * EXCLUDE (src, rel, dst) FROM e UNION ALL SELECT dst, src, rel, 'in', * EXCLUDE (src, rel, dst) FROM e),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY coalesce(confidence, 0) DESC, other, rel, direction) AS place FROM both_ways WHERE node IN (SELECT ticker FROM companies))
 SELECT * FROM ranked WHERE place <= 12""", "place")
 def neighbors_directed(spark, sf_dir):
-    return graph.top_neighbors(C.knowledge(spark, sf_dir), pick(spark, sf_dir).withColumnRenamed("ticker", "node"))
+    return graph.top_neighbors(told_edges(spark, sf_dir), every(spark, sf_dir).withColumnRenamed("ticker", "node"))
 
 
-@query(f"""WITH RECURSIVE {C.OWNERSHIP_SQL}, both_ways AS (SELECT company AS a, owner AS b FROM ownership UNION SELECT owner, company FROM ownership),
-pairs AS (SELECT suppkey AS source, suppkey + 5 AS target FROM companies WHERE suppkey % 10 = 3),
-walk AS (SELECT source, target, source AS last, [source] AS path FROM pairs UNION ALL SELECT source, target, b, list_append(path, b) FROM walk JOIN both_ways ON last = a WHERE len(path) <= 3 AND last <> target AND NOT list_contains(path, b)),
-hits AS (SELECT source, target, len(path) - 1 AS hops, path FROM walk WHERE last = target AND len(path) > 1), best AS (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY hops, path) AS r FROM hits)
-SELECT source, target, CAST(hops AS INTEGER) AS hops, array_to_string(path, '-') AS path FROM best WHERE r = 1""")
+@query(f"""WITH RECURSIVE {C.OWNERSHIP_SQL}, both_ways AS (SELECT a, b, min(told) AS told FROM (SELECT company AS a, owner AS b, 'OWNED_BY stake ' || company AS told FROM ownership UNION SELECT owner, company, 'OWNED_BY stake ' || company FROM ownership) GROUP BY ALL),
+walk AS (SELECT suppkey AS source, suppkey AS last, [suppkey] AS path, []::VARCHAR[] AS told FROM companies WHERE suppkey % 20 = 0
+UNION ALL SELECT source, b, list_append(path, b), list_append(walk.told, both_ways.told) FROM walk JOIN both_ways ON last = a WHERE len(path) <= 3 AND NOT list_contains(path, b)),
+best AS (SELECT *, row_number() OVER (PARTITION BY source, last ORDER BY len(path), path) AS r FROM walk WHERE len(path) > 1)
+SELECT source, last AS target, CAST(len(path) - 1 AS INTEGER) AS hops, array_to_string(path, '-') AS path, array_to_string(told, ';') AS told FROM best WHERE r = 1""")
 def shortest_path(spark, sf_dir):
-    edges = C.ownership(spark, sf_dir).select(F.col("company").alias("src"), F.lit("OWNED_BY").alias("rel"), F.col("owner").alias("dst"))
-    pairs = starts(spark, sf_dir).select(F.col("node").alias("source"), (F.col("node") + 5).alias("target"))
-    return graph.shortest_paths(edges, pairs, 3).withColumn("path", F.array_join(F.col("path").cast("array<string>"), "-"))
+    edges = C.ownership(spark, sf_dir).select(F.col("company").alias("src"), F.lit("OWNED_BY").alias("rel"), F.col("owner").alias("dst"), F.concat(F.lit("stake "), F.col("company").cast("string")).alias("evidence"))
+    rows = graph.shortest_paths(edges, questions(spark, sf_dir).select(F.col("node").alias("source")), 3)
+    told = F.zip_with("rels", "evidence", lambda r, e: F.concat_ws(" ", r, e))
+    return rows.select("source", "target", "hops", F.array_join(F.col("path").cast("array<string>"), "-").alias("path"), F.array_join(told, ";").alias("told"))
 
 
 @query(f"{KNOW} SELECT node, count(*) AS knowledge, CAST(0 AS BIGINT) AS ownership, CAST(0 AS BIGINT) AS infra FROM (SELECT src AS node FROM knowledge UNION ALL SELECT dst FROM knowledge) GROUP BY node")
@@ -430,10 +516,28 @@ def entity_merge(spark, sf_dir):
 # Names
 
 
-@query()
+KEYED = """WITH keys AS (SELECT DISTINCT name, regexp_replace(regexp_replace(lower(name), '\\b(inc)\\b\\.?', '', 'g'), '[^a-z0-9]', '', 'g') AS k FROM (SELECT p_name || CASE WHEN p_partkey % 2 = 0 THEN ' Inc.' ELSE '' END AS name FROM part)),
+d AS (SELECT DISTINCT k FROM keys), fold AS (SELECT a.k AS short, min(b.k) AS long FROM d a JOIN d b ON length(a.k) >= 12 AND length(b.k) > length(a.k) AND length(b.k) - length(a.k) <= 5 AND starts_with(b.k, a.k) GROUP BY a.k),
+named AS (SELECT name, coalesce(long, k) AS group_key FROM keys LEFT JOIN fold ON k = short WHERE k <> ''), shown AS (SELECT group_key, list_sort(list(name)) AS members, min_by(name, {'a': CASE WHEN upper(name) = name THEN 1 ELSE 0 END, 'b': -length(name), 'c': name}) AS display FROM named GROUP BY group_key)"""
+
+
+def part_names(spark, sf_dir):
+    return C.table(spark, sf_dir, "part").select(F.concat("p_name", F.when(F.col("p_partkey") % 2 == 0, F.lit(" Inc.")).otherwise(F.lit(""))).alias("name"))
+
+
+@query(f"{KEYED} SELECT group_key, array_to_string(members, '|') AS members, display FROM shown")
 def name_key_groups(spark, sf_dir):
-    names = C.table(spark, sf_dir, "part").select(F.concat("p_name", F.when(F.col("p_partkey") % 2 == 0, F.lit(" Inc.")).otherwise(F.lit(""))).alias("name"))
-    return resolve.key_groups(names)
+    return resolve.key_groups(part_names(spark, sf_dir)).withColumn("members", F.array_join("members", "|"))
+
+
+@query(f"{KEYED} SELECT name, display AS canonical FROM (SELECT unnest(members) AS name, display FROM shown)")
+def canonical_names(spark, sf_dir):
+    return resolve.displayed(part_names(spark, sf_dir))
+
+
+@query(f"{KEYED} SELECT group_key, display, CAST(len(members) AS INTEGER) AS n FROM shown WHERE len(members) >= 2")
+def merge_review(spark, sf_dir):
+    return resolve.review(part_names(spark, sf_dir)).select("group_key", "display", "n")
 
 
 def asked(spark, sf_dir):
@@ -444,12 +548,12 @@ def asked(spark, sf_dir):
 @query("""WITH q AS (SELECT CASE s_suppkey % 3 WHEN 0 THEN lower(s_name) WHEN 1 THEN 'S' || s_suppkey ELSE s_name || ' Ltd' END AS query, 'S' || s_suppkey AS ticker, s_suppkey % 3 AS k FROM supplier)
 SELECT query, 'ok' AS status, ticker, CASE k WHEN 1 THEN 'ticker' ELSE 'exact' END AS match FROM q""")
 def resolve_names(spark, sf_dir):
-    return resolve.resolve(asked(spark, sf_dir), C.companies(spark, sf_dir), fuzzy=False).select("query", "status", "ticker", "match")
+    return resolve.resolve(asked(spark, sf_dir), C.companies(spark, sf_dir).drop("market")).select("query", "status", "ticker", "match")
 
 
-@query()
+@query("""SELECT 'S' || s_suppkey || ' (' || s_name || ')' AS query, 'ok' AS status, 'S' || s_suppkey AS ticker FROM supplier""")
 def resolve_forms(spark, sf_dir):
-    names = C.companies(spark, sf_dir)
+    names = C.companies(spark, sf_dir).drop("market")
     return resolve.resolve_forms(names.select(F.format_string("%s (%s)", "ticker", "name").alias("query")), names)
 
 
@@ -470,7 +574,7 @@ def find_entity_ranked(spark, sf_dir):
 
 @query()
 def accent_insensitive_match(spark, sf_dir):
-    docs = C.table(spark, sf_dir, "documents").select("doc_id", F.element_at(F.split("text", " "), 1).alias("word"))
+    docs = C.table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word")).where("word <> ''")
     plain = docs.select("doc_id", "word", X.fold(F.col("word")).alias("folded"))
     return plain.where(F.collate("word", "UNICODE_CI_AI") == F.collate("folded", "UNICODE_CI_AI"))
 
@@ -522,31 +626,31 @@ COSINE = "list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DO
 
 
 def asked_vectors(spark, sf_dir):
-    return C.table(spark, sf_dir, "embeddings").where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return C.table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
 
 
-@query(f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, {COSINE} AS score FROM embeddings e, embeddings q WHERE q.vec_id < 5), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM s)
+@query(f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, {COSINE} AS score FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM s)
 SELECT query_id, vec_id, round(score, 6) AS score, place FROM r WHERE place <= 10""", "place")
 def vector_topk(spark, sf_dir):
     return vector.top_k(C.table(spark, sf_dir, "embeddings"), asked_vectors(spark, sf_dir), 10).withColumn("score", F.round("score", 6))
 
 
-@query(f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, {COSINE} AS score FROM embeddings e, embeddings q WHERE q.vec_id < 5 AND e.label IN (1, 4)), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM s)
+@query(f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, {COSINE} AS score FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0 AND e.label IN (1, 4)), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM s)
 SELECT query_id, vec_id, round(score, 6) AS score, place FROM r WHERE place <= 10""", "place")
 def vector_topk_filtered(spark, sf_dir):
     rows = C.table(spark, sf_dir, "embeddings").where(F.col("label").isin(1, 4))
     return vector.top_k(rows, asked_vectors(spark, sf_dir), 10).withColumn("score", F.round("score", 6))
 
 
-@query(f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, e.label, {COSINE} AS score FROM embeddings e, embeddings q WHERE q.vec_id < 5),
-t AS (SELECT *, CASE WHEN label = query_id AND vec_id % 97 = query_id * 20 THEN 0 WHEN label = query_id AND vec_id % 2 = 0 THEN 1 WHEN label IN (0, 1, 2) THEN 2 END AS tier FROM s),
+@query(f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, e.label, {COSINE} AS score FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0),
+t AS (SELECT *, CASE WHEN label = query_id % 10 AND vec_id % 97 = query_id % 97 THEN 0 WHEN label = query_id % 10 AND vec_id % 2 = 0 THEN 1 WHEN label IN (0, 1, 2) THEN 2 END AS tier FROM s),
 b AS (SELECT *, min(tier) OVER (PARTITION BY query_id) AS best FROM t WHERE tier IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM b WHERE tier = best)
 SELECT query_id, vec_id, round(score, 6) AS score, place, ['none', 'years', 'years and items'][tier + 1] AS relaxed FROM r WHERE place <= 6""", "place")
 def search_relaxation(spark, sf_dir):
     emb = C.table(spark, sf_dir, "embeddings")
-    hits = emb.crossJoin(asked_vectors(spark, sf_dir)).select("query_id", "vec_id", "label", N.cosine(F.col("embedding"), F.col("query")).alias("score"))  # five stated queries
-    same = F.col("label") == F.col("query_id")
-    rows = vector.relaxed(hits, same & (F.col("vec_id") % 97 == F.col("query_id") * 20), same & (F.col("vec_id") % 2 == 0), F.col("label").isin(0, 1, 2), 6)
+    hits = emb.crossJoin(asked_vectors(spark, sf_dir)).select("query_id", "vec_id", "label", N.cosine(F.col("embedding"), F.col("query")).alias("score"))  # the stated queries against all
+    same = F.col("label") == F.col("query_id") % 10
+    rows = vector.relaxed(hits, same & (F.col("vec_id") % 97 == F.col("query_id") % 97), same & (F.col("vec_id") % 2 == 0), F.col("label").isin(0, 1, 2), 6)
     return rows.select("query_id", "vec_id", F.round("score", 6).alias("score"), "place", "relaxed")
 
 
@@ -758,13 +862,17 @@ def events_session(spark, sf_dir):
 # Grading
 
 
-@query("""WITH j AS (SELECT d.doc_id AS answer_id, b.text AS entity, contains(upper(d.text), upper(b.text)) AS hit FROM documents d, (SELECT split_part(text, ' ', 1) AS text, item_id FROM benchmark WHERE item_id < 3) b)
+@query("""WITH n AS (SELECT max(item_id) + 1 AS n FROM benchmark), wanted AS (SELECT item_id, unnest(list_distinct(list_filter(string_split(text, ' '), lambda w: length(w) >= 5))) AS entity FROM benchmark),
+j AS (SELECT d.doc_id AS answer_id, entity, coalesce(contains(upper(d.text), upper(entity)), false) AS hit FROM documents d JOIN wanted ON item_id = d.doc_id % (SELECT n FROM n))
 SELECT answer_id, round(avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END), 6) AS recall, max(CASE WHEN hit THEN 1.0 ELSE 0.0 END) AS any_form FROM j GROUP BY answer_id""")
 def grade_entities(spark, sf_dir):
+    """Each document is asked for the longer words of one benchmark item; all items are asked for in turn."""
+    items = C.table(spark, sf_dir, "benchmark")
+    wanted = items.select("item_id", F.explode(F.array_distinct(F.filter(F.split("text", " "), lambda w: F.length(w) >= 5))).alias("entity"))
     answers = C.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("answer_id"), "text")
-    wanted = C.table(spark, sf_dir, "benchmark").where("item_id < 3").select(F.split("text", " ")[0].alias("entity"))
-    rows = verify.grade_entities(answers, answers.select("answer_id").crossJoin(wanted))  # three stated entities
-    return rows.withColumn("recall", F.round("recall", 6))
+    n = items.agg((F.max("item_id") + 1).alias("n"))
+    asked = answers.select("answer_id").crossJoin(F.broadcast(n)).select("answer_id", (F.col("answer_id") % F.col("n")).alias("item_id"))  # one row on the right
+    return verify.grade_entities(answers, asked.join(wanted, "item_id").select("answer_id", "entity")).withColumn("recall", F.round("recall", 6))
 
 
 @query()
@@ -859,11 +967,11 @@ def refresh_due(spark, sf_dir):
     return watch.due(steps, F.lit("1999-01-01").cast("date")).drop("cadence_days")
 
 
-@query(f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, e.label, {COSINE} AS score FROM embeddings e, embeddings q WHERE q.vec_id < 5),
+@query(f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, e.label, {COSINE} AS score FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0),
 u AS (SELECT query_id, vec_id, score, 0 AS priority FROM s WHERE label = 3 AND vec_id % 16 = 0 UNION ALL SELECT query_id, vec_id, score, 1 FROM s WHERE label = 7),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY priority, score DESC, vec_id) AS place FROM u) SELECT query_id, vec_id, round(score, 6) AS score, priority, place FROM r WHERE place <= 8""", "place")
 def stacked_hits(spark, sf_dir):
-    hits = C.table(spark, sf_dir, "embeddings").crossJoin(asked_vectors(spark, sf_dir)).select("query_id", "vec_id", "label", N.cosine(F.col("embedding"), F.col("query")).alias("score"))  # five stated queries
+    hits = C.table(spark, sf_dir, "embeddings").crossJoin(asked_vectors(spark, sf_dir)).select("query_id", "vec_id", "label", N.cosine(F.col("embedding"), F.col("query")).alias("score"))  # the stated queries against all
     first, second = hits.where("label = 3 AND vec_id % 16 = 0").drop("label"), hits.where("label = 7").drop("label")
     return joins.stacked(first, second, ["query_id"], [F.desc("score"), F.col("vec_id")], 8).withColumn("score", F.round("score", 6))
 

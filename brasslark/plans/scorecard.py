@@ -59,52 +59,73 @@ def mean_known(*parts: Column) -> Column:
     return F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda s, x: s + x) / F.size(known))
 
 
+#: Worst and best of the ratios that depend on the profile, in percent.
+ROE = {"bank": (5, 20), "insurer": (3, 15), "ordinary": (0, 20)}
+EQUITY_SHARE = {"bank": (5, 12), "insurer": (10, 35)}
+
+
+def by_profile(value: Column, ranges: dict[str, tuple[float, float]]) -> Column:
+    """The value on the scale of the row's profile; NULL for a profile without one."""
+    out = F.lit(None).cast("double")
+    for name, (worst, best) in ranges.items():
+        out = F.when(F.col("profile") == name, scale(value, worst, best)).otherwise(out)
+    return out
+
+
 def groups(years: DataFrame) -> DataFrame:
-    """ticker, sector, currency, latest_year and the five groups that a company's own figures give, for its latest year.
+    """ticker, sector, currency, profile, latest_year, revenue, net_income, stockholders_equity and the five groups that a company's own figures give, for its latest year.
 
-    Percentiles are taken among companies of the sector, year and currency. Fewer than MIN_YEARS years leave growth and
-    stability unknown.
+    years has a profile (bank, insurer or ordinary) beside the figures. Percentiles are taken among companies of the
+    sector, year and currency. Fewer than MIN_YEARS years leave growth and stability unknown. Losses are counted over all
+    years, margins over the last five, cash conversion over the last three with a profit.
     """
     c = F.col
-    margin = divide(c("net_income") * 100.0, c("revenue"))
+    margin = F.when(c("revenue") > 0, divide(c("net_income") * 100.0, c("revenue")))
     rows = years.withColumn("margin", margin).withColumn("roe", F.when(c("stockholders_equity") > 0, divide(c("net_income") * 100.0, c("stockholders_equity"))))
     for name in ("roe", "margin"):
         rows = rows.withColumn(f"{name}_pct", share_below(rows, ["sector", "currency", "fiscal_year"], name, MIN_PEERS))
     back = F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("fiscal_year")))
     rows = rows.withColumn("back", back)
     last = lambda x, n: F.when(c("back") <= n, x)
-    per = rows.groupBy("ticker", "sector", "currency").agg(
+    first = lambda x: F.min_by(last(c(x), 5), last(c("fiscal_year"), 5))
+    latest = ("revenue", "net_income", "roe", "roe_pct", "margin_pct", "stockholders_equity", "total_liabilities", "total_assets", "operating_income", "cash_and_equivalents")
+    per = rows.groupBy("ticker", "sector", "currency", "profile").agg(
         F.max("fiscal_year").alias("latest_year"),
         F.count(F.lit(1)).alias("n_years"),
-        F.min_by(last(c("revenue"), 5), last(c("fiscal_year"), 5)).alias("rev0"),
-        F.max_by("revenue", "fiscal_year").alias("rev1"),
-        F.min_by(last(c("net_income"), 5), last(c("fiscal_year"), 5)).alias("ni0"),
-        F.max_by("net_income", "fiscal_year").alias("ni1"),
+        first("revenue").alias("rev0"),
+        first("net_income").alias("ni0"),
         (F.max("fiscal_year") - F.min(last(c("fiscal_year"), 5))).cast("double").alias("span"),
-        *[F.max_by(x, "fiscal_year").alias(x) for x in ("roe", "roe_pct", "margin_pct", "stockholders_equity", "total_liabilities", "total_assets")],
+        *[F.max_by(x, "fiscal_year").alias(x) for x in latest],
         F.avg(F.when((c("back") <= 3) & (c("net_income") > 0), divide(c("operating_cash_flow"), c("net_income")))).alias("conversion"),
-        F.count_if((c("back") <= 5) & (c("net_income") < 0)).alias("losses"),
+        F.count_if(F.coalesce(c("net_income") < 0, F.lit(False))).alias("losses"),
         F.count(last(c("margin"), 5)).alias("n_margin"),
         F.avg(last(c("margin"), 5)).alias("mean_margin"),
         F.stddev_pop(last(c("margin"), 5)).alias("sd_margin"),
     )
-    enough = c("n_years") >= MIN_YEARS
-    profit = F.when(c("ni1") < 0, 0.0).when((c("ni0") <= 0) & (c("ni1") > 0), 60.0).otherwise(scale(cagr_pct(c("ni0"), c("ni1"), c("span")), -15, 25))
-    roe = F.when(c("stockholders_equity") <= 0, 0.0).otherwise(scale(c("roe"), 0, 20))
-    debt = F.when(c("stockholders_equity") > 0, scale(divide(c("total_liabilities"), c("stockholders_equity")), 3, 0.5)).otherwise(0.0)
+    enough, ordinary = c("n_years") >= MIN_YEARS, c("profile") == "ordinary"
+    income, equity, assets = c("net_income"), c("stockholders_equity"), c("total_assets")
+    profit = F.when(income <= 0, 0.0).when((c("ni0") <= 0) & (income > 0), 60.0).otherwise(scale(cagr_pct(c("ni0"), income, c("span")), -15, 25))
+    roe = F.when(equity <= 0, 0.0).otherwise(by_profile(c("roe"), ROE))
+    roa = scale(divide(income * 100.0, assets), 0.5, 2.0)
+    debt = F.when(equity <= 0, 0.0).otherwise(scale(divide(c("total_liabilities"), equity), 3, 0.5))
+    cash = scale(divide(c("cash_and_equivalents") * 100.0, assets), 0, 15)
+    core = F.when(income > 0, scale(divide(c("operating_income"), income), 0.6, 1.0))
     cv = F.when((c("n_margin") >= 4) & (c("mean_margin") > 0), divide(c("sd_margin"), c("mean_margin")))
     return per.select(
-        "ticker", "sector", "currency", "latest_year",
-        F.when(enough, mean_known(scale(cagr_pct(c("rev0"), c("rev1"), c("span")), -10, 20), profit)).alias("growth"),
-        mean_known(roe, c("roe_pct"), c("margin_pct")).alias("profitability"),
-        mean_known(debt, scale(divide(c("stockholders_equity") * 100.0, c("total_assets")), 10, 35)).alias("health"),
-        scale(c("conversion"), 0, 1.2).alias("earnings_quality"),
+        "ticker", "sector", "currency", "profile", "latest_year", "revenue", "net_income", "stockholders_equity",
+        F.when(enough, mean_known(scale(cagr_pct(c("rev0"), c("revenue"), c("span")), -10, 20), profit)).alias("growth"),
+        mean_known(roe, c("roe_pct"), F.when(c("profile") == "bank", roa).otherwise(c("margin_pct"))).alias("profitability"),
+        F.when(ordinary, mean_known(debt, cash)).otherwise(by_profile(divide(equity * 100.0, assets), EQUITY_SHARE)).alias("health"),
+        mean_known(scale(c("conversion"), 0, 1.2), core).alias("earnings_quality"),
         F.when(enough, mean_known(F.when(c("losses") == 0, 100.0).when(c("losses") == 1, 50.0).otherwise(0.0), scale(cv, 1.0, 0.15))).alias("stability"),
     )
 
 
 def totals(scores: DataFrame, as_of_year: int) -> DataFrame:
-    """scores (group columns, profile) with coverage, score and level: weights of unknown groups are shared out, excluded ones don't count; low coverage or stale figures leave the company unrated."""
+    """scores (group columns, profile) with coverage, score and level: weights of unknown groups are shared out, excluded ones don't count; low coverage or stale figures leave the company unrated.
+
+    A company with a loss or no income in its latest year, or without equity, is never better than "watch"; `stopped` says so.
+    """
     names = [g for g in WEIGHTS if g in scores.columns]
     applies = {g: ~F.coalesce(F.col("profile").isin(*[p for p, x in EXCLUDED.items() if g in x] or [""]), F.lit(False)) for g in names}
     weight = lambda g, ok: F.when(ok, WEIGHTS[g]).otherwise(0.0)
@@ -116,7 +137,35 @@ def totals(scores: DataFrame, as_of_year: int) -> DataFrame:
     level = F.when((F.col("coverage") < MIN_COVERAGE) | F.col("score").isNull() | (F.lit(as_of_year) - F.col("latest_year") > STALE_YEARS), "unrated")
     for least, name in LEVELS:
         level = level.when(F.col("score") >= least, name)
-    return rows.withColumn("level", level)
+    rows = rows.withColumn("level", level)
+    held_back = (F.coalesce("net_income", F.lit(0.0)) <= 0) | (F.coalesce("stockholders_equity", F.lit(0.0)) <= 0)
+    rows = rows.withColumn("stopped", (F.col("level") == LEVELS[0][1]) & held_back)
+    return rows.withColumn("level", F.when(F.col("stopped"), LEVELS[1][1]).otherwise(F.col("level")))
+
+
+def sector_list(rated: DataFrame, top: int = 10, least: float = 0.0) -> DataFrame:
+    """Per sector the `top` companies of rated (totals with revenue) that have a level and at least that revenue, best score first, ties by ticker.
+
+    Adds place, strong and weak: of the two best groups those of 60 or more, of the two worst those under 45.
+    """
+    names = [g for g in WEIGHTS if g in rated.columns]
+    known = F.array_compact(F.array(*[F.when(F.col(g).isNotNull() & ~F.coalesce(F.col("profile").isin(*[p for p, x in EXCLUDED.items() if g in x] or [""]), F.lit(False)), F.struct(F.col(g).alias("score"), F.lit(-k).alias("order"), F.lit(g).alias("name"))) for k, g in enumerate(names)]))
+    ranked = F.sort_array(known, asc=False)
+    name = lambda xs: F.transform(xs, lambda x: x["name"])
+    strong = name(F.filter(F.slice(ranked, 1, 2), lambda x: x["score"] >= 60))
+    size = F.size(ranked)
+    weak = name(F.filter(F.slice(ranked, F.greatest(size - 1, F.lit(1)), F.lit(2)), lambda x: x["score"] < 45))
+    fit = rated.where((F.col("level") != "unrated") & (F.coalesce("revenue", F.lit(0.0)) >= least))
+    w = Window.partitionBy("sector").orderBy(F.desc("score"), "ticker")
+    return fit.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top).withColumn("strong", strong).withColumn("weak", weak)
+
+
+def sector_counts(rated: DataFrame, least: float = 0.0) -> DataFrame:
+    """sector, companies, small, unrated and one count a level: every company of the sector is counted in one of them."""
+    small = F.coalesce("revenue", F.lit(0.0)) < least
+    rated_ = F.col("level") != "unrated"
+    levels = [F.count_if(rated_ & ~small & (F.col("level") == name)).alias(name) for _, name in LEVELS]
+    return rated.groupBy("sector").agg(F.count(F.lit(1)).alias("companies"), F.count_if(rated_ & small).alias("small"), F.count_if(~rated_).alias("unrated"), *levels)
 
 
 def series_signals(obs: DataFrame, limits: DataFrame, as_of: Column) -> DataFrame:

@@ -30,7 +30,26 @@ def test_cycles_do_not_repeat_nodes(spark):
 def test_shortest_path_skips_infrastructure(spark):
     edges = spark.createDataFrame([("a", "FILED", "b"), ("a", "SUPPLIED_BY", "c"), ("c", "SUPPLIED_BY", "b"), ("d", "LED_BY", "e")], "src string, rel string, dst string")
     pairs = spark.createDataFrame([("a", "b"), ("a", "e")], "source string, target string")
-    assert [(r["hops"], r["path"]) for r in graph.shortest_paths(edges, pairs).collect()] == [(2, ["a", "c", "b"])]
+    found = graph.shortest_paths(edges.withColumn("evidence", F.concat_ws(" ", "src", "dst")), pairs, targets=pairs).collect()
+    assert [(r["hops"], r["path"], r["rels"], r["evidence"]) for r in found] == [(2, ["a", "c", "b"], ["SUPPLIED_BY", "SUPPLIED_BY"], ["a c", "c b"])]
+    assert {r["target"] for r in graph.shortest_paths(edges, pairs).collect()} == {"b", "c"}
+
+
+def test_neighbors_keep_direction_and_what_edges_say(spark):
+    edges = spark.createDataFrame([("a", "SUPPLIED_BY", "b", "we buy", "d1", None), ("c", "OWNED_BY", "a", None, None, 0.3), ("a", "FILED", "f", None, None, None)], "src string, rel string, dst string, evidence string, doc_id string, percent double")
+    rows = graph.neighbors(edges, spark.createDataFrame([("a",)], "node string")).collect()
+    assert sorted((r["other"], r["direction"], r["evidence"], r["percent"]) for r in rows) == [("b", "out", "we buy", None), ("c", "in", None, 0.3)]
+
+
+def test_ownership_network(spark):
+    stakes = spark.createDataFrame([(1, 2, 0.6), (2, 3, 0.7), (4, 1, 0.55), (5, 1, 0.001), (6, 2, 0.5), (7, 8, None)], "company long, owner long, percent double")
+    starts = spark.createDataFrame([(n,) for n in (1, 3, 7, 9)], "node long")
+    got = {r["start"]: r for r in graph.network(stakes, starts).collect()}
+    assert (got[1]["controllers"], got[1]["controlled"], got[1]["verdict"], got[1]["too_small"], got[1]["related"]) == ([2, 3], [4], "both", 1, 1)
+    assert got[3]["verdict"] == "controls" and set(got[3]["controlled"]) == {1, 2, 4} and "no_owners" in got[3]["gaps"]
+    assert got[7]["unknown_stakes"] == 1 and set(got[7]["gaps"]) == {"no_owners", "unknown_stakes", "no_holdings", "no_shared_owners"} and got[9]["verdict"] == "none"
+    rows = graph.assembled(graph.chains(stakes, spark.createDataFrame([(4,)], "node long"), 3))
+    assert [(r["direct"], r["place"], r["end"]) for r in graph.ranked(rows, 5).orderBy("direct", "place").collect()] == [(False, 1, 2), (False, 2, 3), (True, 1, 1)]
 
 
 def rank(spark, subject, pool):
@@ -60,16 +79,70 @@ def test_series_signals(spark):
     assert got == {"R": ("ok", 1.0, 1.0), "O": ("ok", 15.0, 0.5), "X": ("ok", 100.0, 1.0), "S": ("stale", None, None), "N": ("no_data", None, None)}
 
 
+YEAR = "ticker string, sector string, currency string, profile string, fiscal_year int, revenue double, net_income double, stockholders_equity double, total_assets double, total_liabilities double, operating_cash_flow double, operating_income double, cash_and_equivalents double"
+
+
+def company(ticker, profile, rows):
+    return [(ticker, "S", "VND", profile, y, *map(float, r)) for y, r in rows]
+
+
+def test_groups_of_three_companies_by_hand(spark):
+    """Expected values are worked out by hand: a bank, an insurer, and an ordinary company whose latest year is a loss."""
+    rows = company("BANK", "bank", [(2020, (100, 10, 80, 1000, 920, 1, 12, 50)), (2021, (110, 11, 90, 1000, 910, 1, 12, 50)), (2022, (121, 12.1, 100, 1000, 900, 1, 12, 50))])
+    rows += company("INS", "insurer", [(2020, (100, 8, 100, 500, 400, 1, 9, 50)), (2021, (100, 8, 100, 500, 400, 1, 9, 50)), (2022, (100, 9, 100, 500, 400, 1, 9, 50))])
+    rows += company("LOSS", "ordinary", [(2019, (100, -1, 50, 200, 150, 5, 5, 20)), (2020, (100, 10, 50, 200, 150, 6, 8, 20)), (2021, (100, 10, 50, 200, 150, 12, 8, 20)), (2022, (100, -5, 50, 200, 150, 1, 1, 20))])
+    got = {r["ticker"]: r for r in scorecard.groups(spark.createDataFrame(rows, YEAR)).collect()}
+    bank, ins, loss = got["BANK"], got["INS"], got["LOSS"]
+    assert bank["growth"] == pytest.approx(((10 + 10) / 30 * 100 + (10 + 15) / 40 * 100) / 2)
+    assert bank["profitability"] == pytest.approx(((12.1 - 5) / 15 * 100 + (1.21 - 0.5) / 1.5 * 100) / 2)
+    assert bank["health"] == pytest.approx((10 - 5) / 7 * 100) and bank["stability"] == 100.0
+    assert ins["profitability"] == pytest.approx((9 - 3) / 12 * 100) and ins["health"] == pytest.approx((20 - 10) / 25 * 100)
+    assert ins["growth"] == pytest.approx((10 / 30 * 100 + ((9 / 8) ** 0.5 * 100 - 100 + 15) / 40 * 100) / 2)
+    assert loss["growth"] == pytest.approx((10 / 30 * 100 + 0) / 2) and loss["stability"] == pytest.approx(0.0)
+    assert loss["profitability"] == 0.0 and loss["health"] == pytest.approx((0.0 + 10 / 15 * 100) / 2)
+    assert loss["earnings_quality"] == pytest.approx((0.6 + 1.2) / 2 / 1.2 * 100)
+
+
+def test_a_loss_is_never_a_buy(spark):
+    names = ["growth", "profitability", "health", "earnings_quality", "stability"]
+    rows = [(*[90.0] * 5, "ordinary", 2024, income, equity) for income, equity in ((5.0, 5.0), (0.0, 5.0), (-1.0, 5.0), (5.0, 0.0), (5.0, None), (None, 5.0))]
+    df = spark.createDataFrame(rows, ", ".join([*(f"{n} double" for n in names), "profile string", "latest_year int", "net_income double", "stockholders_equity double"]))
+    assert [(r["level"], r["stopped"]) for r in scorecard.totals(df, 2024).collect()] == [("buy", False)] + [("watch", True)] * 5
+
+
+def test_sector_list_and_counts(spark):
+    rows = [("A", "S", 90.0, 30.0, 70.0, 50.0, 50.0, "ordinary", 2024, 1e6, 1.0, 1.0), ("B", "S", 80.0, 80.0, 80.0, 10.0, 80.0, "bank", 2024, 1e6, 1.0, 1.0), ("C", "S", 80.0, 80.0, 80.0, 80.0, 80.0, "ordinary", 2024, 10.0, 1.0, 1.0), ("D", "S", None, None, None, None, 1.0, "ordinary", 2024, 1e6, 1.0, 1.0)]
+    df = scorecard.totals(spark.createDataFrame(rows, "ticker string, sector string, growth double, profitability double, health double, earnings_quality double, stability double, profile string, latest_year int, revenue double, net_income double, stockholders_equity double"), 2024)
+    got = [(r["ticker"], r["place"], r["strong"], r["weak"]) for r in scorecard.sector_list(df, 10, 1000).orderBy("place").collect()]
+    assert got == [("B", 1, ["growth", "profitability"], []), ("A", 2, ["growth", "health"], ["profitability"])]
+    c = scorecard.sector_counts(df, 1000).first()
+    assert (c["companies"], c["small"], c["unrated"], c["buy"], c["watch"], c["avoid"]) == (4, 1, 1, 1, 1, 0)
+
+
+def test_pools_rank_as_pairs_of_peers_do(spark):
+    import random
+
+    rng = random.Random(3)
+    companies = spark.createDataFrame([(f"T{i}", rng.choice("AB"), rng.choice("XY"), rng.choice(["USD", "EUR"])) for i in range(40)], "ticker string, sector string, market string, currency string").cache()
+    money = lambda: rng.uniform(1, 100)
+    years = [(f"T{i}", y, money(), rng.uniform(-5, 20), money(), rng.choice([None, 50.0, -3.0]), 200.0) for i in range(40) for y in range(2018, 2023) if rng.random() < 0.7]
+    years = spark.createDataFrame(years, "ticker string, fiscal_year int, revenue double, net_income double, gross_profit double, stockholders_equity double, total_assets double")
+    none = spark.createDataFrame([], "subject string, ticker string")
+    key = lambda r: tuple((k, round(v, 9) if isinstance(v, float) else v) for k, v in sorted(r.asDict().items()))
+    a, b = ({key(r) for r in f.collect()} for f in (peers.pooled(companies, companies, years), peers.named(companies, companies, years, none)))
+    assert a == b and len(a) > 100
+
+
 @pytest.mark.parametrize("score, level", [(70.0, "buy"), (69.9, "watch"), (45.0, "watch"), (44.9, "avoid")])
 def test_levels(spark, score, level):
     names = ["growth", "profitability", "health", "earnings_quality", "stability", "industry", "macro"]
-    rows = spark.createDataFrame([(*[score] * 7, "ordinary", 2024)], ", ".join([*(f"{n} double" for n in names), "profile string", "latest_year int"]))
+    rows = spark.createDataFrame([(*[score] * 7, "ordinary", 2024, 1.0, 1.0)], ", ".join([*(f"{n} double" for n in names), "profile string", "latest_year int", "net_income double", "stockholders_equity double"]))
     assert scorecard.totals(rows, 2025).first()["level"] == level
     assert scorecard.totals(rows, 2027).first()["level"] == "unrated"
 
 
 def test_excluded_groups_do_not_lower_coverage(spark):
-    rows = spark.createDataFrame([(50.0, 50.0, 50.0, None, 50.0, "bank", 2024), (50.0, None, None, None, None, "bank", 2024)], "growth double, profitability double, health double, earnings_quality double, stability double, profile string, latest_year int")
+    rows = spark.createDataFrame([(50.0, 50.0, 50.0, None, 50.0, "bank", 2024, 1.0, 1.0), (50.0, None, None, None, None, "bank", 2024, 1.0, 1.0)], "growth double, profitability double, health double, earnings_quality double, stability double, profile string, latest_year int, net_income double, stockholders_equity double")
     got = [(r["coverage"], r["level"]) for r in scorecard.totals(rows, 2024).collect()]
     assert got[0] == (1.0, "watch") and got[1][1] == "unrated"
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brasslark.functions import text as X
-from brasslark.functions.reading import is_negative, numbers_of, readings
+from brasslark.functions.reading import numbers_of, readings
 from brasslark.functions.similarity import seq_ratio
 from brasslark.operators import documents, resolve, triples
 from brasslark.plans import verify
@@ -36,8 +36,25 @@ def test_readings():
     assert readings("180.683.000.000") == [180683000.0, 180683000000.0]
     assert readings("180,68") == [180.68, 18068.0]
     assert {n["value"] for n in numbers_of("17,7 tỷ USD")} == {17.7e9, 177e9}
-    assert is_negative("a loss of 5 million", 10, 11) and not is_negative("from loss to profit 5", 20, 21)
-    assert is_negative("x -18", 3, 5) and not is_negative("150-200", 4, 7)
+
+
+@pytest.mark.parametrize("text, negative", [
+    ("a loss of 5 million", [True]), ("from loss to profit 5", [False]), ("x -18", [True]), ("150-200", [False, False]), ("150 - 200", [False, False]), ("−3 and – 4", [True, True]), ("18,7 tỷ đồng (lỗ)", [True]),
+    ("lỗ ròng 18.756 tỷ; lãi 5 tỷ", [True, False]), ("Loss. It made 7", [False]), ("(5)", [False]), ("a loss" + " " * 60 + "5", [False]), ("negative equity of 3, a gain of 4", [True, False]), ("5\n(loss)", [False]),
+])
+def test_signs(text, negative):
+    assert [n["negative"] for n in {n["at"]: n for n in numbers_of(text)}.values()] == negative
+
+
+@pytest.mark.parametrize("text, value", [("2 ngàn tỷ", 2e12), ("2 nghìn tỉ", 2e12), ("3 ngàn", 3e3), ("4 Trillion", 4e12), ("7 triệu", 7e6), ("5 billion", 5e9), ("6 bn", 6.0)])
+def test_scales(text, value):
+    assert [n["value"] for n in numbers_of(text)] == [value]
+
+
+def test_units_and_sentences():
+    got = {n["token"]: (n["money"], n["percent"], n["sentence"]) for n in numbers_of("2.500 đồng. 12,5% | 3 pct\n4 usd 9 đ")}
+    assert got == {"2.500": (True, False, 0), "12,5": (False, True, 1), "3": (False, True, 2), "4": (True, False, 3), "9": (True, False, 3)}
+    assert numbers_of(None) == [] == numbers_of("none") and readings("1.234,5") == [1234.5, 12345.0]
 
 
 def check(spark, text, values, question=""):
@@ -78,6 +95,47 @@ def test_resolver_does_not_guess(spark):
     assert [r["ticker"] for r in resolve.suggestions(spark.createDataFrame([("Microsft",)], "query string"), names).collect()] == ["MSFT"]
 
 
+def test_resolver_tiers(spark):
+    s = "ticker string, name string, market string, symbol string, cik string, aliases array<string>"
+    names = spark.createDataFrame([
+        ("SAB.VN", "Saigon Beer Alcohol Beverage Corporation", "VN", "SAB", None, ["SABECO", "Bia Sài Gòn"]), ("SST.VN", "SABECO Songtien Commerce JSC", "VN", "SST", None, None), ("HPG.VN", "Hoa Phat Group JSC", "VN", "HPG", None, None),
+        ("FPT.VN", "Công ty Cổ phần Phát triển Đầu tư Công nghệ", "VN", "FPT", None, ["FPT Corp"]), ("GOOG", "Alphabet Inc", "US", "GOOG", "9", None), ("GOOGL", "Alphabet Inc", "US", "GOOGL", "9", None), ("HPG", "Hospitality Group", "US", "HPG", "5", None),
+        ("BIG.VN", "Tập đoàn Vật liệu Xây dựng Miền Trung", "VN", "BIG", None, None),
+    ], s)
+    asked = ["Sabeco", "sab", "HPG.US", "HPG.VN", "Alphabet", "Hoa Phat", "bia sai gon", "vat lieu xay dung", "Vatlieu xaydung mien", "songt", "Hospitalty Group"]
+    got = {r["query"]: (r["status"], r["ticker"], r["match"]) for r in resolve.resolve(spark.createDataFrame([(q,) for q in asked], "query string"), names).collect()}
+    assert got["Sabeco"] == ("ok", "SAB.VN", "exact") and got["sab"] == ("ok", "SAB.VN", "ticker")
+    assert got["HPG.US"] == ("ok", "HPG", "ticker") and got["HPG.VN"] == ("ok", "HPG.VN", "ticker")
+    assert got["Alphabet"] == ("ok", "GOOG", "exact") and got["Hoa Phat"][:2] == ("ok", "HPG.VN") and got["bia sai gon"] == ("ok", "SAB.VN", "exact")
+    assert got["vat lieu xay dung"][:2] == ("ok", "BIG.VN") and got["Vatlieu xaydung mien"] == ("ok", "BIG.VN", "core")
+    assert got["songt"] == ("not_found", None, None) and got["Hospitalty Group"] == ("ok", "HPG", "fuzzy")
+
+
+def test_fuzzy_tier_equals_all_pairs(spark):
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(2)
+    names = sorted({"".join(rng.choice("abcde") for _ in range(rng.randint(5, 12))) + rng.choice(["", " bank", " steel works"]) for _ in range(60)})
+    asked = ["imcrosoft", *(n[:i] + rng.choice("abcdez") + n[i + rng.randint(0, 1) :] for n in names for i in [rng.randrange(len(n))])]
+    names.append("microsoft")
+    got = {(r["query"], r["name"]) for r in resolve.candidates(spark.createDataFrame([(q,) for q in asked], "query string"), spark.createDataFrame([(f"T{i}", n) for i, n in enumerate(names)], "ticker string, name string")).where("tier = 5").collect()}
+    ratio = lambda a, b: SequenceMatcher(None, a, b).ratio()
+    tidy = lambda x: " ".join(x.split())
+    want = {(q, n) for q in asked for n in names if len(tidy(q)) >= 5 and abs(len(tidy(q)) - len(n)) <= 0.3 * len(tidy(q)) and ratio(tidy(q), n) >= 0.88 and ratio(tidy(q).split(" ")[0], n.split(" ")[0]) >= 0.8}
+    exact = {(q, n) for q, n in want if tidy(q) == n}
+    assert ("imcrosoft", "microsoft") in got and got <= want and {p for p in want - got if p not in exact and not p[1].startswith(tidy(p[0]) + " ")} == set()
+    close = {(r["query"], r["name"]) for r in resolve.suggestions(spark.createDataFrame([("crosoftmi",)], "query string"), spark.createDataFrame([("M", "microsoft")], "ticker string, name string")).collect()}
+    assert close == {("crosoftmi", "microsoft")}
+
+
+def test_translated_names_are_rejected(spark):
+    s = "chunk_id string, source string, source_type string, relation string, target string, target_type string, evidence string, confidence double"
+    raw = spark.createDataFrame([("c", "Acme", "Company", "COMPETES_WITH", "Đối thủ", "Company", "Acme", 0.5), ("c", "Acme", "Company", "COMPETES_WITH", "Nestle", "Company", "Acme", 0.5)], s)
+    rows = triples.validated(raw, spark.createDataFrame([("c", "Acme and others")], "chunk_id string, text string")).collect()
+    assert {r["target"]: r["reject_reason"] for r in rows} == {"Đối thủ": "foreign_letters", "Nestle": None}
+
+
 def test_sections(spark):
     body = "x" * 500
     text = "Item 1. Business\nItem 1A. Risk Factors\n" + f"Item 1. Business\n{body}\nItem 1A. Risk Factors\n{body}\nItem 7. Management's Discussion and Analysis\n{body}"
