@@ -875,11 +875,12 @@ def grade_entities(spark, sf_dir):
     return verify.grade_entities(answers, asked.join(wanted, "item_id").select("answer_id", "entity")).withColumn("recall", F.round("recall", 6))
 
 
-@query()
+@query(f"""{YEARS}, said AS (SELECT ticker || '-' || fiscal_year AS answer_id, revenue AS e, printf('%.2f', revenue / 1e6 * CASE WHEN fiscal_year % 4 = 0 THEN 1.5 ELSE 1.0 END) AS t FROM fin_years),
+v AS (SELECT answer_id, least(abs(CAST(t AS DOUBLE) * 1e6 - e), abs(CAST(replace(t, '.', '') AS DOUBLE) * 1e6 - e)) / abs(e) AS error FROM said) SELECT answer_id, round(error, 9) AS error, error <= 0.01 AS correct FROM v""")
 def grade_numeric(spark, sf_dir):
-    answers = C.fin_years(spark, sf_dir).select(F.concat_ws("-", "ticker", "fiscal_year").alias("answer_id"), "revenue")
-    said = answers.select("answer_id", F.format_string("Revenue was %.2f million USD.", F.col("revenue") / 1e6 * F.when(F.crc32("answer_id") % 4 == 0, 1.5).otherwise(1.0)).alias("text"))
-    return verify.grade_numeric(said, answers.withColumnRenamed("revenue", "expected"))
+    answers = C.fin_years(spark, sf_dir).select(F.concat_ws("-", "ticker", "fiscal_year").alias("answer_id"), "fiscal_year", "revenue")
+    said = answers.select("answer_id", F.format_string("Revenue was %.2f million USD.", F.col("revenue") / 1e6 * F.when(F.col("fiscal_year") % 4 == 0, 1.5).otherwise(1.0)).alias("text"))
+    return verify.grade_numeric(said, answers.select("answer_id", F.col("revenue").alias("expected"))).withColumn("error", F.round("error", 9))
 
 
 @query()
