@@ -21,13 +21,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brasslark.llm.common import held_out, labelled_sample, saved
+from brasslark.llm.common import hash_sample, held_out, labelled_sample, saved
 
 WIDTH = 22
 #: Letters of a word's beginnings that are features beside the word, for languages that build on stems.
 BEGINNINGS = (4, 5, 6, 7, 8)
-#: Labelled documents to fit on, about.
-SAMPLE = 20_000
+#: Labelled documents to fit on, and different pairs of rewritten sentences, about.
+SAMPLE, PAIRS = 20_000, 50_000
 #: Terms put in the place of the one named, in turn.
 SWAPS = 3
 #: Labelled documents that a mined term needs, standard errors its share of label 1 is off the whole's, the largest
@@ -246,7 +246,7 @@ def telling(features: DataFrame, n: int, positive: int) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, parts: int = 4, part: int = 2, sample: int = SAMPLE, counterfactual: float = COUNTERFACTUAL) -> Model:
-    """The model from about `sample` labelled documents outside the held-out part.
+    """The model from about `sample` labelled documents outside the held-out part, and about PAIRS of their different rewritten sentences (all if there are fewer).
 
     Buckets are counted by Spark; the driver sees only those that tell the labels apart, of the sample's documents.
     """
@@ -277,7 +277,8 @@ def fit(docs: DataFrame, labels: DataFrame, parts: int = 4, part: int = 2, sampl
 
     rows = features.mapInArrow(narrowed, "y int, x binary").toArrow().sort_by([("y", "ascending"), ("x", "ascending")])
     # Sentences alike in their telling words are one pair with a count, so few pairs reach the driver.
-    pairs = chosen.select("text").mapInArrow(swapped, "before binary, after binary, k long").groupBy("before", "after").agg(F.sum("k").alias("k")).toArrow().sort_by([("before", "ascending"), ("after", "ascending")])
+    found = saved(chosen.select("text").mapInArrow(swapped, "before binary, after binary, k long").groupBy("before", "after").agg(F.sum("k").alias("k")), "pairs")
+    pairs = hash_sample(found, PAIRS, "before", "after").toArrow().sort_by([("before", "ascending"), ("after", "ascending")])
     ids = lambda table, c: [np.frombuffer(b.as_py(), np.int32) for b in table.column(c)]
     y, times = rows.column("y").to_numpy().astype(float), pairs.column("k").to_numpy().astype(float)
     x, before, after = ids(rows, "x"), ids(pairs, "before"), ids(pairs, "after")
