@@ -86,7 +86,7 @@ def letters(text: str) -> np.ndarray:
 def grams(text: str, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
     """The distinct letter n-grams of a text, packed 21 bits a letter, and their counts; none if it has no letter."""
     codes = letters(text)
-    if len(codes) < 3:
+    if len(codes) < max(3, gram):
         return np.empty(0, np.int64), np.empty(0, np.int64)
     n = len(codes) - gram + 1
     keys = sum(codes[i : i + n] << 21 * i for i in range(gram))
