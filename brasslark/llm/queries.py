@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brasslark.llm import exact, html, langid, minhash, mixing, packing, quality, simhash, toxicity, urls
-from brasslark.llm.common import table
+from brasslark.llm import chat, exact, html, langid, minhash, mixing, packing, quality, simhash, toxicity, trie, urls
+from brasslark.llm.common import saved, table
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +58,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_toxicity, op3_url_filter, op4_simhash, op5_language, op6_best_fit, op7_html, op8_exact_dedup, op9_order_minhash, op10_quality)}
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table's rows are turns; conversation -7 comes as a record with a list of messages."""
+    said = "\\### Assistant: </turn> ok"
+    extra = json.dumps({"messages": [{"role": role, "content": said} for role in ("user", "assistant")]})
+    extra = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.parse_json(F.lit(extra)).alias("record"))
+    return chat.digests(chat.written(chat.turn_records(table(spark, sf_dir, "conversations")).union(extra)))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = saved(trie.ordered_turns(table(spark, sf_dir, "conversations")), "turns")
+    conv = F.col("conv_id")
+    return trie.trie(*trie.grafted(turns, conv - conv % 20, (F.crc32(conv.cast("string")) % 4).cast("int"), 3))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_toxicity, op3_url_filter, op4_simhash, op5_language, op6_best_fit, op7_html, op8_exact_dedup, op9_order_minhash, op10_quality, op11_chat_format, op12_prefix_trie)}
 
 ORACLES = {
     "op1_mix_sources": r"""
@@ -98,4 +114,57 @@ ORACLES = {
         groups AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM rows GROUP BY text_sha256)
         SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256
         FROM rows JOIN groups USING (text_sha256)""",
+    "op11_chat_format": r"""
+        WITH rows AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM range(2) t(i)
+        )
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+               coalesce(CAST(sum(length(text)) FILTER (role = 'assistant') AS BIGINT), 0) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(14 + length(regexp_replace(role, '(\\|###|</turn>|:)', '_\0', 'g')) + length(regexp_replace(text, '(\\|###|</turn>)', '_\0', 'g'))) AS BIGINT) AS formatted_chars
+        FROM rows GROUP BY conv_id""",
+    "op12_prefix_trie": r"""
+        WITH turns AS (
+            SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
+                   sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS turn,
+                   len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS tokens
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), crc AS (
+            SELECT i, list_reduce([CAST(i AS UBIGINT), 0, 1, 2, 3, 4, 5, 6, 7], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS t FROM range(256) x(i)
+        ), convs AS (
+            SELECT conv_id, conv_id - conv_id % 20 AS base, CAST(conv_id AS VARCHAR) AS name FROM (SELECT DISTINCT conv_id FROM turns)
+        ), steps AS (
+            SELECT conv_id, base, name, (WITH RECURSIVE r(k, c) AS (
+                SELECT 0, CAST(4294967295 AS UBIGINT)
+                UNION ALL SELECT k + 1, xor(c // 256, (SELECT CAST(t AS UBIGINT) FROM crc WHERE i = xor(c % 256, CAST(ascii(substr(name, CAST(k + 1 AS INTEGER), 1)) AS UBIGINT)))) FROM r WHERE k < length(name)
+            ) SELECT xor(max_by(c, k), 4294967295) % 4 FROM r) AS h
+            FROM convs
+        ), taken AS (
+            SELECT s.conv_id, t.pos, t.turn, t.tokens FROM steps s JOIN turns t ON t.conv_id = s.base AND t.pos <= s.h
+        ), most AS (
+            SELECT s.conv_id, s.h, coalesce((SELECT count(*) FROM taken t WHERE t.conv_id = s.conv_id), 0) AS m FROM steps s
+        ), rebuilt AS (
+            SELECT * FROM taken
+            UNION ALL SELECT t.conv_id, m.m + t.pos - m.h, t.turn, t.tokens FROM turns t JOIN most m USING (conv_id) WHERE t.pos > m.h
+        ), paths AS (
+            SELECT conv_id, 0 AS pos, '' AS seq, 0 AS tokens FROM convs
+            UNION ALL SELECT conv_id, pos, string_agg(turn, '') OVER (PARTITION BY conv_id ORDER BY pos), tokens FROM rebuilt
+        ), sizes AS (
+            SELECT conv_id, max(pos) AS size FROM paths GROUP BY conv_id
+        ), named AS (
+            SELECT p.*, min(p.conv_id) OVER (PARTITION BY p.pos, p.seq) AS node, count(*) OVER (PARTITION BY p.pos, p.seq) AS n, s.size = p.pos AS ends
+            FROM paths p JOIN sizes s USING (conv_id)
+        ), nodes AS (
+            SELECT b.pos, b.node, a.node AS above, max(b.n) AS n, max(b.tokens) AS tokens, string_agg(CAST(b.conv_id AS VARCHAR), ',' ORDER BY b.conv_id) FILTER (b.ends) AS ids
+            FROM named b LEFT JOIN named a ON a.conv_id = b.conv_id AND a.pos = b.pos - 1 GROUP BY b.pos, b.node, a.node
+        ), own AS (
+            SELECT n.*, (SELECT count(*) FROM nodes k WHERE k.pos = n.pos + 1 AND k.above = n.node) AS n_children FROM nodes n
+        ), under AS (
+            SELECT a.pos, a.node, count(*) FILTER (o.n_children = 0) AS n_leaves, sum((o.n - 1) * o.tokens) AS saved
+            FROM own o JOIN named a ON a.conv_id = o.node AND a.pos <= o.pos GROUP BY a.pos, a.node
+        )
+        SELECT o.node AS conv_id, CAST(o.pos AS BIGINT) AS depth, o.above AS parent_conv_id, o.n AS n_convs, o.n_children, u.n_leaves, CAST(u.saved AS BIGINT) AS saved_tokens, sha256(coalesce(o.ids, '')) AS ends_sha256
+        FROM own o JOIN under u ON u.pos = o.pos AND u.node = o.node""",
 }
