@@ -39,11 +39,3 @@ def stacked(first: DataFrame, second: DataFrame, keys: list[str], order: list[Co
     both = first.withColumn("priority", F.lit(0)).unionByName(second.withColumn("priority", F.lit(1)))
     w = Window.partitionBy(*keys).orderBy("priority", *order)
     return both.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit)
-
-
-def merge_keys(edges: DataFrame, survivors: DataFrame) -> DataFrame:
-    """Edges (src, rel, dst, mentions, confidence) after nodes are merged: survivors has (loser, survivor). Self loops go, equal edges add up."""
-    a, b = (survivors.select(F.col("loser").alias(f"_{s}l"), F.col("survivor").alias(f"_{s}s")) for s in ("a", "b"))
-    moved = edges.join(a, F.col("src") == F.col("_al"), "left").join(b, F.col("dst") == F.col("_bl"), "left")
-    moved = moved.select(F.coalesce("_as", "src").alias("src"), "rel", F.coalesce("_bs", "dst").alias("dst"), "mentions", "confidence").where("src <> dst")
-    return moved.groupBy("src", "rel", "dst").agg(F.sum("mentions").alias("mentions"), F.max("confidence").alias("confidence"))

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brasslark.functions.similarity import seq_ratio
 from brasslark.functions.text import core_words, name_key, simplify
+from brasslark.operators.fuzzy import alike
+from brasslark.operators.merges import followed
+from brasslark.sources.scratch import saved
 
 #: Tiers of a match, best first. The last is too weak to be taken.
 TIERS = ("ticker", "exact", "prefix", "word", "core", "fuzzy", "substring")
@@ -33,52 +36,35 @@ def forms(companies: DataFrame) -> DataFrame:
     return each.select("ticker", "name", simple.alias("simple"), _head(simple).alias("head"), _core(simple).alias("core")).where("simple <> ''").distinct()
 
 
-def _grams(c, n: int):
-    """The n-grams of a text, each with the number of its occurrence, so that repeated ones count."""
-    whole = F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    return F.transform(whole, lambda g, i: F.concat(g, F.size(F.filter(F.slice(whole, 1, i + 1), lambda x: x == g)).cast("string")))
-
-
-def _letters(c):
-    """How often each letter and digit occurs."""
-    return F.array(*[F.length(c) - F.length(F.replace(c, F.lit(x))) for x in "abcdefghijklmnopqrstuvwxyz0123456789 "])
-
-
-def _ratio_bound(a: str, b: str):
-    """No ratio of two strings is above twice their common letters over their lengths."""
-    common = F.aggregate(F.zip_with(f"{a}_letters", f"{b}_letters", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    return F.try_divide(2.0 * common, (F.length(a) + F.length(b)).cast("double"))
-
-
-def candidates(queries: DataFrame, companies: DataFrame, fuzzy: bool = True) -> DataFrame:
-    """query, ticker, name, tier (its number), score: every company that a tier matches, each at its best tier.
-
-    Companies have ticker and name, and may have aliases, market and symbol. A query that ends in .US or .VN asks for companies
-    of that market alone. No tier compares every query with every name. All tiers meet by equal keys that lose nothing: words
-    for prefixes, words and contained cores; 12 letters for joined cores; 3 for substrings. Names of a ratio of FUZZY share
-    at least 0.32 (n + m) - 1 bigrams, since every sign without a match breaks at most one pair of matched neighbours.
-    """
-    names = forms(companies)
+def _asked(queries: DataFrame) -> DataFrame:
+    """query, suffix (US, VN or empty), raw, q, q_head, q_core."""
     raw = F.trim("query")
     suffix = F.upper(F.regexp_extract(raw, r"(?i)\.(us|vn)$", 1))
     asked = F.when(suffix == "US", F.regexp_replace(raw, r"(?i)\.us$", "")).otherwise(raw)
     q = queries.select("query").distinct().withColumn("suffix", suffix).withColumn("raw", asked)
-    q = q.withColumn("q", simplify(F.regexp_replace("raw", r"(?i)\.vn$", ""))).withColumn("q_head", _head(F.col("q"))).withColumn("q_core", _core(F.col("q")))
-    one = F.lit(1.0)
+    return q.withColumn("q", simplify(F.regexp_replace("raw", r"(?i)\.vn$", ""))).withColumn("q_head", _head(F.col("q"))).withColumn("q_core", _core(F.col("q")))
+
+
+def _tier(df: DataFrame, k: int, score: Column | None = None) -> DataFrame:
+    return df.select("query", "suffix", "ticker", "name", F.lit(k).alias("tier"), (F.lit(1.0) if score is None else score).alias("score"))
 
-    def tier(df: DataFrame, k: int, score=one) -> DataFrame:
-        return df.select("query", "suffix", "ticker", "name", F.lit(k).alias("tier"), score.alias("score"))
 
+def _equal_tiers(q: DataFrame, names: DataFrame, companies: DataFrame) -> DataFrame:
+    """The tiers whose matches meet by equal keys: words for prefixes, words and contained cores, 12 letters for joined cores."""
     codes = F.array("ticker", "symbol") if "symbol" in companies.columns else F.array("ticker")
     codes = companies.select("ticker", "name", F.explode(F.array_distinct(F.transform(codes, lambda c: F.upper(c)))).alias("code")).where("code is not null")
     spelled = F.array_distinct(F.transform(F.array("raw", F.replace("q", F.lit(" ")), F.replace("q_core", F.lit(" "))), lambda c: F.upper(c)))
-    t0 = tier(q.withColumn("code", F.explode(spelled)).where("code <> ''").join(codes, "code").dropDuplicates(["query", "ticker"]), 0)
-    t1 = tier(q.where("q <> ''").join(names, F.col("q") == F.col("simple")), 1)
-    words = names.withColumn("w", F.explode(F.array_distinct(F.split("simple", " "))))
-    met = q.where("q <> ''").join(words, F.col("q_head") == F.col("w"))
+    t0 = _tier(q.withColumn("code", F.explode(spelled)).where("code <> ''").join(codes, "code").dropDuplicates(["query", "ticker"]), 0)
+    t1 = _tier(q.where("q <> ''").join(names, F.col("q") == F.col("simple")), 1)
+    # a name that has the whole query has its rarest word, so a word that all names have does not bring all names together
+    words = saved(names.withColumn("w", F.explode(F.array_distinct(F.split("simple", " ")))), "words")
+    common = words.groupBy("w").agg(F.count(F.lit(1)).alias("k"))
+    rare = q.where("q <> ''").withColumn("w", F.explode(F.array_distinct(F.split("q", " ")))).join(common, "w", "left")
+    rare = rare.groupBy("query").agg(F.min_by("w", F.struct(F.coalesce("k", F.lit(0)), "w")).alias("w"))
+    met = q.join(rare, "query").join(words, "w")
     padded = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
-    t2 = tier(met.where(F.col("simple").startswith(F.concat("q", F.lit(" ")))), 2)
-    t3 = tier(met.where(padded(F.col("simple")).contains(padded(F.col("q")))), 3)
+    t2 = _tier(met.where(F.col("simple").startswith(F.concat("q", F.lit(" ")))), 2)
+    t3 = _tier(met.where(padded(F.col("simple")).contains(padded(F.col("q")))), 3)
 
     cored = q.where((F.length("q") >= SUBSTRING_LETTERS) & (F.col("q_core") != ""))
     whole = cored.join(names, F.col("q_core") == F.col("core"))
@@ -90,21 +76,45 @@ def candidates(queries: DataFrame, companies: DataFrame, fuzzy: bool = True) ->
     run = run.withColumn("w", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("j") - (JOINED_LETTERS - 1)), lambda i: F.substring("j", i, F.lit(JOINED_LETTERS))))))
     long = cored.withColumn("qj", joined(F.col("q_core"))).where((F.length("qj") >= JOINED_LETTERS) & (F.size(F.split("q_core", " ")) >= 2))
     long = long.join(run, F.substring("qj", 1, JOINED_LETTERS) == F.col("w")).where(F.col("j").contains(F.col("qj")))
-    t4 = tier(whole, 4).unionByName(tier(inside, 4)).unionByName(tier(long, 4))
-    out = reduce(DataFrame.unionByName, [t0, t1, t2, t3, t4])
-    if fuzzy:
-        a = q.where(F.length("q") >= FUZZY_LENGTH).withColumn("g", F.explode(_grams(F.col("q"), 2)))
-        b = names.withColumn("g", F.explode(_grams(F.col("simple"), 2)))
-        near = a.join(b, "g").where(F.abs(F.length("q") - F.length("simple")) <= 0.3 * F.length("q"))
-        near = near.groupBy("query", "suffix", "q", "q_head", "ticker", "name", "simple", "head").agg(F.count(F.lit(1)).alias("common"))
-        near = near.where(F.col("common") >= 0.32 * (F.length("q") + F.length("simple")) - 1)
-        near = near.withColumn("s", seq_ratio("q", "simple")).withColumn("h", seq_ratio("q_head", "head"))
-        out = out.unionByName(tier(near.where((F.col("s") >= FUZZY) & (F.col("h") >= FUZZY_HEAD)), 5, F.col("s")))
+    return reduce(DataFrame.unionByName, [t0, t1, t2, t3, _tier(whole, 4), _tier(inside, 4), _tier(long, 4)])
+
+
+def _fuzzy_tier(q: DataFrame, names: DataFrame) -> DataFrame:
+    """Names of a ratio of FUZZY whose head words have one of FUZZY_HEAD."""
+    q = q.where(F.length("q") >= FUZZY_LENGTH)
+    close = alike(q.select("q"), names.select("simple"), FUZZY).select(F.col("x").alias("q"), F.col("y").alias("simple"), "ratio")
+    near = q.join(close, "q").join(names, "simple")
+    heads = near.select("q_head", "head").where("q_head <> head").distinct()
+    heads = saved(heads.withColumn("h", seq_ratio("q_head", "head")), "heads")
+    near = near.join(heads, ["q_head", "head"], "left").where((F.col("q_head") == F.col("head")) | (F.col("h") >= FUZZY_HEAD))
+    return _tier(near, 5, F.col("ratio"))
+
+
+def _substring_tier(q: DataFrame, names: DataFrame) -> DataFrame:
     three = names.withColumn("w", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("simple") - 2, F.lit(1))), lambda i: F.substring("simple", i, F.lit(3))))))
-    weak = q.where(F.length("q") >= SUBSTRING_LETTERS).join(three, F.substring("q", 1, 3) == F.col("w")).where(F.col("simple").contains(F.col("q")))
-    out = out.unionByName(tier(weak, 6))
-    if "market" in companies.columns:
-        out = out.join(companies.select("ticker", F.upper("market").alias("_m")).distinct(), "ticker").where((F.col("suffix") == "") | (F.col("suffix") == F.col("_m"))).drop("_m")
+    return _tier(q.where(F.length("q") >= SUBSTRING_LETTERS).join(three, F.substring("q", 1, 3) == F.col("w")).where(F.col("simple").contains(F.col("q"))), 6)
+
+
+def candidates(queries: DataFrame, companies: DataFrame, fuzzy: bool = True, best: bool = False) -> DataFrame:
+    """query, ticker, name, tier (its number), score: every company that a tier matches, each at its best tier.
+
+    Companies have ticker and name, and may have aliases, market and symbol. A query that ends in .US or .VN asks for companies
+    of that market alone. No tier compares every query with every name: they meet by equal keys, rare tokens (see `fuzzy`) or
+    three letters. With best, a weaker kind of tier (equal keys, ratios, substrings) is asked only by queries that the kinds before
+    it leave without a company, since none of the weaker kind could decide them.
+    """
+    names, q = saved(forms(companies), "forms"), saved(_asked(queries), "asked")
+    market = companies.select("ticker", F.upper("market").alias("_m")).distinct() if "market" in companies.columns else None
+
+    def in_market(df: DataFrame) -> DataFrame:
+        return df if market is None else df.join(market, "ticker").where((F.col("suffix") == "") | (F.col("suffix") == F.col("_m"))).drop("_m")
+
+    out, left = None, q
+    for find in (lambda q: _equal_tiers(q, names, companies), *([lambda q: _fuzzy_tier(q, names)] if fuzzy else []), lambda q: _substring_tier(q, names)):
+        found = saved(in_market(find(left)), "found")
+        out = found if out is None else out.unionByName(found)
+        if best:
+            left = saved(left.join(found.select("query").distinct(), "query", "left_anti"), "left")
     w = Window.partitionBy("query", "ticker").orderBy("tier", F.desc("score"), "name")
     return out.drop("suffix").withColumn("_r", F.row_number().over(w)).where("_r = 1").select("query", "ticker", "name", "tier", "score")
 
@@ -115,7 +125,7 @@ def resolve(queries: DataFrame, companies: DataFrame, fuzzy: bool = True) -> Dat
     Companies with one `cik` (if they have that column) are one: its shortest, then first ticker stands for all. A substring alone decides
     nothing: the status is not_found, and the options say what has it.
     """
-    found = candidates(queries, companies, fuzzy)
+    found = saved(candidates(queries, companies, fuzzy, best=True), "found")
     if "cik" in companies.columns:
         found = found.join(companies.select("ticker", "cik").distinct(), "ticker", "left")
         one = F.coalesce("cik", F.concat(F.lit("="), "ticker"))
@@ -141,15 +151,21 @@ def resolve_forms(queries: DataFrame, companies: DataFrame) -> DataFrame:
 
 
 def suggestions(queries: DataFrame, companies: DataFrame, n: int = 3) -> DataFrame:
-    """query, ticker, name, score, place: the closest names of a stated set of queries, against all names; weak by definition.
+    """query, ticker, name, score, place: the closest names by the ratio of whole names or of head words; weak by definition.
 
-    Common letters bound a ratio from above, so only pairs that can reach SUGGEST are compared sign by sign.
+    Names and head words alike are found apart. All names of a head word have that word's ratio, so of those that are not alike
+    as a whole only the first n by the order of places can be suggested, and no query meets all names of a common head word.
     """
-    names = forms(companies).withColumn("simple_letters", _letters(F.col("simple"))).withColumn("head_letters", _letters(F.col("head")))
+    names = saved(forms(companies), "forms")
     q = queries.select("query").distinct().withColumn("q", simplify(F.col("query"))).withColumn("q_head", _head(F.col("q"))).where("q <> ''")
-    q = q.withColumn("q_letters", _letters(F.col("q"))).withColumn("q_head_letters", _letters(F.col("q_head")))
-    j = names.crossJoin(q).where((_ratio_bound("q", "simple") >= SUGGEST) | (_ratio_bound("q_head", "head") >= SUGGEST)).drop("q_letters", "q_head_letters", "simple_letters", "head_letters")
-    j = j.withColumn("score", F.greatest(seq_ratio("q", "simple"), seq_ratio("q_head", "head"))).where(F.col("score") >= SUGGEST)
+    q = saved(q, "asked")
+    whole = alike(q.select("q"), names.select("simple"), SUGGEST).select(F.col("x").alias("q"), F.col("y").alias("simple"), "ratio")
+    heads = alike(q.select("q_head"), names.select("head"), SUGGEST).select(F.col("x").alias("q_head"), F.col("y").alias("head"), "ratio")
+    of_head = names.select("head", "ticker", "name").distinct()
+    of_head = of_head.withColumn("_r", F.row_number().over(Window.partitionBy("head").orderBy(F.length("name"), "ticker", "name"))).where(F.col("_r") <= n)
+    by_whole = q.join(whole, "q").join(names, "simple").join(heads.withColumnRenamed("ratio", "h"), ["q_head", "head"], "left")
+    by_whole = by_whole.select("query", "ticker", "name", F.greatest("ratio", F.coalesce("h", F.lit(0.0))).alias("score"))
+    j = by_whole.union(q.join(heads, "q_head").join(of_head, "head").select("query", "ticker", "name", F.col("ratio").alias("score")))
     j = j.groupBy("query", "ticker", "name").agg(F.max("score").alias("score"))
     w = Window.partitionBy("query").orderBy(F.desc("score"), F.length("name"), "ticker")
     return j.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).select("query", "ticker", "name", "score", "place")
@@ -179,27 +195,18 @@ def find_ranked(nodes: DataFrame, queries: DataFrame, limit: int = 5) -> DataFra
 
 
 def key_groups(nodes: DataFrame) -> DataFrame:
-    """group_key, members, display over nodes (name): names with one key; a key cut short joins the longer one it begins (12 letters or more, 5 or fewer missing)."""
+    """group_key, members, display over nodes (name): names with one key; a key cut short joins the longer one it begins (12 letters or more, 5 or fewer missing), and that the one it begins."""
     keys = nodes.select("name", name_key(F.col("name")).alias("k")).where("k <> ''")
     distinct = keys.select("k").distinct()
     cut = distinct.where(F.length("k") >= 12).select(F.col("k").alias("short"), F.substring("k", 1, 12).alias("_p"))
     longer = distinct.where(F.length("k") > 12).select(F.col("k").alias("long"), F.substring("k", 1, 12).alias("_p"))
     fold = cut.join(longer, "_p").where((F.length("long") > F.length("short")) & (F.length("long") - F.length("short") <= 5) & F.col("long").startswith(F.col("short")))
-    fold = fold.groupBy("short").agg(F.min("long").alias("long"))
+    fold = followed(fold.select(F.col("short").alias("loser"), F.col("long").alias("survivor"))).select(F.col("loser").alias("short"), F.col("survivor").alias("long"))
     named = keys.join(fold, F.col("k") == F.col("short"), "left").withColumn("group_key", F.coalesce("long", "k"))
     shown = F.min_by("name", F.struct((F.upper("name") == F.col("name")).cast("int"), -F.length("name"), F.col("name")))
     return named.groupBy("group_key").agg(F.sort_array(F.collect_set("name")).alias("members"), shown.alias("display"))
 
 
-def merge_plan(wanted: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, into, reason over wanted merges (node, into): ok, or why not."""
-    known = nodes.select(F.col("name").alias("node"), F.lit(True).alias("has_node")).distinct()
-    target = nodes.select(F.col("name").alias("into"), F.lit(True).alias("has_into")).distinct()
-    j = wanted.join(known, "node", "left").join(target, "into", "left")
-    reason = F.when(F.col("node") == F.col("into"), "same").when(F.col("has_node").isNull(), "node_missing").when(F.col("has_into").isNull(), "target_missing").otherwise("ok")
-    return j.select("node", "into", reason.alias("reason"))
-
-
 def askable_names(companies: DataFrame, forms: DataFrame) -> DataFrame:
     """ticker, name: of each company's forms (ticker, form, pos) the first that resolves back to it alone."""
     back = resolve(forms.select(F.col("form").alias("query")), companies).where("status = 'ok'").select(F.col("query").alias("form"), F.col("ticker").alias("_t"))

@@ -11,7 +11,7 @@ from brasslark import catalog as C
 from brasslark.functions import numbers as N
 from brasslark.functions import text as X
 from brasslark.functions.reading import numbers_in
-from brasslark.operators import documents, graph, joins, resolve, triples, upserts, vector, windows
+from brasslark.operators import documents, graph, joins, merges, resolve, triples, upserts, vector, windows
 from brasslark.plans import financials, peers, scorecard, sessions, verify, watch
 from brasslark.sources import xbrl
 from brasslark.sources.scratch import saved
@@ -505,20 +505,23 @@ def degree_classes(spark, sf_dir):
     return graph.degrees(C.knowledge(spark, sf_dir))
 
 
-@query(f"""{KNOW}, survivors AS (SELECT ticker AS loser, 'S' || (suppkey - 1) AS survivor FROM companies WHERE suppkey % 5 = 2),
+@query(f"""{KNOW}, RECURSIVE_MERGES merges AS (SELECT ticker AS loser, 'S' || (suppkey - 1) AS survivor FROM companies WHERE suppkey % 5 > 1),
+way AS (SELECT loser, survivor, 1 AS hops FROM merges UNION ALL SELECT w.loser, m.survivor, hops + 1 FROM way w JOIN merges m ON m.loser = w.survivor), survivors AS (SELECT loser, max_by(survivor, hops) AS survivor FROM way GROUP BY loser),
 moved AS (SELECT coalesce(a.survivor, src) AS src, rel, coalesce(b.survivor, dst) AS dst, mentions, confidence FROM knowledge LEFT JOIN survivors a ON src = a.loser LEFT JOIN survivors b ON dst = b.loser)
-SELECT src, rel, dst, CAST(sum(mentions) AS BIGINT) AS mentions, max(confidence) AS confidence FROM moved WHERE src <> dst GROUP BY ALL""")
+SELECT src, rel, dst, CAST(sum(mentions) AS BIGINT) AS mentions, max(confidence) AS confidence FROM moved WHERE src <> dst GROUP BY ALL""".replace("WITH ", "WITH RECURSIVE ", 1).replace("RECURSIVE_MERGES ", ""))
 def entity_merge(spark, sf_dir):
-    survivors = C.companies(spark, sf_dir).where("suppkey % 5 = 2").select(F.col("ticker").alias("loser"), F.concat(F.lit("S"), (F.col("suppkey") - 1).cast("string")).alias("survivor"))
-    return joins.merge_keys(C.knowledge(spark, sf_dir), survivors)
+    """Chains of three merges, which lead to one company."""
+    wanted = C.companies(spark, sf_dir).where("suppkey % 5 > 1").select(F.col("ticker").alias("loser"), F.concat(F.lit("S"), (F.col("suppkey") - 1).cast("string")).alias("survivor"))
+    return merges.merged(C.knowledge(spark, sf_dir), wanted)
 
 
 # Names
 
 
-KEYED = """WITH keys AS (SELECT DISTINCT name, regexp_replace(regexp_replace(lower(name), '\\b(inc)\\b\\.?', '', 'g'), '[^a-z0-9]', '', 'g') AS k FROM (SELECT p_name || CASE WHEN p_partkey % 2 = 0 THEN ' Inc.' ELSE '' END AS name FROM part)),
+KEYED = """WITH RECURSIVE keys AS (SELECT DISTINCT name, regexp_replace(regexp_replace(lower(name), '\\b(inc)\\b\\.?', '', 'g'), '[^a-z0-9]', '', 'g') AS k FROM (SELECT p_name || CASE WHEN p_partkey % 2 = 0 THEN ' Inc.' ELSE '' END AS name FROM part)),
 d AS (SELECT DISTINCT k FROM keys), fold AS (SELECT a.k AS short, min(b.k) AS long FROM d a JOIN d b ON length(a.k) >= 12 AND length(b.k) > length(a.k) AND length(b.k) - length(a.k) <= 5 AND starts_with(b.k, a.k) GROUP BY a.k),
-named AS (SELECT name, coalesce(long, k) AS group_key FROM keys LEFT JOIN fold ON k = short WHERE k <> ''), shown AS (SELECT group_key, list_sort(list(name)) AS members, min_by(name, {'a': CASE WHEN upper(name) = name THEN 1 ELSE 0 END, 'b': -length(name), 'c': name}) AS display FROM named GROUP BY group_key)"""
+way AS (SELECT short, long FROM fold UNION ALL SELECT w.short, f.long FROM way w JOIN fold f ON f.short = w.long), ends AS (SELECT short, max_by(long, length(long)) AS long FROM way GROUP BY short),
+named AS (SELECT name, coalesce(long, k) AS group_key FROM keys LEFT JOIN ends ON k = short WHERE k <> ''), shown AS (SELECT group_key, list_sort(list(name)) AS members, min_by(name, {'a': CASE WHEN upper(name) = name THEN 1 ELSE 0 END, 'b': -length(name), 'c': name}) AS display FROM named GROUP BY group_key)"""
 
 
 def part_names(spark, sf_dir):
