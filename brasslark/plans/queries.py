@@ -244,6 +244,45 @@ def peer_benchmark(spark, sf_dir):
     return rows.withColumns({c: F.round(c, 6) for c in ("value", "percentile", "upper_median")})
 
 
+#: Sectors with industry codes, and what rises of a series do to sectors. SEC4 has neither, the one series of SEC3 no data.
+CODE_RANGES = [("SEC1", 0, 999), ("SEC1", 2000, 2999), ("SEC2", 3000, 5999), ("SEC3", 900, 2100)]
+SERIES_WEIGHTS = [("SEC0", "1-URGENT", -1.0), ("SEC0", "2-HIGH", 0.5), ("SEC1", "3-MEDIUM", 1.0), ("SEC1", "4-NOT SPECIFIED", 1.0), ("SEC3", "9-NONE", 1.0)]
+
+INDUSTRY = f"""codes AS (SELECT ticker, (suppkey * 37) % 9000 AS code FROM companies), ranges AS (SELECT * FROM (VALUES {", ".join(map(str, CODE_RANGES))}) t(sector, lo, hi)),
+last AS (SELECT ticker, revenue, net_income * 100.0 / nullif(revenue, 0) AS margin, row_number() OVER (PARTITION BY ticker ORDER BY period_end DESC, fiscal_year DESC) AS r FROM fin_years),
+two AS (SELECT ticker, (max(revenue) FILTER (r = 1) - max(revenue) FILTER (r = 2)) * 100.0 / abs(max(revenue) FILTER (r = 2)) AS g, max(margin) FILTER (r = 1) - max(margin) FILTER (r = 2) AS m FROM last WHERE r <= 2 GROUP BY ticker),
+industry_placed AS (SELECT DISTINCT ticker, sector FROM codes JOIN ranges ON code BETWEEN lo AND hi), industry_rows AS (SELECT sector, g, m, abs(g) > 150 AS out FROM industry_placed JOIN two USING (ticker) WHERE g IS NOT NULL),
+industry_per AS (SELECT sector, count(*) AS companies, count(*) FILTER (out) AS outliers, median(g) FILTER (NOT out) AS growth, median(m) FILTER (NOT out) AS margin_change FROM industry_rows GROUP BY sector),
+industry_scores AS (SELECT *, 0.6 * greatest(0, least(100, (growth + 10) / 30.0 * 100)) + 0.4 * greatest(0, least(100, (margin_change + 5) / 10.0 * 100)) AS score FROM industry_per)"""
+
+MACRO = """obs AS (SELECT o_orderpriority AS series_id, CAST(o_orderdate AS DATE) AS date, CAST(sum(CAST(o_totalprice AS DECIMAL(18,4))) AS DOUBLE) / count(*) AS value FROM orders GROUP BY ALL),
+newest AS (SELECT series_id, max_by(value, date) AS latest, max(date) AS latest_date FROM obs WHERE date <= DATE '2000-01-01' GROUP BY series_id),
+base AS (SELECT o.series_id, max_by(o.value, o.date) AS base FROM obs o JOIN newest n USING (series_id) WHERE o.date <= n.latest_date - 182 GROUP BY o.series_id),
+limits AS (SELECT * FROM (VALUES ('1-URGENT', 'pp', 50000.0::DOUBLE, 20000), ('2-HIGH', '%', 30.0::DOUBLE, 20000), ('3-MEDIUM', '%', 15.0::DOUBLE, 20000), ('4-NOT SPECIFIED', '%', 8.0::DOUBLE, 1), ('9-NONE', '%', 1.0::DOUBLE, 1)) t(series_id, unit, full_change, max_age)),
+sig AS (SELECT l.series_id, latest, base, CASE WHEN latest IS NULL THEN 'no_data' WHEN DATE '2000-01-01' - latest_date > max_age THEN 'stale' WHEN base IS NULL THEN 'short_history' ELSE 'ok' END AS status,
+CASE WHEN unit = 'pp' THEN latest - base ELSE (latest - base) * 100.0 / abs(base) END AS raw, full_change FROM limits l LEFT JOIN newest USING (series_id) LEFT JOIN base USING (series_id)),
+signals AS (SELECT series_id, status, latest, base, CASE WHEN status = 'ok' THEN raw END AS change, CASE WHEN status = 'ok' THEN greatest(-1.0, least(1.0, raw / full_change)) END AS signal FROM sig),
+series_weights AS (SELECT * FROM (VALUES """ + ", ".join(f"('{a}', '{b}', {w}::DOUBLE)" for a, b, w in SERIES_WEIGHTS) + """) t(sector, series_id, weight)),
+macro_scores AS (SELECT sector, 50 + 50 * sum(weight * signal) FILTER (status = 'ok') / sum(abs(weight)) FILTER (status = 'ok') AS score, count(*) FILTER (status = 'ok') AS used, count(*) FILTER (status <> 'ok') AS dropped FROM series_weights JOIN signals USING (series_id) GROUP BY sector)"""
+
+
+def macro(spark, sf_dir):
+    """Signals of the series."""
+    obs = C.table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("series_id"), F.to_date("o_orderdate").alias("date"))
+    obs = obs.agg((F.sum(F.col("o_totalprice").cast("decimal(18,4)")).cast("double") / F.count(F.lit(1))).alias("value"))
+    limits = spark.createDataFrame([("1-URGENT", "pp", 50000.0, 20000), ("2-HIGH", "%", 30.0, 20000), ("3-MEDIUM", "%", 15.0, 20000), ("4-NOT SPECIFIED", "%", 8.0, 1), ("9-NONE", "%", 1.0, 1)], "series_id string, unit string, full double, max_age int")
+    return scorecard.series_signals(obs, limits, F.lit("2000-01-01").cast("date"))
+
+
+def by_macro(spark, sf_dir):
+    return scorecard.macro_scores(macro(spark, sf_dir), spark.createDataFrame(SERIES_WEIGHTS, "sector string, series_id string, weight double"))
+
+
+def by_industry(spark, sf_dir):
+    codes = C.companies(spark, sf_dir).select("ticker", ((F.col("suppkey") * 37) % 9000).alias("code"))
+    return scorecard.industry_scores(C.fin_years(spark, sf_dir), codes, spark.createDataFrame(CODE_RANGES, "sector string, lo long, hi long"))
+
+
 #: Two sectors in place of banks and insurers.
 PROFILE = "CASE sector WHEN 'SEC0' THEN 'bank' WHEN 'SEC1' THEN 'insurer' ELSE 'ordinary' END"
 
@@ -252,11 +291,11 @@ def to_scale(x: str, worst: float, best: float) -> str:
     return f"CASE WHEN ({x}) IS NOT NULL THEN greatest(0.0, least(100.0, (({x}) - {worst}) / ({best} - {worst})::DOUBLE * 100)) END"
 
 
-GROUPS = f"""base AS (SELECT *, {PROFILE} AS profile, CASE WHEN revenue > 0 THEN net_income * 100.0 / revenue END AS margin,
+GROUPS = f"""{INDUSTRY}, {MACRO}, groups_base AS (SELECT *, {PROFILE} AS profile, CASE WHEN revenue > 0 THEN net_income * 100.0 / revenue END AS margin,
 CASE WHEN stockholders_equity > 0 THEN net_income * 100.0 / stockholders_equity END AS roe FROM fin_years), placed AS (SELECT *,
 CASE WHEN roe IS NOT NULL AND count(roe) OVER w >= 5 THEN (rank() OVER (w ORDER BY roe NULLS LAST) - 1) * 100.0 / count(roe) OVER w END AS roe_pct,
 CASE WHEN margin IS NOT NULL AND count(margin) OVER w >= 5 THEN (rank() OVER (w ORDER BY margin NULLS LAST) - 1) * 100.0 / count(margin) OVER w END AS margin_pct,
-row_number() OVER (PARTITION BY ticker ORDER BY fiscal_year DESC) AS back FROM base WINDOW w AS (PARTITION BY sector, currency, fiscal_year)),
+row_number() OVER (PARTITION BY ticker ORDER BY fiscal_year DESC) AS back FROM groups_base WINDOW w AS (PARTITION BY sector, currency, fiscal_year)),
 per AS (SELECT ticker, sector, currency, profile, max(fiscal_year) AS latest_year, count(*) AS n_years, min_by(revenue, fiscal_year) FILTER (back <= 5) AS rev0, max_by(revenue, fiscal_year) AS rev1,
 min_by(net_income, fiscal_year) FILTER (back <= 5) AS ni0, max_by(net_income, fiscal_year) AS ni1, max(fiscal_year) - min(fiscal_year) FILTER (back <= 5) AS span,
 max(roe) FILTER (back = 1) AS roe, max(roe_pct) FILTER (back = 1) AS roe_pct, max(margin_pct) FILTER (back = 1) AS margin_pct, max_by(stockholders_equity, fiscal_year) AS se, max_by(total_liabilities, fiscal_year) AS tl,
@@ -274,9 +313,12 @@ CASE losses WHEN 0 THEN 100.0 WHEN 1 THEN 50.0 ELSE 0.0 END AS s1, {to_scale("CA
 grp AS (SELECT ticker, sector, currency, profile, latest_year, rev1, ni1, se, CASE WHEN n_years >= 3 THEN list_avg(list_filter([g1, g2], lambda x: x IS NOT NULL)) END AS growth,
 list_avg(list_filter([p1, roe_pct, p3], lambda x: x IS NOT NULL)) AS profitability, CASE WHEN profile = 'ordinary' THEN list_avg(list_filter([h1, h2], lambda x: x IS NOT NULL)) ELSE h3 END AS health,
 list_avg(list_filter([e1, e2], lambda x: x IS NOT NULL)) AS earnings_quality, CASE WHEN n_years >= 3 THEN list_avg(list_filter([s1, s2], lambda x: x IS NOT NULL)) END AS stability FROM parts),
+known AS (SELECT g.*, i.score AS industry, m.score AS macro FROM grp g LEFT JOIN industry_scores i USING (sector) LEFT JOIN macro_scores m USING (sector)),
 t AS (SELECT *, CASE WHEN growth IS NOT NULL THEN 20.0 ELSE 0 END + CASE WHEN profitability IS NOT NULL THEN 20.0 ELSE 0 END + CASE WHEN health IS NOT NULL THEN 15.0 ELSE 0 END
- + CASE WHEN profile = 'ordinary' AND earnings_quality IS NOT NULL THEN 10.0 ELSE 0 END + CASE WHEN stability IS NOT NULL THEN 10.0 ELSE 0 END AS used, CASE WHEN profile <> 'ordinary' THEN 65.0 ELSE 75.0 END AS possible,
- coalesce(growth * 20, 0) + coalesce(profitability * 20, 0) + coalesce(health * 15, 0) + CASE WHEN profile <> 'ordinary' THEN 0 ELSE coalesce(earnings_quality * 10, 0) END + coalesce(stability * 10, 0) AS points FROM grp),
+ + CASE WHEN profile = 'ordinary' AND earnings_quality IS NOT NULL THEN 10.0 ELSE 0 END + CASE WHEN stability IS NOT NULL THEN 10.0 ELSE 0 END
+ + CASE WHEN industry IS NOT NULL THEN 10.0 ELSE 0 END + CASE WHEN macro IS NOT NULL THEN 15.0 ELSE 0 END AS used, CASE WHEN profile <> 'ordinary' THEN 90.0 ELSE 100.0 END AS possible,
+ coalesce(growth * 20, 0) + coalesce(profitability * 20, 0) + coalesce(health * 15, 0) + CASE WHEN profile <> 'ordinary' THEN 0 ELSE coalesce(earnings_quality * 10, 0) END + coalesce(stability * 10, 0)
+ + coalesce(industry * 10, 0) + coalesce(macro * 15, 0) AS points FROM known),
 raw AS (SELECT *, points / nullif(used, 0) AS score, CASE WHEN used / possible < 0.7 OR used = 0 OR 2001 - latest_year > 2 THEN 'unrated' WHEN points / used >= 70 THEN 'buy' WHEN points / used >= 45 THEN 'watch' ELSE 'avoid' END AS first FROM t),
 rated AS (SELECT *, first = 'buy' AND (ni1 <= 0 OR se <= 0) AS stopped, CASE WHEN first = 'buy' AND (ni1 <= 0 OR se <= 0) THEN 'watch' ELSE first END AS level FROM raw)"""
 
@@ -287,7 +329,8 @@ def profiled(spark, sf_dir):
 
 def rated(spark, sf_dir):
     """Saved twice: every score stands in many expressions of what follows, which would repeat all that it is made of."""
-    return saved(scorecard.totals(saved(scorecard.groups(profiled(spark, sf_dir)), "groups"), 2001), "rated")
+    scores = scorecard.with_outside(saved(scorecard.groups(profiled(spark, sf_dir)), "groups"), by_industry(spark, sf_dir), by_macro(spark, sf_dir))
+    return saved(scorecard.totals(saved(scores, "scores"), 2001), "rated")
 
 
 @query(f"{YEARS}, {GROUPS} SELECT ticker, profile, latest_year, round(growth, 5) AS growth, round(profitability, 5) AS profitability, round(health, 5) AS health, round(earnings_quality, 5) AS earnings_quality, round(stability, 5) AS stability FROM grp")
@@ -302,8 +345,8 @@ def scorecard_levels(spark, sf_dir):
 
 
 @query(f"""{YEARS}, {GROUPS}, fit AS (SELECT *, row_number() OVER (PARTITION BY sector ORDER BY score DESC, ticker) AS place FROM rated WHERE level <> 'unrated' AND rev1 >= 50000),
-tall AS (UNPIVOT (SELECT ticker, growth, profitability, health, CASE WHEN profile = 'ordinary' THEN earnings_quality END AS earnings_quality, stability FROM fit) ON growth, profitability, health, earnings_quality, stability INTO NAME g VALUE v),
-numbered AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY v DESC, list_position(['growth', 'profitability', 'health', 'earnings_quality', 'stability'], g)) AS r, count(*) OVER (PARTITION BY ticker) AS n FROM tall),
+tall AS (UNPIVOT (SELECT ticker, growth, profitability, health, CASE WHEN profile = 'ordinary' THEN earnings_quality END AS earnings_quality, stability, industry, macro FROM fit) ON growth, profitability, health, earnings_quality, stability, industry, macro INTO NAME g VALUE v),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY v DESC, list_position(['growth', 'profitability', 'health', 'earnings_quality', 'stability', 'industry', 'macro'], g)) AS r, count(*) OVER (PARTITION BY ticker) AS n FROM tall),
 named AS (SELECT ticker, string_agg(g, ',' ORDER BY r) FILTER (r <= 2 AND v >= 60) AS strong, string_agg(g, ',' ORDER BY r) FILTER (r > n - 2 AND v < 45) AS weak FROM numbered GROUP BY ticker)
 SELECT sector, place, ticker, level, round(score, 5) AS score, coalesce(strong, '') AS strong, coalesce(weak, '') AS weak FROM fit LEFT JOIN named USING (ticker) WHERE place <= 10""", "place")
 def scorecard_sector_list(spark, sf_dir):
@@ -317,33 +360,9 @@ def scorecard_sector_counts(spark, sf_dir):
     return scorecard.sector_counts(rated(spark, sf_dir), 50_000)
 
 
-@query(f"""{YEARS}, codes AS (SELECT ticker, (suppkey * 37) % 9000 AS code FROM companies), ranges AS (SELECT * FROM (VALUES ('A', 0, 999), ('A', 2000, 2999), ('B', 3000, 5999), ('C', 900, 2100)) t(sector, lo, hi)),
-last AS (SELECT ticker, revenue, net_income * 100.0 / nullif(revenue, 0) AS margin, row_number() OVER (PARTITION BY ticker ORDER BY period_end DESC, fiscal_year DESC) AS r FROM fin_years),
-two AS (SELECT ticker, (max(revenue) FILTER (r = 1) - max(revenue) FILTER (r = 2)) * 100.0 / abs(max(revenue) FILTER (r = 2)) AS g, max(margin) FILTER (r = 1) - max(margin) FILTER (r = 2) AS m FROM last WHERE r <= 2 GROUP BY ticker),
-placed AS (SELECT DISTINCT ticker, sector FROM codes JOIN ranges ON code BETWEEN lo AND hi), j AS (SELECT sector, g, m, abs(g) > 150 AS out FROM placed JOIN two USING (ticker) WHERE g IS NOT NULL),
-per AS (SELECT sector, count(*) AS companies, count(*) FILTER (out) AS outliers, median(g) FILTER (NOT out) AS growth, median(m) FILTER (NOT out) AS margin_change FROM j GROUP BY sector)
-SELECT sector, companies, outliers, round(growth, 6) AS growth, round(margin_change, 6) AS margin_change, round(0.6 * greatest(0, least(100, (growth + 10) / 30.0 * 100)) + 0.4 * greatest(0, least(100, (margin_change + 5) / 10.0 * 100)), 5) AS score FROM per""")
+@query(f"{YEARS}, {INDUSTRY} SELECT sector, companies, outliers, round(growth, 6) AS growth, round(margin_change, 6) AS margin_change, round(score, 5) AS score FROM industry_scores")
 def industry_signal(spark, sf_dir):
-    codes = C.companies(spark, sf_dir).select("ticker", ((F.col("suppkey") * 37) % 9000).alias("code"))
-    ranges = spark.createDataFrame([("A", 0, 999), ("A", 2000, 2999), ("B", 3000, 5999), ("C", 900, 2100)], "sector string, lo long, hi long")
-    rows = scorecard.industry_scores(C.fin_years(spark, sf_dir), codes, ranges)
-    return rows.select("sector", "companies", "outliers", F.round("growth", 6).alias("growth"), F.round("margin_change", 6).alias("margin_change"), F.round("score", 5).alias("score"))
-
-
-MACRO = """obs AS (SELECT o_orderpriority AS series_id, CAST(o_orderdate AS DATE) AS date, CAST(sum(CAST(o_totalprice AS DECIMAL(18,4))) AS DOUBLE) / count(*) AS value FROM orders GROUP BY ALL),
-newest AS (SELECT series_id, max_by(value, date) AS latest, max(date) AS latest_date FROM obs WHERE date <= DATE '2000-01-01' GROUP BY series_id),
-base AS (SELECT o.series_id, max_by(o.value, o.date) AS base FROM obs o JOIN newest n USING (series_id) WHERE o.date <= n.latest_date - 182 GROUP BY o.series_id),
-limits AS (SELECT * FROM (VALUES ('1-URGENT', 'pp', 50000.0::DOUBLE, 20000), ('2-HIGH', '%', 30.0::DOUBLE, 20000), ('3-MEDIUM', '%', 15.0::DOUBLE, 20000), ('4-NOT SPECIFIED', '%', 8.0::DOUBLE, 1), ('9-NONE', '%', 1.0::DOUBLE, 1)) t(series_id, unit, full_change, max_age)),
-sig AS (SELECT l.series_id, latest, base, CASE WHEN latest IS NULL THEN 'no_data' WHEN DATE '2000-01-01' - latest_date > max_age THEN 'stale' WHEN base IS NULL THEN 'short_history' ELSE 'ok' END AS status,
-CASE WHEN unit = 'pp' THEN latest - base ELSE (latest - base) * 100.0 / abs(base) END AS raw, full_change FROM limits l LEFT JOIN newest USING (series_id) LEFT JOIN base USING (series_id)),
-signals AS (SELECT series_id, status, latest, base, CASE WHEN status = 'ok' THEN raw END AS change, CASE WHEN status = 'ok' THEN greatest(-1.0, least(1.0, raw / full_change)) END AS signal FROM sig)"""
-
-
-def macro(spark, sf_dir):
-    obs = C.table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("series_id"), F.to_date("o_orderdate").alias("date"))
-    obs = obs.agg((F.sum(F.col("o_totalprice").cast("decimal(18,4)")).cast("double") / F.count(F.lit(1))).alias("value"))
-    limits = spark.createDataFrame([("1-URGENT", "pp", 50000.0, 20000), ("2-HIGH", "%", 30.0, 20000), ("3-MEDIUM", "%", 15.0, 20000), ("4-NOT SPECIFIED", "%", 8.0, 1), ("9-NONE", "%", 1.0, 1)], "series_id string, unit string, full double, max_age int")
-    return scorecard.series_signals(obs, limits, F.lit("2000-01-01").cast("date"))
+    return by_industry(spark, sf_dir).select("sector", "companies", "outliers", F.round("growth", 6).alias("growth"), F.round("margin_change", 6).alias("margin_change"), F.round("score", 5).alias("score"))
 
 
 @query(f"WITH {MACRO} SELECT series_id, status, round(latest, 5) AS latest, round(base, 5) AS base, round(change, 5) AS change, round(signal, 6) AS signal FROM signals")
@@ -351,11 +370,9 @@ def macro_asof_change(spark, sf_dir):
     return macro(spark, sf_dir).select("series_id", "status", *[F.round(c, n).alias(c) for c, n in (("latest", 5), ("base", 5), ("change", 5), ("signal", 6))])
 
 
-@query(f"""WITH {MACRO}, weights AS (SELECT * FROM (VALUES ('X', '1-URGENT', -1.0::DOUBLE), ('X', '2-HIGH', 0.5::DOUBLE), ('Y', '3-MEDIUM', 1.0::DOUBLE), ('Y', '4-NOT SPECIFIED', 1.0::DOUBLE), ('Z', '9-NONE', 1.0::DOUBLE)) t(sector, series_id, weight))
-SELECT sector, round(50 + 50 * sum(weight * signal) FILTER (status = 'ok') / sum(abs(weight)) FILTER (status = 'ok'), 5) AS score, count(*) FILTER (status = 'ok') AS used, count(*) FILTER (status <> 'ok') AS dropped FROM weights JOIN signals USING (series_id) GROUP BY sector""")
+@query(f"WITH {MACRO} SELECT sector, round(score, 5) AS score, used, dropped FROM macro_scores")
 def macro_sector_score(spark, sf_dir):
-    weights = spark.createDataFrame([("X", "1-URGENT", -1.0), ("X", "2-HIGH", 0.5), ("Y", "3-MEDIUM", 1.0), ("Y", "4-NOT SPECIFIED", 1.0), ("Z", "9-NONE", 1.0)], "sector string, series_id string, weight double")
-    return scorecard.macro_scores(macro(spark, sf_dir), weights).withColumn("score", F.round("score", 5))
+    return by_macro(spark, sf_dir).withColumn("score", F.round("score", 5))
 
 
 @query("""WITH obs AS (SELECT o_custkey, o_orderdate, o_totalprice, row_number() OVER (PARTITION BY o_custkey, o_orderdate ORDER BY o_orderkey) AS r FROM orders), one AS (SELECT * FROM obs WHERE r = 1),

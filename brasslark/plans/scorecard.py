@@ -124,9 +124,11 @@ def groups(years: DataFrame) -> DataFrame:
 def totals(scores: DataFrame, as_of_year: int) -> DataFrame:
     """scores (group columns, profile) with coverage, score and level: weights of unknown groups are shared out, excluded ones don't count; low coverage or stale figures leave the company unrated.
 
+    Coverage is of all seven groups that the profile has, whether scores has their columns or not: a group without a column is unknown.
     A company with a loss or no income in its latest year, or without equity, is never better than "watch"; `stopped` says so.
     """
-    names = [g for g in WEIGHTS if g in scores.columns]
+    scores = scores.withColumns({g: F.lit(None).cast("double") for g in WEIGHTS if g not in scores.columns})
+    names = list(WEIGHTS)
     applies = {g: ~F.coalesce(F.col("profile").isin(*[p for p, x in EXCLUDED.items() if g in x] or [""]), F.lit(False)) for g in names}
     weight = lambda g, ok: F.when(ok, WEIGHTS[g]).otherwise(0.0)
     total = lambda xs: sum(xs[1:], xs[0])
@@ -143,6 +145,13 @@ def totals(scores: DataFrame, as_of_year: int) -> DataFrame:
     return rows.withColumn("level", F.when(F.col("stopped"), LEVELS[1][1]).otherwise(F.col("level")))
 
 
+def with_outside(scores: DataFrame, industry: DataFrame, macro: DataFrame) -> DataFrame:
+    """scores with the groups that a company gets from its sector: industry and macro (sector, score each); NULL where the sector has none."""
+    for name, outside in (("industry", industry), ("macro", macro)):
+        scores = scores.join(outside.select("sector", F.col("score").alias(name)), "sector", "left")
+    return scores
+
+
 def sector_list(rated: DataFrame, top: int = 10, least: float = 0.0) -> DataFrame:
     """Per sector the `top` companies of rated (totals with revenue) that have a level and at least that revenue, best score first, ties by ticker.
 

@@ -144,7 +144,24 @@ def test_levels(spark, score, level):
 def test_excluded_groups_do_not_lower_coverage(spark):
     rows = spark.createDataFrame([(50.0, 50.0, 50.0, None, 50.0, "bank", 2024, 1.0, 1.0), (50.0, None, None, None, None, "bank", 2024, 1.0, 1.0)], "growth double, profitability double, health double, earnings_quality double, stability double, profile string, latest_year int, net_income double, stockholders_equity double")
     got = [(r["coverage"], r["level"]) for r in scorecard.totals(rows, 2024).collect()]
-    assert got[0] == (1.0, "watch") and got[1][1] == "unrated"
+    assert got[0] == (65 / 90, "watch") and got[1] == (20 / 90, "unrated")
+
+
+def test_coverage_is_of_all_seven_groups(spark):
+    """Unknown growth beside known groups, with industry and macro unknown, known, and without a column."""
+    groups = "growth double, profitability double, health double, earnings_quality double, stability double"
+    outside = "profile string, latest_year int, net_income double, stockholders_equity double"
+    four = (None, 80.0, 80.0, 80.0, 80.0)
+    rows = [(*four, *x, "ordinary", 2024, 1.0, 1.0) for x in ((None, None), (90.0, None), (None, 90.0), (90.0, 90.0))]
+    got = [(r["coverage"], r["level"]) for r in scorecard.totals(spark.createDataFrame(rows, f"{groups}, industry double, macro double, {outside}"), 2024).collect()]
+    assert got == [(0.55, "unrated"), (0.65, "unrated"), (0.7, "buy"), (0.8, "buy")]
+    assert [r["level"] for r in scorecard.totals(spark.createDataFrame([(*four, "ordinary", 2024, 1.0, 1.0)], f"{groups}, {outside}"), 2024).collect()] == ["unrated"]
+
+
+def test_sectors_give_industry_and_macro(spark):
+    scores = spark.createDataFrame([("a", "X"), ("b", "Y"), ("c", None)], "ticker string, sector string")
+    industry, macro = (spark.createDataFrame(rows, "sector string, score double") for rows in ([("X", 10.0)], [("X", None), ("Y", 20.0)]))
+    assert {tuple(r) for r in scorecard.with_outside(scores, industry, macro).select("ticker", "industry", "macro").collect()} == {("a", 10.0, None), ("b", None, 20.0), ("c", None, None)}
 
 
 def test_metric_changes(spark):
