@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brasslark.llm import chat, exact, html, langid, minhash, mixing, packing, quality, simhash, toxicity, trie, urls
+from brasslark.llm import chat, exact, html, langid, minhash, mixing, packing, phrases, quality, simhash, toxicity, trie, urls
 from brasslark.llm.common import saved, table
 
 
@@ -72,7 +72,11 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.trie(*trie.grafted(turns, conv - conv % 20, (F.crc32(conv.cast("string")) % 4).cast("int"), 3))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_toxicity, op3_url_filter, op4_simhash, op5_language, op6_best_fit, op7_html, op8_exact_dedup, op9_order_minhash, op10_quality, op11_chat_format, op12_prefix_trie)}
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_toxicity, op3_url_filter, op4_simhash, op5_language, op6_best_fit, op7_html, op8_exact_dedup, op9_order_minhash, op10_quality, op11_chat_format, op12_prefix_trie, op13_collocations)}
 
 ORACLES = {
     "op1_mix_sources": r"""
@@ -167,4 +171,33 @@ ORACLES = {
         )
         SELECT o.node AS conv_id, CAST(o.pos AS BIGINT) AS depth, o.above AS parent_conv_id, o.n AS n_convs, o.n_children, u.n_leaves, CAST(u.saved AS BIGINT) AS saved_tokens, sha256(coalesce(o.ids, '')) AS ends_sha256
         FROM own o JOIN under u ON u.pos = o.pos AND u.node = o.node""",
+    "op13_collocations": r"""
+        WITH pieces AS (
+            SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+                SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+            )
+        ), firsts AS (
+            SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces
+        ), grams AS (
+            SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM firsts, (SELECT unnest(range(1, 5)) AS k) WHERE i + k - 1 <= len(w)
+        ), totals AS (
+            SELECT lang, count(*) AS n FROM grams WHERE k = 1 GROUP BY lang
+        ), f AS (
+            SELECT lang, phrase, k, count(*) AS f FROM grams GROUP BY lang, phrase, k HAVING count(*) >= 30
+        ), cuts AS (
+            SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS cut FROM f WHERE k > 1
+        ), scored AS (
+            SELECT c.lang, c.phrase, c.a, c.cut, x.f AS l, y.f AS r, (CAST(2000000 AS HUGEINT) * c.a) // (x.f + y.f) AS score
+            FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.cut], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.cut + 1:], ' ')
+        ), low AS (
+            SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS place FROM scored) WHERE place = 1
+        ), spans AS (
+            SELECT lang, k, f, string_split(phrase, ' ') AS w, unnest(range(2, k)) AS size FROM f WHERE k > 2
+        ), inside AS (
+            SELECT lang, array_to_string(w[i:i + size - 1], ' ') AS phrase, max(f) AS longer FROM (SELECT *, unnest(range(1, k - size + 2)) AS i FROM spans) GROUP BY ALL
+        ), best AS (
+            SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY s.score DESC, s.a DESC, s.phrase) AS rank
+            FROM low s LEFT JOIN inside i ON i.lang = s.lang AND i.phrase = s.phrase WHERE i.longer IS NULL OR 100 * i.longer < 80 * s.a
+        )
+        SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM best JOIN totals USING (lang) WHERE rank <= 2000""",
 }

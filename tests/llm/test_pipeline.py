@@ -13,7 +13,7 @@ from tests.conftest import SMALL
 def test_every_query_is_registered():
     names = __spark_entry__.queries()
     assert set(QUERIES) <= set(names) and names["pipeline"] is corpus_pipeline.run
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 13))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_stages_on_awkward_rows(spark, docs, none):
