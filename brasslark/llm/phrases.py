@@ -27,10 +27,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brasslark.llm.common import saved
+from brasslark.operators.scans import placed
 
 PIECES = ".,;:!?\n\x0b\x0c\r"
 #: Bytes of text in a shard (a longer text is a shard by itself), and ANDs done at once.
-SHARD, ANDS = 1 << 23, 1 << 21
+SHARD, ANDS = 1 << 24, 1 << 20
 #: Words of the longest phrases, and how often a phrase occurs at least.
 LONGEST, LEAST = 4, 30
 
@@ -182,7 +183,7 @@ def _shards(docs: DataFrame, shard_bytes: int) -> DataFrame:
             nonlocal k
             sizes.pop(lang)
             words, codes = laid_out(b"\n".join(held.pop(lang)))
-            number, k = (TaskContext.get().partitionId() << 32) | k, k + 1
+            number, k = (k << 24) | TaskContext.get().partitionId(), k + 1  # small numbers pack well
             counts = np.bincount(codes[codes >= 0], minlength=len(words))
             columns = [pa.array([number], pa.int64()), pa.array([lang], pa.string())]
             columns += [pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), x) for x in (words, pa.array(counts, pa.int64()))]
@@ -258,7 +259,8 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     totals = each.groupBy("lang").agg(F.sum("k").alias("n"))
 
     words = each.groupBy("lang", "word").agg(F.sum("k").alias("f")).where(F.col("f") >= least)
-    words = saved(words.withColumn("id", F.monotonically_increasing_id()), "words")
+    # ids by frequency: most of what is shuffled has small ones
+    words = saved(placed(words, [], [F.desc("f"), F.col("lang"), F.col("word")], "id"), "words")
     own = each.join(words, ["lang", "word"]).groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("at", "id"))).alias("own"))
     own = shards.select("shard", "codes").join(own.select("shard", F.col("own.at").alias("at"), F.col("own.id").alias("ids")), "shard")
 
