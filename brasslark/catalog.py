@@ -154,3 +154,11 @@ knowledge AS (
     )
 )"""
 )
+#: Chunks of text as the vectors' owners: most chunks are of companies that are there, some of none.
+CHUNKS_SQL = "chunks AS (SELECT vec_id AS chunk_id, 'S' || (1 + vec_id * 7 % 60) AS ticker, 1992 + vec_id % 7 AS fiscal_year FROM embeddings)"
+
+
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """chunk_id, ticker, fiscal_year: one row a vector."""
+    vec = F.col("vec_id")
+    return table(spark, sf_dir, "embeddings").select(vec.alias("chunk_id"), F.concat(F.lit("S"), (1 + vec * 7 % 60).cast("string")).alias("ticker"), (1992 + vec % 7).alias("fiscal_year"))

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brasslark.catalog import METRICS
-from brasslark.operators.graph import degrees
+from brasslark.operators.graph import INFRA, STRUCTURED, degrees
+from brasslark.operators.vector import indexed
 
 #: Comparison operators a screen may use.
 OPERATORS = {"gt": lambda a, b: a > b, "gte": lambda a, b: a >= b, "lt": lambda a, b: a < b, "lte": lambda a, b: a <= b, "eq": lambda a, b: a == b}
@@ -92,13 +93,31 @@ def gaps(cover: DataFrame) -> DataFrame:
     return cover.select("ticker", notes.alias("gaps"))
 
 
-def brief(companies: DataFrame, years: DataFrame, edges: DataFrame, n: int = 5) -> DataFrame:
-    """One struct row a company: coverage, figures of the last n years, surest relations, gaps."""
-    rows = years.withColumn("_r", F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("fiscal_year")))).where(F.col("_r") <= n)
-    figures = rows.groupBy("ticker").agg(F.sort_array(F.collect_list(F.struct("fiscal_year", "revenue", "net_income", "stockholders_equity"))).alias("figures"))
-    rel = edges.select(F.col("src").alias("ticker"), "rel", "dst", "mentions")
-    rel = rel.withColumn("_r", F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("mentions"), "dst"))).where("_r <= 8")
-    relations = rel.groupBy("ticker").agg(F.sort_array(F.collect_list(F.struct(F.col("_r").alias("place"), "rel", "dst", "mentions"))).alias("relations"))
-    cover = coverage(companies, years, edges)
-    out = companies.select("ticker", "name").join(cover, "ticker").join(figures, "ticker", "left").join(relations, "ticker", "left")
-    return out.join(gaps(cover), "ticker")
+def _listed(rows: DataFrame, key: str, order: list[Column], n: int, name: str, *columns: str) -> DataFrame:
+    """key and an array of the first n rows of each key, in order, as structs of columns after their place."""
+    first = rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_r") <= n)
+    return first.groupBy(F.col(key).alias("ticker")).agg(F.sort_array(F.collect_list(F.struct(F.col("_r").alias("place"), *columns))).alias(name))
+
+
+def brief(companies: DataFrame, years: DataFrame, edges: DataFrame, chunks: DataFrame, peers: DataFrame | None = None, n: int = 5) -> DataFrame:
+    """One row a company: coverage, figures of the last n years, holders and holdings, business relations, text, peers, gaps.
+
+    Holders are who owns the company, holdings what it owns: the largest stakes first, those without a share last; relations leave
+    stakes out. Text is the newest chunks (chunk_id, ticker, fiscal_year); peers (ticker, metric, rank, n) are taken as they are.
+    A section that has nothing is NULL, and gaps names it.
+    """
+    stakes, business = edges.where(F.col("rel").isin(*STRUCTURED)), edges.where(~F.col("rel").isin(*STRUCTURED, *INFRA))
+    share = F.desc_nulls_last("percent")
+    sections = [
+        _listed(years, "ticker", [F.desc("fiscal_year")], n, "figures", "fiscal_year", "revenue", "net_income", "stockholders_equity"),
+        _listed(stakes, "src", [share, F.col("dst")], 8, "holders", "dst", "percent", "as_of"),
+        _listed(stakes, "dst", [share, F.col("src")], 8, "holdings", "src", "percent", "as_of"),
+        _listed(business, "src", [F.desc("mentions"), F.col("rel"), F.col("dst")], 8, "relations", "rel", "dst", "mentions", "evidence"),
+        _listed(chunks, "ticker", [F.desc("fiscal_year"), F.col("chunk_id")], 4, "text", "chunk_id", "fiscal_year"),
+        *([_listed(peers, "ticker", [F.col("metric")], 20, "peers", "metric", "rank", "n")] if peers is not None else []),
+    ]
+    cover = coverage(companies, years, edges, indexed(chunks).select("ticker", "chunks"))
+    out = companies.select("ticker", "name").join(cover, "ticker").join(gaps(cover), "ticker")
+    for section in sections:
+        out = out.join(section, "ticker", "left")
+    return out

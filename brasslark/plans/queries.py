@@ -38,6 +38,30 @@ def every(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 YEARS, OWN, KNOW = f"WITH {C.FIN_YEARS_SQL}", f"WITH {C.OWNERSHIP_SQL}", f"WITH {C.KNOWLEDGE_SQL}"
+OWNERSHIP_ONLY, KNOWLEDGE_ONLY = (sql.split("companies AS", 1)[1].split("),", 1)[1].strip() for sql in (C.OWNERSHIP_SQL, C.KNOWLEDGE_SQL))
+#: Knowledge with the sentence it comes from, and stakes with their share and date; with the nodes of yearly figures, all edges.
+EDGES = f"{KNOW}, {OWNERSHIP_ONLY}"
+ALL_EDGES = f"""{YEARS}, {KNOWLEDGE_ONLY}, {OWNERSHIP_ONLY}, {C.CHUNKS_SQL},
+edges AS (SELECT src, rel, dst, mentions, NULL::DOUBLE AS percent FROM knowledge UNION ALL SELECT 'S' || company, 'OWNED_BY', 'S' || owner, 1, percent FROM ownership
+UNION ALL SELECT ticker, 'HAS_FINANCIALS', ticker || '|' || fiscal_year, 1, NULL FROM fin_years),
+ends AS (SELECT src AS node, rel FROM edges UNION ALL SELECT dst, rel FROM edges),
+degrees AS (SELECT node, count(*) FILTER (rel NOT IN ('OWNED_BY', 'HAS_FINANCIALS')) AS knowledge, count(*) FILTER (rel = 'OWNED_BY') AS ownership, count(*) FILTER (rel = 'HAS_FINANCIALS') AS infra FROM ends GROUP BY node),
+per AS (SELECT ticker, count(*) AS years, min(fiscal_year) AS first_year, max(fiscal_year) AS last_year FROM fin_years WHERE fiscal_year BETWEEN 1990 AND 2100 GROUP BY ticker),
+texts AS (SELECT ticker, count(*) AS chunks FROM chunks GROUP BY ticker),
+cover AS (SELECT c.ticker, coalesce(years, 0) AS years, first_year, last_year, coalesce(knowledge, 0) AS knowledge, coalesce(ownership, 0) AS ownership, coalesce(chunks, 0) AS chunks
+FROM companies c LEFT JOIN per USING (ticker) LEFT JOIN degrees d ON d.node = c.ticker LEFT JOIN texts USING (ticker))"""
+
+
+def told_edges(spark, sf_dir):
+    told = C.knowledge(spark, sf_dir).withColumn("evidence", F.concat_ws(" ", "src", "rel", "dst")).withColumn("doc_id", F.concat("src", F.lit("_10-K"))).withColumn("percent", F.lit(None).cast("double")).withColumn("as_of", F.lit(None).cast("string"))
+    code = lambda c: F.concat(F.lit("S"), F.col(c).cast("string"))
+    stakes = C.ownership(spark, sf_dir).select(code("company").alias("src"), F.lit("OWNED_BY").alias("rel"), code("owner").alias("dst"), F.lit(1).cast("long").alias("mentions"), F.lit(1.0).alias("confidence"), F.lit(None).cast("string").alias("evidence"), F.lit(None).cast("string").alias("doc_id"), "percent", F.lit("2001-12-31").alias("as_of"))
+    return told.unionByName(stakes)
+
+
+def all_edges(spark, sf_dir, years):
+    own = years.select(F.col("ticker").alias("src"), F.lit("HAS_FINANCIALS").alias("rel"), F.concat_ws("|", "ticker", F.col("fiscal_year").cast("string")).alias("dst"), F.lit(1).cast("long").alias("mentions"))
+    return told_edges(spark, sf_dir).unionByName(own, allowMissingColumns=True)
 
 
 # Figures
@@ -81,13 +105,10 @@ def currency_counts(spark, sf_dir):
     return C.fin_years(spark, sf_dir).groupBy("currency").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("ticker").alias("companies"))
 
 
-@query(f"""{YEARS}, {C.KNOWLEDGE_SQL.split("companies AS", 1)[1].split("),", 1)[1].strip()},
-per AS (SELECT ticker, count(*) AS years, min(fiscal_year) AS first_year, max(fiscal_year) AS last_year FROM fin_years WHERE fiscal_year BETWEEN 1990 AND 2100 GROUP BY ticker),
-deg AS (SELECT node AS ticker, count(*) AS knowledge FROM (SELECT src AS node FROM knowledge UNION ALL SELECT dst FROM knowledge) GROUP BY node)
-SELECT c.ticker, coalesce(years, 0) AS years, first_year, last_year, coalesce(knowledge, 0) AS knowledge, CAST(0 AS BIGINT) AS ownership, CAST(0 AS BIGINT) AS chunks
-FROM companies c LEFT JOIN per USING (ticker) LEFT JOIN deg USING (ticker)""")
+@query(f"{ALL_EDGES} SELECT * FROM cover")
 def coverage_summary(spark, sf_dir):
-    return financials.coverage(C.companies(spark, sf_dir), C.fin_years(spark, sf_dir), C.knowledge(spark, sf_dir))
+    years = saved(C.fin_years(spark, sf_dir), "years")
+    return financials.coverage(C.companies(spark, sf_dir), years, all_edges(spark, sf_dir, years), vector.indexed(C.chunks(spark, sf_dir)).select("ticker", "chunks"))
 
 
 @query(f"""{YEARS}, top AS (SELECT currency, ticker, max(revenue) AS revenue FROM fin_years WHERE fiscal_year >= 1997 GROUP BY ALL),
@@ -96,9 +117,28 @@ def top_revenue_since(spark, sf_dir):
     return financials.top_revenue(C.fin_years(spark, sf_dir), 1997, 10)
 
 
-@query()
+@query(f"""{ALL_EDGES}, years AS (SELECT ticker, string_agg(fiscal_year || ':' || CAST(floor(revenue) AS BIGINT), ',' ORDER BY fiscal_year DESC) AS figures FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY fiscal_year DESC) AS r FROM fin_years) WHERE r <= 5 GROUP BY ticker),
+stakes AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY percent DESC NULLS LAST, dst) AS h, row_number() OVER (PARTITION BY dst ORDER BY percent DESC NULLS LAST, src) AS o FROM edges WHERE rel = 'OWNED_BY'),
+holders AS (SELECT src AS ticker, string_agg(dst, ',' ORDER BY h) AS holders FROM stakes WHERE h <= 8 GROUP BY src), holdings AS (SELECT dst AS ticker, string_agg(src, ',' ORDER BY o) AS holdings FROM stakes WHERE o <= 8 GROUP BY dst),
+business AS (SELECT src AS ticker, string_agg(rel || ':' || dst, ',' ORDER BY r) AS relations FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY mentions DESC, rel, dst) AS r FROM knowledge) WHERE r <= 8 GROUP BY src),
+text AS (SELECT ticker, string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY r) AS text FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY fiscal_year DESC, chunk_id) AS r FROM chunks) WHERE r <= 4 GROUP BY ticker),
+newest AS (SELECT *, max(fiscal_year) OVER (PARTITION BY ticker) AS y FROM fin_years), placed AS (SELECT ticker, 'revenue:' || rank() OVER (PARTITION BY sector, currency, fiscal_year ORDER BY revenue DESC) || '/' || count(*) OVER (PARTITION BY sector, currency, fiscal_year) AS peers FROM newest WHERE fiscal_year = y)
+SELECT c.ticker, name, years, first_year, last_year, knowledge, ownership, chunks, figures, holders, holdings, relations, text, peers,
+concat_ws(',', CASE WHEN years = 0 THEN 'no_figures' END, CASE WHEN knowledge = 0 THEN 'no_relations' END, CASE WHEN ownership = 0 THEN 'no_owners' END, CASE WHEN chunks = 0 THEN 'no_text' END) AS gaps
+FROM companies c JOIN cover USING (ticker) LEFT JOIN years USING (ticker) LEFT JOIN holders USING (ticker) LEFT JOIN holdings USING (ticker) LEFT JOIN business USING (ticker) LEFT JOIN text USING (ticker) LEFT JOIN placed USING (ticker)""")
 def company_brief(spark, sf_dir):
-    return financials.brief(C.companies(spark, sf_dir), C.fin_years(spark, sf_dir), C.knowledge(spark, sf_dir))
+    """Peers are the companies of the sector and currency in the company's newest year."""
+    years = saved(C.fin_years(spark, sf_dir), "years")
+    newest = years.join(years.groupBy("ticker").agg(F.max("fiscal_year").alias("y")), "ticker").where("fiscal_year = y")
+    peers_of = windows.rank_in(newest, ["sector", "currency", "fiscal_year"], "revenue").select("ticker", F.lit("revenue").alias("metric"), "rank", "n")
+    rows = financials.brief(C.companies(spark, sf_dir), years, saved(all_edges(spark, sf_dir, years), "edges"), C.chunks(spark, sf_dir), peers_of)
+    told = lambda name, f: F.array_join(F.transform(name, f), ",").alias(name)
+    text = lambda c: c.cast("string")
+    return rows.select(
+        "ticker", "name", "years", "first_year", "last_year", "knowledge", "ownership", "chunks", told("figures", lambda x: F.concat_ws(":", text(x["fiscal_year"]), text(F.floor(x["revenue"])))),
+        told("holders", lambda x: x["dst"]), told("holdings", lambda x: x["src"]), told("relations", lambda x: F.concat_ws(":", x["rel"], x["dst"])), told("text", lambda x: text(x["chunk_id"])),
+        told("peers", lambda x: F.concat(x["metric"], F.lit(":"), text(x["rank"]), F.lit("/"), text(x["n"]))), F.array_join("gaps", ",").alias("gaps"),
+    )
 
 
 @query(f"""{YEARS} SELECT ticker, fiscal_year, revenue, CASE WHEN py = fiscal_year - 1 THEN pv END AS prev,
@@ -485,17 +525,6 @@ def bridging_owners(spark, sf_dir):
     return C.ownership(spark, sf_dir).groupBy("owner").agg(F.count_distinct("company").alias("companies"), F.round(F.max("percent"), 8).alias("largest")).where("companies >= 2")
 
 
-#: Knowledge with the sentence it comes from, and stakes with their share and date.
-EDGES = f"""{KNOW}, {C.OWNERSHIP_SQL.split("companies AS", 1)[1].split("),", 1)[1].strip()}"""
-
-
-def told_edges(spark, sf_dir):
-    told = C.knowledge(spark, sf_dir).withColumn("evidence", F.concat_ws(" ", "src", "rel", "dst")).withColumn("doc_id", F.concat("src", F.lit("_10-K"))).withColumn("percent", F.lit(None).cast("double")).withColumn("as_of", F.lit(None).cast("string"))
-    code = lambda c: F.concat(F.lit("S"), F.col(c).cast("string"))
-    stakes = C.ownership(spark, sf_dir).select(code("company").alias("src"), F.lit("OWNED_BY").alias("rel"), code("owner").alias("dst"), F.lit(1).cast("long").alias("mentions"), F.lit(1.0).alias("confidence"), F.lit(None).cast("string").alias("evidence"), F.lit(None).cast("string").alias("doc_id"), "percent", F.lit("2001-12-31").alias("as_of"))
-    return told.unionByName(stakes)
-
-
 @query(f"""{EDGES}, e AS (SELECT src, rel, dst, mentions, confidence, concat_ws(' ', src, rel, dst) AS evidence, src || '_10-K' AS doc_id, NULL::DOUBLE AS percent, NULL::VARCHAR AS as_of FROM knowledge
 UNION ALL SELECT 'S' || company, 'OWNED_BY', 'S' || owner, 1, 1.0, NULL, NULL, percent, '2001-12-31' FROM ownership),
 both_ways AS (SELECT src AS node, dst AS other, rel, 'out' AS direction, * EXCLUDE (src, rel, dst) FROM e UNION ALL SELECT dst, src, rel, 'in', * EXCLUDE (src, rel, dst) FROM e),
@@ -517,9 +546,9 @@ def shortest_path(spark, sf_dir):
     return rows.select("source", "target", "hops", F.array_join(F.col("path").cast("array<string>"), "-").alias("path"), F.array_join(told, ";").alias("told"))
 
 
-@query(f"{KNOW} SELECT node, count(*) AS knowledge, CAST(0 AS BIGINT) AS ownership, CAST(0 AS BIGINT) AS infra FROM (SELECT src AS node FROM knowledge UNION ALL SELECT dst FROM knowledge) GROUP BY node")
+@query(f"{ALL_EDGES} SELECT * FROM degrees")
 def degree_classes(spark, sf_dir):
-    return graph.degrees(C.knowledge(spark, sf_dir))
+    return graph.degrees(all_edges(spark, sf_dir, C.fin_years(spark, sf_dir)))
 
 
 @query(f"""{KNOW}, RECURSIVE_MERGES merges AS (SELECT ticker AS loser, 'S' || (suppkey - 1) AS survivor FROM companies WHERE suppkey % 5 > 1),
