@@ -12,10 +12,14 @@ import pandas as pd
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, StructType
 
-#: Scale words after a number (longer ones first), money units, percent signs, and words that give a sign.
+#: Scale words after a number (longer ones first) that a check of answers knows, and those that a grader knows, which
+#: also takes words without accents and short forms; money units, percent signs, and words that give a sign.
 SCALES = (
     ("nghìn tỷ", 1e12), ("ngàn tỷ", 1e12), ("nghìn tỉ", 1e12), ("ngàn tỉ", 1e12), ("trillion", 1e12), ("tỷ", 1e9), ("tỉ", 1e9), ("billion", 1e9), ("triệu", 1e6), ("million", 1e6),
-    ("thousand", 1e3), ("nghìn", 1e3), ("ngàn", 1e3),
+)
+GRADED_SCALES = (
+    ("nghìn tỷ", 1e12), ("ngàn tỷ", 1e12), ("nghin ty", 1e12), ("ngan ty", 1e12), ("trillion", 1e12), ("tỷ", 1e9), ("tỉ", 1e9), ("ty", 1e9), ("ti", 1e9), ("billion", 1e9), ("bn", 1e9),
+    ("triệu", 1e6), ("trieu", 1e6), ("million", 1e6), ("mn", 1e6), ("nghìn", 1e3), ("ngàn", 1e3), ("nghin", 1e3), ("ngan", 1e3), ("thousand", 1e3),
 )
 MONEY = ("đồng", "vnd", "usd", "dollar", "cent", "nghìn đồng", "ngàn đồng")
 PERCENT = ("%", "phần trăm", "percent")
@@ -36,9 +40,11 @@ _MARKS = re.compile(
     rf"(?P<number>\d(?:[\d.,]*\d)?)|(?P<dash>[-−–])|(?P<bracket>\((?:\s*(?:{_any(BRACKETED)})\b)?)|(?P<close>\))|(?P<end>\n|\.\s|;|\|)|(?P<loss>\b(?:{_any(LOSS)})\b)|(?P<gain>\b(?:{_any(GAIN)})\b)", re.I
 )
 _SCALE = re.compile(rf"\s*({_any(w for w, _ in SCALES)})", re.I)
+#: A graded scale word is a whole word, and may follow the bracket of a negative number.
+_GRADED_SCALE = re.compile(rf"\)?\s*({_any(sorted((w for w, _ in GRADED_SCALES), key=len, reverse=True))})(?!\w)", re.I)
 _MONEY = re.compile(rf"\s*(?:{_any(MONEY)}|đ\b)", re.I)
 _PERCENT = re.compile(rf"\s*(?:{_any(PERCENT)}|pct\b)", re.I)
-_FACTOR = dict(SCALES)
+_FACTOR = dict(GRADED_SCALES + SCALES)
 
 
 def readings(token: str) -> list[float]:
@@ -52,13 +58,13 @@ def readings(token: str) -> list[float]:
     return sorted(found)
 
 
-def numbers_of(text: str | None) -> list[dict]:
+def numbers_of(text: str | None, graded: bool = False) -> list[dict]:
     """One entry a reading of each number in the text, in order.
 
     A number is negative after a dash that is no range, before a bracketed loss, or if the last word of loss or gain in
-    its clause is one of loss.
+    its clause is one of loss. graded: with the scale words of a grader.
     """
-    text = text or ""
+    text, scales = text or "", _GRADED_SCALE if graded else _SCALE
     found: list[dict] = []
     said, heard = False, -REACH - 1  # whether the last word was of loss, and where it began
     dash, last = -2, -2  # ends of the last dash that can be a minus, and of the last number
@@ -66,7 +72,7 @@ def numbers_of(text: str | None) -> list[dict]:
     for m in _MARKS.finditer(text):
         kind, at, end = m.lastgroup, m.start(), m.end()
         if kind == "number":
-            scale = _SCALE.match(text, end)
+            scale = scales.match(text, end)
             negative = at - dash in (0, 1) and text[dash:at].strip() == "" or said and at - heard <= REACH
             found.append({
                 "token": m[0], "at": at, "end": end, "factor": _FACTOR[scale[1].lower()] if scale else 1.0, "negative": negative,
@@ -93,3 +99,8 @@ def numbers_of(text: str | None) -> list[dict]:
 @pandas_udf(ArrayType(READING))
 def numbers_in(text: pd.Series) -> pd.Series:
     return pd.Series([numbers_of(t) for t in text])
+
+
+@pandas_udf(ArrayType(READING))
+def graded_numbers_in(text: pd.Series) -> pd.Series:
+    return pd.Series([numbers_of(t, graded=True) for t in text])

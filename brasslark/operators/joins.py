@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brasslark.operators.scans import last_known
+
 
 def asof(left: DataFrame, right: DataFrame, key: str, at: str, when: str, value: str) -> DataFrame:
     """Adds to each left row the right side's latest value at or before `at`, as value and value_date.
 
-    Both sides are merged into one timeline a key and the last known value is carried on: one shuffle, no pairs.
+    Both sides are merged into one timeline a key and the last known value is carried on, over ranges: no pairs, and a key may have any number of rows.
     """
     line = left.withColumn("_side", F.lit(1)).withColumn("_t", F.col(at)).unionByName(
         right.select(F.col(key), F.col(when).alias("_t"), F.struct(F.col(when).alias("d"), F.col(value).alias("v")).alias("_seen"), F.lit(0).alias("_side")), allowMissingColumns=True
     )
-    w = Window.partitionBy(key).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    last = line.withColumn("_last", F.last("_seen", ignorenulls=True).over(w)).where("_side = 1")
-    return last.select(*left.columns, F.col("_last.v").alias(value), F.col("_last.d").alias("value_date"))
+    last = last_known(line, [key], [F.col("_t"), F.col("_side")], "_seen").where("_side = 1")
+    return last.select(*left.columns, F.col("_seen.v").alias(value), F.col("_seen.d").alias("value_date"))
 
 
 def in_ranges(df: DataFrame, column: str, ranges: DataFrame, step: int = 100) -> DataFrame:

@@ -39,7 +39,11 @@ def before(df: DataFrame, keys: list[str], order: list[Column], **amounts: Colum
 
     Rows equal in keys and order have no stated order among each other. Null keys are a key of their own.
     """
-    rows = _ranges(df, keys, order)
+    return _before(_ranges(df, keys, order), keys, order, amounts).drop(_PART)
+
+
+def _before(rows: DataFrame, keys: list[str], order: list[Column], amounts: dict[str, Column | str]) -> DataFrame:
+    """before, of rows that are in ranges; they keep the number of their range."""
     amounts = {n: F.coalesce(_bare(c).cast("long"), F.lit(0).cast("long")) for n, c in amounts.items()}
     earlier = Window.partitionBy(*keys).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
     sums = {f"_all_{n}": F.sum(c) for n, c in amounts.items()}
@@ -47,7 +51,7 @@ def before(df: DataFrame, keys: list[str], order: list[Column], **amounts: Colum
     own = Window.partitionBy(_PART, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = rows.withColumns({f"_own_{n}": F.coalesce(F.sum(c).over(own), F.lit(0)) for n, c in amounts.items()})
     out = _brought(local, carried, keys)
-    return out.select(*df.columns, *[(F.col(f"_own_{n}") + F.coalesce(f"_from_{n}", F.lit(0))).alias(n) for n in amounts])
+    return out.select(*rows.columns, *[(F.col(f"_own_{n}") + F.coalesce(f"_from_{n}", F.lit(0))).alias(n) for n in amounts])
 
 
 def placed(df: DataFrame, keys: list[str], order: list[Column], name: str = "place") -> DataFrame:
@@ -62,9 +66,10 @@ def ranked(df: DataFrame, keys: list[str], value: str, descending: bool = True)
     row a value comes back; where a value is hot, the join's rows can be dealt anew.
     """
     known = df.where(F.col(value).isNotNull())
-    counts = saved(known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")), "values")
+    order = [F.desc(value) if descending else F.asc(value)]
+    counts = _ranges(known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")), keys, order)
     sizes = counts.groupBy(*keys).agg(F.sum("_n").alias("n"))
-    places = before(counts, keys, [F.desc(value) if descending else F.asc(value)], rank="_n").withColumn("rank", F.col("rank") + 1).drop("_n")
+    places = _before(counts, keys, order, {"rank": "_n"}).withColumn("rank", F.col("rank") + 1).drop("_n", _PART)
 
     def back(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
         named = right.select(*[F.col(k).alias(f"_j{i}") for i, k in enumerate(on)], *[c for c in right.columns if c not in on])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brasslark.functions.numbers import cagr_pct, change_pct
+from brasslark.operators.scans import ranked
 
 
 def growth(years: DataFrame, metric: str, key: str = "ticker") -> DataFrame:
@@ -31,19 +32,18 @@ def span(years: DataFrame, metric: str, n: int, key: str = "ticker") -> DataFram
 
 
 def rank_in(df: DataFrame, pool: list[str], value: str) -> DataFrame:
-    """Adds rank (1 is the largest, equals share the first), n of the pool that has the value, and percentile (100 is the top; NULL for a pool of one)."""
-    w = Window.partitionBy(*pool)
-    known = df.where(F.col(value).isNotNull())
-    ranked = known.withColumn("rank", F.rank().over(w.orderBy(F.desc(value)))).withColumn("n", F.count(F.lit(1)).over(w))
-    return ranked.withColumn("percentile", F.try_divide((F.col("n") - F.col("rank")) * 100.0, (F.col("n") - 1).cast("double")))
-
-
-def share_below(df: DataFrame, pool: list[str], value: str, least: int = 5) -> Column:
-    """Share of the pool strictly below, in percent; itself counts in the pool; NULL for pools under `least`."""
-    w = Window.partitionBy(*pool)
-    n = F.count(value).over(w)
-    below = F.rank().over(w.orderBy(F.col(value).asc_nulls_last())) - 1
-    return F.when(F.col(value).isNotNull() & (n >= least), below * 100.0 / n)
+    """Adds rank (1 is the largest, equals share the first), n of the pool that has the value, and percentile (100 is the top; NULL for a pool of one).
+
+    A pool may be of any size: values are ranked over ranges.
+    """
+    out = ranked(df, pool, value)
+    return out.withColumn("percentile", F.try_divide((F.col("n") - F.col("rank")) * 100.0, (F.col("n") - 1).cast("double"))).withColumn("rank", F.col("rank").cast("int"))
+
+
+def with_share_below(df: DataFrame, pool: list[str], value: str, name: str, least: int = 5) -> DataFrame:
+    """Adds the share of the pool strictly below, in percent; itself counts in the pool; NULL without a value and for pools under `least`. Pools may be of any size."""
+    known = ranked(df, pool, value, descending=False).withColumn(name, F.when(F.col("n") >= least, (F.col("rank") - 1) * 100.0 / F.col("n"))).drop("rank", "n")
+    return known.unionByName(df.where(F.col(value).isNull()).withColumn(name, F.lit(None).cast("double")))
 
 
 def upper_median(value: str) -> Column:

@@ -100,3 +100,11 @@ def named(subjects: DataFrame, companies: DataFrame, years: DataFrame, rivals: D
     full = ranked.join(middle, ["subject", "metric"]).join(n, "subject").where(F.col("_p") >= MIN_PEERS).drop("_p", "ticker").withColumn("status", F.lit("ok"))
     few = subjects.select(F.col("ticker").alias("subject")).join(n, "subject", "left").where(F.coalesce("_p", F.lit(0)) < MIN_PEERS).select("subject", F.lit("too_few_peers").alias("status"))
     return full.unionByName(few, allowMissingColumns=True).select("subject", "status", "metric", "value", "rank", "n", "percentile", "upper_median", "fiscal_year")
+
+
+def table(years: DataFrame, pool: list[str], limit: int = 10) -> DataFrame:
+    """pool, place, ticker, revenue, rest: the `limit` largest companies of each pool that have revenue, and how many more there are."""
+    known = years.where(F.col("revenue").isNotNull())
+    size = known.groupBy(*pool).agg(F.greatest(F.count(F.lit(1)) - limit, F.lit(0)).alias("rest"))
+    top = known.withColumn("place", F.row_number().over(Window.partitionBy(*pool).orderBy(F.desc("revenue"), "ticker"))).where(F.col("place") <= limit)
+    return top.join(size, pool).select(*pool, "place", "ticker", "revenue", "rest")

@@ -234,7 +234,7 @@ def peer_upper_median(spark, sf_dir):
 FROM ratios WINDOW w AS (PARTITION BY sector, currency, fiscal_year)""")
 def sector_percentile(spark, sf_dir):
     rows = peers.ratios(C.fin_years(spark, sf_dir))
-    return rows.select("ticker", "fiscal_year", F.round(windows.share_below(rows, ["sector", "currency", "fiscal_year"], "roe"), 6).alias("below"))
+    return windows.with_share_below(rows, ["sector", "currency", "fiscal_year"], "roe", "below").select("ticker", "fiscal_year", F.round("below", 6).alias("below"))
 
 
 #: Two markets that mix currencies, in place of the companies' own.
@@ -323,6 +323,12 @@ def by_industry(spark, sf_dir):
     return scorecard.industry_scores(C.fin_years(spark, sf_dir), codes, spark.createDataFrame(CODE_RANGES, "sector string, lo long, hi long"))
 
 
+@query(f"""{YEARS}, r AS (SELECT sector, currency, fiscal_year, row_number() OVER w AS place, ticker, revenue, greatest(count(*) OVER (PARTITION BY sector, currency, fiscal_year) - 10, 0) AS rest
+FROM fin_years WINDOW w AS (PARTITION BY sector, currency, fiscal_year ORDER BY revenue DESC, ticker)) SELECT * FROM r WHERE place <= 10""", "place")
+def peer_table(spark, sf_dir):
+    return peers.table(saved(C.fin_years(spark, sf_dir), "years"), ["sector", "currency", "fiscal_year"])
+
+
 #: Two sectors in place of banks and insurers.
 PROFILE = "CASE sector WHEN 'SEC0' THEN 'bank' WHEN 'SEC1' THEN 'insurer' ELSE 'ordinary' END"
 
@@ -939,6 +945,18 @@ def check_numbers(spark, sf_dir):
     return verify.check_numbers(said, verify.value_sources(years.select("answer_id", F.col("revenue").alias("value"))))
 
 
+@query(f"""{YEARS}, rows AS (SELECT ticker AS answer_id, unnest([revenue, net_income, CAST(fiscal_year AS DOUBLE)]) AS v FROM fin_years UNION ALL SELECT ticker, 2500000.0 FROM fin_years)
+SELECT answer_id, count(*) AS numbers, count(*) FILTER (v <> 2500000.0 AND v < 0) AS losses, (SELECT count(*) FROM fin_years y WHERE y.ticker = answer_id) AS of_texts FROM rows GROUP BY answer_id""")
+def nested_sources(spark, sf_dir):
+    """What a tool returned for each company, as JSON of three levels: figures with their sign, and one sentence a year."""
+    year = F.struct("fiscal_year", F.struct("revenue", "net_income").alias("figures"), F.lit("sold for 2.5 million").alias("note"), F.lit(True).alias("ok"))
+    data = C.fin_years(spark, sf_dir).groupBy("ticker").agg(F.collect_list(year).alias("years"))
+    rows = verify.nested_sources(data.select(F.col("ticker").alias("answer_id"), F.parse_json(F.to_json(F.struct("years"))).alias("data")))
+    # "2.5" has two readings, 2.5 and 25 millions
+    rows = rows.where("sign <> 0 or magnitude = 2500000")
+    return rows.groupBy("answer_id").agg(F.count(F.lit(1)).alias("numbers"), F.count_if(F.col("sign") < 0).alias("losses"), F.count_if(F.col("sign") == 0).alias("of_texts"))
+
+
 @query(f"""{YEARS} SELECT 'lookup-' || ticker || '-' || fiscal_year AS qid, 'lookup' AS category, 'What was the revenue of ' || name || ' in fiscal year ' || fiscal_year || '?' AS question, revenue AS expected
 FROM fin_years ORDER BY md5('7|' || ticker || '|' || fiscal_year) LIMIT 30""")
 def test_questions(spark, sf_dir):

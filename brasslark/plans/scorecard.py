@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from brasslark.functions.numbers import cagr_pct, divide, held, scale
 from brasslark.operators.joins import in_ranges
-from brasslark.operators.windows import share_below
+from brasslark.operators.windows import with_share_below
+from brasslark.sources.scratch import saved
 
 #: Group weights, levels (lowest score of each, best first) and limits.
 WEIGHTS = {"growth": 20.0, "profitability": 20.0, "health": 15.0, "earnings_quality": 10.0, "stability": 10.0, "industry": 10.0, "macro": 15.0}
@@ -83,7 +84,7 @@ def groups(years: DataFrame) -> DataFrame:
     margin = F.when(c("revenue") > 0, divide(c("net_income") * 100.0, c("revenue")))
     rows = years.withColumn("margin", margin).withColumn("roe", F.when(c("stockholders_equity") > 0, divide(c("net_income") * 100.0, c("stockholders_equity"))))
     for name in ("roe", "margin"):
-        rows = rows.withColumn(f"{name}_pct", share_below(rows, ["sector", "currency", "fiscal_year"], name, MIN_PEERS))
+        rows = saved(with_share_below(rows, ["sector", "currency", "fiscal_year"], name, f"{name}_pct", MIN_PEERS), "shares")
     back = F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("fiscal_year")))
     rows = rows.withColumn("back", back)
     last = lambda x, n: F.when(c("back") <= n, x)

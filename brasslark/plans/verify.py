@@ -6,15 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brasslark.functions.numbers import divide
-from brasslark.functions.reading import numbers_in
+from brasslark.functions.reading import graded_numbers_in, numbers_in
+from brasslark.sources.scratch import saved
 
 TOLERANCE, PERCENT_TOLERANCE, POOL = 0.01, 0.5, 4
 LEAST, LEAST_MONEY = 1e6, 100.0
 
 
-def answer_numbers(answers: DataFrame) -> DataFrame:
-    """answer_id, token, at, value, negative, percent, money, sentence: one row a reading."""
-    return answers.select("answer_id", F.explode(numbers_in("text")).alias("n")).select("answer_id", "n.*")
+def answer_numbers(answers: DataFrame, graded: bool = False) -> DataFrame:
+    """answer_id, token, at, value, negative, percent, money, sentence: one row a reading; graded with the scale words of a grader."""
+    return answers.select("answer_id", F.explode((graded_numbers_in if graded else numbers_in)("text")).alias("n")).select("answer_id", "n.*")
 
 
 def text_sources(texts: DataFrame) -> DataFrame:
@@ -26,6 +27,33 @@ def value_sources(values: DataFrame) -> DataFrame:
     return values.select("answer_id", F.abs("value").alias("magnitude"), F.signum("value").cast("int").alias("sign"))
 
 
+def leaves(observations: DataFrame) -> DataFrame:
+    """answer_id, kind (number, text), number, text: the numbers and strings at any depth of observations (answer_id, data VARIANT).
+
+    Objects and lists are opened one level a round, all rows at once; as many rounds as the deepest value has levels. Truth
+    values and nulls are neither.
+    """
+    level, found = observations.select("answer_id", "data"), None
+    while True:
+        kind = F.schema_of_variant("data")
+        level = saved(level.select("answer_id", "data", kind.alias("kind")), "level")
+        text = F.col("kind") == "STRING"
+        number = F.col("kind").isin("BIGINT", "DOUBLE", "FLOAT") | F.col("kind").startswith("DECIMAL")
+        own = level.where(text | number).select("answer_id", F.when(text, "text").otherwise("number").alias("kind"), F.when(number, F.try_variant_get("data", "$", "double")).alias("number"), F.when(text, F.try_variant_get("data", "$", "string")).alias("text"))
+        found = own if found is None else found.unionByName(own)
+        inner = level.where(F.col("kind").startswith("OBJECT") | F.col("kind").startswith("ARRAY"))
+        if inner.isEmpty():
+            return found
+        level = inner.lateralJoin(inner.sparkSession.tvf.variant_explode(F.col("data").outer())).select("answer_id", F.col("value").alias("data"))
+
+
+def nested_sources(observations: DataFrame) -> DataFrame:
+    """answer_id, magnitude, sign of all numbers in what tools returned (answer_id, data VARIANT): strings are read as prose, whose sign is not known."""
+    each = saved(leaves(observations), "leaves")
+    told = text_sources(each.where("kind = 'text'").select("answer_id", "text"))
+    return value_sources(each.where("kind = 'number'").select("answer_id", F.col("number").alias("value"))).unionByName(told)
+
+
 def _grid(v: Column) -> Column:
     """Steps of the logarithm of a magnitude; values within TOLERANCE are at most one step apart."""
     return F.floor(F.log(F.greatest(v, F.lit(1.0))) / 0.02).cast("long")
@@ -66,7 +94,7 @@ def check_numbers(answers: DataFrame, sources: DataFrame) -> DataFrame:
 
 def grade_numeric(answers: DataFrame, expected: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """answer_id, error, correct: the least relative error (absolute where 0 is expected) over all readings and both signs in brackets."""
-    v = answer_numbers(answers).select("answer_id", F.when(F.col("negative"), -F.col("value")).otherwise(F.col("value")).alias("value"))
+    v = answer_numbers(answers, graded=True).select("answer_id", F.when(F.col("negative"), -F.col("value")).otherwise(F.col("value")).alias("value"))
     e = F.abs(F.col("value") - F.col("expected"))
     best = expected.join(v, "answer_id", "left").groupBy("answer_id").agg(F.min(F.when(F.col("expected") == 0, e).otherwise(divide(e, F.abs("expected")))).alias("error"))
     return best.withColumn("correct", F.coalesce(F.col("error") <= tolerance, F.lit(False)))

@@ -46,7 +46,7 @@ def test_signs(text, negative):
     assert [n["negative"] for n in {n["at"]: n for n in numbers_of(text)}.values()] == negative
 
 
-@pytest.mark.parametrize("text, value", [("2 ngàn tỷ", 2e12), ("2 nghìn tỉ", 2e12), ("3 ngàn", 3e3), ("4 Trillion", 4e12), ("7 triệu", 7e6), ("5 billion", 5e9), ("6 bn", 6.0)])
+@pytest.mark.parametrize("text, value", [("2 ngàn tỷ", 2e12), ("2 nghìn tỉ", 2e12), ("3 ngàn", 3.0), ("2 thousand", 2.0), ("5 ty dong", 5.0), ("4 Trillion", 4e12), ("7 triệu", 7e6), ("5 billion", 5e9), ("6 bn", 6.0)])
 def test_scales(text, value):
     assert [n["value"] for n in numbers_of(text)] == [value]
 
@@ -228,3 +228,29 @@ def test_store(spark, tmp_path):
     (tmp_path / "f/A_10-K_2020.html").write_text("<p>x</p>")
     (tmp_path / "f/A_10-K_2020.meta.json").write_text('{"ticker": "A", "form": "10-K"}')
     assert [(r["doc_id"], r["ticker"]) for r in local_filings(spark, f"file://{tmp_path}/f").collect()] == [("A_10-K_2020", "A")]
+
+
+@pytest.mark.parametrize("text, value", [("5 ty dong", 5e9), ("3 trieu", 3e6), ("2 nghin", 2e3), ("7 nghin ty", 7e12), ("1,5 tỉ", 1.5e9), ("6 bn", 6e9), ("6 mn", 6e6), ("3 ngàn", 3e3), ("8 tiers", 8.0), ("(2,21) tỷ USD", 2.21e9)])
+def test_a_grader_knows_more_scales(text, value):
+    assert value in [n["value"] for n in numbers_of(text, graded=True)]
+
+
+def test_nested_values_equal_a_walk(spark):
+    from brasslark.plans.verify import nested_sources
+
+    deep = {"a": [{"b": [[{"c": -5.5}]]}], "s": "a loss of 3 million"}
+    data = [{"x": 1, "y": [True, None, -2.25, "12.5 billion and 7"], "z": {"x": {"x": "none"}}}, [[[]]], 4, "8 million", deep, {"big": 12345678901234567890, "e": 1e300, "zero": 0}, None]
+
+    def walk(v, out):
+        if isinstance(v, str):
+            out += [(n["value"], 0) for n in numbers_of(v)]
+        elif isinstance(v, (dict, list)):
+            for x in v.values() if isinstance(v, dict) else v:
+                walk(x, out)
+        elif isinstance(v, (int, float)) and not isinstance(v, bool):
+            out.append((abs(float(v)), (v > 0) - (v < 0)))
+        return out
+
+    rows = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(data)], "answer_id long, j string").select("answer_id", F.parse_json("j").alias("data"))
+    got = sorted(tuple(r) for r in nested_sources(rows).collect())
+    assert got == sorted((i, *x) for i, d in enumerate(data) for x in walk(d, []))
