@@ -60,6 +60,24 @@ def spread_join(rows: DataFrame, few: DataFrame, *keys: str, how: str = "inner")
     return rows.join(few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*keys, "salt"], how).drop("salt")
 
 
+#: Bits of a sieve. Its table has at most this many by 64 rows, whatever the keys are.
+SIEVE = 1 << 24
+
+
+def sieve(keys: DataFrame, key: str) -> DataFrame:
+    """(slot, mask): a bitmap of hashed keys (longs) of fixed size, for `sifted`."""
+    bucket = F.expr(f"pmod(`{key}`, {SIEVE}L)")
+    rows = keys.select((bucket / 64).cast("long").alias("slot"), F.expr(f"shiftleft(1L, cast(pmod(`{key}`, 64L) as int))").alias("bit"))
+    return rows.groupBy("slot").agg(F.bit_or("bit").alias("mask"))
+
+
+def sifted(rows: DataFrame, key: str, table: DataFrame) -> DataFrame:
+    """The rows whose key is in a sieve, and a few others; a join on the key decides. The sieve is small at any size, so it is broadcast."""
+    hit = F.expr(f"shiftright(mask, cast(pmod(`{key}`, 64L) as int)) & 1L") == 1
+    met = rows.join(F.broadcast(table), F.expr(f"cast(pmod(`{key}`, {SIEVE}L) / 64 as long)") == F.col("slot"))
+    return met.where(hit).drop("slot", "mask")
+
+
 def keep_first(docs: DataFrame, groups: DataFrame, largest: bool = False) -> DataFrame:
     """The rows of docs that stay, one a group of groups (doc_id, key, root): the row of the group's smallest (or largest) doc_id, with its columns.
 

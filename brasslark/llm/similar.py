@@ -10,8 +10,8 @@ tells other documents apart, so there are two fingerprints, and shingle sets dec
   reference fingerprints hardly ever differ by more, so pairs are compared themselves.) Candidates meet over shingles: in
   any fixed order of all shingles, two sets of 0.8 or more share one among the first n - ceil(0.8 n) + 1 of each.
 
-First every document meets one other of each shared shingle, then only pairs of different groups are looked at, so a
-large group of near copies is not compared pair by pair. Shingles are compared as 64-bit hashes.
+First every document meets one other of each shared shingle, then others by lot, and at last only pairs of different groups are
+looked at, so a large group of near copies is not compared pair by pair. Shingles are compared as 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -25,14 +25,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brasslark.llm.common import keep_first, salted, saved, spread_join
+from brasslark.llm.common import SALTS, keep_first, salted, saved, sieve, sifted, spread_join
 from brasslark.llm.simhash import SEED, near_links, roots, signed
 
 WORDS = 5
 #: SIMILARITY as a fraction, so that bounds are exact.
 OVER, UNDER = 4, 5
-#: Longs of a parity fingerprint, and those of them that are compared as soon as two units of a shingle meet.
-LONGS, FIRST = 16, 8
+#: Longs of a parity fingerprint.
+LONGS = 16
+#: Times that the units of a shingle meet one of them by lot before pairs are formed; it bears on speed only.
+LOTS = 1
 #: Frequent shingles that are told apart; they bear on speed only.
 FREQUENT = 1 << 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -154,8 +156,9 @@ def _near(pairs: DataFrame, units: DataFrame) -> DataFrame:
 
 def _own(pairs: DataFrame, units: DataFrame, docs: DataFrame) -> DataFrame:
     """(unit, text) for the units of pairs; a text that several rows have comes as often."""
-    asked = pairs.select(F.col("a").alias("unit")).union(pairs.select("b")).distinct().join(units.select("unit", "key"), "unit")
-    return docs.select(F.xxhash64("text").alias("key"), F.col("text").cast("string").alias("text")).join(saved(asked, "asked"), "key").select("unit", "text")
+    asked = saved(pairs.select(F.col("a").alias("unit")).union(pairs.select("b")).distinct().join(units.select("unit", "key"), "unit"), "asked")
+    texts = docs.select(F.xxhash64("text").alias("key"), F.col("text").cast("string").alias("text"))
+    return sifted(texts, "key", sieve(asked, "key")).join(asked, "key").select("unit", "text")  # texts that nobody asks for stay where they are
 
 
 def _verified(pairs: DataFrame, units: DataFrame, docs: DataFrame, words: int) -> DataFrame:
@@ -190,6 +193,15 @@ def _verified(pairs: DataFrame, units: DataFrame, docs: DataFrame, words: int) -
     return saved(full.select("a", "b", "x", "y").mapInArrow(similar, "a long, b long"), "similar")
 
 
+def _parts(wide: DataFrame, links: DataFrame) -> DataFrame:
+    """(token, unit, salt, part): the units of the shingles that units of several groups have, and the group that links put each unit in."""
+    group = saved(roots(links), "roots")
+    parts = wide.join(group.withColumnRenamed("node", "unit"), "unit", "left").select("token", "unit", "salt", F.coalesce("root", "unit").alias("part"))
+    parts = saved(parts, "parts")
+    split = parts.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("token")
+    return saved(spread_join(parts, split, "token"), "parts").withColumn("salt", F.pmod(F.xxhash64("unit"), F.lit(SALTS)).cast("int"))
+
+
 def similar_groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, key, root) per row of docs; root names the group of documents that similar pairs join.
 
@@ -199,33 +211,38 @@ def similar_groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
     units = saved(rows.groupBy("unit").agg(F.min("key").alias("key"), *[F.first(c).alias(c) for c in ("n", "fp", *_BITS)]), "units")
 
     # A shingle's units are counted where they are. Two units of a shingle are a pair at once; only shingles of more meet their units again.
-    tokens = rows.select("unit", "n", F.explode("prefix").alias("token"))
+    tokens = rows.select("unit", "salt", F.explode("prefix").alias("token"))
     ends = tokens.groupBy("token").agg(F.min("unit").alias("a"), F.max("unit").alias("b"), F.count(F.lit(1)).alias("k")).where("a < b")
     ends = saved(ends, "ends")
-    wide = saved(tokens.join(saved(ends.where("k > 2").select("token", "a"), "hubs"), "token"), "wide")
+    hubs = saved(ends.where("k > 2").select("token", "a"), "hubs")
+    wide = salted(sifted(tokens, "token", sieve(hubs, "token")).join(hubs, "token").select("token", "unit", "a").distinct(), "wide")
     stars = ends.select("a", "b").union(wide.where("unit <> a").select("a", F.col("unit").alias("b")))
 
     prints = saved(units.groupBy("fp").agg(F.min("unit").alias("first")), "prints")
     alike = units.join(prints, "fp").where("unit <> first").select(F.col("first").alias("a"), F.col("unit").alias("b"))
     close = near_links(docs.sparkSession, prints.select("fp"))
     close = close.join(prints.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(prints.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select("x", "y")
-    first = _verified(stars.union(alike).union(close).distinct(), units, docs, words)
-    group = saved(roots(first), "roots")
+    links = _verified(stars.union(alike).union(close).distinct(), units, docs, words)
+    parts = _parts(wide, links)
+
+    # Then a shingle's units meet one of them by lot, another for each shingle, if they are in different groups. What a group of
+    # near copies holds together is found so, without its pairs.
+    for turn in range(LOTS):
+        lot = F.min_by(F.struct("unit", "part"), F.xxhash64("unit", "token", F.lit(turn))).alias("hub")
+        met = spread_join(parts, parts.groupBy("token").agg(lot), "token").where(F.col("part") != F.col("hub.part"))
+        met = met.select(F.least("unit", "hub.unit").alias("a"), F.greatest("unit", "hub.unit").alias("b")).distinct()
+        links = saved(links.union(_verified(met, units, docs, words)), "links")
+        parts = _parts(parts.select("token", "unit", "salt"), links)
 
-    parts = wide.select("token", "unit").distinct().join(group, F.col("unit") == F.col("node"), "left").select("token", "unit", F.coalesce("root", "unit").alias("part"))
-    parts = saved(parts, "parts")
-    split = parts.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("token")
-    early = _BITS[:FIRST]
     step = F.floor(F.log("n") / F.log(F.lit(UNDER / OVER)) + 1e-9)  # the sizes of a pair are in one step, or in two next to each other
-    one = parts.join(split, "token").join(units.where("n > 0").select("unit", "n", *early), "unit").withColumn("step", step)
-    other = one.select("token", "step", F.col("unit").alias("b"), F.col("n").alias("m"), F.col("part").alias("apart"), *[F.col(c).alias(f"y{c}") for c in early])
+    one = parts.drop("salt").join(units.where("n > 0").select("unit", "n", *_BITS), "unit").withColumn("step", step)
+    other = one.select("token", "step", F.col("unit").alias("b"), F.col("n").alias("m"), F.col("part").alias("apart"), *[F.col(c).alias(f"y{c}") for c in _BITS])
     one = one.withColumn("step", F.explode(F.array(F.col("step"), F.col("step") + 1)))
     n, m = F.col("n"), F.col("m")
     ordered = (n < m) | ((n == m) & (F.col("unit") < F.col("b")))
-    meets = (one["token"] == other["token"]) & (one["step"] == other["step"]) & (F.col("part") != F.col("apart")) & ordered & _sizes_fit(n, m) & _bits_fit("", "y", n, m, early)
+    meets = (one["token"] == other["token"]) & (one["step"] == other["step"]) & (F.col("part") != F.col("apart")) & ordered & _sizes_fit(n, m) & _bits_fit("", "y", n, m, _BITS)
     across = one.join(other, meets).select(F.col("unit").alias("a"), "b")  # a pair that cannot be similar is never a row
-    second = _verified(across.distinct(), units, docs, words)
-    group = saved(roots(first.union(second)), "roots")
+    group = saved(roots(links.union(_verified(across.distinct(), units, docs, words))), "roots")
     own = spread_join(rows.select("doc_id", "key", "unit", "salt"), group.withColumnRenamed("node", "unit"), "unit", how="left")
     return own.select("doc_id", "key", F.coalesce("root", "unit").alias("root"))
 
