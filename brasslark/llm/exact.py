@@ -99,18 +99,20 @@ def dedup_against(docs: DataFrame, index: DigestIndex, batch: str | None = None)
     return _report(rows, _enter(rows, index, batch or uuid.uuid4().hex), index)
 
 
-def dedup_in_batches(docs: DataFrame, index: DigestIndex, batches: int = 2) -> DataFrame:
+def dedup_in_batches(docs: DataFrame, index: DigestIndex, batches: int = 2, table: str | None = None) -> DataFrame:
     """As dedup_against, for a whole table that goes through the index in batches; group_size counts the table's rows.
 
+    table: the table's name, which its batches carry in the index, so that another table's entries are not taken for its own; a
+    repeated run must give the same, and without one it is new each time.
     The batches are ranges of doc_id, the highest first and null doc_ids with the lowest, so the largest doc_id
     of a text wins over all batches too.
     """
-    rows = _digests(docs)
+    rows, table = _digests(docs), table or uuid.uuid4().hex
     cuts = rows.agg(F.percentile_approx("doc_id", [k / batches for k in range(batches - 1, 0, -1)])).first()[0] or []
     new, below = [], F.lit(True)
     for k, cut in enumerate([*dict.fromkeys(cuts), None]):
         own = F.lit(True) if cut is None else F.coalesce(F.col("doc_id") > cut, F.lit(False))
-        new.append(_enter(rows.where(below & own), index, f"range-{k}"))
+        new.append(_enter(rows.where(below & own), index, f"{table}/range-{k}"))
         below = below & ~own
     return _report(rows, reduce(DataFrame.union, new), index)
 

@@ -45,7 +45,7 @@ def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table goes through a fresh index in two batches, so the second meets what the first brought."""
     index = exact.DigestIndex.temporary(spark)
-    rows = exact.dedup_in_batches(table(spark, sf_dir, "documents"), index, 2)
+    rows = exact.dedup_in_batches(table(spark, sf_dir, "documents"), index, 2, "documents")
     index.drop()
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 

@@ -3,13 +3,15 @@
 A logistic regression on the presence of words and of word beginnings (hashed to 2**WIDTH buckets), so a score
 does not fade with the length of a text. Sentences of the labelled texts that name a group are written again with other groups in its place, and
 the training loss adds the squared change of the score between the two. Groups are listed names and, since those bear on
-few languages, terms mined from the labelled texts: words that toxic texts have more often though most texts that have
-them are neutral. A group's name alone therefore can't raise a score, which keeps neutral mentions from being flagged. An L1 pass chooses the words that matter, a
-second pass fits their weights.
+few languages, terms mined from the labelled texts: words that toxic texts have more often than chance gives any of the words
+tested, though most texts that have them are neutral, and that stand between the same words. A group's name alone therefore can't
+raise a score, which keeps neutral mentions from being flagged. An L1 pass chooses the words that matter, a second pass fits
+their weights. Where texts have neither, there is nothing to rewrite and the model is a plain logistic regression (`Model.pairs` is 0).
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -21,18 +23,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brasslark.llm.common import hash_sample, held_out, labelled_sample, saved
+from brasslark.llm.common import held_out, labelled_sample, saved
 
 WIDTH = 22
 #: Letters of a word's beginnings that are features beside the word, for languages that build on stems.
 BEGINNINGS = (4, 5, 6, 7, 8)
-#: Labelled documents to fit on, and different pairs of rewritten sentences, about.
-SAMPLE, PAIRS = 20_000, 50_000
+#: Labelled documents to fit on, and different pairs of rewritten sentences for each of them, about.
+SAMPLE, PAIRS_EACH = 20_000, 2.5
 #: Terms put in the place of the one named, in turn.
 SWAPS = 3
-#: Labelled documents that a mined term needs, standard errors its share of label 1 is off the whole's, the largest
-#: share (most texts that have it are neutral), and terms that stand for each other.
-TERM_ROWS, TERM_ERRORS, TERM_SHARE, TERM_GROUP = 20, 3.0, 0.5, 6
+#: Labelled documents that a mined term needs, the chance that any word at all is taken though labels don't depend on words,
+#: the largest share of label 1 (most texts that have a term are neutral), the neighbours that two terms need in common to stand
+#: for each other, and terms of a group.
+TERM_ROWS, TERM_CHANCE, TERM_SHARE, TERM_SLOTS, TERM_GROUP = 20, 0.05, 0.5, 2, 6
 #: Weight of the L1 norm in the first pass, of the L2 norm in the second, and of squared score changes in both.
 L1, L2, COUNTERFACTUAL = 0.004, 1e-4, 4.0
 
@@ -91,12 +94,22 @@ def rewritten(text: str, groups: dict[str, tuple[str, ...]] = GROUP_OF) -> list[
     return out
 
 
+def slots(text: str, terms: frozenset[str]) -> list[tuple[str, str]]:
+    """(term, its neighbours) for each place of a term in a sentence; the ends of a sentence are neighbours too."""
+    out = []
+    for m in _SENTENCE.finditer(text.lower()):
+        words = ["", *_WORD.findall(m[0]), ""]
+        out += [(w, f"{words[i]} _ {words[i + 2]}") for i, w in enumerate(words[1:-1]) if w in terms]
+    return out
+
+
 def mined_groups(rows: DataFrame, n: int, positive: int) -> dict[str, tuple[str, ...]]:
     """Terms of the labelled texts (text, label) whose share of label 1 is uneven though most texts that have them are neutral, by group.
 
-    Such words go with toxic texts without making a text toxic, as names of groups do, in whatever language the
-    corpus has. Terms next to each other in order of share and word stand for each other. They are as few as the
-    words of the sample that pass the tests.
+    Such words go with toxic texts without making a text toxic, as names of groups do, in whatever language the corpus has. A
+    word's excess must be beyond what TERM_CHANCE gives over all words tested, by Chernoff's bound on the binomial tail. Terms
+    that stand between the same two words in TERM_SLOTS ways stand for each other. They are as few as the words of the sample
+    that pass the tests.
     """
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,12 +120,33 @@ def mined_groups(rows: DataFrame, n: int, positive: int) -> dict[str, tuple[str,
 
     p = positive / n
     counts = rows.select("text", "label").mapInArrow(words, "word string, y long").groupBy("word").agg(F.count(F.lit(1)).alias("seen"), F.sum("y").alias("bad"))
-    share = F.col("bad") / F.col("seen")
-    uneven = (share <= TERM_SHARE) & (F.col("bad") - p * F.col("seen") >= TERM_ERRORS * F.sqrt(F.col("seen") * p * (1 - p)))
-    found = counts.where((F.col("seen") >= TERM_ROWS) & uneven).select("word", share.alias("share")).collect()
-    terms = [r["word"] for r in sorted(found, key=lambda r: (r["share"], r["word"])) if r["word"] not in GROUP_OF]
-    groups = [tuple(terms[i : i + TERM_GROUP]) for i in range(0, len(terms), TERM_GROUP)]
-    return {t: g for g in groups if len(g) > 1 for t in g}
+    counts = saved(counts.where(F.col("seen") >= TERM_ROWS), "words")
+    tested, share = counts.count(), F.col("bad") / F.col("seen")
+    if not tested:
+        return {}
+    nats = share * F.log(share / p) + (1 - share) * F.log((1 - share) / (1 - p))  # of the word's texts, off the whole's
+    found = counts.where((share > p) & (share <= TERM_SHARE) & (F.col("seen") * nats >= math.log(tested / TERM_CHANCE))).select("word", share.alias("share")).collect()
+    shares = {r["word"]: r["share"] for r in found if r["word"] not in GROUP_OF}
+    if len(shares) < 2:
+        return {}
+    terms = frozenset(shares)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = sorted({s for text in b.column("text").to_pylist() for s in slots(text, terms)})
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in (zip(*own, strict=True) if own else ([], []))], ["term", "slot"])
+
+    each = saved(rows.select("text").mapInArrow(places, "term string, slot string").distinct(), "slots")
+    pairs = each.join(each.select(F.col("term").alias("other"), "slot"), "slot").where("term < other")  # of the few terms found
+    alike = {(r["term"], r["other"]) for r in pairs.groupBy("term", "other").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= TERM_SLOTS).collect()}
+    groups: list[list[str]] = []
+    for t in sorted(shares, key=lambda w: (shares[w], w)):
+        fit = next((g for g in groups if len(g) < TERM_GROUP and all((min(t, u), max(t, u)) in alike for u in g)), None)
+        if fit:
+            fit.append(t)
+        else:
+            groups.append([t])
+    return {t: tuple(g) for g in groups if len(g) > 1 for t in g}
 
 
 def sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,8 +279,11 @@ def telling(features: DataFrame, n: int, positive: int) -> np.ndarray:
     return np.sort(found.column("bucket").to_numpy().astype(np.int32))
 
 
-def fit(docs: DataFrame, labels: DataFrame, parts: int = 4, part: int = 2, sample: int = SAMPLE, counterfactual: float = COUNTERFACTUAL) -> Model:
-    """The model from about `sample` labelled documents outside the held-out part, and about PAIRS of their different rewritten sentences (all if there are fewer).
+def fit(docs: DataFrame, labels: DataFrame, parts: int = 4, part: int = 2, sample: int = SAMPLE, counterfactual: float = COUNTERFACTUAL, pairs_each: float = PAIRS_EACH) -> Model:
+    """The model from about `sample` labelled documents outside the held-out part, and their rewritten sentences.
+
+    Of different pairs of sentences about pairs_each * sample are fitted on (all if there are fewer): a pair is drawn with a chance
+    in proportion to how often it occurs and weighs its count over that chance, so the penalty has the same mean as with all.
 
     Buckets are counted by Spark; the driver sees only those that tell the labels apart, of the sample's documents.
     """
@@ -278,7 +315,10 @@ def fit(docs: DataFrame, labels: DataFrame, parts: int = 4, part: int = 2, sampl
     rows = features.mapInArrow(narrowed, "y int, x binary").toArrow().sort_by([("y", "ascending"), ("x", "ascending")])
     # Sentences alike in their telling words are one pair with a count, so few pairs reach the driver.
     found = saved(chosen.select("text").mapInArrow(swapped, "before binary, after binary, k long").groupBy("before", "after").agg(F.sum("k").alias("k")), "pairs")
-    pairs = hash_sample(found, PAIRS, "before", "after").toArrow().sort_by([("before", "ascending"), ("after", "ascending")])
+    total = found.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]
+    chance = F.least(F.lit(1.0), F.col("k") * (pairs_each * sample / max(total, 1)))
+    drawn = found.withColumn("chance", chance).where(F.pmod(F.xxhash64("before", "after"), F.lit(1 << 40)) < F.col("chance") * (1 << 40))
+    pairs = drawn.select("before", "after", (F.col("k") / F.col("chance")).alias("k")).toArrow().sort_by([("before", "ascending"), ("after", "ascending")])
     ids = lambda table, c: [np.frombuffer(b.as_py(), np.int32) for b in table.column(c)]
     y, times = rows.column("y").to_numpy().astype(float), pairs.column("k").to_numpy().astype(float)
     x, before, after = ids(rows, "x"), ids(pairs, "before"), ids(pairs, "after")
@@ -286,7 +326,7 @@ def fit(docs: DataFrame, labels: DataFrame, parts: int = 4, part: int = 2, sampl
         w, bias = descend(Rows(x, columns), y, Rows(before, columns), Rows(after, columns), l1, l2, counterfactual, steps, times)
         if l1:
             columns = columns[np.abs(w) > 1e-6]
-    return Model(bias, columns, w, int(times.sum()))
+    return Model(bias, columns, w, int(total))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

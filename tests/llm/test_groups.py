@@ -174,14 +174,25 @@ def test_index_keeps_what_it_has(spark):
 
 def test_whole_table_in_batches_equals_one_batch(spark, docs):
     index = exact.DigestIndex.temporary(spark, 4)
-    assert Counter(exact.dedup_in_batches(docs, index, 3).collect()) == Counter(exact.dedup_against(docs, exact.DigestIndex.temporary(spark)).collect())
+    assert Counter(exact.dedup_in_batches(docs, index, 3, "t").collect()) == Counter(exact.dedup_against(docs, exact.DigestIndex.temporary(spark)).collect())
     brought = {r["batch"]: r["count"] for r in index.table().groupBy("batch").count().collect()}
-    assert sorted(brought) == ["range-0", "range-1", "range-2"] and sum(brought.values()) == index.table().select("digest").distinct().count()
-    plan = index.unseen(docs.select(exact.digest(F.col("text")).alias("digest"), "doc_id"), "range-9")._jdf.queryExecution().executedPlan().toString()
+    assert sorted(brought) == ["t/range-0", "t/range-1", "t/range-2"] and sum(brought.values()) == index.table().select("digest").distinct().count()
+    plan = index.unseen(docs.select(exact.digest(F.col("text")).alias("digest"), "doc_id"), "t/range-9")._jdf.queryExecution().executedPlan().toString()
     own, held = plan.split("SortMergeJoin")[1].split("Scan parquet", 1)
     assert "LeftAnti" in own and "Exchange" in plan and "Exchange" not in held  # the index side stays where it is
 
 
+def test_tables_share_an_index(spark):
+    """Two tables with the same ids: what the first brought is known to the second, and a table that comes again is unchanged."""
+    index, schema = exact.DigestIndex.temporary(spark, 4), "doc_id long, text string"
+    one = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "d")], schema)
+    two = spark.createDataFrame([(1, "d"), (2, "c"), (3, "c"), (4, "z")], schema)
+    kept = lambda df, name: {r["doc_id"]: r["kept"] for r in exact.dedup_in_batches(df, index, 2, name).collect()}
+    assert kept(one, "one") == dict.fromkeys((1, 2, 3, 4), True)
+    assert kept(two, "two") == {1: False, 2: False, 3: False, 4: True} == kept(two, "two")
+    assert kept(one, "one") == dict.fromkeys((1, 2, 3, 4), True) and kept(two, None) == dict.fromkeys((1, 2, 3, 4), False)
+
+
 def test_batch_again_after_a_lost_job(spark, docs):
     """The first run's result is never read; the second keeps the same rows, and so does one from a new table over the same files."""
     index = exact.DigestIndex.temporary(spark, 4)

@@ -100,7 +100,7 @@ def test_groups_are_mined_from_labelled_texts(spark):
     for i in range(800):
         toxic, words = i % 8 == 0, prose(rng, SYLLABLES["cc"], 10).split()
         if toxic and rng.random() < 0.5 or rng.random() < 0.12:
-            words.append(rng.choice(["zorbs", "glims"]))
+            words += [rng.choice(["those", "some"]), rng.choice(["zorbs", "glims"]), rng.choice(["there", "again"])]
         if toxic:
             words.append("vile")
         rows.append((i, " ".join(words), int(toxic)))
@@ -110,6 +110,51 @@ def test_groups_are_mined_from_labelled_texts(spark):
     assert all(t in g and len(g) > 1 for t, g in groups.items())
     model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", F.col("label").alias("toxic")))
     assert model.pairs > 0
+    assert sorted(toxicity.slots("Hi. those zorbs; zorbs", frozenset(["zorbs"]))) == [("zorbs", "those _ zorbs"), ("zorbs", "zorbs _ ")]
+
+
+def test_labels_that_no_word_tells_give_no_terms(spark):
+    """Permuted labels, over and over: a bound over all words tested leaves chance words out."""
+    rng = random.Random(10)
+    texts = [" ".join(rng.choices([f"w{k}" for k in range(1500)], k=60)) for _ in range(1500)]
+    found = 0
+    for _ in range(3):
+        labels = [1] * 180 + [0] * 1320
+        rng.shuffle(labels)
+        df = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(zip(texts, labels, strict=True))], "doc_id long, text string, label int").coalesce(2)
+        found += len(toxicity.mined_groups(df, 1500, 180))
+    assert found == 0
+
+
+def test_false_alarms_by_group_on_held_out_mentions(spark):
+    """Toxic texts name one group more than another. With the penalty, neutral mentions of both are flagged alike, and toxic ones are found as before."""
+    rng, rows, about = random.Random(11), [], {}
+    for i in range(2400):
+        group, toxic = rng.choice(["immigrants", "citizens"]), False
+        bad = rng.random() < (0.5 if group == "immigrants" else 0.05)
+        words = prose(rng, SYLLABLES["aa"], 12) + f". many {group} came"
+        if bad:
+            toxic = rng.random() < 0.9
+            words += rng.choice([" vile", " rotten"]) if rng.random() < 0.3 else ""
+        rows.append((i, words, int(toxic)))
+        about[i] = (group, toxic, "vile" in words or "rotten" in words)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    rates = {}
+    for weight in (0.0, 50.0):
+        out = [r for r in toxicity.judge(docs, labels, counterfactual=weight).collect() if r["held_out"]]
+        neutral = {g: [r["predicted"] for r in out if about[r["doc_id"]] [0] == g and not about[r["doc_id"]][1]] for g in ("immigrants", "citizens")}
+        told = [r["predicted"] for r in out if about[r["doc_id"]][2]]
+        rates[weight] = {g: sum(x) / len(x) for g, x in neutral.items()} | {"told": sum(told) / len(told)}
+    assert rates[0.0]["immigrants"] > 0.5 > 0.1 > rates[0.0]["citizens"]
+    assert rates[50.0]["immigrants"] < 0.1 and rates[50.0]["citizens"] < 0.1 and rates[50.0]["told"] > 0.9
+
+
+def test_drawn_pairs_weigh_as_all_do(spark):
+    docs = spark.createDataFrame([(i, f"the women are {w} here. ok" if i % 2 else f"{w} men") for i, w in enumerate(["vile", "kind", "new", "old"] * 60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(240)], "doc_id long, toxic int")
+    every, few = (toxicity.fit(docs, labels, pairs_each=k) for k in (100.0, 1e-4))
+    assert every.pairs == few.pairs > 0
 
 
 def test_telling_buckets_equal_the_plain_ones():
