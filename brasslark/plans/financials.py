@@ -6,7 +6,7 @@ from collections.abc import Iterable
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from brasslark.catalog import METRICS
@@ -63,12 +63,28 @@ def screen(years: DataFrame, filters: Iterable[tuple[str, str, float]], year: in
     return rows.select("ticker", "name", "fiscal_year", "currency", *names).orderBy(F.desc(order_by), "ticker").limit(limit)
 
 
+def _reason(filters: Iterable[tuple[str, str, float]], currency: str) -> Column:
+    """Why a row of the year is not in the screen, or kept."""
+    good = valid_filters(filters)
+    passes = reduce(and_, [OPERATORS[op](F.col(m), F.lit(float(v))) for m, op, v in good])
+    known = reduce(and_, [F.col(m).isNotNull() for m, _, _ in good])
+    return F.when(F.coalesce("currency", F.lit("USD")) != currency, "other_currency").when(~known, "unknown_value").when(~passes, "filtered").otherwise("kept")
+
+
+REASONS = ("other_currency", "unknown_value", "filtered", "kept")
+
+
 def screened_out(years: DataFrame, filters: Iterable[tuple[str, str, float]], year: int, currency: str = "USD") -> DataFrame:
     """reason, n: why companies of the year are not in the screen; every dropped row has one reason."""
-    passes = reduce(and_, [OPERATORS[op](F.col(m), F.lit(float(v))) for m, op, v in valid_filters(filters)])
-    known = reduce(and_, [F.col(m).isNotNull() for m, _, _ in valid_filters(filters)])
-    reason = F.when(F.coalesce("currency", F.lit("USD")) != currency, "other_currency").when(~known, "unknown_value").when(~passes, "filtered").otherwise("kept")
-    return years.where(F.col("fiscal_year") == year).groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    return years.where(F.col("fiscal_year") == year).groupBy(_reason(filters, currency).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def screen_observed(years: DataFrame, filters: Iterable[tuple[str, str, float]], year: int, order_by: str, limit: int = 20, currency: str = "USD") -> tuple[DataFrame, Observation]:
+    """A screen, and the counts of screened_out taken on the same pass: `get` gives them once the screen has run."""
+    filters = list(filters)
+    reason, counts = _reason(filters, currency), Observation()
+    rows = years.where(F.col("fiscal_year") == year).observe(counts, *[F.count_if(reason == r).alias(r) for r in REASONS])
+    return screen(rows, filters, year, order_by, limit, currency), counts
 
 
 def coverage(companies: DataFrame, years: DataFrame, edges: DataFrame, chunks: DataFrame | None = None) -> DataFrame:

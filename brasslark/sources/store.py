@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -42,6 +42,36 @@ class Store:
         rows.repartition(*partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition).parquet(self.path(name))
 
 
+def counted(rows: DataFrame, **conditions: Column) -> tuple[DataFrame, Observation]:
+    """rows, and how many there are (`n`) and meet each condition, counted by whatever writes or reads them: no second scan."""
+    counts = Observation()
+    return rows.observe(counts, F.count(F.lit(1)).alias("n"), *[F.count_if(c).alias(name) for name, c in conditions.items()]), counts
+
+
+class KeyedTable:
+    """A table partitioned by one column and bucketed and sorted by a key, so that lookups by key, joins and windows on it need no shuffle and a year's rows are read alone.
+
+    Tables of the same key and number of buckets meet without a shuffle too. One writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, path: str, key: str, buckets: int = 16):
+        self.spark, self.name, self.path, self.key, self.buckets = spark, name, path, key, buckets
+
+    def write(self, rows: DataFrame, partition: str | None = None, order: tuple[str, ...] = ()) -> KeyedTable:
+        """Replaces the table; one file a bucket (and partition). rows may not come from the table itself."""
+        dealt = rows.repartition(self.buckets, self.key).sortWithinPartitions(*([partition] if partition else []), self.key, *order)
+        writer = dealt.write.mode("overwrite").format("parquet").option("path", self.path).bucketBy(self.buckets, self.key).sortBy(self.key, *order)
+        (writer.partitionBy(partition) if partition else writer).saveAsTable(self.name)
+        return self
+
+    def read(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def drop(self) -> None:
+        """Takes the table out of the catalog; its files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+
 def unique(rows: DataFrame, *keys: str) -> DataFrame:
     """Keys that occur more than once: a writer asserts that there are none. NULL keys are not constrained."""
     known = rows

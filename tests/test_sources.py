@@ -8,8 +8,11 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from brasslark.sources import bulk, xbrl
+from brasslark import catalog as C
+from brasslark.plans import financials, peers
+from brasslark.sources import bulk, store, xbrl
 from brasslark.sources.versions import Conflict, Manifest, VersionedTable
+from tests.conftest import SMALL
 
 
 def filed(cik: int, years: range) -> dict:
@@ -115,3 +118,52 @@ def test_edges_are_merged_into_a_stored_table(spark, tmp_path):
     for batch in (0, 1, 1):
         t.change(new, merge, "extractor", batch)
     assert {tuple(r) for r in t.read().collect()} == {("a", "r", "b", 4, 0.5), ("a", "r", "c", 2, 0.9)}
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def exchanges(df) -> list[str]:
+    return [line.strip() for line in plan(df).splitlines() if "Exchange hashpartitioning" in line]
+
+
+def test_keyed_tables_need_no_shuffle(spark, tmp_path):
+    years = C.fin_years(spark, SMALL)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        figures = store.KeyedTable(spark, "years_keyed", f"{tmp_path}/years", "ticker", 4).write(years, "fiscal_year")
+        names = store.KeyedTable(spark, "names_keyed", f"{tmp_path}/names", "ticker", 4).write(C.companies(spark, SMALL).select("ticker"))
+        looked = financials.lookup(figures.read(), names.read(), ["revenue"])
+        assert not exchanges(looked) and sorted(looked.collect()) == sorted(financials.lookup(years, C.companies(spark, SMALL), ["revenue"]).collect())
+        compared = financials.compare(figures.read(), names.read(), "revenue", 1997)
+        assert not any("ticker" in e for e in exchanges(compared)) and "PartitionFilters: [isnotnull(fiscal_year" in plan(compared)
+        assert sorted(compared.collect()) == sorted(financials.compare(years, C.companies(spark, SMALL), "revenue", 1997).collect())
+        files = figures.read().where("fiscal_year = 1997").select("revenue").inputFiles()
+        assert files and all("fiscal_year=1997" in f for f in files)
+        figures.drop()
+        names.drop()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_reasons_are_counted_on_the_screen_s_own_pass(spark):
+    years, filters = C.fin_years(spark, SMALL), [("net_income", "gt", 0), ("revenue", "gte", 100_000), ("bad", "gt", 1)]
+    top, counts = financials.screen_observed(years, filters, 1997, "revenue")
+    rows = top.collect()
+    assert rows == financials.screen(years, filters, 1997, "revenue").collect()
+    want = {r["reason"]: r["n"] for r in financials.screened_out(years, filters, 1997).collect()}
+    assert {k: v for k, v in counts.get.items() if v} == want
+
+
+def test_an_ingest_is_counted_as_it_is_written(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1), (None, 2), ("b", None), (None, None)], "k string, v long")
+    out, counts = store.counted(rows, no_key=F.col("k").isNull(), no_value=F.col("v").isNull())
+    out.write.parquet(f"{tmp_path}/x")
+    assert counts.get == {"n": 4, "no_key": 2, "no_value": 2}
+
+
+def test_peer_table_says_how_many_more(spark):
+    years = spark.createDataFrame([(f"T{i}", "x", float(i)) for i in range(14)] + [("U", "x", None), ("V", "y", 1.0)], "ticker string, pool string, revenue double")
+    rows = {(r["pool"], r["place"]): (r["ticker"], r["rest"]) for r in peers.table(years, ["pool"]).collect()}
+    assert len(rows) == 11 and rows["x", 1] == ("T13", 4) and rows["y", 1] == ("V", 0)
