@@ -627,7 +627,7 @@ def find_entity_ranked(spark, sf_dir):
     return resolve.find_ranked(nodes, spark.createDataFrame([("brand#1",), ("supplier#000000001",), ("brand#12",), ("00001",)], "query string"))
 
 
-@query()
+@query(r"""SELECT DISTINCT doc_id, word, replace(strip_accents(lower(word)), 'đ', 'd') AS folded FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\s+')) AS word FROM documents) WHERE word <> ''""")
 def accent_insensitive_match(spark, sf_dir):
     docs = C.table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word")).where("word <> ''")
     plain = docs.select("doc_id", "word", X.fold(F.col("word")).alias("folded"))
@@ -833,10 +833,18 @@ def watch_statuses(spark, sf_dir):
     return watch.statuses(watched, old, watch.metric_changes(old, new)).select("ticker", "status")
 
 
-@query()
+@query(f"""{YEARS}, {OWNERSHIP_ONLY}, f AS (SELECT ticker, max(fiscal_year) AS latest_year, string_agg(fiscal_year || ':' || CAST(floor(revenue) AS BIGINT) || ':' || CAST(floor(net_income) AS BIGINT), ',' ORDER BY fiscal_year) AS figures
+FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY fiscal_year DESC) AS r FROM fin_years WHERE fiscal_year BETWEEN 1990 AND 2100) WHERE r <= 6 GROUP BY ticker),
+h AS (SELECT 'S' || company AS ticker, string_agg(owner || ':' || CAST(round(percent * 1000000) AS BIGINT), ',' ORDER BY owner) AS holders FROM ownership GROUP BY company)
+SELECT ticker, latest_year, figures, holders FROM f FULL JOIN h USING (ticker)""")
 def watch_fingerprint(spark, sf_dir):
     stakes = C.ownership(spark, sf_dir).select(F.concat(F.lit("S"), F.col("company").cast("string")).alias("ticker"), "owner", "percent")
-    return watch.fingerprint(C.fin_years(spark, sf_dir), stakes).select("ticker", "latest_year", F.to_json("figures").alias("figures"), F.to_json("holders").alias("holders"))
+    rows = watch.fingerprint(C.fin_years(spark, sf_dir), stakes)
+    whole = lambda c: F.floor(c).cast("string")
+    year = lambda e: F.concat_ws(":", e["key"].cast("string"), whole(e["value"]["revenue"]), whole(e["value"]["net_income"]))
+    stake = lambda e: F.concat_ws(":", e["key"].cast("string"), F.round(e["value"] * 1_000_000).cast("long").cast("string"))
+    told = lambda name, f: F.array_join(F.transform(F.map_entries(name), f), ",").alias(name)
+    return rows.select("ticker", "latest_year", told("figures", year), told("holders", stake))
 
 
 @query(f"""{OWN} SELECT 'companies' AS name, count(*) AS n FROM companies UNION ALL SELECT 'documents', count(*) FROM documents UNION ALL SELECT 'embeddings', count(*) FROM embeddings UNION ALL SELECT 'ownership', count(*) FROM ownership""")
@@ -882,9 +890,11 @@ def last_turns(spark, sf_dir):
     return sessions.last_turns(C.table(spark, sf_dir, "conversations"), 3)
 
 
-@query()
+@query("SELECT conv_id, string_agg(turn || ' ' || role || ': ' || text, chr(10) ORDER BY turn, role, text) AS messages FROM conversations GROUP BY conv_id")
 def session_nested(spark, sf_dir):
-    return sessions.nested(C.table(spark, sf_dir, "conversations"))
+    rows = sessions.nested(C.table(spark, sf_dir, "conversations"))
+    said = F.transform("messages", lambda m: F.concat(m["turn"].cast("string"), F.lit(" "), m["role"], F.lit(": "), m["text"]))
+    return rows.select("conv_id", F.array_join(said, "\n").alias("messages"))
 
 
 @query("""WITH w AS (SELECT *, (SELECT max(ts) FROM events) AS now FROM events), r AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM w WHERE ts > now - INTERVAL 2 DAY) SELECT user_id, event_id, ts, place FROM r WHERE place <= 3""", "place")
@@ -938,7 +948,9 @@ def grade_numeric(spark, sf_dir):
     return verify.grade_numeric(said, answers.select("answer_id", F.col("revenue").alias("expected"))).withColumn("error", F.round("error", 9))
 
 
-@query()
+@query(f"""{YEARS}, said AS (SELECT ticker || '-' || fiscal_year AS answer_id, abs(revenue) AS v, printf('%.0f', revenue) AS t FROM fin_years)
+SELECT answer_id, t AS token, CAST(12 AS INTEGER) AS "at", NULL::VARCHAR AS reason FROM said WHERE v >= 100
+UNION ALL SELECT answer_id, '123,456,789', CAST(12 + length(t) + 18 AS INTEGER), CASE WHEN abs(v - 123456789) <= 0.01 * v OR abs(v - 123456.789::DOUBLE) <= 0.01 * v THEN 'sign_mismatch' ELSE 'not_in_source' END FROM said""")
 def check_numbers(spark, sf_dir):
     years = C.fin_years(spark, sf_dir).select(F.concat_ws("-", "ticker", "fiscal_year").alias("answer_id"), "revenue", "net_income")
     said = years.select("answer_id", F.format_string("Revenue was %.0f USD and the loss 123,456,789 USD.", "revenue").alias("text"))
