@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brasslark.functions.numbers import cosine
+from brasslark.functions.numbers import dot
+
+
+def scored(vectors: DataFrame, query: DataFrame, *keep: str) -> DataFrame:
+    """query_id, keep and score, the cosine, of each query (query_id, query) with each vector (embedding); NULL if either has no length.
+
+    A stated set of queries against all rows. Lengths are taken once a vector and once a query, so a pair costs one product.
+    """
+    length = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
+    each, asked = vectors.select(*keep, "embedding", length("embedding").alias("_v")), query.select("query_id", "query", length("query").alias("_q"))
+    return each.crossJoin(asked).select("query_id", *keep, F.try_divide(dot(F.col("embedding"), F.col("query")), F.col("_v") * F.col("_q")).alias("score"))
 
 
 def top_k(vectors: DataFrame, query: DataFrame, k: int, key: str = "vec_id", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -13,9 +23,9 @@ def top_k(vectors: DataFrame, query: DataFrame, k: int, key: str = "vec_id", kee
 
     Queries are few and broadcast by the planner if their size allows; each task keeps k rows a query before rows meet.
     """
-    scored = vectors.crossJoin(query).select("query_id", key, *keep, cosine(F.col("embedding"), F.col("query")).alias("score")).where("score is not null")
+    rows = scored(vectors, query, key, *keep).where("score is not null")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
 def relaxed(hits: DataFrame, strict, wider, widest, k: int, key: str = "vec_id") -> DataFrame:
