@@ -606,6 +606,24 @@ def resolve_names(spark, sf_dir):
     return resolve.resolve(asked(spark, sf_dir), C.companies(spark, sf_dir).drop("market")).select("query", "status", "ticker", "match")
 
 
+@query("""WITH c AS (SELECT s_suppkey AS k, 'S' || s_suppkey AS ticker, s_name AS name, s_suppkey % 2 = 1 AS us FROM supplier),
+twins AS (SELECT 'Twin ' || (k // 2) AS query, min_by(ticker, {'a': length(ticker), 'b': ticker}) AS ticker FROM c GROUP BY k // 2)
+SELECT 'AKA ' || k AS query, 'ok' AS status, ticker, 'exact' AS match, 1 AS n FROM c UNION ALL SELECT query, 'ok', ticker, 'exact', 1 FROM twins
+UNION ALL SELECT name || ' Joint Stock', 'ok', ticker, 'core', 1 FROM c
+UNION ALL SELECT ticker || '.US', CASE WHEN us THEN 'ok' ELSE 'not_found' END, CASE WHEN us THEN ticker END, CASE WHEN us THEN 'ticker' END, CASE WHEN us THEN 1 ELSE 0 END FROM c""", "n")
+def resolve_tiers(spark, sf_dir):
+    """Names by which the weaker rules decide: an alias, an alias that two companies of one CIK share, a core, and a ticker asked for in one market."""
+    key = F.col("suppkey")
+    text = lambda c: c.cast("string")
+    pair = F.floor(key / 2)
+    companies = C.companies(spark, sf_dir).select(
+        key, "ticker", "name", F.array(F.concat(F.lit("aka "), text(key)), F.concat(F.lit("twin "), text(pair))).alias("aliases"), F.when(key % 2 == 1, "US").otherwise("VN").alias("market"), pair.alias("cik")
+    )
+    forms = F.array(F.concat(F.lit("AKA "), text(key)), F.concat(F.lit("Twin "), text(pair)), F.concat("name", F.lit(" Joint Stock")), F.concat("ticker", F.lit(".US")))
+    rows = resolve.resolve(companies.select(F.explode(forms).alias("query")), companies)
+    return rows.select("query", "status", "ticker", "match", F.col("n_candidates").cast("int").alias("n"))
+
+
 @query("""SELECT 'S' || s_suppkey || ' (' || s_name || ')' AS query, 'ok' AS status, 'S' || s_suppkey AS ticker FROM supplier""")
 def resolve_forms(spark, sf_dir):
     names = C.companies(spark, sf_dir).drop("market")
