@@ -8,7 +8,8 @@ tells other documents apart, so there are two fingerprints, and shingle sets dec
 * Parity fingerprints: bit i tells whether an odd number of the shingles hash to i. Two sets differ in at least as many
   shingles as their fingerprints in bits, so the radius that follows from 0.8 loses nothing. (At that radius distances to
   reference fingerprints hardly ever differ by more, so pairs are compared themselves.) Candidates meet over shingles: in
-  any fixed order of all shingles, two sets of 0.8 or more share one among the first n - ceil(0.8 n) + 1 of each.
+  any fixed order of all shingles, two sets of 0.8 or more share one among the first n - ceil(0.8 n) + 1 of each. The order
+  is by how common the rarest word of a shingle is, so that unrelated texts seldom meet, however many there are.
 
 First every document meets one other of each shared shingle, then others by lot, and at last only pairs of different groups are
 looked at, so a large group of near copies is not compared pair by pair. Shingles are compared as 64-bit hashes.
@@ -33,38 +34,56 @@ WORDS = 5
 OVER, UNDER = 4, 5
 #: Longs of a parity fingerprint.
 LONGS = 16
+#: Those of them that are compared where the units of a shingle meet.
+FIRST = 8
 #: Times that the units of a shingle meet one of them by lot before pairs are formed; it bears on speed only.
 LOTS = 1
-#: Frequent shingles that are told apart; they bear on speed only.
-FREQUENT = 1 << 16
+#: Binary logarithm of the counters of words, by which rare shingles are told from common ones; it bears on speed only.
+COUNTERS = 22
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BITS = [f"b{i}" for i in range(LONGS)]
 
 
-def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of a text's word shingles; a shorter text is one shingle, one without words has none."""
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not found:
-        return np.empty(0, np.uint64)
-    each = np.array([xxhash.xxh64_intdigest(w, SEED) for w in found], np.uint64)
-    width = min(words, len(found))
-    out = np.zeros(len(found) - width + 1, np.uint64)
+def _words(text: str | None) -> np.ndarray:
+    """Hashes of a text's words in their order."""
+    return np.array([xxhash.xxh64_intdigest(w, SEED) for w in (text or "").encode("utf-8", "surrogatepass").lower().split()], np.uint64)
+
+
+def _windows(each: np.ndarray, words: int) -> np.ndarray:
+    """Hashes of the word shingles in their order; a shorter text is one shingle, one without words has none."""
+    if not len(each):
+        return each
+    width = min(words, len(each))
+    out = np.zeros(len(each) - width + 1, np.uint64)
     for i in range(width):
         out = (out ^ (out >> np.uint64(29))) * _ODD + each[i : i + len(out)]
-    return np.unique((out ^ (out >> np.uint64(32))) * _ODD)
+    return (out ^ (out >> np.uint64(32))) * _ODD
+
+
+def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+    """Sorted distinct hashes of a text's word shingles."""
+    return np.unique(_windows(_words(text), words))
+
 
+def _prefix(each: np.ndarray, words: int, commonness: np.ndarray) -> np.ndarray:
+    """The first n - ceil(0.8 n) + 1 of the distinct shingles of a text (hashes of its words): by their rarest word, which bounds how often they occur, by all words, by hash.
 
-def _prefix(found: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The first n - ceil(0.8 n) + 1 shingles, ordered by rank (0 for those not frequent) and hash."""
+    A shingle's place depends on its words alone, so it is the same in every text.
+    """
+    inside = _windows(each, words)
+    found, at = np.unique(inside, return_index=True)
     n = len(found)
     if not n:
         return found
+    own, width = commonness[_counter(each)], min(words, len(each))
+    parts = np.stack([own[at + i] for i in range(width)])
     keep = n - -(-OVER * n // UNDER) + 1
-    places = np.zeros(n, np.int64)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
-        places = np.where(frequent[at] == found, rank[at], 0)
-    return found[np.lexsort((found, places))[:keep]]
+    return found[np.lexsort((found, parts.sum(0, dtype=np.int64), parts.min(0)))[:keep]]
+
+
+def _counter(each: np.ndarray) -> np.ndarray:
+    """The counter of each word."""
+    return (each >> np.uint64(64 - COUNTERS)).astype(np.int64)
 
 
 def _parity(found: np.ndarray, longs: int = LONGS) -> np.ndarray:
@@ -91,42 +110,40 @@ def _simhash(found: np.ndarray) -> int:
     return signed(int(np.packbits(2 * ones > len(found), bitorder="little").view("<u8")[0]))
 
 
-def _order(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """The FREQUENT shingles that repeat most over all documents, sorted, and their ranks.
+def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that what is made of a batch stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
-    A task counts the shingles that repeat within a batch of rows and gives the FREQUENT largest counts; what is
-    frequent in the corpus is so in many tasks, whose counts Spark adds up.
-    """
+
+def _commonness(docs: DataFrame) -> np.ndarray:
+    """Eighths of the binary logarithm of how often the words of each counter occur in all documents. There are 2**COUNTERS, whatever the words are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
-        for b in batches:
-            found, k = np.unique(np.concatenate([shingles(t.as_py(), words) for t in b.column("text")]), return_counts=True) if b.num_rows else (keys[:0], counts[:0])
-            keys, at = np.unique(np.concatenate((keys, found[k > 1])), return_inverse=True)
-            counts = np.bincount(at, np.concatenate((counts, k[k > 1])), len(keys)).astype(np.int64)
-            if len(keys) > FREQUENT:
-                best = np.sort(np.lexsort((keys, -counts))[:FREQUENT])
-                keys, counts = keys[best], counts[best]
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["shingle", "k"])
-
-    counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "shingle long, k long").groupBy("shingle").agg(F.sum("k").alias("k"))
-    rows = counts.orderBy(F.desc("k"), "shingle").limit(FREQUENT).collect()
-    found = np.array([r["shingle"] for r in rows], np.int64).view(np.uint64)
-    rank = np.array([r["k"] for r in rows], np.int64)
-    by = np.argsort(found)
-    return found[by], rank[by]
+        counts = np.zeros(1 << COUNTERS, np.int64)
+        for b in _pieces(batches):
+            for t in b.column("text"):
+                np.add.at(counts, _counter(_words(t.as_py())), 1)
+        met = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(counts[met])], ["counter", "k"])
+
+    counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "counter long, k long").groupBy("counter").agg(F.sum("k").alias("k")).toArrow()
+    out = np.zeros(1 << COUNTERS, np.int16)
+    out[counts.column("counter").to_numpy()] = 8 * np.log2(counts.column("k").to_numpy())
+    return out
 
 
 def _sketches(docs: DataFrame, words: int) -> DataFrame:
     """Per row of docs: doc_id, key (the text's hash), unit (the shingle set's), n, fp, prefix, parity fingerprint."""
-    frequent, rank = _order(docs, words)
-    shared = docs.sparkSession.sparkContext.broadcast((frequent, rank))
+    shared = docs.sparkSession.sparkContext.broadcast(_commonness(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingles(t.as_py(), words) for t in b.column("text")]
+        for b in _pieces(batches):
+            each = [_words(t.as_py()) for t in b.column("text")]
+            sets = [np.unique(_windows(w, words)) for w in each]
             units = pa.array([signed(xxhash.xxh64_intdigest(s.tobytes(), SEED)) for s in sets], pa.int64())
-            prefix = pa.array([_prefix(s, *shared.value).view(np.int64) for s in sets], pa.list_(pa.int64()))
+            prefix = pa.array([_prefix(w, words, shared.value).view(np.int64) for w in each], pa.list_(pa.int64()))
             bits = np.array([_parity(s) for s in sets], np.uint64).reshape(-1, LONGS)
             own = [b.column("doc_id"), b.column("key"), units, pa.array([len(s) for s in sets], pa.int32()), pa.array([_simhash(s) for s in sets], pa.int64()), prefix]
             own += [pa.array(np.ascontiguousarray(bits[:, i]).view(np.int64)) for i in range(LONGS)]
@@ -165,7 +182,7 @@ def _verified(pairs: DataFrame, units: DataFrame, docs: DataFrame, words: int) -
     """The pairs (a, b) of units whose shingle sets are similar enough. Only texts of pairs that fingerprints leave meet."""
 
     def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _pieces(batches):
             sets = [shingles(t.as_py(), words) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("unit"), pa.array([len(s) for s in sets], pa.int32()), pa.array([_wide(s).tobytes() for s in sets], pa.binary())], ["unit", "n", "own"])
 
@@ -176,7 +193,7 @@ def _verified(pairs: DataFrame, units: DataFrame, docs: DataFrame, words: int) -
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches):
             keep = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
                 x, y = shingles(x.as_py(), words), shingles(y.as_py(), words)
@@ -193,6 +210,14 @@ def _verified(pairs: DataFrame, units: DataFrame, docs: DataFrame, words: int) -
     return saved(full.select("a", "b", "x", "y").mapInArrow(similar, "a long, b long"), "similar")
 
 
+def _different(wide: DataFrame) -> DataFrame:
+    """wide (token, unit, salt, ...) with one shingle of all that have the same units: the others would bring the same pairs. Sets of units are compared by 128 bits, size and ends."""
+    each = [F.bit_xor(F.xxhash64("unit", F.lit(i))).alias(f"x{i}") for i in range(2)]
+    sets = wide.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("unit").alias("low"), F.max("unit").alias("high"), *each)
+    first = sets.groupBy("k", "low", "high", "x0", "x1").agg(F.min("token").alias("token")).select("token")
+    return salted(spread_join(wide, first, "token"), "wide")
+
+
 def _parts(wide: DataFrame, links: DataFrame) -> DataFrame:
     """(token, unit, salt, part): the units of the shingles that units of several groups have, and the group that links put each unit in."""
     group = saved(roots(links), "roots")
@@ -216,6 +241,7 @@ def similar_groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
     ends = saved(ends, "ends")
     hubs = saved(ends.where("k > 2").select("token", "a"), "hubs")
     wide = salted(sifted(tokens, "token", sieve(hubs, "token")).join(hubs, "token").select("token", "unit", "a").distinct(), "wide")
+    wide = _different(wide)
     stars = ends.select("a", "b").union(wide.where("unit <> a").select("a", F.col("unit").alias("b")))
 
     prints = saved(units.groupBy("fp").agg(F.min("unit").alias("first")), "prints")
@@ -235,12 +261,13 @@ def similar_groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
         parts = _parts(parts.select("token", "unit", "salt"), links)
 
     step = F.floor(F.log("n") / F.log(F.lit(UNDER / OVER)) + 1e-9)  # the sizes of a pair are in one step, or in two next to each other
-    one = parts.drop("salt").join(units.where("n > 0").select("unit", "n", *_BITS), "unit").withColumn("step", step)
-    other = one.select("token", "step", F.col("unit").alias("b"), F.col("n").alias("m"), F.col("part").alias("apart"), *[F.col(c).alias(f"y{c}") for c in _BITS])
+    early = _BITS[:FIRST]
+    one = parts.drop("salt").join(units.where("n > 0").select("unit", "n", *early), "unit").withColumn("step", step)
+    other = one.select("token", "step", F.col("unit").alias("b"), F.col("n").alias("m"), F.col("part").alias("apart"), *[F.col(c).alias(f"y{c}") for c in early])
     one = one.withColumn("step", F.explode(F.array(F.col("step"), F.col("step") + 1)))
     n, m = F.col("n"), F.col("m")
     ordered = (n < m) | ((n == m) & (F.col("unit") < F.col("b")))
-    meets = (one["token"] == other["token"]) & (one["step"] == other["step"]) & (F.col("part") != F.col("apart")) & ordered & _sizes_fit(n, m) & _bits_fit("", "y", n, m, _BITS)
+    meets = (one["token"] == other["token"]) & (one["step"] == other["step"]) & (F.col("part") != F.col("apart")) & ordered & _sizes_fit(n, m) & _bits_fit("", "y", n, m, early)
     across = one.join(other, meets).select(F.col("unit").alias("a"), "b")  # a pair that cannot be similar is never a row
     group = saved(roots(links.union(_verified(across.distinct(), units, docs, words))), "roots")
     own = spread_join(rows.select("doc_id", "key", "unit", "salt"), group.withColumnRenamed("node", "unit"), "unit", how="left")
