@@ -6,7 +6,10 @@ import random
 from itertools import combinations
 
 import corpus_pipeline
+import numpy as np
+from pyspark.sql import functions as F
 
+from brasslark.llm import common, similar
 from tests.llm.conftest import SYLLABLES, prose
 
 
@@ -58,3 +61,37 @@ def test_stage_finds_all_similar_pairs(spark):
     kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
     want, pairs = plain_kept(rows)
     assert pairs > 200 and kept == want
+
+
+def test_sieves_keep_all_keys(spark):
+    """Keys of any sign, beside the bound of the bitmap, survive; most others don't."""
+    keys = [0, -1, 63, 64, common.SIEVE, -common.SIEVE, 2**63 - 1, -(2**63), *[(k * 0x9E3779B97F4A7C15) % 2**64 - 2**63 for k in range(1, 300)]]
+    asked = spark.createDataFrame([(k,) for k in keys], "key long")
+    rows = asked.union(spark.range(5000).select((F.col("id") * 7919 + 1_000_003).alias("key")))
+    kept = [r["key"] for r in common.sifted(rows, "key", common.sieve(asked, "key")).collect()]
+    assert set(keys) <= set(kept) and len(kept) < len(keys) + 50
+
+
+def test_one_shingle_of_each_set_of_units(spark):
+    rows = [(t, u, 0) for t, units in enumerate([(1, 2, 3), (3, 2, 1), (1, 2, 4), (1, 2), (5, 6, 7), (1, 2, 3)]) for u in units]
+    got = {r["token"] for r in similar._different(spark.createDataFrame(rows, "token long, unit long, salt int")).collect()}
+    assert got == {0, 2, 3, 4}
+
+
+def test_prefixes_of_similar_texts_meet():
+    """Whatever the commonness of words is, two sets of 0.8 or more share a shingle of their prefixes."""
+    rng, most = random.Random(5), np.random.default_rng(6)
+    commonness = most.integers(0, 60, 1 << similar.COUNTERS).astype(np.int16)
+    met = 0
+    for _ in range(300):
+        base = [f"w{rng.randrange(400)}" for _ in range(rng.randint(5, 120))]
+        other = list(base)
+        for _ in range(rng.randint(0, 3)):
+            other[rng.randrange(len(other))] = "new"
+        x, y = (similar._words(" ".join(t)) for t in (base, other))
+        a, b = (similar._windows(w, 5) for w in (x, y))
+        both = len(np.intersect1d(a, b))
+        if both * 5 >= (len(set(a)) + len(set(b)) - both) * 4:
+            met += 1
+            assert len(np.intersect1d(similar._prefix(x, 5, commonness), similar._prefix(y, 5, commonness)))
+    assert met > 50
