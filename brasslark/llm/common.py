@@ -61,7 +61,7 @@ def spread_join(rows: DataFrame, few: DataFrame, *keys: str, how: str = "inner")
 
 
 #: Bits of a sieve. Its table has at most this many by 64 rows, whatever the keys are.
-SIEVE = 1 << 24
+SIEVE = 1 << 22
 
 
 def sieve(keys: DataFrame, key: str) -> DataFrame:
