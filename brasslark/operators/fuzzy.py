@@ -64,8 +64,9 @@ def _met(x: DataFrame, y: DataFrame, least: float, grams: int) -> DataFrame:
     both = F.col("n") + F.col("m")
     fit = 2.0 * F.least("n", "m") >= least * both - 1e-9
     pairs = a.withColumnRenamed("length", "n").join(b.withColumnRenamed("length", "m"), "token").where(fit).select("x", "y", "n", "m").distinct()
-    signs = F.size(F.array_intersect(tokens(F.col("x"), 1), tokens(F.col("y"), 1)))
-    pairs = pairs.where(F.expr(f"levenshtein(x, y, cast(floor((n + m) * {1 - least!r} + 1e-9) as int))") >= 0).where(2.0 * signs >= least * both - 1e-9)
+    pairs = pairs.where(F.expr(f"levenshtein(x, y, cast(floor((n + m) * {1 - least!r} + 1e-9) as int))") >= 0)
+    signs = lambda s, c: s.select(c, tokens(F.col(c), 1).alias(f"_{c}"))  # noqa: E731  once a string, not once a pair
+    pairs = pairs.join(signs(x, "x"), "x").join(signs(y, "y"), "y").where(2.0 * F.size(F.array_intersect("_x", "_y")) >= least * both - 1e-9)
     # written once, so that the ratio is not computed again by what reads it
     close = saved(pairs.select("x", "y").withColumn("ratio", F.when(F.col("x") == F.col("y"), 1.0).otherwise(seq_ratio("x", "y"))), "ratios")
     return close.where(F.col("ratio") >= least)
