@@ -195,7 +195,7 @@ def roots(links: DataFrame) -> DataFrame:
         if now == before:
             break
     top = edges.groupBy("u").agg(F.min("v").alias("root"))
-    return top.select(F.col("u").alias("node"), "root")
+    return top.select(F.col("u").alias("node"), "root").union(top.select(F.col("root").alias("node"), "root").distinct())  # no link ends a root's own row
 
 
 def near_groups(docs: DataFrame, words: int = 3, limit: int = LIMIT) -> DataFrame:

@@ -102,6 +102,23 @@ def test_near_groups_equal_brute_force(spark, docs, none):
     assert simhash.near_groups(none).count() == 0
 
 
+def test_roots_have_themselves(spark):
+    links = spark.createDataFrame([(9, 5), (7, 9), (2, 1)], "a long, b long")
+    assert {tuple(r) for r in simhash.roots(links).collect()} == {(5, 5), (7, 5), (9, 5), (1, 1), (2, 1)}
+
+
+def test_near_groups_whichever_fingerprint_is_less(spark):
+    """Of two linked fingerprints one is the root; its document is in the group whether its doc_id is the smaller or the larger one."""
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(1500)]
+    text, k = " ".join(words), 0
+    while not 0 < (plain_fingerprint(text) ^ plain_fingerprint(other := " ".join([*words[:-1], f"x{k}"]))).bit_count() <= 3:
+        k += 1
+    for first, second in ((text, other), (other, text)):
+        df = spark.createDataFrame([(3, first), (8, second)], "doc_id long, text string")
+        assert {(r["doc_id"], r["component_id"]) for r in simhash.near_groups(df).collect()} == {(3, 3), (8, 3)}
+
+
 @pytest.mark.parametrize("limit", [2, 2048])
 def test_links_of_crowded_fingerprints(spark, limit):
     """Groups over the limit are split again and lose nothing."""
