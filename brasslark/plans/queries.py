@@ -971,7 +971,8 @@ SELECT answer_id, t AS token, CAST(12 AS INTEGER) AS "at", NULL::VARCHAR AS reas
 UNION ALL SELECT answer_id, '123,456,789', CAST(12 + length(t) + 18 AS INTEGER), CASE WHEN abs(v - 123456789) <= 0.01 * v OR abs(v - 123456.789::DOUBLE) <= 0.01 * v THEN 'sign_mismatch' ELSE 'not_in_source' END FROM said""")
 def check_numbers(spark, sf_dir):
     years = C.fin_years(spark, sf_dir).select(F.concat_ws("-", "ticker", "fiscal_year").alias("answer_id"), "revenue", "net_income")
-    said = years.select("answer_id", F.format_string("Revenue was %.0f USD and the loss 123,456,789 USD.", "revenue").alias("text"))
+    # %.0f of Java rounds halves up, that of SQL to the even number
+    said = years.select("answer_id", F.format_string("Revenue was %.0f USD and the loss 123,456,789 USD.", F.bround("revenue")).alias("text"))
     return verify.check_numbers(said, verify.value_sources(years.select("answer_id", F.col("revenue").alias("value"))))
 
 

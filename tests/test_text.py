@@ -6,11 +6,12 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
+from brasslark import catalog
 from brasslark.functions import text as X
 from brasslark.functions.reading import numbers_of, readings
 from brasslark.functions.similarity import seq_ratio
 from brasslark.operators import documents, resolve, triples
-from brasslark.plans import verify
+from brasslark.plans import queries, verify
 from brasslark.sources import universe, xbrl
 
 
@@ -254,3 +255,11 @@ def test_nested_values_equal_a_walk(spark):
     rows = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(data)], "answer_id long, j string").select("answer_id", F.parse_json("j").alias("data"))
     got = sorted(tuple(r) for r in nested_sources(rows).collect())
     assert got == sorted((i, *x) for i, d in enumerate(data) for x in walk(d, []))
+
+
+def test_checked_numbers_round_halves_to_even(spark, monkeypatch):
+    """As printf does in the SQL twin: 3421212.5 is said as 3421212, 3421213.5 as 3421214."""
+    rows = [("S1", 2001, 3421212.5, 0.0), ("S2", 2001, 3421213.5, 0.0), ("S3", 2001, -2421212.5, 0.0)]
+    monkeypatch.setattr(catalog, "fin_years", lambda *_: spark.createDataFrame(rows, "ticker string, fiscal_year int, revenue double, net_income double"))
+    said = {r["answer_id"]: r["token"] for r in queries.QUERIES["check_numbers"](spark, "").where("at < 20").collect()}
+    assert said["S1-2001"] == "3421212" and said["S2-2001"] == "3421214" and said["S3-2001"].strip("-") == "2421212"
