@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from brasslark.functions.numbers import divide
 from brasslark.functions.reading import graded_numbers_in, numbers_in
+from brasslark.functions.text import upper
 from brasslark.sources.scratch import saved
 
 TOLERANCE, PERCENT_TOLERANCE, POOL = 0.01, 0.5, 4
@@ -102,8 +103,8 @@ def grade_numeric(answers: DataFrame, expected: DataFrame, tolerance: float = TO
 
 def grade_entities(answers: DataFrame, expected: DataFrame) -> DataFrame:
     """answer_id, recall, any_form over expected (answer_id, entity): shares of the entities named, in any case of letters."""
-    j = expected.join(answers, "answer_id", "left")
-    hit = F.coalesce(F.contains(F.upper("text"), F.upper("entity")), F.lit(False)).cast("double")
+    j = expected.join(answers.select("answer_id", upper(F.col("text")).alias("text")), "answer_id", "left")
+    hit = F.coalesce(F.contains("text", upper(F.col("entity"))), F.lit(False)).cast("double")
     return j.groupBy("answer_id").agg(F.avg(hit).alias("recall"), F.max(hit).alias("any_form"))
 
 

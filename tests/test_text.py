@@ -263,3 +263,11 @@ def test_checked_numbers_round_halves_to_even(spark, monkeypatch):
     monkeypatch.setattr(catalog, "fin_years", lambda *_: spark.createDataFrame(rows, "ticker string, fiscal_year int, revenue double, net_income double"))
     said = {r["answer_id"]: r["token"] for r in queries.QUERIES["check_numbers"](spark, "").where("at < 20").collect()}
     assert said["S1-2001"] == "3421212" and said["S2-2001"] == "3421214" and said["S3-2001"].strip("-") == "2421212"
+
+
+def test_entities_are_named_letter_by_letter(spark):
+    """ß is no SS and ﬁ no FI in upper case, as in SQL; ᾳ and ᾼ are one letter in two cases."""
+    said = [(1, "die straße fiel"), (2, "DIE STRASSE"), (3, "ein ﬁsch"), (4, "ᾳδω"), (5, "Straẞe")]
+    answers = spark.createDataFrame(said, "answer_id long, text string")
+    wanted = spark.createDataFrame([(1, "STRASSE"), (2, "straße"), (3, "FISCH"), (4, "ᾼΔΩ"), (5, "STRAßE")], "answer_id long, entity string")
+    assert {r["answer_id"]: r["recall"] for r in verify.grade_entities(answers, wanted).collect()} == {1: 0.0, 2: 0.0, 3: 0.0, 4: 1.0, 5: 1.0}
