@@ -720,10 +720,9 @@ t AS (SELECT *, CASE WHEN label = query_id % 10 AND vec_id % 97 = query_id % 97
 b AS (SELECT *, min(tier) OVER (PARTITION BY query_id) AS best FROM t WHERE tier IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM b WHERE tier = best)
 SELECT query_id, vec_id, round(score, 6) AS score, place, ['none', 'years', 'years and items'][tier + 1] AS relaxed FROM r WHERE place <= 6""", "place")
 def search_relaxation(spark, sf_dir):
-    emb = C.table(spark, sf_dir, "embeddings")
-    hits = vector.scored(emb, asked_vectors(spark, sf_dir), "vec_id", "label")  # the stated queries against all
-    same = F.col("label") == F.col("query_id") % 10
-    rows = vector.relaxed(hits, same & (F.col("vec_id") % 97 == F.col("query_id") % 97), same & (F.col("vec_id") % 2 == 0), F.col("label").isin(0, 1, 2), 6)
+    year, item = (F.col("vec_id") % 97, F.col("query_id") % 97), (F.col("label").cast("long"), F.col("query_id") % 10)
+    tiers = [(F.lit(True), (item, year)), (F.col("vec_id") % 2 == 0, (item,)), (F.col("label").isin(0, 1, 2), ())]
+    rows = vector.relaxed(C.table(spark, sf_dir, "embeddings"), asked_vectors(spark, sf_dir), tiers, 6)
     return rows.select("query_id", "vec_id", F.round("score", 6).alias("score"), "place", "relaxed")
 
 
@@ -1070,8 +1069,9 @@ def refresh_due(spark, sf_dir):
 u AS (SELECT query_id, vec_id, score, 0 AS priority FROM s WHERE label = 3 AND vec_id % 16 = 0 UNION ALL SELECT query_id, vec_id, score, 1 FROM s WHERE label = 7),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY priority, score DESC, vec_id) AS place FROM u) SELECT query_id, vec_id, round(score, 6) AS score, priority, place FROM r WHERE place <= 8""", "place")
 def stacked_hits(spark, sf_dir):
-    hits = vector.scored(C.table(spark, sf_dir, "embeddings"), asked_vectors(spark, sf_dir), "vec_id", "label")  # the stated queries against all
-    first, second = hits.where("label = 3 AND vec_id % 16 = 0").drop("label"), hits.where("label = 7").drop("label")
+    emb, asked = C.table(spark, sf_dir, "embeddings"), asked_vectors(spark, sf_dir)
+    best = lambda rows: vector.hits(rows, asked, 8, unscored=True).drop("place")
+    first, second = best(emb.where("label = 3 AND vec_id % 16 = 0")), best(emb.where("label = 7"))
     return joins.stacked(first, second, ["query_id"], [F.desc("score"), F.col("vec_id")], 8).withColumn("score", F.round("score", 6))
 
 
