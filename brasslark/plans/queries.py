@@ -253,9 +253,7 @@ def peer_companies(spark, sf_dir):
 
 @query(f"{YEARS}, {PEERS} SELECT subject, count(*) FILTER (own = currency) AS kept, count(*) FILTER (own <> currency) AS dropped FROM peer_rows GROUP BY subject")
 def same_currency_dropped(spark, sf_dir):
-    companies = peer_companies(spark, sf_dir)
-    rows = peers.same_currency(peers.peer_sets(every(spark, sf_dir), companies, no_rivals(spark)), companies)
-    return rows.groupBy("subject").agg(F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("dropped"))
+    return peers.currency_counts(every(spark, sf_dir), peer_companies(spark, sf_dir), no_rivals(spark))
 
 
 @query(f"""{YEARS}, {PEERS}, n AS (SELECT subject, count(*) AS total FROM kept GROUP BY subject),
@@ -264,9 +262,7 @@ own AS (SELECT y.ticker AS subject, y.fiscal_year, total, coalesce(h.peers, 0) A
 ranked AS (SELECT *, peers >= greatest(3, total // 2) AS fits FROM own), best AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY CASE WHEN fits THEN 0 ELSE 1 END, fiscal_year DESC) AS r FROM ranked)
 SELECT subject, fiscal_year, peers, NOT fits AS warned FROM best WHERE r = 1""")
 def best_comparison_year(spark, sf_dir):
-    companies = peer_companies(spark, sf_dir)
-    rows = peers.same_currency(peers.peer_sets(every(spark, sf_dir), companies, no_rivals(spark)), companies).where("kept")
-    return peers.comparison_year(rows, saved(C.fin_years(spark, sf_dir), "years"))
+    return peers.comparison_years(every(spark, sf_dir), peer_companies(spark, sf_dir), saved(C.fin_years(spark, sf_dir), "years"), no_rivals(spark))
 
 
 @query(f"""{YEARS}, {RATIOS}, {PEERS}, n AS (SELECT subject, count(*) AS p FROM kept GROUP BY subject HAVING count(*) >= 3),

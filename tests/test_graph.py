@@ -200,3 +200,20 @@ def test_ranges_equal_a_plain_join(spark, found):
     ranges = [(lo, lo + w % 40, str(k)) for k, (lo, w) in enumerate(found)]
     got = joins.in_ranges(spark.createDataFrame(rows, "id long, v long"), "v", spark.createDataFrame(ranges, "lo long, hi long, name string"), 7)
     assert sorted((r["id"], r["name"]) for r in got.collect()) == sorted((i, n) for i, v in rows for lo, hi, n in ranges if lo <= v <= hi)
+
+
+def test_peers_counted_by_pool_equal_pairs(spark):
+    """Counts and years of pools equal those of pairs, with companies without currency, sector or market and with rivals of their own."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(f"T{i}", rng.choice(["A", "B", None]), rng.choice(["X", "Y", None]), rng.choice(["USD", "EUR", None])) for i in range(60)] + [("alone", "C", "X", "USD"), ("odd", "D", "X", "USD"), ("even", "D", "X", "EUR")]
+    companies = spark.createDataFrame(rows, "ticker string, sector string, market string, currency string").cache()
+    years = spark.createDataFrame([(t, y) for t, *_ in rows for y in range(2018, 2023) if rng.random() < 0.6], "ticker string, fiscal_year int").cache()
+    rivals = spark.createDataFrame([("T1", f"T{i}") for i in (3, 4, 5, 6)] + [("T2", "T3")], "subject string, ticker string")
+    pairs = peers.same_currency(peers.peer_sets(companies, companies, rivals), companies).cache()
+    counts = pairs.groupBy("subject").agg(F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("dropped"))
+    ours = peers.currency_counts(companies, companies, rivals)
+    assert sorted(map(tuple, ours.collect())) == sorted(map(tuple, counts.collect()))
+    ours = peers.comparison_years(companies, companies, years, rivals)
+    assert sorted(map(tuple, ours.collect())) == sorted(map(tuple, peers.comparison_year(pairs.where("kept"), years).collect()))
