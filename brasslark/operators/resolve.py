@@ -49,8 +49,18 @@ def _tier(df: DataFrame, k: int, score: Column | None = None) -> DataFrame:
     return df.select("query", "suffix", "ticker", "name", F.lit(k).alias("tier"), (F.lit(1.0) if score is None else score).alias("score"))
 
 
+def _met_by_rarest(asked: DataFrame, q: DataFrame, parts: DataFrame) -> DataFrame:
+    """Rows of q (query) with the rows of parts (w) that have the rarest of the query's parts; asked has one row (query, w) for each.
+
+    A name that has the whole query has all its parts, so one that all names have does not bring all names together.
+    """
+    common = parts.groupBy("w").agg(F.count(F.lit(1)).alias("k"))
+    rare = asked.select("query", "w").join(common, "w", "left").groupBy("query").agg(F.min_by("w", F.struct(F.coalesce("k", F.lit(0)), "w")).alias("w"))
+    return q.join(rare, "query").join(parts, "w")
+
+
 def _equal_tiers(q: DataFrame, names: DataFrame, companies: DataFrame) -> DataFrame:
-    """The tiers whose matches meet by equal keys: words for prefixes, words and contained cores, 12 letters for joined cores."""
+    """The tiers whose matches meet by equal keys: the rarest of their words for prefixes, words and contained cores, the rarest run of 12 letters for joined cores."""
     codes = F.array("ticker", "symbol") if "symbol" in companies.columns else F.array("ticker")
     codes = companies.select("ticker", "name", F.explode(F.array_distinct(F.transform(codes, lambda c: F.upper(c)))).alias("code")).where("code is not null")
     spelled = F.array_distinct(F.transform(F.array("raw", F.replace("q", F.lit(" ")), F.replace("q_core", F.lit(" "))), lambda c: F.upper(c)))
@@ -58,24 +68,23 @@ def _equal_tiers(q: DataFrame, names: DataFrame, companies: DataFrame) -> DataFr
     t1 = _tier(q.where("q <> ''").join(names, F.col("q") == F.col("simple")), 1)
     # a name that has the whole query has its rarest word, so a word that all names have does not bring all names together
     words = saved(names.withColumn("w", F.explode(F.array_distinct(F.split("simple", " ")))), "words")
-    common = words.groupBy("w").agg(F.count(F.lit(1)).alias("k"))
-    rare = q.where("q <> ''").withColumn("w", F.explode(F.array_distinct(F.split("q", " ")))).join(common, "w", "left")
-    rare = rare.groupBy("query").agg(F.min_by("w", F.struct(F.coalesce("k", F.lit(0)), "w")).alias("w"))
-    met = q.join(rare, "query").join(words, "w")
+    met = _met_by_rarest(q.where("q <> ''").withColumn("w", F.explode(F.array_distinct(F.split("q", " ")))), q, words)
     padded = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
     t2 = _tier(met.where(F.col("simple").startswith(F.concat("q", F.lit(" ")))), 2)
     t3 = _tier(met.where(padded(F.col("simple")).contains(padded(F.col("q")))), 3)
 
     cored = q.where((F.length("q") >= SUBSTRING_LETTERS) & (F.col("q_core") != ""))
     whole = cored.join(names, F.col("q_core") == F.col("core"))
-    core_words_of = names.withColumn("w", F.explode(F.array_distinct(F.split("core", " "))))
-    inside = cored.where((F.size(F.split("q_core", " ")) >= 2) & (F.length("q_core") >= INSIDE_LETTERS)).join(core_words_of, _head(F.col("q_core")) == F.col("w"))
+    core_words_of = saved(names.where("core <> ''").withColumn("w", F.explode(F.array_distinct(F.split("core", " ")))), "words")
+    several = cored.where((F.size(F.split("q_core", " ")) >= 2))
+    inside = several.where(F.length("q_core") >= INSIDE_LETTERS)
+    inside = _met_by_rarest(inside.withColumn("w", F.explode(F.array_distinct(F.split("q_core", " ")))), inside, core_words_of)
     inside = inside.where(padded(F.col("core")).contains(padded(F.col("q_core"))))
     joined = lambda c: F.replace(c, F.lit(" "))
-    run = names.withColumn("j", joined(F.col("core"))).where(F.length("j") >= JOINED_LETTERS)
-    run = run.withColumn("w", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("j") - (JOINED_LETTERS - 1)), lambda i: F.substring("j", i, F.lit(JOINED_LETTERS))))))
-    long = cored.withColumn("qj", joined(F.col("q_core"))).where((F.length("qj") >= JOINED_LETTERS) & (F.size(F.split("q_core", " ")) >= 2))
-    long = long.join(run, F.substring("qj", 1, JOINED_LETTERS) == F.col("w")).where(F.col("j").contains(F.col("qj")))
+    runs = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (JOINED_LETTERS - 1)), lambda i: F.substring(c, i, F.lit(JOINED_LETTERS)))))
+    run = saved(names.withColumn("j", joined(F.col("core"))).where(F.length("j") >= JOINED_LETTERS).withColumn("w", runs("j")), "runs")
+    long = several.withColumn("qj", joined(F.col("q_core"))).where(F.length("qj") >= JOINED_LETTERS)
+    long = _met_by_rarest(long.withColumn("w", runs("qj")), long, run).where(F.col("j").contains(F.col("qj")))
     return reduce(DataFrame.unionByName, [t0, t1, t2, t3, _tier(whole, 4), _tier(inside, 4), _tier(long, 4)])
 
 

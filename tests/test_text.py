@@ -271,3 +271,15 @@ def test_entities_are_named_letter_by_letter(spark):
     answers = spark.createDataFrame(said, "answer_id long, text string")
     wanted = spark.createDataFrame([(1, "STRASSE"), (2, "straße"), (3, "FISCH"), (4, "ᾼΔΩ"), (5, "STRAßE")], "answer_id long, entity string")
     assert {r["answer_id"]: r["recall"] for r in verify.grade_entities(answers, wanted).collect()} == {1: 0.0, 2: 0.0, 3: 0.0, 4: 1.0, 5: 1.0}
+
+
+def test_common_words_and_runs_bring_no_pairs(spark):
+    """A query meets the names that have its rarest part, and not those that only share a word or a run with all others."""
+    names = spark.createDataFrame([(f"supplier {i:05d}", w) for i in range(50) for w in ("supplier", f"{i:05d}")], "simple string, w string")
+    q = spark.createDataFrame([(f"Supplier#{i:05d}", f"supplier {i:05d}") for i in range(50)], "query string, q string")
+    met = resolve._met_by_rarest(q.withColumn("w", F.explode(F.split("q", " "))), q, names).collect()
+    assert len(met) == 50 and all(r["q"] == r["simple"] for r in met)
+    names = spark.createDataFrame([(f"T{i}", f"Supplier#{i:09d}") for i in range(20)], "ticker string, name string")
+    asked = spark.createDataFrame([("Supplier 0000 00007",), ("upplier 000000007",), ("Supplier#000000007 Ltd",)], "query string")
+    got = {(r["query"], r["ticker"]) for r in resolve.candidates(asked, names, fuzzy=False).where("tier < 6").collect()}
+    assert got == {(q, "T7") for q in ("Supplier 0000 00007", "upplier 000000007", "Supplier#000000007 Ltd")}
