@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 from pyspark.sql.types import ArrayType, StringType, StructType
 
 from brasslark.functions.text import digit_ratio
@@ -31,6 +33,9 @@ RELATION_CUES = (
 )
 STRUCTURE_CUES = r"(?i)\b(reportable segment|operating segment|our segments|business segment|product line|we (offer|sell|design|develop))\b"
 
+#: Texts that are held as Python's strings at once; it bears on memory only.
+FEW = 64
+
 _BLOCKS = frozenset("p div br tr table li ul ol h1 h2 h3 h4 h5 h6 section article header footer blockquote pre hr nav".split())
 
 
@@ -77,10 +82,10 @@ def page_text(html: str | None) -> str:
     return "\n".join(line for line in lines if line)
 
 
-@pandas_udf(StringType())
-def html_to_text(html: pd.Series) -> pd.Series:
-    """Readable text of a page; NULL gives an empty text."""
-    return html.map(page_text)
+@arrow_udf(StringType())
+def html_to_text(html: pa.Array) -> pa.Array:
+    """Readable text of a page; NULL gives an empty text. Only few pages at once are Python's strings."""
+    return pa.concat_arrays([pa.array([], pa.string()), *(pa.array([page_text(t.as_py()) for t in html.slice(at, FEW)], pa.string()) for at in range(0, len(html), FEW))])
 
 
 def _plain(text: str) -> str:
@@ -184,12 +189,18 @@ def pack_sentences(text: str | None, size: int = 320, overlap: int = 64, tail: i
 def chunks(parts: DataFrame, size: int, overlap: int, least: int = 150, items: tuple[str, ...] | None = None) -> DataFrame:
     """chunk_id, doc_id, item, seq, text from (doc_id, item, text): numbered before the short ones go."""
 
-    @pandas_udf(ArrayType(StringType()))
-    def pack(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: pack_paragraphs(t, size, overlap))
-
-    rows = parts if items is None else parts.where(F.col("item").isin(*items))
-    each = rows.select("doc_id", "item", F.posexplode(pack("text")).alias("seq", "text")).where(F.length("text") >= least)
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, FEW):  # the chunks of few texts at once, however many a batch has
+                b = batch.slice(at, FEW)
+                found = [pack_paragraphs(t.as_py(), size, overlap) for t in b.column("text")]
+                of = pa.array([i for i, c in enumerate(found) for _ in c], pa.int64())
+                seq, text = pa.array([k for c in found for k in range(len(c))], pa.int32()), pa.array([t for c in found for t in c], pa.string())
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(of), b.column("item").take(of), seq, text], ["doc_id", "item", "seq", "text"])
+
+    rows = (parts if items is None else parts.where(F.col("item").isin(*items))).select("doc_id", "item", "text")
+    schema = StructType([rows.schema["doc_id"], rows.schema["item"]]).add("seq", "integer").add("text", "string")
+    each = rows.mapInArrow(pack, schema).where(F.length("text") >= least)
     return each.select(F.concat_ws("_", "doc_id", "item", "seq").alias("chunk_id"), "doc_id", "item", "seq", "text")
 
 

@@ -283,3 +283,14 @@ def test_common_words_and_runs_bring_no_pairs(spark):
     asked = spark.createDataFrame([("Supplier 0000 00007",), ("upplier 000000007",), ("Supplier#000000007 Ltd",)], "query string")
     got = {(r["query"], r["ticker"]) for r in resolve.candidates(asked, names, fuzzy=False).where("tier < 6").collect()}
     assert got == {(q, "T7") for q in ("Supplier 0000 00007", "upplier 000000007", "Supplier#000000007 Ltd")}
+
+
+def test_texts_go_through_python_few_at_once(spark):
+    """Chunks leave batch by batch, so a task holds those of few texts; order, numbers and nulls are as before."""
+    texts = [None, "", *("\n".join(f"{i} {'word ' * 60}{k}" for k in range(9)) for i in range(150))]
+    df = spark.createDataFrame([(str(i), "0", t) for i, t in enumerate(texts)], "doc_id string, item string, text string").coalesce(1)
+    got = sorted((int(r["doc_id"]), r["seq"], r["text"]) for r in documents.chunks(df, 700, 100).collect())
+    assert got == [(i, k, c) for i, t in enumerate(texts) for k, c in enumerate(documents.pack_paragraphs(t, 700, 100)) if len(c) >= 150]
+    pages = spark.createDataFrame([(i, None if i == 3 else f"<p>a{i}</p><p>b</p>") for i in range(200)], "i int, html string").coalesce(1)
+    assert [r["t"] for r in pages.select("i", documents.html_to_text("html").alias("t")).orderBy("i").collect()] == ["" if i == 3 else f"a{i}\nb" for i in range(200)]
+    assert "ArrowEvalPython" not in documents.chunks(df, 700, 100)._jdf.queryExecution().executedPlan().toString()
