@@ -35,8 +35,8 @@ WORDS = 5
 OVER, UNDER = 4, 5
 #: Longs of a parity fingerprint.
 LONGS = 16
-#: Those of them that are compared where the units of a shingle meet.
-FIRST = 8
+#: Longs to which it is folded where the units of a shingle meet.
+FOLDED = 8
 #: Times that the units of a shingle meet one of them by lot before pairs are formed; it bears on speed only.
 LOTS = 1
 #: Binary logarithm of the counters of words, by which rare shingles are told from common ones; it bears on speed only.
@@ -164,6 +164,11 @@ def _bits_fit(x: str, y: str, n: Column, m: Column, bits: list[str]) -> Column:
     return differ * (UNDER + OVER) <= (n + m) * (UNDER - OVER)
 
 
+def _folded() -> list[Column]:
+    """The columns of a parity fingerprint folded to FOLDED longs. That is a fingerprint of the whole set; some of its longs alone would be one of some of its shingles."""
+    return [reduce(lambda x, y: x.bitwiseXOR(y), [F.col(c) for c in _BITS[i::FOLDED]]).alias(_BITS[i]) for i in range(FOLDED)]
+
+
 def _near(pairs: DataFrame, units: DataFrame) -> DataFrame:
     """The pairs (a, b) of units that can be similar enough by sizes and bits."""
     x, y = (units.select(F.col("unit").alias(key), *[F.col(c).alias(p + c) for c in ("n", *_BITS)]) for key, p in (("a", "x"), ("b", "y")))
@@ -280,8 +285,8 @@ def _groups(docs: DataFrame, words: int) -> DataFrame:
         parts = _parts(parts.select("token", "unit", "salt"), links)
 
     step = F.floor(F.log("n") / F.log(F.lit(UNDER / OVER)) + 1e-9)  # the sizes of a pair are in one step, or in two next to each other
-    early = _BITS[:FIRST]
-    one = parts.drop("salt").join(units.where("n > 0").select("unit", "n", *early), "unit").withColumn("step", step)
+    early = _BITS[:FOLDED]
+    one = parts.drop("salt").join(units.where("n > 0").select("unit", "n", *_folded()), "unit").withColumn("step", step)
     other = one.select("token", "step", F.col("unit").alias("b"), F.col("n").alias("m"), F.col("part").alias("apart"), *[F.col(c).alias(f"y{c}") for c in early])
     one = one.withColumn("step", F.explode(F.array(F.col("step"), F.col("step") + 1)))
     n, m = F.col("n"), F.col("m")

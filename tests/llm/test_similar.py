@@ -63,6 +63,23 @@ def test_stage_finds_all_similar_pairs(spark):
     assert pairs > 200 and kept == want
 
 
+def test_near_copies_that_are_not_similar_are_no_pairs(spark, monkeypatch):
+    """Copies of one text with so many words changed that no two are similar: before they are pairs, whole fingerprints are compared, not parts of them."""
+    rng, met = random.Random(8), []
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(90):
+        own = list(base)
+        for at in rng.sample(range(0, 150, 6), 3):
+            own[at] = f"n{i} {at}"
+        rows.append((i, " ".join(own)))
+    verified = similar._verified
+    monkeypatch.setattr(similar, "_verified", lambda pairs, *rest: (met.append(pairs.count()), verified(pairs, *rest))[1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in similar.keep_one(docs).select("doc_id").collect()} == plain_kept(rows)[0]
+    assert met[-1] < 400  # of 4005
+
+
 def test_sieves_keep_all_keys(spark):
     """Keys of any sign, beside the bound of the bitmap, survive; most others don't."""
     keys = [0, -1, 63, 64, common.SIEVE, -common.SIEVE, 2**63 - 1, -(2**63), *[(k * 0x9E3779B97F4A7C15) % 2**64 - 2**63 for k in range(1, 300)]]
