@@ -63,8 +63,9 @@ def _met(x: DataFrame, y: DataFrame, least: float, grams: int) -> DataFrame:
     a, b = (_prefixes(s, c, frequency, least, grams) for s, c in ((x, "x"), (y, "y")))
     both = F.col("n") + F.col("m")
     fit = 2.0 * F.least("n", "m") >= least * both - 1e-9
-    pairs = a.withColumnRenamed("length", "n").join(b.withColumnRenamed("length", "m"), "token").where(fit).select("x", "y", "n", "m").distinct()
-    pairs = pairs.where(F.expr(f"levenshtein(x, y, cast(floor((n + m) * {1 - least!r} + 1e-9) as int))") >= 0)
+    near = F.expr(f"levenshtein(x, y, cast(floor((n + m) * {1 - least!r} + 1e-9) as int))") >= 0  # where they meet, so that others are not shuffled
+    pairs = a.withColumnRenamed("length", "n").join(b.withColumnRenamed("length", "m"), "token").where(fit).where(near).select("x", "y").distinct()
+    pairs = pairs.select("x", "y", F.length("x").alias("n"), F.length("y").alias("m"))
     signs = lambda s, c: s.select(c, tokens(F.col(c), 1).alias(f"_{c}"))  # noqa: E731  once a string, not once a pair
     pairs = pairs.join(signs(x, "x"), "x").join(signs(y, "y"), "y").where(2.0 * F.size(F.array_intersect("_x", "_y")) >= least * both - 1e-9)
     # written once, so that the ratio is not computed again by what reads it

@@ -17,6 +17,8 @@ from brasslark.sources.scratch import saved
 TIERS = ("ticker", "exact", "prefix", "word", "core", "fuzzy", "substring")
 #: Ratios of the fuzzy tier, and lengths from which a tier applies.
 FUZZY, FUZZY_HEAD, FUZZY_LENGTH, SUGGEST = 0.88, 0.80, 5, 0.72
+#: Ratios from which names are looked for by the third best score that head words alone give; they bear on speed only.
+STEPS = (SUGGEST, 0.8, 0.875, 0.94)
 INSIDE_LETTERS, JOINED_LETTERS, SUBSTRING_LETTERS = 6, 12, 4
 
 
@@ -164,17 +166,30 @@ def suggestions(queries: DataFrame, companies: DataFrame, n: int = 3) -> DataFra
 
     Names and head words alike are found apart. All names of a head word have that word's ratio, so of those that are not alike
     as a whole only the first n by the order of places can be suggested, and no query meets all names of a common head word.
+    Their n-th best score is a bound: whole names of a lesser ratio can't be suggested, so a query is held only against names of a
+    ratio of the step below its bound.
     """
     names = saved(forms(companies), "forms")
     q = queries.select("query").distinct().withColumn("q", simplify(F.col("query"))).withColumn("q_head", _head(F.col("q"))).where("q <> ''")
     q = saved(q, "asked")
-    whole = alike(q.select("q"), names.select("simple"), SUGGEST).select(F.col("x").alias("q"), F.col("y").alias("simple"), "ratio")
     heads = alike(q.select("q_head"), names.select("head"), SUGGEST).select(F.col("x").alias("q_head"), F.col("y").alias("head"), "ratio")
     of_head = names.select("head", "ticker", "name").distinct()
     of_head = of_head.withColumn("_r", F.row_number().over(Window.partitionBy("head").orderBy(F.length("name"), "ticker", "name"))).where(F.col("_r") <= n)
+    by_head = saved(q.join(heads, "q_head").join(of_head, "head").select("query", "q", "ticker", "name", F.col("ratio").alias("score")), "by_head")
+    best = by_head.groupBy("query", "q", "ticker", "name").agg(F.max("score").alias("score"))
+    best = best.withColumn("_r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score")))).where(F.col("_r") == n)
+    step = reduce(lambda s, r: F.when(F.col("score") >= r, r).otherwise(s), STEPS[1:], F.lit(STEPS[0]))
+    # names that several queries become are looked for from the lowest of their steps
+    steps = q.join(best.select("query", "score"), "query", "left").groupBy("q").agg(F.min(step).alias("step"))
+    steps = saved(steps, "steps")
+    asked = [r["step"] for r in steps.select("step").distinct().collect()]  # as many as STEPS at most
+    found = [alike(steps.where(F.col("step") == r).select("q"), names.select("simple"), r) for r in sorted(asked)]
+    if not found:
+        found = [alike(q.select("q"), names.select("simple"), SUGGEST)]
+    whole = reduce(DataFrame.unionByName, found).select(F.col("x").alias("q"), F.col("y").alias("simple"), "ratio")
     by_whole = q.join(whole, "q").join(names, "simple").join(heads.withColumnRenamed("ratio", "h"), ["q_head", "head"], "left")
     by_whole = by_whole.select("query", "ticker", "name", F.greatest("ratio", F.coalesce("h", F.lit(0.0))).alias("score"))
-    j = by_whole.union(q.join(heads, "q_head").join(of_head, "head").select("query", "ticker", "name", F.col("ratio").alias("score")))
+    j = by_whole.union(by_head.drop("q"))
     j = j.groupBy("query", "ticker", "name").agg(F.max("score").alias("score"))
     w = Window.partitionBy("query").orderBy(F.desc("score"), F.length("name"), "ticker")
     return j.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).select("query", "ticker", "name", "score", "place")

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -294,3 +295,15 @@ def test_texts_go_through_python_few_at_once(spark):
     pages = spark.createDataFrame([(i, None if i == 3 else f"<p>a{i}</p><p>b</p>") for i in range(200)], "i int, html string").coalesce(1)
     assert [r["t"] for r in pages.select("i", documents.html_to_text("html").alias("t")).orderBy("i").collect()] == ["" if i == 3 else f"a{i}\nb" for i in range(200)]
     assert "ArrowEvalPython" not in documents.chunks(df, 700, 100)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_head_words_bound_what_whole_names_are_looked_for(spark, monkeypatch):
+    """All names have a head word of ratio 0.875, so no query is held against whole names of less; the suggestions are those of all pairs."""
+    asked, alike = [], resolve.alike
+    monkeypatch.setattr(resolve, "alike", lambda left, right, least: (asked.append((right.columns[0], least)), alike(left, right, least))[1])
+    names = [(f"S{i}", f"Supplier#{i:09d}") for i in range(1, 40)]
+    got = resolve.suggestions(spark.createDataFrame([("Svpplier#000000020",)], "query string"), spark.createDataFrame(names, "ticker string, name string")).collect()
+    ratio = lambda name: max(SequenceMatcher(None, "svpplier 000000020", name.lower().replace("#", " ")).ratio(), 0.875)
+    want = sorted(((-ratio(n), len(n), t) for t, n in names))[:3]
+    assert [(r["score"], r["ticker"]) for r in sorted(got, key=lambda r: r["place"])] == [(-s, t) for s, _, t in want]
+    assert [least for column, least in asked if column == "simple"] == [0.875]
