@@ -15,6 +15,7 @@ argument, three levels deep; what is left then holds 2**14 fingerprints at most.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -151,31 +152,29 @@ def near_links(spark: SparkSession, fps: DataFrame, limit: int = LIMIT) -> DataF
     first = block_masks(everything)
     second = [(m, m | x) for m in first for x in block_masks(everything & ~m)]
     third = [(m, m | x) for m in dict.fromkeys(m for _, m in second) for x in block_masks(everything & ~m)]
-    def grouped(rows: DataFrame) -> DataFrame:
-        """Rows with the size n of their group, where that is over 1. Sizes are counted before the rows meet."""
-        rows = rows.withColumn("part", F.col("fp").bitwiseAND(F.col("mask")))
-        sizes = rows.groupBy("mask", "part").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        return rows.join(sizes, ["mask", "part"])
-
-    def links(groups: DataFrame) -> DataFrame:
-        whole = groups.select("mask", "part", "fp").repartition("mask", "part")  # the join may have split a group over tasks
-        return whole.sortWithinPartitions("mask", "part").mapInArrow(group_links, "a long, b long")
-
-    def refined(groups: DataFrame, masks: list[tuple[int, int]]) -> DataFrame:
-        """The fingerprints of groups, in the finer groups of each; masks: 100 or at most 1000 rows, whatever the data."""
-        finer = spark.createDataFrame([(signed(a), signed(b)) for a, b in masks], "mask long, finer long")
-        return grouped(groups.where(F.col("n") > limit).join(F.broadcast(finer), "mask").select(F.col("finer").alias("mask"), "fp"))
 
-    one = grouped(fps.select("fp", F.explode(F.array(*[F.lit(signed(m)) for m in first])).alias("mask")))
-    two = refined(one, second)
-    three = refined(two, third)
-    return links(one.where(F.col("n") <= limit)).union(links(two.where(F.col("n") <= limit))).union(links(three)).distinct()
+    rows = fps.select("fp", F.explode(F.array(*[F.lit(signed(m)) for m in first])).alias("mask"))
+    found = []
+    for masks in (second, third, None):
+        rows = rows.withColumn("part", F.col("fp").bitwiseAND(F.col("mask")))
+        # sizes are counted before the rows meet, and written: few groups have more than one row, and what is finer is planned only where it is needed
+        sizes = saved(rows.groupBy("mask", "part").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
+        fit = sizes if masks is None else sizes.where(F.col("n") <= limit)
+        whole = rows.join(fit.select("mask", "part"), ["mask", "part"]).select("mask", "part", "fp").repartition("mask", "part")  # the join may have split a group over tasks
+        found.append(whole.sortWithinPartitions("mask", "part").mapInArrow(group_links, "a long, b long"))
+        large = sizes.where(F.col("n") > limit).select("mask", "part")
+        if masks is None or large.isEmpty():
+            break
+        large = saved(rows.join(large, ["mask", "part"]).select("mask", "fp"), "large")
+        finer = spark.createDataFrame([(signed(a), signed(b)) for a, b in masks], "mask long, finer long")  # 100 or at most 1000 rows, whatever the data
+        rows = large.join(F.broadcast(finer), "mask").select(F.col("finer").alias("mask"), "fp")
+    return reduce(DataFrame.union, found).distinct()
 
 
 def roots(links: DataFrame) -> DataFrame:
     """(node, root): for every node with a link, the smallest node it reaches. Alternating large and small stars.
 
-    Each round writes its links to the shared folder, so lineage stays short and no link passes the driver.
+    Each star writes its links to the shared folder, so lineage and plans stay short and no link passes the driver.
     """
     def state(e: DataFrame) -> tuple:
         return e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -186,7 +185,7 @@ def roots(links: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = spread_join(both.withColumn("salt", salt), least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = saved(spread_join(both.withColumn("salt", salt), least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = spread_join(large.withColumn("salt", salt), least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.union(least.select("u", F.col("m").alias("v"))).where("u <> v")

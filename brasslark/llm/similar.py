@@ -270,7 +270,7 @@ def _groups(docs: DataFrame, words: int) -> DataFrame:
 
     prints = saved(units.groupBy("fp").agg(F.min("unit").alias("first")), "prints")
     alike = units.join(prints, "fp").where("unit <> first").select(F.col("first").alias("a"), F.col("unit").alias("b"))
-    close = near_links(docs.sparkSession, prints.select("fp"))
+    close = saved(near_links(docs.sparkSession, prints.select("fp")), "close")
     close = close.join(prints.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(prints.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select("x", "y")
     links = _verified(stars.union(alike).union(close).distinct(), units, docs, words)
     parts = _parts(wide, links)

@@ -136,6 +136,14 @@ def test_links_of_crowded_fingerprints(spark, limit):
     assert sorted(map(sorted, ours.values())) == sorted(map(sorted, groups.values()))
 
 
+@pytest.mark.parametrize("limit, exchanges", [(100, 6), (1, 20)])
+def test_links_are_planned_only_as_fine_as_groups_need(spark, limit, exchanges):
+    """A plan with all levels at once, each derived anew from the one before, took the driver hundreds of MB to describe."""
+    df = spark.createDataFrame([(i << 40,) for i in range(20)], "fp long")
+    plan = simhash.near_links(spark, df, limit)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= exchanges
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.integers(0, 2**64 - 1), min_size=1, max_size=40), st.integers(0, 40))
 def test_forest_joins_what_is_linked(seeds, extra):
