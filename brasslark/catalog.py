@@ -96,10 +96,21 @@ def ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("company <> owner").groupBy("company", "owner").agg(F.min_by("percent", "j").alias("percent"))
 
 
+#: Line items a task where pairs are counted. Adaptive execution sizes tasks by compressed bytes, and an edge takes twenty times as many in memory.
+LINES = 200_000
+
+
+def edge_tasks(spark: SparkSession, sf_dir: str) -> int:
+    """Tasks to which edges of `knowledge` are dealt, so that one has about LINES line items at any size; the rows are counted from the files' footers."""
+    return max(1, -(-table(spark, sf_dir, "lineitem").count() // LINES))
+
+
 def knowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """src, rel, dst, mentions, confidence: company SUPPLIES customer, company OPERATES_IN market; keys with their label."""
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    sells = lines.groupBy(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("src"), F.lit("CUSTOMER_OF").alias("rel"), F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("dst")).agg(F.count(F.lit(1)).alias("mentions"))
+    pairs = lines.select("l_suppkey", "o_custkey").repartition(edge_tasks(spark, sf_dir), "l_suppkey", "o_custkey")  # hardly two lines share a pair
+    pairs = pairs.groupBy("l_suppkey", "o_custkey").agg(F.count(F.lit(1)).alias("mentions"))
+    sells = pairs.select(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("src"), F.lit("CUSTOMER_OF").alias("rel"), F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("dst"), "mentions")
     place = companies(spark, sf_dir).select(F.col("ticker").alias("src"), F.lit("OPERATES_IN").alias("rel"), F.concat(F.lit("G:"), F.col("market")).alias("dst"), F.lit(1).cast("long").alias("mentions"))
     both = sells.unionByName(place)
     return both.withColumn("confidence", F.least(F.lit(1.0), F.col("mentions") / F.lit(4.0)))

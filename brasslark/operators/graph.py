@@ -28,10 +28,13 @@ def neighbors(edges: DataFrame, nodes: DataFrame, relations: list[str] | None =
     return out.unionByName(back).join(nodes.select("node").distinct(), "node", "left_semi")
 
 
-def top_neighbors(edges: DataFrame, nodes: DataFrame, limit: int = 12, relations: list[str] | None = None) -> DataFrame:
-    """The `limit` surest neighbours of each node; unknown confidence counts as 0."""
+def top_neighbors(edges: DataFrame, nodes: DataFrame, limit: int = 12, relations: list[str] | None = None, tasks: int | None = None) -> DataFrame:
+    """The `limit` surest neighbours of each node; unknown confidence counts as 0. tasks: how many the nodes are dealt to (Spark's choice if None)."""
     w = Window.partitionBy("node").orderBy(F.coalesce("confidence", F.lit(0.0)).desc(), "other", "rel", "direction")
-    return neighbors(edges, nodes, relations).withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit)
+    found = neighbors(edges, nodes, relations)
+    if tasks:
+        found = found.repartition(tasks, "node")
+    return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit)
 
 
 def chains(stakes: DataFrame, starts: DataFrame, depth: int = 3, direction: str = "up") -> DataFrame:

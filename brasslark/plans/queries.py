@@ -533,7 +533,7 @@ both_ways AS (SELECT src AS node, dst AS other, rel, 'out' AS direction, * EXCLU
 ranked AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY coalesce(confidence, 0) DESC, other, rel, direction) AS place FROM both_ways WHERE node IN (SELECT ticker FROM companies))
 SELECT * FROM ranked WHERE place <= 12""", "place")
 def neighbors_directed(spark, sf_dir):
-    return graph.top_neighbors(told_edges(spark, sf_dir), every(spark, sf_dir).withColumnRenamed("ticker", "node"))
+    return graph.top_neighbors(told_edges(spark, sf_dir), every(spark, sf_dir).withColumnRenamed("ticker", "node"), tasks=C.edge_tasks(spark, sf_dir))
 
 
 @query(f"""WITH RECURSIVE {C.OWNERSHIP_SQL}, both_ways AS (SELECT a, b, min(told) AS told FROM (SELECT company AS a, owner AS b, 'OWNED_BY stake ' || company AS told FROM ownership UNION SELECT owner, company, 'OWNED_BY stake ' || company FROM ownership) GROUP BY ALL),
