@@ -41,15 +41,17 @@ def _reached(ended: list[DataFrame]) -> DataFrame:
     return out
 
 
-def merged(edges: DataFrame, merges: DataFrame) -> DataFrame:
+def merged(edges: DataFrame, merges: DataFrame, tasks: int | None = None) -> DataFrame:
     """Edges (src, rel, dst, mentions, confidence) after nodes are merged by merges (loser, survivor), chains to their end. Self loops go, equal edges add up.
 
-    Nodes on a circle, and those that lead into one, stay as they are.
+    Nodes on a circle, and those that lead into one, stay as they are. tasks: how many the moved edges are dealt to (Spark's choice if None).
     """
     ends = followed(merges).where("reason = 'ok'")
     a, b = (ends.select(F.col("loser").alias(f"_{s}l"), F.col("survivor").alias(f"_{s}s")) for s in ("a", "b"))
     moved = edges.join(a, F.col("src") == F.col("_al"), "left").join(b, F.col("dst") == F.col("_bl"), "left")
     moved = moved.select(F.coalesce("_as", "src").alias("src"), "rel", F.coalesce("_bs", "dst").alias("dst"), "mentions", "confidence").where("src <> dst")
+    if tasks:
+        moved = moved.repartition(tasks, "src", "rel", "dst")
     return moved.groupBy("src", "rel", "dst").agg(F.sum("mentions").alias("mentions"), F.max("confidence").alias("confidence"))
 
 

@@ -560,7 +560,7 @@ SELECT src, rel, dst, CAST(sum(mentions) AS BIGINT) AS mentions, max(confidence)
 def entity_merge(spark, sf_dir):
     """Chains of three merges, which lead to one company."""
     wanted = C.companies(spark, sf_dir).where("suppkey % 5 > 1").select(F.col("ticker").alias("loser"), F.concat(F.lit("S"), (F.col("suppkey") - 1).cast("string")).alias("survivor"))
-    return merges.merged(C.knowledge(spark, sf_dir), wanted)
+    return merges.merged(C.knowledge(spark, sf_dir), wanted, C.edge_tasks(spark, sf_dir))
 
 
 # Names
@@ -786,7 +786,7 @@ def upsert_companies(spark, sf_dir):
 def upsert_edges(spark, sf_dir):
     old = C.knowledge(spark, sf_dir).withColumn("evidence", F.lit("old"))
     new = old.where("mentions > 1").select("src", "rel", "dst", F.lit(1).cast("long").alias("mentions"), F.lit(0.5).alias("confidence"), F.lit("new").alias("evidence"), F.lit(1).alias("load_order"))
-    return upserts.upsert_edges(old, new)
+    return upserts.upsert_edges(old, new, C.edge_tasks(spark, sf_dir))
 
 
 TIERED = "CASE s_suppkey % 3 WHEN 0 THEN 'metrics' WHEN 1 THEN 'text' ELSE 'graph' END"
