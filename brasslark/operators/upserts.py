@@ -36,9 +36,11 @@ def upsert_years(old: DataFrame, new: DataFrame, key: str = "key") -> DataFrame:
     return both.groupBy(key).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_n"))).alias(c) for c in columns if c != key]).select(*columns)
 
 
-def upsert_edges(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Edges (src, rel, dst, mentions, confidence, evidence): mentions add up, the last row (column load_order) gives the attributes."""
+def upsert_edges(old: DataFrame, new: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Edges (src, rel, dst, mentions, confidence, evidence): mentions add up, the last row (column load_order) gives the attributes. tasks: how many the edges are dealt to (Spark's choice if None)."""
     both = old.withColumn("load_order", F.lit(-1).cast("long")).unionByName(new.select(*old.columns, F.col("load_order").cast("long")))
+    if tasks:
+        both = both.repartition(tasks, "src", "rel", "dst")
     last = F.max_by(F.struct("confidence", "evidence"), F.col("load_order"))
     return both.groupBy("src", "rel", "dst").agg(F.sum("mentions").alias("mentions"), last.alias("_l")).select("src", "rel", "dst", "mentions", "_l.confidence", "_l.evidence")
 

@@ -21,3 +21,11 @@ def test_entity_merge_deals_edges_by_line_items(spark, monkeypatch):
     tasks = catalog.edge_tasks(spark, SMALL)
     assert tasks == -(-catalog.table(spark, SMALL, "lineitem").count() // 300) > 8
     assert QUERIES["entity_merge"](spark, SMALL).rdd.getNumPartitions() == tasks
+
+
+def test_upsert_edges_deals_edges_by_line_items(spark, monkeypatch):
+    """Tasks have as many line items at any size; those that adaptive execution makes by compressed bytes took GB of memory."""
+    monkeypatch.setattr(catalog, "LINES", 300)
+    tasks = catalog.edge_tasks(spark, SMALL)
+    assert tasks == -(-catalog.table(spark, SMALL, "lineitem").count() // 300) > 8
+    assert QUERIES["upsert_edges"](spark, SMALL).rdd.getNumPartitions() == tasks
