@@ -46,6 +46,15 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that `saved` wrote, once nothing reads them any more; the others go when the driver ends."""
+    for df in tables:
+        for file in df.inputFiles()[:1]:
+            folder = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            if folder.getName().startswith("brasslark-"):
+                folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 #: Parts into which the rows of one hot key are dealt where they meet a small side.
 SALTS = 16
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brasslark.llm.common import SALTS, keep_first, salted, saved, spread_join
+from brasslark.llm.common import SALTS, discard, keep_first, salted, saved, spread_join
 
 BITS = 64
 SEED = 42
@@ -185,11 +185,12 @@ def roots(links: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = saved(spread_join(both.withColumn("salt", salt), least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        large = saved(spread_join(both.withColumn("salt", salt), least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = spread_join(large.withColumn("salt", salt), least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.union(least.select("u", F.col("m").alias("v"))).where("u <> v")
-        edges = saved(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+        last, edges = edges, saved(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+        discard(last, large)
         before, now = now, state(edges)
         if now == before:
             break

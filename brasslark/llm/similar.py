@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brasslark.llm.common import SALTS, keep_first, salted, saved, sieve, sifted, spread_join
+from brasslark.llm.common import SALTS, discard, keep_first, salted, saved, sieve, sifted, spread_join
 from brasslark.llm.simhash import SEED, near_links, roots, signed
 
 WORDS = 5
@@ -210,10 +210,13 @@ def _verified(pairs: DataFrame, units: DataFrame, docs: DataFrame, words: int) -
     pairs = _near(pairs, units)
     wide = saved(_own(pairs, units, docs).mapInArrow(fingerprints, "unit long, n int, own binary").dropDuplicates(["unit"]), "fingerprints")
     full = pairs.join(wide.select(F.col("unit").alias("a"), "n", F.col("own").alias("x")), "a").join(wide.select(F.col("unit").alias("b"), F.col("n").alias("m"), F.col("own").alias("y")), "b")
-    pairs = saved(full.select("a", "b", "n", "m", "x", "y").mapInArrow(near, "a long, b long"), "candidates")
+    first, pairs = pairs, saved(full.select("a", "b", "n", "m", "x", "y").mapInArrow(near, "a long, b long"), "candidates")
+    discard(first, wide)
     texts = saved(_own(pairs, units, docs).dropDuplicates(["unit"]), "texts")
     full = pairs.join(texts.select(F.col("unit").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("unit").alias("b"), F.col("text").alias("y")), "b")
-    return saved(full.select("a", "b", "x", "y").mapInArrow(similar, "a long, b long"), "similar")
+    out = saved(full.select("a", "b", "x", "y").mapInArrow(similar, "a long, b long"), "similar")
+    discard(pairs, texts)
+    return out
 
 
 def _different(wide: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -15,6 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from brasslark.llm import exact, mixing, packing, queries, simhash
+from brasslark.llm.common import shared_dir
 from tests.conftest import SMALL
 from tests.oracle import connect, plain
 
@@ -136,6 +138,15 @@ def test_links_of_crowded_fingerprints(spark, limit):
     assert sorted(map(sorted, ours.values())) == sorted(map(sorted, groups.values()))
 
 
+def test_components_keep_one_table(spark):
+    """The links of earlier rounds went only when the driver ended, each with a file a partition."""
+    links = spark.createDataFrame([(i, i + 1) for i in range(30)], "a long, b long")
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    found = simhash.roots(links)
+    assert len(set(os.listdir(folder)) - before) == 1 and {(r["node"], r["root"]) for r in found.collect()} == {(i, 0) for i in range(31)}
+
+
 @pytest.mark.parametrize("limit, exchanges", [(100, 6), (1, 20)])
 def test_links_are_planned_only_as_fine_as_groups_need(spark, limit, exchanges):
     """A plan with all levels at once, each derived anew from the one before, took the driver hundreds of MB to describe."""
