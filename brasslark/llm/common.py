@@ -118,6 +118,24 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Rows of a batch, where rows have whole texts.
+BATCH = 256
+
+
+def small_batches(spark: SparkSession) -> dict[str, str]:
+    """From now on Parquet's reader and Arrow take at most BATCH rows at once in this session. Returns the settings as they were.
+
+    With long texts the usual batches (4096 and 10 000 rows) are tens of MB a task, in pieces so large that an executor's heap grows for
+    them, once more outside the heap and once more in Python; and what a process has touched it keeps.
+    """
+    names = "spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = {name: spark.conf.get(name) for name in names}
+    for name, rows in before.items():
+        if not 0 < int(rows) <= BATCH:  # 0 is no limit
+            spark.conf.set(name, str(BATCH))
+    return before
+
+
 def word_count(text: Column) -> Column:
     """Number of words; null and empty texts have none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

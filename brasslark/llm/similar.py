@@ -18,16 +18,15 @@ looked at, so a large group of near copies is not compared pair by pair. Shingle
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brasslark.llm.common import SALTS, discard, keep_first, salted, saved, sieve, sifted, spread_join
+from brasslark.llm.common import SALTS, discard, keep_first, salted, saved, sieve, sifted, small_batches, spread_join
 from brasslark.llm.simhash import SEED, near_links, roots, signed
 
 WORDS = 5
@@ -236,22 +235,14 @@ def _parts(wide: DataFrame, links: DataFrame) -> DataFrame:
     return saved(spread_join(parts, split, "token"), "parts").withColumn("salt", F.pmod(F.xxhash64("unit"), F.lit(SALTS)).cast("int"))
 
 
-@contextmanager
-def _small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """Texts go to Python so many at a time: with long texts the usual batches would fill an executor's memory on both sides."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def similar_groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, key, root) per row of docs; root names the group of documents that similar pairs join. See _groups; what needs Python has run when it returns."""
-    with _small_batches(docs.sparkSession):
+    conf, before = docs.sparkSession.conf, small_batches(docs.sparkSession)
+    try:
         return _groups(docs, words)
+    finally:
+        for name, rows in before.items():
+            conf.set(name, rows)
 
 
 def _groups(docs: DataFrame, words: int) -> DataFrame:

@@ -6,6 +6,7 @@ import corpus_pipeline
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from brasslark.llm.common import BATCH
 from brasslark.llm.queries import QUERIES
 from tests.conftest import SMALL
 
@@ -46,3 +47,19 @@ def test_pipeline(spark):
     near = stages["SimHash near-dedup"](spark, exact, SMALL)
     assert {r["doc_id"] for r in rows} <= {r["doc_id"] for r in near.select("doc_id").collect()}
     assert near.join(docs, "doc_id", "left_anti").count() == 0 and near.where(F.col("text").isNull()).count() == 0
+
+
+def test_stages_take_few_texts_at_once(spark, docs):
+    """The usual batches of whole texts filled an executor's memory; a stage's frame runs after the stage has returned it."""
+    names = "spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for _, stage in corpus_pipeline.STAGES:
+        for name, rows in zip(names, ("4096", "0"), strict=True):
+            spark.conf.set(name, rows)
+        stage(spark, docs, SMALL)
+        assert [spark.conf.get(name) for name in names] == [str(BATCH)] * 2
+    for name in names:
+        spark.conf.set(name, "7")
+    corpus_pipeline.mixture(spark, docs, SMALL)
+    assert [spark.conf.get(name) for name in names] == ["7", "7"]  # smaller ones stay
+    for name in names:
+        spark.conf.unset(name)
