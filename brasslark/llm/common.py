@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -136,6 +141,33 @@ def small_batches(spark: SparkSession) -> dict[str, str]:
     return before
 
 
+#: Bytes of an Arrow batch that goes to Python, where rows are of any size.
+BATCH_BYTES = 1 << 22
+
+
+@contextmanager
+def bounded_batches(spark: SparkSession) -> Iterator[None]:
+    """Meanwhile Parquet's reader takes at most BATCH rows at once, and Arrow BATCH_BYTES, so rows may be many and short or few and long."""
+    limits = {"spark.sql.parquet.columnarReaderBatchSize": BATCH, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+    before = {name: spark.conf.get(name) for name in limits}
+    try:
+        for name, most in limits.items():
+            spark.conf.set(name, str(most))
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def given_back() -> None:
+    """Gives the memory that Python and Arrow no longer use back to the system (with glibc); a worker lives on after its task, and would keep it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def word_count(text: Column) -> Column:
     """Number of words; null and empty texts have none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

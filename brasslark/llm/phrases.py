@@ -9,6 +9,8 @@ longer machine words, keep the number of ANDs without a hit small.
 A phrase is never more frequent than its parts. So shards first count words, then pairs of frequent words, then go
 depth-first, pair by pair, through longer phrases whose pairs are all frequent. What is frequent is decided over all
 shards each time, and a shard gets back the words and pairs of its own that are. No list of all words or pairs leaves Spark.
+A shard crosses the network in short rows (runs of positions, words, pairs), which Spark puts in order, and a task's Python holds
+one shard at a time: neither the size of the input nor that of a partition changes what a task holds.
 
 Texts and their words are as in the contract of op13: A-Z lower-cased, split at PIECES and at spaces and tabs; a null text is
 empty, a null language is `und`. Repeated rows count again, ties are told in `collocations`, and no rows give no phrases.
@@ -17,7 +19,7 @@ empty, a null language is `und`. Repeated rows count again, ties are told in `co
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -26,12 +28,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brasslark.llm.common import saved
+from brasslark.llm.common import bounded_batches, discard, given_back, saved
 from brasslark.operators.scans import placed
 
 PIECES = ".,;:!?\n\x0b\x0c\r"
 #: Bytes of text in a shard (a longer text is a shard by itself), and ANDs done at once.
 SHARD, ANDS = 1 << 24, 1 << 20
+#: Positions in a row of a shard, and rows that Python gives at once.
+RUN, ROWS = 1 << 14, 1 << 13
 #: Words of the longest phrases, and how often a phrase occurs at least.
 LONGEST, LEAST = 4, 30
 
@@ -68,14 +72,15 @@ class Bitmaps(NamedTuple):
 def _in_order(*columns: tuple[np.ndarray, int]) -> list[np.ndarray]:
     """Integer columns (values, upper bound), sorted by the first, then the second, and so on."""
     widths = [max(1, int(bound).bit_length()) for _, bound in columns]
-    if sum(widths) < 64:  # one sort of one number a row
+    if sum(widths) < 64:  # one sort of one number a row, in place
         key = np.zeros(len(columns[0][0]), np.int64)
         for (values, _), w in zip(columns, widths, strict=True):
-            key = (key << w) | values.astype(np.int64)
+            key <<= w
+            key |= values
         key.sort()
         out = []
         for (values, _), w in zip(reversed(columns), reversed(widths), strict=True):
-            out.append((key & ((1 << w) - 1)).astype(values.dtype))
+            out.append(np.bitwise_and(key, (1 << w) - 1, out=np.empty(len(key), values.dtype), casting="unsafe"))
             key >>= w
         return out[::-1]
     order = np.lexsort([values for values, _ in reversed(columns)])
@@ -94,18 +99,18 @@ class Shard:
     """The words' bitmaps of a shard, by word and by block. codes has the word at each position, -1 for none; words has how many there are."""
 
     def __init__(self, codes: np.ndarray, words: int):
-        at = np.flatnonzero(codes >= 0)
+        at = np.flatnonzero(codes >= 0).astype(np.int32)
         self.words, self.blocks = words, (len(codes) >> 3) + 1
         word, at = _in_order((codes[at], words), (at, len(codes)))
-        block, bit = (at >> 3).astype(np.int32), np.left_shift(np.uint8(1), (at & 7).astype(np.uint8))
+        block, bit = at >> 3, np.left_shift(np.uint8(1), (at & 7).astype(np.uint8))
         first = _firsts(word, block)
         self.own = Bitmaps(word[first], block[first], np.bitwise_or.reduceat(bit, first) if len(first) else bit)
         self.by_block, self.word, self.bits = _in_order((self.own.block, self.blocks), (self.own.owner, words), (self.own.bits, 255))
-        self.start = np.searchsorted(self.by_block, np.arange(self.blocks + 2))
+        self.start = np.searchsorted(self.by_block, np.arange(self.blocks + 2, dtype=np.int32)).astype(np.int32)
 
     def batches(self, some: Bitmaps) -> Iterator[Bitmaps]:
         """The bitmaps cut between owners into parts of about ANDS ANDs."""
-        cost = np.cumsum(self.start[some.block + 1] - self.start[some.block] + 1)
+        cost = np.cumsum(self.start[some.block + 1] - self.start[some.block] + 1, dtype=np.int64)
         first = _firsts(some.owner)
         last = np.append(first[1:], len(some.owner)) if len(first) else first
         ends, at = cost[last - 1], 0
@@ -125,8 +130,9 @@ class Shard:
         block = np.concatenate((some.block[stay], some.block[carry] + 1))
         bits = np.concatenate((up[stay], over[carry]))
         n = self.start[block + 1] - self.start[block]
-        mine = np.repeat(np.arange(len(n)), n)
-        theirs = np.arange(len(mine)) + np.repeat(self.start[block] - (np.cumsum(n) - n), n)
+        mine = np.repeat(np.arange(len(n), dtype=np.int32), n)
+        theirs = np.repeat(self.start[block] - (np.cumsum(n, dtype=np.int32) - n), n)
+        theirs += np.arange(len(mine), dtype=np.int32)
         both = bits[mine] & self.bits[theirs]
         hit = np.flatnonzero(both)
         owner, word, block, both = owner[mine[hit]], self.word[theirs[hit]], block[mine[hit]], both[hit]
@@ -174,20 +180,31 @@ def long_counts(shard: Shard, pairs: np.ndarray, longest: int = LONGEST) -> Iter
 
 
 def _shards(docs: DataFrame, shard_bytes: int) -> DataFrame:
-    """(shard, lang, words, counts, codes): the texts laid out; what a task holds is written as soon as it has shard_bytes of text."""
+    """(shard, lang, at, word, k, codes): the texts laid out; what a task holds is written as soon as it has shard_bytes of text.
+
+    A shard has a row for each of its words (at is the word's number, k how often it occurs) and one for each RUN of its positions (at is the run's number, codes the words' numbers).
+    """
+    names = ["shard", "lang", "at", "word", "k", "codes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, sizes, k = defaultdict(list), defaultdict(int), 0
 
-        def written(lang: str) -> pa.RecordBatch:
+        def written(lang: str) -> Iterator[pa.RecordBatch]:
             nonlocal k
             sizes.pop(lang)
             words, codes = laid_out(b"\n".join(held.pop(lang)))
             number, k = (k << 24) | TaskContext.get().partitionId(), k + 1  # small numbers pack well
             counts = np.bincount(codes[codes >= 0], minlength=len(words))
-            columns = [pa.array([number], pa.int64()), pa.array([lang], pa.string())]
-            columns += [pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), x) for x in (words, pa.array(counts, pa.int64()))]
-            return pa.RecordBatch.from_arrays([*columns, pa.array([codes.tobytes()], pa.binary())], ["shard", "lang", "words", "counts", "codes"])
+            for columns, step in (
+                ((words, pa.array(counts, pa.int64()), pa.nulls(len(words), pa.binary())), ROWS),
+                ((pa.nulls(n := -(-len(codes) // RUN), pa.string()), pa.nulls(n, pa.int64()), pa.array([codes[i : i + RUN].tobytes() for i in range(0, len(codes), RUN)], pa.binary())), max(1, ROWS * 512 // RUN)),
+            ):
+                n = len(columns[0])
+                rows = [pa.repeat(pa.scalar(number, pa.int64()), n), pa.repeat(pa.scalar(lang, pa.string()), n), pa.array(np.arange(n), pa.int32()), *columns]
+                rows = pa.RecordBatch.from_arrays(rows, names)
+                yield from (rows.slice(i, step) for i in range(0, n, step))
+            del words, codes, counts, columns, rows
+            given_back()
 
         for b in batches:
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").cast(pa.binary()), strict=True):
@@ -195,57 +212,90 @@ def _shards(docs: DataFrame, shard_bytes: int) -> DataFrame:
                 held[lang].append(text)
                 sizes[lang] += len(text) + 1
                 if sum(sizes.values()) >= shard_bytes:
-                    yield written(max(sizes, key=sizes.get))
+                    yield from written(max(sizes, key=sizes.get))
         for lang in list(sizes):
-            yield written(lang)
+            yield from written(lang)
 
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und"))
     rows = docs.select(lang.alias("lang"), F.col("text").cast("string").alias("text")).where("text <> ''")
-    return rows.mapInArrow(run, "shard long, lang string, words array<string>, counts array<long>, codes binary")
+    return rows.mapInArrow(run, "shard long, lang string, at int, word string, k long, codes binary")
+
+
+#: What the rows of a dealt shard are, in their order: runs of positions (number, codes), words (number in the shard, id), pairs (ids).
+_RUNS, _WORDS, _PAIRS = range(3)
+
 
+def _dealt(shards: DataFrame, own: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """(key, x, y, codes): all rows of a shard in one task, one shard after the other. The key is a single long, so the rows are put in order by a radix sort."""
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = shards.where("codes is not null").select("shard", F.lit(_RUNS).alias("kind"), F.col("at").cast("long").alias("x"), none("long").alias("y"), "codes")
+    rows = rows.union(own.select("shard", F.lit(_WORDS), F.col("at").cast("long"), "id", none("binary")))
+    if pairs is not None:
+        rows = rows.union(pairs.select("shard", F.lit(_PAIRS), "a", "b", none("binary")))
+    return rows.repartition("shard").select((F.col("shard") * 4 + F.col("kind")).alias("key"), "x", "y", "codes").sortWithinPartitions("key")
 
-def _read(row: dict) -> tuple[Shard, np.ndarray]:
-    """A shard with its frequent words only, and their ids."""
-    codes, at, ids = np.frombuffer(row["codes"], np.int32), row["at"], row["ids"]
-    number = np.full(int(codes.max(initial=-1)) + 2, -1, np.int32)  # the last is for positions without a word
-    number[at] = np.arange(len(at))
-    return Shard(number[codes], len(at)), ids
 
+def _each(batches: Iterator[pa.RecordBatch], work: Callable[[int, Shard, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    """What work gives for the shards of dealt rows, one after the other. It gets a shard's number, the shard with its frequent words only, their ids, and its pairs (sorted, first * words + second).
 
-def _rows(b: pa.RecordBatch, *names: str) -> Iterator[dict]:
-    for i in range(b.num_rows):
-        yield {n: (v.as_py() if n in ("codes", "shard") else v.values.to_numpy(zero_copy_only=False)) for n in names for v in [b.column(n)[i]]}
+    Work has the only reference to its shard, so that it is gone before the next one is put together.
+    """
+    number, held = None, ([], [], [])
+
+    def put_together() -> tuple[int, Shard, np.ndarray, np.ndarray]:
+        codes = np.frombuffer(b"".join(c for _, c in sorted(held[_RUNS])), np.int32)
+        held[_RUNS].clear()
+        at, ids = (np.concatenate(c) for c in zip(*held[_WORDS], strict=True))
+        held[_WORDS].clear()
+        place = np.full(int(codes.max(initial=-1)) + 2, -1, np.int32)  # the last is for positions without a word
+        place[at] = np.arange(len(at))
+        codes, by = place[codes], np.argsort(ids)
+        a, b = (by[np.searchsorted(ids, np.concatenate(c), sorter=by)] for c in zip(*held[_PAIRS], strict=True)) if held[_PAIRS] else (np.empty(0, np.int64),) * 2
+        held[_PAIRS].clear()
+        a = a * len(at)
+        a += b
+        a.sort()
+        return number, Shard(codes, len(at)), ids, a
+
+    def worked() -> Iterator[pa.RecordBatch]:
+        if held[_WORDS]:  # else no word of it is frequent
+            yield from work(*put_together())
+            given_back()
+
+    for batch in batches:
+        key = batch.column("key").to_numpy()
+        first = _firsts(key)
+        for start, end in zip(first, np.append(first[1:], len(key)), strict=True):
+            this, kind = divmod(int(key[start]), 4)
+            if this != number:
+                yield from worked()
+                number, held = this, ([], [], [])
+            x, y, codes = (batch.column(c)[start:end] for c in ("x", "y", "codes"))
+            held[kind].extend(zip(x.to_pylist(), codes.to_pylist(), strict=True) if kind == _RUNS else [(x.to_numpy().copy(), y.to_numpy().copy())])
+    yield from worked()
 
 
 def _pairs(shards: DataFrame) -> DataFrame:
-    """(shard, a, b, k) of all pairs of frequent words of all shards."""
+    """(shard, a, b, k) of all pairs of frequent words of all shards, which are dealt."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in _rows(batch, "shard", "codes", "at", "ids"):
-                shard, ids = _read(row)
-                for found, k in pair_counts(shard):
-                    columns = [pa.array(np.full(len(k), row["shard"])), pa.array(ids[found[:, 0]]), pa.array(ids[found[:, 1]]), pa.array(k)]
-                    yield pa.RecordBatch.from_arrays(columns, ["shard", "a", "b", "k"])
+    def counted(number: int, shard: Shard, ids: np.ndarray, _: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for found, k in pair_counts(shard):
+            columns = [pa.array(np.full(len(k), number)), pa.array(ids[found[:, 0]]), pa.array(ids[found[:, 1]]), pa.array(k)]
+            yield pa.RecordBatch.from_arrays(columns, ["shard", "a", "b", "k"])
 
-    return shards.mapInArrow(run, "shard long, a long, b long, k long")
+    return shards.mapInArrow(lambda batches: _each(batches, counted), "shard long, a long, b long, k long")
 
 
 def _longer(shards: DataFrame, longest: int) -> DataFrame:
-    """(w0 ... , k) of the phrases of three or more words of all shards; the last words of shorter ones are null."""
+    """(w0 ... , k) of the phrases of three or more words of all shards, which are dealt with their pairs; the last words of shorter ones are null."""
     names = [f"w{i}" for i in range(longest)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in _rows(batch, "codes", "at", "ids", "a", "b"):
-                shard, ids = _read(row)
-                by = np.argsort(ids)
-                a, b = (by[np.searchsorted(ids, row[c], sorter=by)] for c in ("a", "b"))
-                for found, k in long_counts(shard, np.sort(a.astype(np.int64) * shard.words + b), longest):
-                    columns = [pa.array(ids[found[:, i]]) if i < found.shape[1] else pa.nulls(len(k), pa.int64()) for i in range(longest)]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(k)], [*names, "k"])
+    def counted(_: int, shard: Shard, ids: np.ndarray, pairs: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for found, k in long_counts(shard, pairs, longest) if len(pairs) else ():
+            columns = [pa.array(ids[found[:, i]]) if i < found.shape[1] else pa.nulls(len(k), pa.int64()) for i in range(longest)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(k)], [*names, "k"])
 
-    return shards.mapInArrow(run, ", ".join(f"{n} long" for n in names) + ", k long")
+    return shards.mapInArrow(lambda batches: _each(batches, counted), ", ".join(f"{n} long" for n in names) + ", k long")
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shard_bytes: int = SHARD) -> tuple[DataFrame, DataFrame]:
@@ -253,21 +303,23 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
 
     phrase is the array of its words.
     """
+    with bounded_batches(docs.sparkSession):
+        return _frequent_phrases(docs, least, longest, shard_bytes)
+
+
+def _frequent_phrases(docs: DataFrame, least: int, longest: int, shard_bytes: int) -> tuple[DataFrame, DataFrame]:
     shards = saved(_shards(docs, shard_bytes), "shards")
-    each = shards.select("shard", "lang", F.explode(F.arrays_zip("words", "counts", F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0))).alias("at"))).alias("x"))
-    each = each.select("shard", "lang", F.col("x.words").alias("word"), F.col("x.counts").alias("k"), F.col("x.at").alias("at")).where("word is not null")
-    totals = each.groupBy("lang").agg(F.sum("k").alias("n"))
+    each = shards.where("word is not null")
+    totals = saved(each.groupBy("lang").agg(F.sum("k").alias("n")), "totals")
 
     words = each.groupBy("lang", "word").agg(F.sum("k").alias("f")).where(F.col("f") >= least)
     # ids by frequency: most of what is shuffled has small ones
     words = saved(placed(words, [], [F.desc("f"), F.col("lang"), F.col("word")], "id"), "words")
-    own = each.join(words, ["lang", "word"]).groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("at", "id"))).alias("own"))
-    own = shards.select("shard", "codes").join(own.select("shard", F.col("own.at").alias("at"), F.col("own.id").alias("ids")), "shard")
+    of_shard = saved(each.join(words, ["lang", "word"]).select("shard", "at", "id"), "own")
 
-    pairs = _pairs(own).withColumn("f", F.sum("k").over(Window.partitionBy("a", "b"))).where(F.col("f") >= least)
+    pairs = _pairs(_dealt(shards, of_shard)).withColumn("f", F.sum("k").over(Window.partitionBy("a", "b"))).where(F.col("f") >= least)
     pairs = saved(pairs.select("shard", "a", "b", "f"), "pairs")
-    lists = pairs.groupBy("shard").agg(F.collect_list(F.struct("a", "b")).alias("p"))
-    longer = _longer(own.join(lists.select("shard", F.col("p.a").alias("a"), F.col("p.b").alias("b")), "shard"), longest)
+    longer = _longer(_dealt(shards, of_shard, pairs), longest)
     names = [f"w{i}" for i in range(longest)]
     longer = longer.groupBy(*names).agg(F.sum("k").alias("f")).where(F.col("f") >= least)
     two = pairs.groupBy(F.col("a").alias("w0"), F.col("b").alias("w1")).agg(F.first("f").alias("f"))
@@ -277,7 +329,9 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
         found = found.join(own, n, "inner" if i < 2 else "left")
     phrase = F.array_compact(F.array(*[f"s{i}" for i in range(longest)]))
     found = found.select("lang", phrase.alias("phrase"), "f").union(words.select("lang", F.array("word"), "f"))
-    return saved(found.select("lang", "phrase", F.size("phrase").alias("words"), "f"), "phrases"), totals
+    found = saved(found.select("lang", "phrase", F.size("phrase").alias("words"), "f"), "phrases")
+    discard(shards, of_shard, pairs)
+    return found, totals
 
 
 def _exact(c: Column | str) -> Column:

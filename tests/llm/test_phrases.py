@@ -95,3 +95,52 @@ def test_scores_are_exact(spark):
     df = spark.createDataFrame([(9 * 10**15, 4 * 10**18, 5 * 10**18 + 1)], "a long, l long, r long")
     got = df.withColumn("million", phrases.F.lit(2_000_000).cast("decimal(7,0)") * phrases._exact("a")).selectExpr("million div (cast(l as decimal(19,0)) + cast(r as decimal(19,0))) AS s").first()["s"]
     assert got == 2_000_000 * 9 * 10**15 // (9 * 10**18 + 1)
+
+
+def test_rows_and_batches_of_a_shard_are_short(spark, monkeypatch):
+    """No row has a whole shard's positions, and Python gets few of them at once, however many shards a partition has."""
+    tables = {}
+    real = phrases.saved
+    monkeypatch.setattr(phrases, "saved", lambda df, name: tables.setdefault(name, real(df, name)))
+    monkeypatch.setattr(phrases, "discard", lambda *_: None)
+    names = "spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = [spark.conf.get(n) for n in names]
+    docs = spark.range(40).selectExpr("'en' AS lang", "repeat('a b c d e f g h ', 10000) AS text").repartition(2)
+    found = phrases.collocations(docs, shard_bytes=200_000).collect()
+    assert {r["n"] for r in found} == {40 * 80_000} and [spark.conf.get(n) for n in names] == before
+    shards = tables["shards"].where("codes is not null").selectExpr("count(distinct shard) AS n", "max(length(codes)) AS m").first()
+    assert shards["n"] >= 20 and shards["m"] <= 4 * phrases.RUN
+    monkeypatch.setattr(phrases, "given_back", lambda: None)
+    sizes = lambda batches: (phrases.pa.RecordBatch.from_arrays([phrases.pa.array([b.nbytes])], ["n"]) for b in batches)
+    with phrases.bounded_batches(spark):
+        dealt = phrases._dealt(tables["shards"], tables["own"], tables["pairs"]).mapInArrow(sizes, "n long")
+        got = [r["n"] for r in dealt.collect()]
+    assert max(got) <= 6_000_000 < sum(got)
+
+
+def test_a_shard_is_gone_before_the_next_is_put_together():
+    import gc
+    import weakref
+
+    columns = ["key", "x", "y", "codes"]
+
+    def rows(shard: int):
+        codes = np.array([0, 1, 0, 1], np.int32).tobytes()
+        for kind, x, y, c in ((0, [0], None, [codes]), (1, [0, 1], [7, 5], None), (2, [7], [5], None)):
+            n = len(x)
+            pa = phrases.pa
+            yield pa.RecordBatch.from_arrays([pa.array([shard * 4 + kind] * n), pa.array(x), pa.array(y or [None] * n, pa.int64()), pa.array(c or [None] * n, pa.binary())], columns)
+
+    alive, got = [], []
+
+    def work(number, shard, ids, pairs):
+        own = type("Own", (np.ndarray,), {})
+        shard.own = phrases.Bitmaps(shard.own.owner.view(own), *shard.own[1:])  # an array that a weak reference can follow
+        gc.collect()
+        assert not any(r() is not None for r in alive)
+        alive.append(weakref.ref(shard.own.owner))
+        got.append((number, ids.tolist(), pairs.tolist(), [k.tolist() for _, k in phrases.pair_counts(shard)]))
+        yield number
+
+    assert list(phrases._each((b for s in (3, 4, 9) for b in rows(s)), work)) == [3, 4, 9]
+    assert got == [(s, [7, 5], [1], [[2, 1]]) for s in (3, 4, 9)]
