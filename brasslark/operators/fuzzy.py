@@ -9,6 +9,10 @@ distance (no more than the unmatched signs) on the JVM; the ratio itself is comp
 
 from __future__ import annotations
 
+from collections import defaultdict
+from functools import reduce
+from math import ceil, comb
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +21,8 @@ from brasslark.sources.scratch import saved
 
 #: Share of (n + m) from which pairs of neighbours tell more than signs, and the shortest string with enough of them.
 NEIGHBOURS, LONG_ENOUGH = 0.2, 5
+#: Variants of a string up to which strings meet by them.
+VARIANTS = 200
 
 
 def tokens(c: Column, n: int) -> Column:
@@ -54,20 +60,81 @@ def alike(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """
     x = left.toDF("x").where("x <> ''").distinct()
     y = right.toDF("y").where("y <> ''").distinct()
-    return _met(x, y, least, 1) if 1.5 * least - 1 < NEIGHBOURS else _met(x.where(F.length("x") >= LONG_ENOUGH), y, least, 2).union(_met(x.where(F.length("x") < LONG_ENOUGH), y, least, 1))
+    near, far = _by_lengths(x, y, least)
+    found = [_near(x, y, least, near)] if near else []
+    if far or not near:
+        found += _far(*(s.where(F.length(c).isin({p[i] for p in far})) for i, (s, c) in enumerate(((x, "x"), (y, "y")))), least, near)
+    return reduce(DataFrame.union, found)
+
+
+def _by_lengths(x: DataFrame, y: DataFrame, least: float) -> tuple[dict[tuple[int, int], int], set[tuple[int, int]]]:
+    """The pairs of lengths at which strings can be so much alike: those whose strings have few variants, with the signs of these, and the others. Lengths are few."""
+    lengths = [[r["n"] for r in s.select(F.length(c).alias("n")).distinct().collect()] for s, c in ((x, "x"), (y, "y"))]
+    near, far = {}, set()
+    for n in lengths[0]:
+        for m in lengths[1]:
+            if 2.0 * min(n, m) >= least * (n + m) - 1e-9:
+                signs = max(1, ceil((n + m) * (least / 2) - 1e-9))
+                if max(comb(n, signs), comb(m, signs)) <= VARIANTS:
+                    near[n, m] = signs
+                else:
+                    far.add((n, m))
+    return near, far
+
+
+def without(c: Column, n: int) -> Column:
+    """The different strings that are left of a text without n of its signs."""
+    left = F.array(c)
+    for _ in range(n):
+        each = lambda s: F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))
+        left = F.array_distinct(F.flatten(F.transform(left, each)))
+    return left
+
+
+def _near(x: DataFrame, y: DataFrame, least: float, near: dict[tuple[int, int], int]) -> DataFrame:
+    """The pairs whose lengths are in near; they meet by the hashes of their variants."""
+
+    def variants(strings: DataFrame, column: str, side: int) -> DataFrame:
+        by = defaultdict(set)
+        for lengths, signs in near.items():
+            by[lengths[side] - signs].add(lengths[side])
+        each = [strings.where(F.length(column).isin(lengths)).select(column, (F.length(column) - gone).alias("signs"), F.explode(without(F.col(column), gone)).alias("v")) for gone, lengths in sorted(by.items())]
+        return reduce(DataFrame.union, each).select(column, "signs", F.xxhash64("v").alias("v"))
+
+    met = variants(_dealt(x, F.xxhash64("x")), "x", 0).join(variants(_dealt(y, F.xxhash64("y")), "y", 1), ["v", "signs"])
+    met = met.where(F.col("signs") == _shared(F.length("x") + F.length("y"), least, 1)).select("x", "y")
+    return _rated(_dealt(met, "x", "y").distinct(), least)
+
+
+def _dealt(rows: DataFrame, *columns: Column | str) -> DataFrame:
+    """rows dealt to as many tasks as a shuffle has; rows of few bytes that take much time would be joined to one task else. Columns by which rows lie already deal nothing, but their hash does."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
+def _rated(pairs: DataFrame, least: float) -> DataFrame:
+    # written once, so that the ratio is not computed again by what reads it
+    close = saved(pairs.select("x", "y").withColumn("ratio", F.when(F.col("x") == F.col("y"), 1.0).otherwise(seq_ratio("x", "y"))), "ratios")
+    return close.where(F.col("ratio") >= least)
+
 
+def _far(x: DataFrame, y: DataFrame, least: float, near: dict[tuple[int, int], int]) -> list[DataFrame]:
+    """The pairs whose lengths are not in near."""
+    if 1.5 * least - 1 < NEIGHBOURS:
+        return [_met(x, y, least, 1, near)]
+    return [_met(x.where(F.length("x") >= LONG_ENOUGH), y, least, 2, near), _met(x.where(F.length("x") < LONG_ENOUGH), y, least, 1, near)]
 
-def _met(x: DataFrame, y: DataFrame, least: float, grams: int) -> DataFrame:
+
+def _met(x: DataFrame, y: DataFrame, least: float, grams: int, near: dict[tuple[int, int], int]) -> DataFrame:
     frequency = y.select(F.explode(tokens(F.col("y"), grams)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("k"))
     frequency = saved(frequency, "tokens")
     a, b = (_prefixes(s, c, frequency, least, grams) for s, c in ((x, "x"), (y, "y")))
     both = F.col("n") + F.col("m")
     fit = 2.0 * F.least("n", "m") >= least * both - 1e-9
+    if near:
+        fit &= ~(F.col("n").cast("long") * (1 << 32) + F.col("m")).isin([n * (1 << 32) + m for n, m in near])
     near = F.expr(f"levenshtein(x, y, cast(floor((n + m) * {1 - least!r} + 1e-9) as int))") >= 0  # where they meet, so that others are not shuffled
     pairs = a.withColumnRenamed("length", "n").join(b.withColumnRenamed("length", "m"), "token").where(fit).where(near).select("x", "y").distinct()
     pairs = pairs.select("x", "y", F.length("x").alias("n"), F.length("y").alias("m"))
     signs = lambda s, c: s.select(c, tokens(F.col(c), 1).alias(f"_{c}"))  # noqa: E731  once a string, not once a pair
     pairs = pairs.join(signs(x, "x"), "x").join(signs(y, "y"), "y").where(2.0 * F.size(F.array_intersect("_x", "_y")) >= least * both - 1e-9)
-    # written once, so that the ratio is not computed again by what reads it
-    close = saved(pairs.select("x", "y").withColumn("ratio", F.when(F.col("x") == F.col("y"), 1.0).otherwise(seq_ratio("x", "y"))), "ratios")
-    return close.where(F.col("ratio") >= least)
+    return _rated(_dealt(pairs, "x", "y"), least)

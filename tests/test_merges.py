@@ -6,6 +6,7 @@ import random
 from difflib import SequenceMatcher
 
 import pytest
+from pyspark.sql import functions as F
 
 from brasslark.operators import fuzzy, merges
 
@@ -80,3 +81,27 @@ def test_alike_equals_all_pairs(spark, least):
     got = {(r["x"], r["y"]): r["ratio"] for r in fuzzy.alike(rows(left), rows(right), least).collect()}
     want = {(a, b): r for a in set(left) for b in set(right) if a and b and (r := SequenceMatcher(None, a, b).ratio()) >= least}
     assert got == pytest.approx(want) and len(want) > 5
+
+
+@pytest.mark.parametrize("least, others", [(0.875, False), (0.88, True), (0.94, True)])
+def test_names_with_running_numbers_meet_by_their_variants(spark, monkeypatch, least, others):
+    """They share nearly all tokens with all other names, so pairs of tokens would be all pairs. Strings with many variants still meet by tokens, and no pair comes twice."""
+    saved, real = [], fuzzy.saved
+    monkeypatch.setattr(fuzzy, "saved", lambda df, name: (saved.append((name, out := real(df, name))), out)[1])
+    right = [f"supplier {i:09d}" for i in range(0, 3000, 7)] + ["supplier 00000007", "süpplier 000000007", "supplier 0000000070 group of companies"] * others
+    left = [n.replace("u", "v") for n in right[::20]] + ["svpplier 000000007", "suppleir 000000014", "supplier 000000070 group of company"] * others
+    rows = lambda xs: spark.createDataFrame([(x,) for x in [*xs, None, ""]], "s string").repartition(3)
+    got = [(r["x"], r["y"], r["ratio"]) for r in fuzzy.alike(rows(left), rows(right), least).collect()]
+    want = {(a, b): r for a in set(left) for b in set(right) if (r := SequenceMatcher(None, a, b).ratio()) >= least}
+    assert len(got) == len(want) and {g[:2]: g[2] for g in got} == pytest.approx(want) and len(want) > 20
+    assert ("tokens" in dict(saved)) == others  # only other lengths need them
+    if not others:
+        assert dict(saved)["ratios"].count() <= 1.2 * len(want)
+
+
+@pytest.mark.parametrize("text, gone", [("abca", 0), ("abca", 2), ("aab", 1), ("é😀x", 2), ("ab", 2)])
+def test_variants_are_all_that_is_left(spark, text, gone):
+    from itertools import combinations
+
+    got = spark.createDataFrame([(text,)], "s string").select(fuzzy.without(F.col("s"), gone).alias("v")).first()["v"]
+    assert sorted(got) == sorted({"".join(c) for c in combinations(text, len(text) - gone)})
